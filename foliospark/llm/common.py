@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +98,24 @@ def hex64(fp: Column) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def mapped(df: DataFrame, source: str, name: str, kind: str, of) -> DataFrame:
+    """df with column `name` of type `kind`: of(values of `source`) for each Arrow batch. A column of that name is replaced."""
+    ensure_importable(df.sparkSession)
+    typed = (df.drop(name) if name != source else df).withColumn(name, F.lit(None).cast(kind))
+
+    def run(batches):
+        for batch in batches:
+            k = batch.schema.get_field_index(name)
+            values = pa.array(of([x.as_py() for x in batch.column(source)]), batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays([values if j == k else c for j, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return typed.mapInArrow(run, typed.schema)
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it isn't installed (a checkout, tests). A cluster ships it with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))

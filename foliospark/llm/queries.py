@@ -5,14 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_dedup
+from . import bpe_trie, mpegts, simhash_dedup, simhash_search
 from .common import read_table
 
 
+def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_trie.round_trip(docs)
+
+
+def op3_mpeg_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = mpegts.write_streams(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    sized = stored.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    read = mpegts.read_streams(sized).drop("media")
+    units = F.col("read.units")
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("packets="), F.col("read.n_packets")),
+        F.concat(F.lit("units="), F.size(units)),
+        F.concat(F.lit("random_access="), F.size(F.filter(units, lambda u: u.random_access))),
+        F.concat(F.lit("pts="), F.coalesce(F.array_min(units.pts), F.lit(0)), F.lit("-"), F.coalesce(F.array_max(units.pts), F.lit(0))),
+        F.concat(F.lit("errors="), F.col("read.continuity_errors") + F.col("read.sync_errors") + F.col("read.table_errors")),
+    )
+    payload = F.col("read.payload")
+    return read.select(
+        "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
+    )
+
+
+def op4_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_search.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_components(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_bpe_trie": op2_bpe_trie,
+    "op3_mpeg_transport_streams": op3_mpeg_transport_streams,
+    "op4_simhash_fingerprints": op4_simhash_fingerprints,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }

@@ -55,18 +55,18 @@ def segment_counts(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def band_masks(radius: int, same: int = 3) -> list[int]:
-    """For each choice of `same` of the radius + same bands, in order, the bits of its segments, as signed longs."""
+def bit_masks(radius: int, same: int = 3, width: int = 1) -> list[int]:
+    """For each choice of `same` of the radius + same bands of `width`-bit segments, in order, its bits as a signed long."""
     bands = radius + same
-    cut = [round(32 * k / bands) for k in range(bands + 1)]
-    each = [sum(3 << (2 * s) for s in range(cut[k], cut[k + 1])) for k in range(bands)]
+    cut = [round(64 // width * k / bands) for k in range(bands + 1)]
+    each = [sum(((1 << width) - 1) << (width * s) for s in range(cut[k], cut[k + 1])) for k in range(bands)]
     masks = [sum(each[k] for k in chosen) for chosen in combinations(range(bands), same)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
 def linked(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Pairs (fp_a < fp_b) of the distinct longs `fp` within the Hamming radius, each once."""
-    masks = band_masks(radius)
+    masks = bit_masks(radius, width=2)
     grid = fps.select("fp", segment_counts(F.col("fp")).alias("e"))
     choices = F.array(*[F.struct(F.lit(k).alias("k"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)])
     cells = grid.select("fp", "e", F.inline(choices))
