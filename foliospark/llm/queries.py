@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, mpegts, pii, simhash_dedup, simhash_search
+from . import bpe_trie, mixing, mpegts, pii, simhash_dedup, simhash_search
 from .common import read_table
 
 
@@ -43,6 +43,10 @@ def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_components(read_table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,6 @@ QUERIES = {
     "op3_mpeg_transport_streams": op3_mpeg_transport_streams,
     "op4_simhash_fingerprints": op4_simhash_fingerprints,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
+    "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }

@@ -1,3 +1,45 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .mixing import LEVELS, SEED, WEB_DIGITS, WEIGHTS
+
+
+def _weight(level: str) -> str:
+    cases = "".join(f" WHEN {level} = '{name}' THEN {w}" for name, w in WEIGHTS[level].items())
+    return f"CASE{cases} ELSE 1 END" if cases else "1"
+
+
+def _level(k: int) -> str:
+    """The shares of one level of the tree, from the budgets of the level above."""
+    path, above = ", ".join(LEVELS[: k + 1]), LEVELS[:k]
+    part = f"PARTITION BY {', '.join(above)}" if above else ""
+    using = f"JOIN share{k - 1} USING ({', '.join(above)})" if above else "CROSS JOIN root"
+    rising = f"OVER ({part} ORDER BY most::DOUBLE / weight, {LEVELS[k]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+node{k} AS (SELECT {path}, sum(tokens)::BIGINT * 4 AS most, {_weight(LEVELS[k])} AS weight FROM counted GROUP BY ALL),
+fit{k} AS (SELECT *, coalesce(sum(most) {rising}, 0) AS c, sum(weight) OVER ({part}) - coalesce(sum(weight) {rising}, 0) AS w FROM node{k} {using}),
+full{k} AS (SELECT *, most * w <= weight * (budget - c) AS filled FROM fit{k}),
+share{k} AS (SELECT {path}, CASE WHEN filled THEN most ELSE weight * (budget - coalesce(sum(most) FILTER (filled) OVER ({part}), 0)) // sum(weight) FILTER (NOT filled) OVER ({part}) END AS budget FROM full{k})"""
+
+
+MIXING = f"""
+WITH counted AS (
+  SELECT doc_id, CASE WHEN right(coalesce(source, 'unknown'), 1) IN ({", ".join(f"'{c}'" for c in WEB_DIGITS)}) THEN 'web' ELSE 'reference' END AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS tokens
+  FROM documents),
+root AS (SELECT coalesce(sum(tokens), 0) // 2 AS budget FROM counted),
+{",".join(_level(k) for k in range(3))},
+leaf AS (SELECT {", ".join(LEVELS)}, sum(tokens) AS leaf_tokens, any_value(budget) AS budget FROM counted JOIN share2 USING ({", ".join(LEVELS)}) GROUP BY ALL),
+plan AS (SELECT *, CASE WHEN leaf_tokens > 0 THEN budget // leaf_tokens ELSE 0 END AS epochs FROM leaf),
+keyed AS (SELECT *, md5('{SEED}:' || epochs::BIGINT || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM counted JOIN plan USING ({", ".join(LEVELS)})),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY {", ".join(LEVELS)} ORDER BY key) AS reach FROM keyed)
+SELECT doc_id, {", ".join(LEVELS)}, tokens, budget::BIGINT AS leaf_budget,
+  (epochs + CASE WHEN leaf_tokens > 0 AND reach <= budget - epochs * leaf_tokens THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM run
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_hierarchical_mixing": MIXING,
+}
