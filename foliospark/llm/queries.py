@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, mixing, mpegts, pii, simhash_dedup, simhash_search
+from . import bpe_trie, langid, mixing, mpegts, pii, simhash_dedup, simhash_search
 from .common import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    asked = docs.select("doc_id", (langid.fold() == 0).alias("held_out"), "text")
+    return langid.predict(asked, model).drop("text")
+
+
 def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_trie.round_trip(docs)
@@ -52,6 +59,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_bpe_trie": op2_bpe_trie,
     "op3_mpeg_transport_streams": op3_mpeg_transport_streams,
     "op4_simhash_fingerprints": op4_simhash_fingerprints,
