@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, langid, mixing, mpegts, pii, simhash_dedup, simhash_search
+from . import bpe_trie, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
 from .common import read_table
 
 
@@ -46,6 +46,10 @@ def op4_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_search.edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(read_table(spark, sf_dir, "pages"))
+
+
 def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_bpe_trie": op2_bpe_trie,
     "op3_mpeg_transport_streams": op3_mpeg_transport_streams,
     "op4_simhash_fingerprints": op4_simhash_fingerprints,
+    "op5_warc_derivatives": op5_warc_derivatives,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
