@@ -34,10 +34,10 @@ from .common import mapped
 
 #: Fixed values of byte-level BPE: the pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept by a worker between batches; beyond it the cache starts afresh. Bounds memory, not results.
-CACHE_WORDS = 500_000
+#: Words, and pairs of tokens, kept by a worker between batches; beyond it a cache starts afresh. Bounds memory, not results.
+CACHE_WORDS, CACHE_PAIRS = 250_000, 500_000
 #: Characters of text that are split and encoded together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def default_path() -> str:
@@ -63,7 +63,6 @@ class ByteBpe:
         vocab = data["model"]["vocab"]
         self.id_of = {as_bytes(s): k for s, k in vocab.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
-        self.merges = [(as_bytes(a), as_bytes(b)) for a, b in merges]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         size = 1 + max([*self.id_of.values(), *self.special.values()])
         self.bytes_of = [b""] * size
@@ -71,16 +70,15 @@ class ByteBpe:
             self.bytes_of[k] = token
         for token, k in self.special.items():
             self.bytes_of[k] = token.encode()
-        # how each token is made: rank of its merge, and its outermost parts from byte to whole on either side
-        self.rank: dict[int, int] = {}
-        self.right_parts = [[(k, -1)] for k in range(size)]
-        self.left_parts = [[(k, -1)] for k in range(size)]
-        for rank, (a, b) in enumerate(self.merges):
-            left, right, k = self.id_of[a], self.id_of[b], self.id_of[a + b]
-            if self.rank.setdefault(left * size + right, rank) == rank and len(self.right_parts[k]) == 1:
-                self.right_parts[k] = [*self.right_parts[right], (k, rank)]
-                self.left_parts[k] = [*self.left_parts[left], (k, rank)]
         self.code_of = [pack("<I", k) for k in range(size)]
+        # how each token is made: its two parts, and the rank of each merge of two tokens
+        self.rank: dict[int, int] = {}
+        self.parts: list[tuple[int, int, int] | None] = [None] * size
+        for rank, (a, b) in enumerate(merges):
+            left, right, k = self.id_of[as_bytes(a)], self.id_of[as_bytes(b)], self.id_of[as_bytes(a) + as_bytes(b)]
+            if self.rank.setdefault(left * size + right, rank) == rank and self.parts[k] is None:
+                self.parts[k] = (left, right, rank)
+        self.never = len(merges)
         # the tokens read backwards, as a trie: (node * 256 + byte) leads to a node; node 0 is the root
         self.back: dict[int, int] = {}
         self.token_at = [-1]
@@ -102,9 +100,8 @@ class ByteBpe:
         Both grow from the bytes at their border. Merges come in the order of their ranks, and from left to right
         within a rank; the border falls if its two current parts have a merge that comes before the next growth.
         """
-        size, rank = len(self.bytes_of), self.rank.get
-        lefts, rights, i, j = self.right_parts[a], self.left_parts[b], 0, 0
-        never = len(self.merges)
+        size, rank, never = len(self.bytes_of), self.rank.get, self.never
+        lefts, rights, i, j = self._border(a, 1), self._border(b, 0), 0, 0
         while True:
             across = rank(lefts[i][0] * size + rights[j][0], never)
             grow_left = lefts[i + 1][1] if i + 1 < len(lefts) else never
@@ -119,9 +116,20 @@ class ByteBpe:
                 i += 1
             else:
                 j += 1
+        if len(self.side_by_side) >= CACHE_PAIRS:
+            self.side_by_side.clear()
         self.side_by_side[a * size + b] = known
         return known
 
+    def _border(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The token's outermost parts on one side (0: left, 1: right), from the byte to the whole, each with its merge's rank."""
+        out = []
+        while (made := self.parts[token]) is not None:
+            out.append((token, made[2]))
+            token = made[side]
+        out.append((token, -1))
+        return out[::-1]
+
     def encode_words(self, found: set[str]) -> None:
         """Put the encodings of all these words into the cache: a depth-first walk of their trie."""
         back, token_at, known, stays, code_of, size = self.back.get, self.token_at, self.side_by_side.get, self.stays, self.code_of, len(self.bytes_of)
@@ -208,7 +216,16 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
 
 
 def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """df without its text, with n_tokens, ids_sha256 and decoded_sha256."""
-    ids = encode(df, text_col, "ids", path).drop(*({text_col} - {"ids"}))
-    sized = ids.withColumn("n_tokens", (F.length("ids") / 4).cast("long")).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(sized, "ids", "decoded", path).drop("ids").withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    """df without its text, with n_tokens, ids_sha256 and decoded_sha256. Encodes and decodes in one pass through Python."""
+    spec = vocabulary(df, path)
+
+    def both(texts):
+        model = _model(spec.value)
+        ids = model.encode_batch([x or "" for x in texts])
+        return [{"ids": i, "decoded": d} for i, d in zip(ids, model.decode_batch(ids), strict=True)]
+
+    coded = mapped(df, text_col, "_coded", "struct<ids:binary,decoded:string>", both).drop(text_col)
+    return coded.select(
+        *[c for c in coded.columns if c != "_coded"], (F.length("_coded.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("_coded.ids", 256).alias("ids_sha256"), F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
+from . import bpe_trie, html_lstm, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
 from .common import read_table
 
 
@@ -62,6 +62,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_recurrent_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    weights = html_lstm.fit(pages)
+    return html_lstm.extract(pages, weights).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe_trie": op2_bpe_trie,
@@ -71,4 +77,5 @@ QUERIES = {
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_recurrent_block_labeller": op10_recurrent_block_labeller,
 }
