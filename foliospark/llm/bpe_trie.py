@@ -215,8 +215,8 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
     return mapped(df, ids_col, text_col, "string", lambda v: _model(spec.value).decode_batch([x or b"" for x in v]))
 
 
-def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """df without its text, with n_tokens, ids_sha256 and decoded_sha256. Encodes and decodes in one pass through Python."""
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """df without its text, with n_tokens, ids_sha256 and decoded_sha256 (and the ids themselves if asked for). Encodes and decodes in one pass through Python."""
     spec = vocabulary(df, path)
 
     def both(texts):
@@ -227,5 +227,5 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None) -
     coded = mapped(df, text_col, "_coded", "struct<ids:binary,decoded:string>", both).drop(text_col)
     return coded.select(
         *[c for c in coded.columns if c != "_coded"], (F.length("_coded.ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("_coded.ids", 256).alias("ids_sha256"), F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *([F.col("_coded.ids").alias("ids")] if keep_ids else []), F.sha2("_coded.ids", 256).alias("ids_sha256"), F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
