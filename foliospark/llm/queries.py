@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, html_lstm, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
+from . import bpe_trie, bwt_dedup, html_lstm, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
 from .common import read_table
 
 
@@ -54,6 +54,10 @@ def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op4_simhash_fingerprints": op4_simhash_fingerprints,
     "op5_warc_derivatives": op5_warc_derivatives,
     "op6_bootstrapped_pii": op6_bootstrapped_pii,
+    "op7_run_length_index": op7_run_length_index,
     "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_recurrent_block_labeller": op10_recurrent_block_labeller,
