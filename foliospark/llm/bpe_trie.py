@@ -21,7 +21,6 @@ output's name is replaced; an empty table gives an empty table with the same col
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -34,7 +33,7 @@ from .common import mapped
 
 #: Fixed values of byte-level BPE: the pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words, and pairs of tokens, kept by a worker between batches; beyond it a cache starts afresh. Bounds memory, not results.
+#: Words, and pairs of tokens, kept by a task between batches; beyond it a cache starts afresh. Bounds memory, not results.
 CACHE_WORDS, CACHE_PAIRS = 250_000, 500_000
 #: Characters of text that are split and encoded together.
 CHUNK_CHARS = 1_000_000
@@ -192,9 +191,23 @@ class ByteBpe:
         return out
 
 
-@lru_cache(maxsize=2)
+def _forget() -> None:
+    """Empty the caches at the end of a task: an idle worker holds the vocabularies only."""
+    for model in list(_MODELS.values()):
+        model.words.clear()
+        model.side_by_side.clear()
+
+
+_MODELS: dict[int, ByteBpe] = {}
+
+
 def _model(spec: str) -> ByteBpe:
-    return ByteBpe(spec)
+    """This worker's vocabulary; another one replaces it."""
+    key = hash(spec)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = ByteBpe(spec)
+    return _MODELS[key]
 
 
 def vocabulary(df: DataFrame, path: str | None = None) -> Broadcast:
@@ -206,7 +219,7 @@ def vocabulary(df: DataFrame, path: str | None = None) -> Broadcast:
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """df with ids_col: the token ids of the whole text as little-endian unsigned 32-bit integers."""
     spec = vocabulary(df, path)
-    return mapped(df, text_col, ids_col, "binary", lambda v: _model(spec.value).encode_batch([x or "" for x in v]))
+    return mapped(df, text_col, ids_col, "binary", lambda v: _model(spec.value).encode_batch([x or "" for x in v]), _forget)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -224,7 +237,7 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, k
         ids = model.encode_batch([x or "" for x in texts])
         return [{"ids": i, "decoded": d} for i, d in zip(ids, model.decode_batch(ids), strict=True)]
 
-    coded = mapped(df, text_col, "_coded", "struct<ids:binary,decoded:string>", both).drop(text_col)
+    coded = mapped(df, text_col, "_coded", "struct<ids:binary,decoded:string>", both, _forget).drop(text_col)
     return coded.select(
         *[c for c in coded.columns if c != "_coded"], (F.length("_coded.ids") / 4).cast("long").alias("n_tokens"),
         *([F.col("_coded.ids").alias("ids")] if keep_ids else []), F.sha2("_coded.ids", 256).alias("ids_sha256"), F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -100,16 +100,34 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def mapped(df: DataFrame, source: str, name: str, kind: str, of) -> DataFrame:
-    """df with column `name` of type `kind`: of(values of `source`) for each Arrow batch. A column of that name is replaced."""
+#: Bytes of Arrow data that a mapped function gets at once (one row at least).
+SLICE_BYTES = 8_000_000
+
+
+def slices(batches):
+    """The same rows in record batches of about SLICE_BYTES."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def mapped(df: DataFrame, source: str, name: str, kind: str, of, done=lambda: None) -> DataFrame:
+    """df with column `name` of type `kind`: of(values of `source`), some megabytes at a time; done() when a task ends.
+
+    A column of that name is replaced.
+    """
     ensure_importable(df.sparkSession)
     typed = (df.drop(name) if name != source else df).withColumn(name, F.lit(None).cast(kind))
 
     def run(batches):
-        for batch in batches:
-            k = batch.schema.get_field_index(name)
-            values = pa.array(of([x.as_py() for x in batch.column(source)]), batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays([values if j == k else c for j, c in enumerate(batch.columns)], schema=batch.schema)
+        try:
+            for batch in slices(batches):
+                k = batch.schema.get_field_index(name)
+                values = pa.array(of(batch.column(source).to_pylist()), batch.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays([values if j == k else c for j, c in enumerate(batch.columns)], schema=batch.schema)
+        finally:
+            done()
 
     return typed.mapInArrow(run, typed.schema)
 

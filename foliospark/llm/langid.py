@@ -9,8 +9,8 @@ Words are runs of letters in lower case, with the vocabulary's word mark before
 a piece of its own with probability `UNKNOWN` in every language.
 
 Scale: the model is fitted on at most `SAMPLE` documents a language, chosen by the hash of doc_id; its size is that of
-the vocabulary times the languages. Prediction is a narrow map without a shuffle. A worker scores each distinct word of a
-chunk once, all of them in step (numpy), and keeps a bounded cache.
+the vocabulary times the languages. Prediction is a narrow map without a shuffle. A task scores each distinct word of a
+chunk once, many of them in step (numpy), and keeps a bounded cache.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with nothing to learn from every text is; equal texts
 have equal answers, ties go to the first language by name; a null doc_id counts as the empty string for the fold; all
@@ -36,7 +36,7 @@ SAMPLE, ROUNDS = 300, 3
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Probabilities are held times SCALE for each character, so that products over a word stay near one.
 SCALE, LONG = 12.0, 64
-CACHE_WORDS, CHUNK_CHARS = 500_000, 2_000_000
+CACHE_WORDS, CHUNK_CHARS, LATTICE_WORDS = 200_000, 1_000_000, 20_000
 MARK = "▁"
 LETTERS = regex.compile(r"\p{L}+").findall
 RESULT = "struct<lang_pred:string,score:double>"
@@ -124,9 +124,10 @@ def log_scores(pieces: tuple[str, ...], probability: np.ndarray, words: list[str
     weight = probability * (SCALE ** _lengths(pieces))[:, None]
     out = np.empty((len(words), probability.shape[1]))
     short = [k for k, w in enumerate(words) if len(w) <= LONG]
-    if short:
-        lattice = Lattice(pieces, [words[k] for k in short])
-        out[short] = np.log(lattice.forward(weight)[lattice.final]) - np.log(SCALE) * lattice.sizes[:, None]
+    for at in range(0, len(short), LATTICE_WORDS):
+        part = short[at : at + LATTICE_WORDS]
+        lattice = Lattice(pieces, [words[k] for k in part])
+        out[part] = np.log(lattice.forward(weight)[lattice.final]) - np.log(SCALE) * lattice.sizes[:, None]
     for k, w in enumerate(words):
         if len(w) > LONG:
             out[k] = _long_score(pieces, probability, MARK + w)
@@ -252,5 +253,5 @@ def _scorer(name: str, model: Broadcast) -> Scorer:
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score for the whole text."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    read = mapped(docs.drop("lang_pred", "score"), text_col, "_answer", RESULT, lambda texts: _scorer(name, sent).predict(texts))
+    read = mapped(docs.drop("lang_pred", "score"), text_col, "_answer", RESULT, lambda texts: _scorer(name, sent).predict(texts), _SCORERS.clear)
     return read.select("*", "_answer.*").drop("_answer")
