@@ -1,4 +1,338 @@
-"""Registered queries of the revision-diff operators and their DuckDB equivalents."""
+"""Registered queries of the revision-diff operators over the given tables, and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.functions import text as T
+from foliospark.operators import compare as C
+from foliospark.operators import misc as M
+from foliospark.operators import scoring as S
+from foliospark.operators.layout import reading_order_lines, word_segments
+from foliospark.operators.linediff import entries
+from foliospark.operators.regions import merged
+from foliospark.operators.revisions import aligned, pairs, revised_pages
+from foliospark.plans.oracles import ORACLES  # noqa: F401  read by the driver entry
+from foliospark.plans.shared import written
+from foliospark.sources.tables import binary_files, checked_binaries, document_summary, page_lines, table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """The revision corpus, written once: page pairs are read by several branches of a query."""
+    return written(revised_pages(_docs(spark, d)), "pages")
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return entries(_pages(spark, d))
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = _pages(spark, d)
+    return pages, written(entries(pages), "entries")
+
+
+@query
+def doc_page_counts(spark, d):
+    return document_summary(_docs(spark, d))
+
+
+@query
+def line_normalise(spark, d):
+    return page_lines(_docs(spark, d))
+
+
+@query
+def reading_order(spark, d):
+    lines = reading_order_lines(word_segments(page_lines(_docs(spark, d))), ["doc_id", "page_index"])
+    return lines.withColumn("line_index", F.col("line_index").cast("long"))
+
+
+@query
+def revision_pairs(spark, d):
+    return pairs(revised_pages(_docs(spark, d)))
+
+
+@query
+def page_alignment(spark, d):
+    return aligned(revised_pages(_docs(spark, d))).select("pair_id", "page_index", "side", F.coalesce(F.size("old_lines"), F.lit(0)).alias("n_old"), F.coalesce(F.size("new_lines"), F.lit(0)).alias("n_new")).withColumns({c: F.greatest(c, F.lit(0)) for c in ("n_old", "n_new")})
+
+
+@query
+def line_entries(spark, d):
+    return _entries(spark, d).drop("path")
+
+
+@query
+def line_entries_residual(spark, d):
+    return _entries(spark, d).filter("path = 'c'").drop("path")
+
+
+@query
+def page_status(spark, d):
+    return C.page_status(*_both(spark, d))
+
+
+@query
+def page_summary(spark, d):
+    pages, e = _both(spark, d)
+    return C.page_summary(C.page_status(pages, e), e)
+
+
+def _summary(pages: DataFrame, e: DataFrame) -> DataFrame:
+    return C.page_summary(C.page_status(pages, e), e)
+
+
+@query
+def diff_stats(spark, d):
+    return C.diff_stats(_summary(*_both(spark, d)))
+
+
+@query
+def diff_summary(spark, d):
+    s = _summary(*_both(spark, d)).filter("status <> 'match' OR total > 0")
+    return s.groupBy("pair_id").agg(F.sum("total").alias("total"), F.count("*").alias("pages"), *[F.sum(k).alias(k) for k in C.KINDS])
+
+
+@query
+def overview(spark, d):
+    pages, e = _both(spark, d)
+    return C.overview(C.diff_stats(_summary(pages, e)), pairs(pages))
+
+
+@query
+def change_list(spark, d):
+    return C.change_list(_entries(spark, d))
+
+
+@query
+def change_list_csv_cols(spark, d):
+    return C.change_rows(_entries(spark, d))
+
+
+@query
+def change_filter(spark, d):
+    return C.matching(_entries(spark, d), "modified", " The ").select("pair_id", "page_index", "entry_seq", "kind", "old_text", "new_text")
+
+
+@query
+def change_ordinals(spark, d):
+    return C.ordinals(_entries(spark, d))
+
+
+@query
+def word_diff(spark, d):
+    return C.word_diff(_entries(spark, d))
+
+
+@query
+def word_diff_markup(spark, d):
+    return C.word_markup(_entries(spark, d))
+
+
+@query
+def json_report(spark, d):
+    pages, e = _both(spark, d)
+    return C.nested_report(C.page_status(pages, e), e).select("pair_id", "n_pages", F.length("report").cast("long").alias("n_chars"), "report")
+
+
+@query
+def golden_truth(spark, d):
+    c = C.changes(_entries(spark, d))
+    old = F.when(F.col("kind") != "added", F.col("old_text"))
+    new = F.when(F.col("kind") != "removed", F.col("new_text"))
+    return c.select("pair_id", (F.col("page_index") + 1).alias("page"), "entry_seq", old.alias("old_text"), new.alias("new_text")).filter("old_text IS NOT NULL OR new_text IS NOT NULL")
+
+
+@query
+def search_hits(spark, d):
+    lines = page_lines(_docs(spark, d))
+    pages = lines.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "text"))), lambda s: s.text), " ").alias("text"))
+    first = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(T.normalised(F.col("text")), " "), 1, 3), " ").alias("query"))
+    return M.search(pages, first)
+
+
+@query
+def report_time(spark, d):
+    return table(spark, d, "events").select("event_id", T.rfc3339(F.col("ts")).alias("time"))
+
+
+@query
+def recent_pairs(spark, d):
+    e = table(spark, d, "events")
+    return M.recent(e.filter("user_id IS NOT NULL"), "user_id", ["event_type"], 3).select("user_id", "event_type", T.rfc3339(F.col("ts")).alias("time"), F.col("place").cast("long").alias("place"))
+
+
+@query
+def url_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", T.base_name(F.col("url")).alias("base_name"), T.extension(F.col("url")).alias("extension"), T.html_escape(F.col("url")).alias("escaped"))
+
+
+@query
+def label_prf(spark, d):
+    return S.label_rates(table(spark, d, "labels"), "quality", "toxic")
+
+
+@query
+def outline_levels(spark, d):
+    id_ = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    region = table(spark, d, "region").select(id_("r", F.col("r_regionkey")).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
+    nation = table(spark, d, "nation").select(id_("n", F.col("n_nationkey")).alias("node_id"), id_("r", F.col("n_regionkey")).alias("parent_id"), F.col("n_name").alias("title"))
+    customer = table(spark, d, "customer").select(id_("c", F.col("c_custkey")).alias("node_id"), id_("n", F.col("c_nationkey")).alias("parent_id"), F.col("c_name").alias("title"))
+    return M.outline_levels(region.unionByName(nation).unionByName(customer), 3).select("node_id", "parent_id", "title", "level", "path")
+
+
+@query
+def text_offset(spark, d):
+    words = written(word_segments(page_lines(_docs(spark, d))), "segments").withColumnRenamed("doc_id", "pair_id")
+    moved = words.withColumns({"left": F.col("left") + F.col("pair_id") % 5, "top": F.col("top") - F.col("page_index") % 3})
+    return M.text_offset(words.groupBy("pair_id", "page_index", "text").agg(F.min("left").alias("left"), F.min("top").alias("top")), moved.groupBy("pair_id", "page_index", "text").agg(F.min("left").alias("left"), F.min("top").alias("top")), ["pair_id", "page_index"])
+
+
+def _regions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pages, e = _both(spark, d)
+    return pages, e, written(C.change_regions(e), "regions")
+
+
+@query
+def merged_regions(spark, d):
+    return _rounded(merged(_regions(spark, d)[2]))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 3) for c in ("left", "top", "right", "bottom")})
+
+
+@query
+def visual_entries(spark, d):
+    return _rounded(C.visual_entries(_regions(spark, d)[2])).drop("n_boxes")
+
+
+@query
+def hybrid_entries(spark, d):
+    _, e, r = _regions(spark, d)
+    return _rounded(C.hybrid_entries(e, r))
+
+
+def _truth(pages: DataFrame, e: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Expected pages, texts and boxes of the derived corpus: texts of every change; boxes of both halves, the stray ones left out."""
+    changes = C.changes(e)
+    node = F.xxhash64("pair_id", "page_index", "entry_seq").alias("node")
+    texts = changes.select(F.col("pair_id").alias("case_id"), node, "old_text", "new_text")
+    boxes = r.filter("region_id >= 0").select(F.col("pair_id").alias("case_id"), F.xxhash64("pair_id", "page_index", "region_id").alias("node"), "left", "top", "right", "bottom")
+    same = F.coalesce(F.transform("old_lines", T.compare_key) == F.transform("new_lines", T.compare_key), F.lit(False))
+    status = F.when(F.col("side") != "common", F.col("side")).when(same, "match").otherwise("modified")
+    return aligned(pages).select(F.col("pair_id").alias("case_id"), "page_index", status.alias("status")), texts, boxes
+
+
+def _case_scores(spark, d) -> DataFrame:
+    """Every case in the modes text and visual: one plan, no loop over cases."""
+    pages, e, r = _regions(spark, d)
+    expected, texts, boxes = _truth(pages, e, r)
+    found_boxes = merged(r).select(F.col("pair_id").alias("case_id"), F.xxhash64("pair_id", "page_index", "left", "top").alias("node"), "left", "top", "right", "bottom")
+    text = S.counts(texts, texts, S.text_matches(texts, texts))
+    near = C.contained_pairs(boxes, found_boxes, 0.5).select(F.col("t.case_id").alias("case_id"), F.col("t.node").alias("t"), F.col("d.node").alias("d"))
+    region = S.counts(boxes, found_boxes, near).join(boxes.select("case_id").distinct(), "case_id", "left_semi")  # unscored without a true box
+    status = C.page_status(pages, e)
+    seen = status.withColumnRenamed("pair_id", "case_id")
+    base = S.page_classes(expected, seen).join(S.false_positives(expected, C.diff_stats(C.page_summary(status, e))), "case_id", "left")
+    named = lambda df, n: df.select("case_id", *[F.col(k).alias(f"{n}_{k}") for k in ("tp", "fp", "fn")])
+    zero = F.lit(None).cast("long")
+    as_text = base.join(named(text, "text"), "case_id", "left").withColumn("mode", F.lit("text")).withColumns({f"region_{k}": zero for k in ("tp", "fp", "fn")})
+    as_visual = base.join(named(region, "region"), "case_id", "left").withColumn("mode", F.lit("visual")).withColumns({f"text_{k}": zero for k in ("tp", "fp", "fn")})
+    return as_text.unionByName(as_visual)
+
+
+@query
+def truth_tables(spark, d):
+    pages, e, r = _regions(spark, d)
+    return _truth(pages, e, r)[0].withColumn("page", F.col("page_index") + 1).select("case_id", "page", "status")
+
+
+@query
+def text_scores(spark, d):
+    _, e, r = _regions(spark, d)
+    _, texts, _ = _truth(_pages(spark, d), e, r)
+    return S.with_rates(S.counts(texts, texts, S.text_matches(texts, texts)))
+
+
+@query
+def region_scores(spark, d):
+    return _case_scores(spark, d).filter("mode = 'visual' AND region_tp IS NOT NULL").select("case_id", F.col("region_tp").alias("tp"), F.col("region_fp").alias("fp"), F.col("region_fn").alias("fn"))
+
+
+@query
+def page_accuracy(spark, d):
+    pages, e = _both(spark, d)
+    expected = _truth(pages, e, C.change_regions(e))[0]
+    return S.page_classes(expected, C.page_status(pages, e).withColumnRenamed("pair_id", "case_id"))
+
+
+@query
+def false_positive_docs(spark, d):
+    pages, e = _both(spark, d)
+    expected = _truth(pages, e, C.change_regions(e))[0]
+    return S.false_positives(expected, C.diff_stats(_summary(pages, e)))
+
+
+@query
+def mode_summary(spark, d):
+    return S.by_mode(_case_scores(spark, d))
+
+
+@query
+def gate(spark, d):
+    return S.gate(S.by_mode(_case_scores(spark, d)))
+
+
+@query
+def eval_tsv(spark, d):
+    s = _case_scores(spark, d)
+    rate = lambda n: F.when(S.valid(F.col(f"{n}_tp"), F.col(f"{n}_fp"), F.col(f"{n}_fn")), T.numeral(T.f1(F.col(f"{n}_tp"), F.col(f"{n}_fp"), F.col(f"{n}_fn")), "0.000")).otherwise("n/a")
+    return s.select(F.col("case_id").cast("string").alias("case"), "mode", F.coalesce(rate("text"), F.lit("n/a")).alias("text_f1"), F.coalesce(rate("region"), F.lit("n/a")).alias("region_f1"), T.numeral("page_accuracy", "0.0000").alias("page_acc"), F.col("doc_false_positive").cast("int").cast("string").alias("fp_doc"))
+
+
+@query
+def eval_summary(spark, d):
+    s = S.by_mode(_case_scores(spark, d))
+    show = lambda c: F.coalesce(T.numeral(c, "0.000"), F.lit("n/a"))
+    return s.select("mode", "cases", show("text_f1").alias("text_f1"), show("region_f1").alias("region_f1"), T.numeral("page_accuracy", "0.0000").alias("page_acc"), F.col("false_positive_docs").alias("fp_docs"))
+
+
+def _cells(spark, d) -> DataFrame:
+    """Event counts by user (mod 64) and hour of the day, the month's first half against its second: the two grids of a page."""
+    e = table(spark, d, "events").filter("user_id IS NOT NULL AND ts IS NOT NULL")
+    side = F.when(F.dayofmonth("ts") <= 15, "old").otherwise("new")
+    return e.groupBy(F.lit(0).alias("page"), side.alias("side"), (F.col("user_id") % 64).cast("int").alias("x"), F.hour("ts").alias("y")).agg(F.count("*").cast("int").alias("v"))
+
+
+@query
+def grid_mask(spark, d):
+    return M.grid_mask(_cells(spark, d), 2, reach=0)
+
+
+@query
+def grid_regions(spark, d):
+    return M.grid_regions(written(M.grid_mask(_cells(spark, d), 2, reach=0), "mask"))
+
+
+@query
+def grid_offset(spark, d):
+    return M.grid_offset(_cells(spark, d))
+
+
+@query
+def binary_scan(spark, d):
+    files = binary_files(spark, f"{d}/documents.parquet")
+    return checked_binaries(files, "PAR1").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "reason")
