@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import ensure_importable, mapped
 
 #: Pages whose words are used for training, at most; layouts drawn; passes over them.
-SAMPLE, LAYOUTS, EPOCHS, SEED = 200, 2500, 7, 11
+SAMPLE, LAYOUTS, EPOCHS, SEED = 200, 3000, 7, 11
 PATH, WORDS, COUNTS, HIDDEN = 256, 32, 8, 24
 FEATURES = PATH + WORDS + COUNTS
 #: Blocks of a chunk of pages that are labelled in step.
@@ -263,6 +263,8 @@ def draw_layout(rng: np.random.Generator, texts: list[list[str]]) -> list[tuple[
         if rng.random() < odds:
             rows += part(kind, outer)
     body = [t for t in source if t]
+    if rng.random() < 0.15:  # worn and broken pages: very short blocks, the same words again and again
+        body = [some(1, 3) if rng.random() < 0.6 else " ".join([some(1, 2)] * int(rng.integers(1, 60))) for _ in range(int(rng.integers(1, 25)))]
     if rng.random() < 0.85:
         title = some(1, 14)
         rows.append((wrap + pick([("h1",), ("h2",), ("header", "h1")]), title, 0, True))
