@@ -175,7 +175,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str |
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
     ranked = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = ranked.filter(F.col("r") <= sample).select("doc_id", "lang").distinct()
-    texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # `sample` rows a language at most
     spans = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: (w != "") & (F.length(w) <= LONG)))
     counted = written(texts.select("lang", spans.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
