@@ -54,7 +54,7 @@ def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3) -> DataFra
     for k in reversed(range(len(masks))):
         first = F.when(moved.bitwiseAND(F.lit(masks[k])) == 0, F.lit(k)).otherwise(first)
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (moved != 0) & (F.bit_count(moved) <= radius) & (F.col("a.k") == first)
-    return a.join(b, on).select(F.col("a.fp").alias("query"), F.col("b.fp").alias("fp"))
+    return a.hint("merge").join(b, on).select(F.col("a.fp").alias("query"), F.col("b.fp").alias("fp"))
 
 
 def edited_likeness(docs: DataFrame, every: int = 20, radius: int = 3) -> DataFrame:
@@ -81,7 +81,7 @@ def edited_likeness(docs: DataFrame, every: int = 20, radius: int = 3) -> DataFr
     own = row.filter("NOT _guest")
     asked = own.filter((F.col("doc_id") % every) == 0)
     counts = neighbours(asked, own, radius).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("_near"))
-    out = full.join(counts, "fp", "left")
+    out = full.join(counts.hint("merge"), "fp", "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex64(F.col("fp")).alias("fingerprint"), hex64(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited")).alias("near_edited"), likeness(F.col("fp"), F.col("_after")).alias("near_next"),
