@@ -26,8 +26,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.plans.components import components
+
 from .common import ascii_lower, hamming, hex64, majority, shingles, vote_sums, words, written
-from .components import components
 
 EVEN = 0x5555555555555555
 
@@ -83,7 +84,7 @@ def linked(fps: DataFrame, radius: int = 3) -> DataFrame:
         & (hamming(F.col("a.fp"), F.col("b.fp")) <= radius)
         & (F.col("a.k") == first)
     )
-    return a.join(b, near).select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"))
+    return a.hint("merge").join(b, near).select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 3) -> DataFrame:

@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe_trie, bwt_dedup, components, html_lstm, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
+from foliospark.llm import bpe_trie, bwt_dedup, html_lstm, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
 from foliospark.llm import queries, sql
+from foliospark.plans import components
 from tests.duck import duck_rows, spark_rows
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
