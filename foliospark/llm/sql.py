@@ -40,6 +40,20 @@ SELECT doc_id, {", ".join(LEVELS)}, tokens, budget::BIGINT AS leaf_budget,
 FROM run
 """
 
+#: Every window of 400 bytes, as hexadecimal text, by its MD5.
+REPEATS = """
+WITH raw AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT r, i, md5(substring(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, greatest(length(x) // 2 - 399, 0))) AS i FROM raw)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM win SEMI JOIN twice USING (h)),
+span AS (SELECT r, min(i) AS low, max(i) + 400 AS high FROM (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+gap AS (SELECT r, coalesce(lag(high) OVER w, 0) AS low, low AS high FROM span WINDOW w AS (PARTITION BY r ORDER BY low) UNION ALL SELECT r, max(high), NULL FROM span GROUP BY r),
+kept AS (SELECT r, string_agg(substring(x, 2 * low + 1, 2 * (coalesce(high, length(x) // 2) - low)), '' ORDER BY low) AS k FROM gap JOIN raw USING (r) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM raw LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, sum(high - low) AS n, count(*) AS c FROM span GROUP BY r) USING (r)
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_run_length_index": REPEATS,
     "op8_hierarchical_mixing": MIXING,
 }
