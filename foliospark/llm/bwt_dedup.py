@@ -35,7 +35,7 @@ from .common import ensure_importable, written
 
 LENGTH, GRAM = 400, 64
 #: Bytes of an index, and distinct fragments from which a name is dealt further.
-INDEX_BYTES, HOT = 1_000_000, 4096
+INDEX_BYTES, HOT = 1_000_000, 1024
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
 ANCHORS = "array<struct<h:bigint,f1:bigint,f2:bigint,s:int,e:int,own:boolean>>"
 
