@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import ensure_importable, mapped, written
 
-#: Documents a language to learn from, rounds of expectation maximisation.
-SAMPLE, ROUNDS = 300, 3
+#: Documents a language to learn from, rounds of expectation maximisation, parts of a language that are ranked apart.
+SAMPLE, ROUNDS, PARTS = 300, 3, 64
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Probabilities are held times SCALE for each character, so that products over a word stay near one.
 SCALE, LONG = 12.0, 64
@@ -173,8 +173,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str |
     ensure_importable(spark)
     pieces = tuple(pieces_of(path))
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    ranked = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = ranked.filter(F.col("r") <= sample).select("doc_id", "lang").distinct()
+    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for by in (["lang", F.pmod(F.col("h"), F.lit(PARTS))], ["lang"]):  # first within parts, so that no task gets all rows of a language
+        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("r") <= sample).drop("r")
+    chosen = chosen.select("doc_id", "lang").distinct()
     texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # `sample` rows a language at most
     spans = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: (w != "") & (F.length(w) <= LONG)))
     counted = written(texts.select("lang", spans.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
