@@ -32,6 +32,8 @@ WEIGHTS = {"domain": {"web": 2, "reference": 3}, "lang": {"en": 4, "de": 2, "fr"
 #: Sources whose name ends in one of these digits are of the domain web, the others of reference.
 WEB_DIGITS = "01234"
 SEED, RANGE_DIGITS = 17, 3
+#: Parts into which the rows of a leaf are dealt where they meet its plan.
+SALTS = 32
 
 
 def leaf_columns(docs: DataFrame, text_col: str = "text") -> list[Column]:
@@ -78,13 +80,19 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict = WEIGHTS, max
     return leaves.join(given, levels)
 
 
+def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows joined to their leaf; a leaf's row is there once for each of SALTS parts of its documents."""
+    salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "_salt"]).drop("_salt")
+
+
 def leaf_plan(counted: DataFrame, budget: Column, weights: dict = WEIGHTS, max_epochs: int = 4, seed: int = SEED) -> DataFrame:
     """(levels, tokens, budget, epochs, cut): take each document `epochs` times, and once more if its key is not above `cut`."""
     leaves = counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budgets = written(leaf_budgets(leaves, budget, weights, max_epochs), "budgets")
     epochs = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))
     plan = budgets.select(*LEVELS, F.col("tokens").alias("leaf_tokens"), "budget", epochs.alias("epochs")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("leaf_tokens"))
-    keyed = counted.join(plan.filter("leaf_tokens > 0").select(*LEVELS, "epochs", "rest"), LEVELS).select(*LEVELS, "tokens", "rest", order_key(F.col("epochs"), seed).alias("key"))
+    keyed = with_leaf(counted, plan.filter("leaf_tokens > 0").select(*LEVELS, "epochs", "rest")).select(*LEVELS, "tokens", "rest", order_key(F.col("epochs"), seed).alias("key"))
     ranged = keyed.withColumn("part", F.substring("key", 1, RANGE_DIGITS))
     parts = ranged.groupBy(*LEVELS, "part").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"))
     upto = F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("part"))
@@ -99,7 +107,7 @@ def leaf_plan(counted: DataFrame, budget: Column, weights: dict = WEIGHTS, max_e
 def copies(counted: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     """counted with copies, the number of times that its document is taken, and the leaf's budget."""
     chosen = F.col("cut").isNotNull() & (order_key(F.col("epochs"), seed) <= F.col("cut"))
-    return counted.join(plan, LEVELS).withColumn("copies", F.col("epochs") + F.when(chosen, 1).otherwise(0))
+    return with_leaf(counted, plan).withColumn("copies", F.col("epochs") + F.when(chosen, 1).otherwise(0))
 
 
 def mix_plan(docs: DataFrame, budget: Column, weights: dict = WEIGHTS, max_epochs: int = 4) -> DataFrame:
