@@ -2,7 +2,7 @@
 
 The encoding of a string's prefix is fixed by its last token: the encoding of w[:i] is that of w[:i - len(t)] followed by
 t, where t is the one vocabulary entry that ends at i and that BPE would not merge across its left neighbour. So the
-state of a trie node is one token. The distinct words of a batch are put in byte order, which is the depth-first order of
+state of a trie node is one token (the candidates come from an Aho-Corasick automaton of the vocabulary, whose state goes with it). The distinct words of a batch are put in byte order, which is the depth-first order of
 their trie: neighbours share the path down to their longest common prefix, the stack of states is that path, and every
 shared prefix is encoded once. Whether two tokens may stand side by side is settled once a pair, from the order of the merges that make
 them.
@@ -34,7 +34,7 @@ from .common import mapped
 #: Fixed values of byte-level BPE: the pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and pairs of tokens, kept by a task between batches; beyond it a cache starts afresh. Bounds memory, not results.
-CACHE_WORDS, CACHE_PAIRS = 250_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 150_000, 300_000
 #: Characters of text that are split and encoded together.
 CHUNK_CHARS = 1_000_000
 
@@ -78,21 +78,42 @@ class ByteBpe:
             if self.rank.setdefault(left * size + right, rank) == rank and self.parts[k] is None:
                 self.parts[k] = (left, right, rank)
         self.never = len(merges)
-        # the tokens read backwards, as a trie: (node * 256 + byte) leads to a node; node 0 is the root
-        self.back: dict[int, int] = {}
-        self.token_at = [-1]
-        for token, k in self.id_of.items():
-            node = 0
-            for x in reversed(token):
-                node = self.back.setdefault(node * 256 + x, len(self.token_at))
-                if node == len(self.token_at):
-                    self.token_at.append(-1)
-            self.token_at[node] = k
+        self._automaton()
         self.side_by_side: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
 
+    def _automaton(self) -> None:
+        """The vocabulary as a trie with failure links: a state is the longest suffix read that begins a token.
+
+        child: state * 256 + byte to state; ends: the tokens that end at a state, longest first, with their lengths.
+        """
+        self.child: dict[int, int] = {}
+        nodes, token_at = [(0, 0, 0, 0)], [-1]  # depth, parent, byte, state
+        for token, k in self.id_of.items():
+            state = 0
+            for depth, x in enumerate(token):
+                after = self.child.setdefault(state * 256 + x, len(token_at))
+                if after == len(token_at):
+                    token_at.append(-1)
+                    nodes.append((depth + 1, state, x, after))
+                state = after
+            token_at[state] = k
+        self.fail, self.ends = [0] * len(nodes), [()] * len(nodes)
+        for depth, parent, x, state in sorted(nodes)[1:]:
+            if depth > 1:
+                self.fail[state] = self._next(self.fail[parent], x)
+            own = ((token_at[state], depth),) if token_at[state] >= 0 else ()
+            self.ends[state] = own + self.ends[self.fail[state]]
+
+    def _next(self, state: int, x: int) -> int:
+        while (after := self.child.get(state * 256 + x)) is None:
+            if not state:
+                return 0
+            state = self.fail[state]
+        return after
+
     def stays(self, a: int, b: int) -> bool:
         """Whether BPE leaves a and b side by side: remembered in side_by_side.
 
@@ -131,33 +152,38 @@ class ByteBpe:
 
     def encode_words(self, found: set[str]) -> None:
         """Put the encodings of all these words into the cache: a depth-first walk of their trie."""
-        back, token_at, known, stays, code_of, size = self.back.get, self.token_at, self.side_by_side.get, self.stays, self.code_of, len(self.bytes_of)
-        path, last, codes = b"", [-1], [b""]
+        child, fail, ends, known, stays, code_of, size = self.child.get, self.fail, self.ends, self.side_by_side.get, self.stays, self.code_of, len(self.bytes_of)
+        path, states, last, before = b"", [0], [-1], [0]
         for word, text in sorted([(w.encode(), w) for w in found]):
             shared = 0
             for x, y in zip(path, word, strict=False):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], codes[shared + 1 :]
-            for end in range(shared, len(word)):
-                node, start, ends = 0, end, []
-                while start >= 0 and (node := back(node * 256 + word[start])) is not None:
-                    if (k := token_at[node]) >= 0:
-                        ends.append((start, k))
-                    start -= 1
-                for start, k in reversed(ends):
+            del states[shared + 1 :], last[shared + 1 :], before[shared + 1 :]
+            state, end = states[-1], shared
+            for x in word[shared:]:
+                end += 1
+                while (after := child(state * 256 + x)) is None and state:
+                    state = fail[state]
+                state = after or 0
+                for k, length in ends[state]:
+                    start = end - length
                     if start:
                         ok = known(last[start] * size + k)
                         if ok is None:
                             ok = stays(last[start], k)
                         if not ok:
                             continue
-                    last.append(k)
-                    codes.append(codes[start] + code_of[k])
                     break
-            path = word
-            self.words[text] = codes[-1]
+                states.append(state)
+                last.append(k)
+                before.append(start)
+            path, code = word, b""
+            while end:
+                code = code_of[last[end]] + code
+                end = before[end]
+            self.words[text] = code
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
