@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, written
+from .common import for_long_rows, written
 
 LENGTH, GRAM = 400, 64
 #: Bytes of an index, and distinct fragments from which a name is dealt further.
@@ -254,7 +254,7 @@ def _matched(pieces: DataFrame, parts: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) a row; see the contract at the head of this module."""
     spark = docs.sparkSession
-    ensure_importable(spark)
+    for_long_rows(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_id"), F.col(id_col).alias("_name"), F.unhex(F.md5(text)).alias("_key"), text.alias("_text"))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, mapped
+from .common import for_long_rows, mapped
 
 #: Pages whose words are used for training, at most; layouts drawn; passes over them.
 SAMPLE, LAYOUTS, EPOCHS, SEED = 200, 3000, 7, 11
@@ -283,7 +283,7 @@ def draw_layout(rng: np.random.Generator, texts: list[list[str]]) -> list[tuple[
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE, layouts: int = LAYOUTS, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Weights of a BiLstm, from at most `sample` pages (the first by the hash of id_col)."""
     chosen = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("page")).orderBy("h", "page").limit(sample)
-    ensure_importable(pages.sparkSession)
+    for_long_rows(pages.sparkSession)
 
     def train(batches):
         texts = []

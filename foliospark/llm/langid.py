@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, mapped, written
+from .common import for_long_rows, mapped, written
 
 #: Documents a language to learn from, rounds of expectation maximisation, parts of a language that are ranked apart.
 SAMPLE, ROUNDS, PARTS = 300, 3, 64
@@ -170,7 +170,7 @@ def fold(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str | None = None) -> dict:
     """{pieces, languages, probability} from the labelled rows of docs (doc_id, text, lang) outside the held-out fold."""
     spark = docs.sparkSession
-    ensure_importable(spark)
+    for_long_rows(spark)
     pieces = tuple(pieces_of(path))
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
     chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, mapped
+from .common import for_long_rows, mapped
 
 #: The crawl date that write_responses puts down; the tables have none.
 DATE = "2024-01-01T00:00:00Z"
@@ -135,7 +135,7 @@ def derivatives(raw: bytes | None) -> list[dict]:
 
 def write_responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", record_col: str = "record") -> DataFrame:
     """pages with record_col: the page as a WARC response record."""
-    ensure_importable(pages.sparkSession)
+    for_long_rows(pages.sparkSession)
     typed = pages.drop(record_col).withColumn(record_col, F.lit(None).cast("binary"))
 
     def run(batches):
