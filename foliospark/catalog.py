@@ -15,7 +15,7 @@ from foliospark.operators.regions import merged
 from foliospark.operators.revisions import aligned, pairs, revised_pages
 from foliospark.plans.oracles import ORACLES  # noqa: F401  read by the driver entry
 from foliospark.plans.shared import written
-from foliospark.sources.tables import binary_files, checked_binaries, document_summary, page_lines, table
+from foliospark.sources.tables import binary_files, checked_binaries, document_summary, page_lines, pages_of, table
 
 QUERIES: dict = {}
 
@@ -157,8 +157,7 @@ def golden_truth(spark, d):
 
 @query
 def search_hits(spark, d):
-    lines = page_lines(_docs(spark, d))
-    pages = lines.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "text"))), lambda s: s.text), " ").alias("text"))
+    pages = pages_of(_docs(spark, d)).select("doc_id", "page_index", F.array_join("lines", " ").alias("text"))
     first = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(T.normalised(F.col("text")), " "), 1, 3), " ").alias("query"))
     return M.search(pages, first)
 

@@ -11,18 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import compare_key
-from foliospark.sources.tables import PAGE_LINES, page_lines
+from foliospark.sources.tables import PAGE_LINES, pages_of
 
 
 def revised_pages(docs: DataFrame) -> DataFrame:
     """(pair_id, page_index, old_lines, new_lines: array<string>, null where the side has no such page)."""
-    lines = page_lines(docs)
-    pages = lines.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("l"))
-    last = docs.select("doc_id", F.ceil(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.trim(F.regexp_replace(t, r"(?U)\s+", " ")) != "")) / PAGE_LINES).cast("int").alias("n_pages"))
-    numbered = pages.join(last.filter("n_pages > 0"), "doc_id").withColumn("old_lines", F.transform("l", lambda s: s.text))
+    numbered = pages_of(docs).withColumnRenamed("lines", "old_lines")
     rule = F.col("doc_id") % 10
     kept = numbered.select(F.col("doc_id").alias("pair_id"), "page_index", "old_lines", F.when((rule == 2) & (F.col("n_pages") > 1) & (F.col("page_index") == F.col("n_pages") - 1), None).otherwise(_edited(rule)).alias("new_lines"))
-    extra = last.filter((rule == 1) & (F.col("n_pages") > 0)).select(
+    last = numbered.filter((rule == 1) & (F.col("page_index") == F.col("n_pages") - 1))
+    extra = last.select(
         F.col("doc_id").alias("pair_id"), F.col("n_pages").alias("page_index"), F.lit(None).cast("array<string>").alias("old_lines"),
         F.array(F.concat(F.lit("appended page of "), F.col("doc_id"))).alias("new_lines"),
     )

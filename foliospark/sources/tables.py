@@ -30,6 +30,15 @@ def page_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return each.select(id_col, "line_no", F.floor(F.col("line_no") / per_page).cast("int").alias("page_index"), (F.col("line_no") % per_page).alias("line_index"), "text")
 
 
+def pages_of(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:
+    """(doc_id, n_pages, page_index, lines: array<string>): the same lines, a row a page. Pages are cut inside their row: no exchange."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalised), lambda t: t != "")
+    whole = docs.select("doc_id", lines.alias("_l")).filter(F.size("_l") > 0)
+    n = F.ceil(F.size("_l") / per_page).cast("int")
+    paged = whole.select("doc_id", n.alias("n_pages"), "_l", F.explode(F.sequence(F.lit(0), n - 1)).alias("page_index"))
+    return paged.select("doc_id", "n_pages", "page_index", F.slice("_l", F.col("page_index") * per_page + 1, F.lit(per_page)).alias("lines"))
+
+
 def document_summary(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:
     """(doc_id, n_lines, page_count, title, display_title, rejected): a document without pages is rejected."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), not_blank)
