@@ -384,3 +384,23 @@ def test_gradients_by_differences():
         down = loss()
         model.w[name][at] = keep
         assert abs((up - down) / 2e-2 - grads[name][at]) < 2e-3 + 0.05 * abs(grads[name][at])
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    text = "one two three four five six seven eight nine ten " * 12
+    rows = [(None, text, "en", None, 1), (None, None, None, "src1", None), (3, text, "en", "src1", 1), (3, text, "en", "src1", 1), (3, "other", None, "src2", 1), (5, "mail a@b.co", "fr", "src2", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    four = sorted(((r.doc_id is None, r.doc_id or 0, r.edited_sha256, r.fingerprint) for r in simhash_search.edited_likeness(docs).collect()))
+    assert len(four) == len(rows) and sum(r[0] for r in four) == 2
+    seven = bwt_dedup.digest(docs).collect()
+    assert len(seven) == len(rows) and sorted(r.n_removed for r in seven) == [0, 0, 0, len(text), len(text), len(text)]
+    nine = simhash_dedup.near_components(docs).collect()
+    assert len(nine) == len(rows) and {r.component_id for r in nine if r.fingerprint == next(x.fingerprint for x in nine if x.doc_id == 3 and x.n_links == 0 and x.component_id == 3)} == {3}
+    six = pii.digest(docs).collect()
+    assert len(six) == len(rows) and sum(r.n_email for r in six) == 1
+    eight = mixing.digest(docs).collect()
+    assert len(eight) == len(rows) and all(r.copies >= 0 for r in eight)
+    assert bpe_trie.round_trip(docs.select("doc_id", "text")).count() == len(rows)
+    monkeypatch.setattr("foliospark.llm.order.parallelism", lambda s: 400)  # more ranges than rows
+    again = sorted(((r.doc_id is None, r.doc_id or 0, r.edited_sha256, r.fingerprint) for r in simhash_search.edited_likeness(docs).collect()))
+    assert again == four
