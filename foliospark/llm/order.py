@@ -17,19 +17,18 @@ def with_guests(df: DataFrame, id_col: str, tie: Column) -> DataFrame:
     shuffle partition, pass through the driver; each row crosses one exchange.
     """
     n = max(16, 4 * parallelism(df.sparkSession))
-    cuts = df.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 100 * n).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
-    place = lambda c: F.when(c.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda q: q <= c)) + 1) if cuts else F.lit(0)
-    placed = df.select("*", place(F.col(id_col)).alias("_bucket"))
+    cuts = sorted(set(df.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 100 * n).alias("q")).first().q or []))
+    below = F.size(F.filter(F.array(*[F.lit(q) for q in cuts]), lambda q: q <= F.col(id_col))) + 1 if cuts else F.lit(1)
+    placed = df.select("*", F.when(F.col(id_col).isNull(), 0).otherwise(below).alias("_bucket"))
     heads = {r._bucket: r.head for r in placed.groupBy("_bucket").agg(F.max(id_col).alias("head")).collect()}
-    order = sorted(heads)
-    host = {b: order[(k + 1) % len(order)] for k, b in enumerate(order)}  # the bucket of the next higher ids; the highest follows the lowest
     goes_to = F.lit(None).cast("int")
-    for b, head in heads.items():
-        goes_to = F.when((F.col("_bucket") == b) & F.col(id_col).eqNullSafe(F.lit(head)), F.lit(host[b])).otherwise(goes_to) if len(heads) <= 8 else goes_to
-    if len(heads) > 8:
-        pairs = F.map_from_arrays(F.array(*[F.lit(b) for b in order]), F.array(*[F.struct(F.lit(heads[b]).alias("head"), F.lit(host[b]).alias("host")) for b in order]))
-        own = F.element_at(pairs, F.col("_bucket"))
+    if heads:
+        order = sorted(heads)
+        # a range's head is the guest of the range above it; the head of the highest follows the lowest
+        host = {b: order[(k + 1) % len(order)] for k, b in enumerate(order)}
+        kind = df.schema[id_col].dataType
+        known = F.array(*[F.struct(F.lit(heads[b]).cast(kind).alias("head"), F.lit(host[b]).alias("host")) for b in order])
+        own = F.element_at(F.map_from_arrays(F.array(*[F.lit(b) for b in order]), known), F.col("_bucket"))
         goes_to = F.when(own.head.eqNullSafe(F.col(id_col)), own.host)
     places = F.array_compact(F.array(F.struct(F.col("_bucket").alias("_b"), F.lit(False).alias("_guest")), F.when(goes_to.isNotNull(), F.struct(goes_to.alias("_b"), F.lit(True).alias("_guest")))))
     dealt = placed.select("*", F.inline(places)).drop("_bucket").withColumnRenamed("_b", "_bucket")
