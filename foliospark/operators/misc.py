@@ -85,3 +85,12 @@ def grid_offset(cells: DataFrame, reach: int = 2, every: int = 2) -> DataFrame:
     scored = moved.join(cells.filter("side = 'old'").select("page", "x", "y", "v"), ["page", "x", "y"]).groupBy("page", "dx", "dy").agg((F.sum(F.abs(F.col("nv") - F.col("v"))) / F.count("*")).alias("score"))
     best = scored.groupBy("page").agg(F.min(F.struct("score", (F.abs("dx") + F.abs("dy")).alias("far"), "dx", "dy")).alias("b"))
     return best.select("page", "b.dx", "b.dy", F.round("b.score", 6).alias("score"))
+
+
+def page_offset(by_text: DataFrame, by_grid: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
+    """keys with dx and dy: the offset of the text where there is one, else that of the grid; (0, 0) where it is under one on
+    both axes or beyond an eighth of the page."""
+    t, g = (x.select(*keys, F.col("dx").alias(f"{n}x"), F.col("dy").alias(f"{n}y")) for x, n in ((by_text, "t"), (by_grid, "g")))
+    both = t.join(g, keys, "full").select(*keys, F.coalesce("tx", "gx").cast("double").alias("dx"), F.coalesce("ty", "gy").cast("double").alias("dy"))
+    none = ((F.abs("dx") < 1) & (F.abs("dy") < 1)) | (F.abs("dx") > width / 8) | (F.abs("dy") > height / 8)
+    return both.select(*keys, F.when(none, 0.0).otherwise(F.col("dx")).alias("dx"), F.when(none, 0.0).otherwise(F.col("dy")).alias("dy"))

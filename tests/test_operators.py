@@ -145,3 +145,29 @@ def test_grid(spark):
     moved = [(0, "old", x, y, x * x + 7 * y) for x in range(12) for y in range(12)] + [(0, "new", x + 1, y + 2, x * x + 7 * y) for x in range(12) for y in range(12)]
     best = M.grid_offset(spark.createDataFrame(moved, "page int, side string, x int, y int, v int")).first()
     assert (best.dx, best.dy, best.score) == (1, 2, 0.0)
+
+
+def test_page_offset(spark):
+    schema = "page int, dx double, dy double"
+    by_text = spark.createDataFrame([(1, 4.0, 3.0), (2, 0.5, -0.5), (3, 90.0, 0.0)], schema)
+    by_grid = spark.createDataFrame([(1, 1.0, 1.0), (4, 2.0, 2.0)], schema)
+    got = {r.page: (r.dx, r.dy) for r in M.page_offset(by_text, by_grid, ["page"], 600, 800).collect()}
+    assert got == {1: (4, 3), 2: (0, 0), 3: (0, 0), 4: (2, 2)}
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from foliospark.sources import sinks
+
+    pages = spark.createDataFrame([(1, 0, ['say "a", b', "same"], ["say c", "same"]), (1, 1, ["x"], None)], "pair_id long, page_index int, old_lines array<string>, new_lines array<string>")
+    e = entries(pages)
+    rows = C.change_rows(e)
+    sinks.write_csv(rows, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert back.first().old_text == 'say "a", b' and back.columns == rows.columns
+    sinks.write_reports(C.nested_report(C.page_status(pages, e), e), str(tmp_path / "reports"))
+    report = json.loads(spark.read.text(str(tmp_path / "reports" / "pair_id=1")).first().value)
+    assert [p["status"] for p in report["pages"]] == ["modified", "removed"] and report["pages"][0]["entries"][0]["new_text"] == "say c"
+    golden = C.changes(e).select("pair_id", (F.col("page_index") + 1).alias("page"), "entry_seq", "old_text", "new_text")
+    sinks.write_ground_truth(golden, C.page_status(pages, e), str(tmp_path / "truth"))
+    truth = spark.read.schema(tables.GROUND_TRUTH).json(str(tmp_path / "truth")).first()
+    assert [(p.page, p.status, len(p.regions)) for p in truth.pages] == [(1, "modified", 1), (2, "removed", 0)]
