@@ -13,10 +13,13 @@ ASCENT, DESCENT, ADVANCE = 8.14, 1.98, 6.05
 
 def word_segments(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The words of page lines as positioned segments; neighbours are shifted by half a point against each other."""
-    words = lines.select(id_col, "page_index", "line_index", F.posexplode(F.split("text", " ")).alias("word_no", "word"), F.split("text", " ").alias("all"))
-    offset = F.aggregate(F.slice("all", F.lit(1), F.col("word_no")), F.lit(0), lambda a, w: a + F.length(w) + 1)
+    # one exchange of the lines by page serves this window and that of the reading order
+    dealt = lines.repartition(id_col, "page_index")
+    words = dealt.select(id_col, "page_index", "line_index", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
+    ahead = Window.partitionBy(id_col, "page_index", "line_index").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumn("offset", F.coalesce(F.sum(F.length("word") + 1).over(ahead), F.lit(0)))
     top = 800 - 14 * F.col("line_index") + ((F.col(id_col) + F.col("word_no")) % 2) * 0.5
-    placed = words.select(id_col, "page_index", "line_index", "word_no", F.col("word").alias("text"), (offset * 6).cast("double").alias("left"), top.cast("double").alias("top"))
+    placed = words.select(id_col, "page_index", "line_index", "word_no", F.col("word").alias("text"), (F.col("offset") * 6).cast("double").alias("left"), top.cast("double").alias("top"))
     return placed.withColumn("right", F.col("left") + 6 * F.length("text")).withColumn("bottom", F.col("top") - 10).withColumn("seg_id", F.col("line_index") * 100_000 + F.col("word_no"))
 
 
