@@ -265,13 +265,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     places = written(keyed.filter(F.length("_text") >= LENGTH).select("_key", "_id", "_text").mapInArrow(found, f"_key binary, _id bigint, anchors {ANCHORS}"), "fragments")
     each = places.select("_key", "_id", F.inline("anchors"))
-    distinct = each.groupBy("h", "f1", "f2").agg(F.count("*").alias("m"), F.max("own").alias("own"), F.min(F.struct("_id", "_key", "s", "e")).alias("at"))
-    counted = written(distinct.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.max("own").alias("some")).filter("n > 1 OR some").drop("some"), "names")
-    shared = distinct.join(counted, "h")
-    wanted = shared.groupBy("at._key", "at._id").agg(F.collect_list(F.struct("h", "f1", "f2", (F.col("m") > 1).alias("many"), (F.col("k") > HOT).alias("hot"), "at.s", "at.e")).alias("_list"))
+    # fixed-width sums and minima only: aggregated by hash, map-side first. `least` is in both branches so that they share one exchange
+    distinct = each.groupBy("h", "f1", "f2").agg(F.count("*").alias("m"), F.max("own").alias("own"), F.min("_id").alias("least"))
+    counted = distinct.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.max("own").alias("some"), F.min("least").alias("any")).filter("(n > 1 OR some) AND any IS NOT NULL")
+    shared = written(distinct.join(counted.select("h", "k"), "h"), "names")
+    places_of = written(each.drop("own").join(shared.drop("own"), ["h", "f1", "f2"]), "places")
+    first = places_of.filter(F.col("_id") == F.col("least"))  # one place is enough; rows that repeat are met again in the index
+    wanted = first.groupBy("_key", "_id").agg(F.collect_set(F.struct("h", "f1", "f2", (F.col("m") > 1).alias("many"), (F.col("k") > HOT).alias("hot"), "s", "e")).alias("_list"))
     pieces = _pieces(keyed.select("_key", "_id", "_text"), wanted)
     runs = written(_matched(pieces, parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "runs")
-    spans = each.join(runs, ["h", "f1", "f2"]).select("_key", F.struct((F.col("s") + F.col("a")).alias("low"), (F.col("s") + F.col("b") + (LENGTH - 1)).alias("high")).alias("span"))
+    spans = places_of.join(runs, ["h", "f1", "f2"]).select("_key", F.struct((F.col("s") + F.col("a")).alias("low"), (F.col("s") + F.col("b") + (LENGTH - 1)).alias("high")).alias("span"))
     covered = spans.groupBy("_key").agg(F.collect_set("span").alias("spans"))
     joined = keyed.select("_name", "_key", "_text").join(covered, "_key", "left").select("_name", "_text", F.array_sort(F.coalesce("spans", F.array())).alias("spans"))
 
