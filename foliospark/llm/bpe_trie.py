@@ -263,8 +263,8 @@ def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, k
         ids = model.encode_batch([x or "" for x in texts])
         return [{"ids": i, "decoded": d} for i, d in zip(ids, model.decode_batch(ids), strict=True)]
 
-    coded = mapped(df, text_col, "_coded", "struct<ids:binary,decoded:string>", both, _forget).drop(text_col)
+    coded = mapped(df, text_col, "__fs_coded", "struct<ids:binary,decoded:string>", both, _forget).drop(text_col)
     return coded.select(
-        *[c for c in coded.columns if c != "_coded"], (F.length("_coded.ids") / 4).cast("long").alias("n_tokens"),
-        *([F.col("_coded.ids").alias("ids")] if keep_ids else []), F.sha2("_coded.ids", 256).alias("ids_sha256"), F.sha2(F.col("_coded.decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *[c for c in coded.columns if c != "__fs_coded"], (F.length("__fs_coded.ids") / 4).cast("long").alias("n_tokens"),
+        *([F.col("__fs_coded.ids").alias("ids")] if keep_ids else []), F.sha2("__fs_coded.ids", 256).alias("ids_sha256"), F.sha2(F.col("__fs_coded.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

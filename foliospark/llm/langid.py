@@ -255,5 +255,5 @@ def _scorer(name: str, model: Broadcast) -> Scorer:
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score for the whole text."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    read = mapped(docs.drop("lang_pred", "score"), text_col, "_answer", RESULT, lambda texts: _scorer(name, sent).predict(texts), _SCORERS.clear)
-    return read.select("*", "_answer.*").drop("_answer")
+    read = mapped(docs.drop("lang_pred", "score"), text_col, "__fs_answer", RESULT, lambda texts: _scorer(name, sent).predict(texts), _SCORERS.clear)
+    return read.select("*", "__fs_answer.*").drop("__fs_answer")

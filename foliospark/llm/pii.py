@@ -168,17 +168,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """docs with every span of text_col replaced by [KIND] (overlapping spans by that of the first); null stays null."""
-    keyed = docs.withColumn("_sha", F.when(F.col(text_col).rlike("[0-9@]"), F.sha2(text_col, 256)))
-    spans = find_spans(keyed.filter("_sha IS NOT NULL"), ["_sha"], text_col, rounds).filter(F.size("spans") > 0).select("_sha", F.col("spans").alias("_spans")).dropDuplicates(["_sha"])
-    some = keyed.filter("_sha IS NOT NULL").join(spans, "_sha", "left")
+    keyed = docs.withColumn("__fs_sha", F.when(F.col(text_col).rlike("[0-9@]"), F.sha2(text_col, 256)))
+    spans = find_spans(keyed.filter("__fs_sha IS NOT NULL"), ["__fs_sha"], text_col, rounds).filter(F.size("spans") > 0).select("__fs_sha", F.col("spans").alias("__fs_spans")).dropDuplicates(["__fs_sha"])
+    some = keyed.filter("__fs_sha IS NOT NULL").join(spans, "__fs_sha", "left")
     text = F.col(text_col)
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     parts = F.aggregate(
-        "_spans", state,
+        "__fs_spans", state,
         lambda a, s: F.struct(F.greatest(a.at, s.end).alias("at"), F.when(
             s.start >= a.at, F.concat(a.parts, F.array(F.substring(text, a.at + 1, s.start - a.at), F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))
         ).otherwise(a.parts).alias("parts")),
         lambda a: F.concat(F.array_join(a.parts, ""), F.substring(text, a.at + 1, F.char_length(text))),
     )
-    done = some.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(parts)).select(docs.columns)
-    return done.unionByName(keyed.filter("_sha IS NULL").select(docs.columns))
+    done = some.withColumn(text_col, F.when(F.col("__fs_spans").isNull(), text).otherwise(parts)).select(docs.columns)
+    return done.unionByName(keyed.filter("__fs_sha IS NULL").select(docs.columns))

@@ -149,9 +149,9 @@ def write_responses(pages: DataFrame, url_col: str = "url", html_col: str = "htm
 
 def derive(records: DataFrame, record_col: str = "record") -> DataFrame:
     """One row a derivative: the columns of records without record_col, and those of DERIVED."""
-    built = mapped(records, record_col, "_derived", f"array<{DERIVED}>", lambda raws: [derivatives(r) for r in raws])
+    built = mapped(records, record_col, "__fs_derived", f"array<{DERIVED}>", lambda raws: [derivatives(r) for r in raws])
     names = [f.split(":")[0] for f in re.sub(r"<[^<>]*>", "", DERIVED[7:-1]).split(",")]
-    return built.drop(record_col).drop(*names).select("*", F.inline("_derived")).drop("_derived")
+    return built.drop(record_col).drop(*names).select("*", F.inline("__fs_derived")).drop("__fs_derived")
 
 
 def summary(pages: DataFrame) -> DataFrame:

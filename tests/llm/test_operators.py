@@ -404,3 +404,12 @@ def test_null_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr("foliospark.llm.order.parallelism", lambda s: 400)  # more ranges than rows
     again = sorted(((r.doc_id is None, r.doc_id or 0, r.edited_sha256, r.fingerprint) for r in simhash_search.edited_likeness(docs).collect()))
     assert again == four
+
+
+def test_inner_names_leave_own_columns_alone(spark):
+    docs = documents(spark, ["plain text here", "mail a@b.co"]).withColumns({c: F.lit(7) for c in ("_answer", "_coded", "_sha", "_spans", "_row", "_key", "_salt", "tokens", "domain")})
+    model = {"pieces": ("a", langid.MARK), "languages": ["en"], "probability": np.array([[0.5], [0.4], [langid.UNKNOWN]])}
+    out = mixing.mixed(bpe_trie.decode(bpe_trie.encode(pii.redact(langid.predict(docs, model)))).select(docs.columns), F.col("tokens"))
+    rows = out.collect()
+    assert out.columns == docs.columns and rows and all(r._answer == r._coded == r._sha == r._spans == r._row == r._key == r._salt == r.tokens == r.domain == 7 for r in rows)
+    assert {r.text for r in rows} <= {"plain text here", "mail [EMAIL]"}
