@@ -111,41 +111,60 @@ def fragments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[dict]
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of the symbols (below 512, at most 2**21 of them) in the order of their first `depth` or more symbols."""
+    """Suffixes of the symbols (at most 2**21 of them) in the order of their first `depth` or more symbols.
+
+    Prefix doubling: a suffix's rank is the place where its class of equal prefixes begins, and only the members of classes
+    with more than one suffix are sorted on. Rank, next rank and position share one word, so that a plain sort does.
+    """
     n = len(text)
-    index = np.arange(n, dtype=np.uint64)
-    wide = np.zeros(n + 4, np.uint64)
-    wide[:n] = text
-    first = wide[:n] << np.uint64(27) | wide[1 : n + 1] << np.uint64(18) | wide[2 : n + 2] << np.uint64(9) | wide[3 : n + 3]
     low, mask = np.uint64(21), np.uint64((1 << 21) - 1)
-    keys, h = first << low | index, 4
-    rank = np.zeros(n + 1, np.uint64)
+    used = np.bincount(text) > 0
+    dense = np.cumsum(used)[text]  # from one: the end of the text comes before all
+    bits = int(used.sum()).bit_length()
+    h = min(8, 42 // bits)
+    wide = np.zeros(n + h, np.uint64)
+    wide[:n] = dense
+    first = np.zeros(n, np.uint64)
+    for k in range(h):
+        first = first << np.uint64(bits) | wide[k : n + k]
+    keys = first << low | np.arange(n, dtype=np.uint64)
+    keys.sort()
+    order = (keys & mask).astype(np.int64)
+    rank = np.zeros(n + 1, np.uint64)  # of a class, plus one; the end of the text has none
+    place, high = np.arange(n), keys >> low
     while True:
+        begins = np.concatenate([[True], high[1:] != high[:-1]])
+        at = place[np.maximum.accumulate(np.where(begins, np.arange(len(place)), 0))]
+        rank[order[place]] = at.astype(np.uint64) + np.uint64(1)
+        alone = begins & np.append(begins[1:], True)
+        place = place[~alone]
+        if h >= depth or not len(place):
+            return order
+        tied = order[place]
+        keys = (rank[tied] - np.uint64(1)) << np.uint64(42) | rank[np.minimum(tied + h, n)] << low | tied.astype(np.uint64)
         keys.sort()
-        order = (keys & mask).astype(np.int64)
+        order[place] = (keys & mask).astype(np.int64)
         high = keys >> low
-        fresh = np.concatenate([[0], np.cumsum(high[1:] != high[:-1])]).astype(np.uint64)
-        if h >= depth or fresh[-1] == n - 1:
-            return order
-        rank[:n][order] = fresh + np.uint64(1)
-        second = np.zeros(n, np.uint64)
-        second[: max(0, n - h)] = rank[h:n] if h < n else 0
-        keys = (rank[:n] - np.uint64(1)) << np.uint64(42) | second << low | index
         h *= 2
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 32) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes a and b (pairwise), up to the end of text or a separator (0)."""
-    padded = np.concatenate([text, np.zeros(block + 1, text.dtype)])
-    out, going, reach = np.zeros(len(a), np.int64), np.arange(len(a)), np.arange(block)
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes a and b (pairwise), up to a separator (0), eight symbols at a step."""
+    used = np.bincount(text) > 0
+    kind, size = (np.uint8, 8) if used.sum() < 256 else (np.uint16, 4)
+    codes = np.zeros(len(text) + 16, kind)
+    codes[: len(text)] = np.cumsum(used)[text]
+    words = np.ndarray((len(text) + 1,), np.uint64, codes.data, 0, (codes.itemsize,))
+    stops = np.append(np.flatnonzero(text == 0), len(text))
+    limit = np.minimum(stops[np.searchsorted(stops, a)] - a, stops[np.searchsorted(stops, b)] - b)
+    out, going = np.zeros(len(a), np.int64), np.flatnonzero(limit > 0)
     while len(going):
-        x, y = a[going] + out[going], b[going] + out[going]
-        left = padded[np.minimum(x[:, None] + reach, len(text))]
-        same = (left == padded[np.minimum(y[:, None] + reach, len(text))]) & (left > 0)
-        step = np.where(same.all(1), block, same.argmin(1))
-        out[going] += step
-        going = going[step == block]
-    return out
+        differ = words[a[going] + out[going]] ^ words[b[going] + out[going]]
+        equal = differ == 0
+        lowest = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64)  # zero bits below the first difference
+        out[going] += np.where(equal, size, lowest // (8 * codes.itemsize))
+        going = going[equal & (out[going] < limit[going])]
+    return np.minimum(out, limit)
 
 
 class RunIndex:
