@@ -14,7 +14,10 @@ content, so that equal strings meet in one index and no index grows with the cor
 
 Scale: a text crosses an exchange twice, in two joins by its digest that AQE may split; everything else is fragments' names, some
 40 bytes for every 170 bytes of text. Copies of a text add rows of names, but nothing to the indexes. A name with more than
-`HOT` distinct fragments is dealt further by a second, independent name of its windows, again without losing a match.
+`HOT` distinct fragments, or more than `INDEX_BYTES` symbols of them, has no index: no name of a part of a window would split
+the contexts of one passage. Its windows are dealt by digests of their own (128 bits) and counted, equal ones of a fragment once,
+so that again no match is lost. An index thus stays under 2**21 symbols, beyond which its positions would not fit; should the names
+that it takes whole ever exceed that, their windows are counted in the task.
 
 Defined cases: null counts as empty; texts shorter than LENGTH stay whole; matches never cross documents; rows that repeat
 are documents of their own (and so remove each other); extra columns are ignored; an empty table gives an empty result.
@@ -28,14 +31,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import for_long_rows, written
 
 LENGTH, GRAM = 400, 64
-#: Bytes of an index, and distinct fragments from which a name is dealt further.
+#: Bytes of an index, and distinct fragments from which a name's windows are dealt singly.
 INDEX_BYTES, HOT = 1_000_000, 1024
+#: Bits of a position in an index.
+PLACE_BITS = 21
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
 ANCHORS = "array<struct<h:bigint,f1:bigint,f2:bigint,s:int,e:int,own:boolean>>"
 
@@ -81,11 +86,6 @@ def grams(data: np.ndarray, gram: int = GRAM, base: int = BASES[0]) -> np.ndarra
     return _slice_hash(sums, up, at, at + gram)
 
 
-def names(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, base: int = BASES[0]) -> np.ndarray:
-    """The name of every window of `length` bytes: its smallest gram hash."""
-    return _least(grams(data, gram, base), length - gram + 1)
-
-
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
     return start, np.append(start[1:], len(values)) if len(values) else start
@@ -111,17 +111,19 @@ def fragments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[dict]
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of the symbols (at most 2**21 of them) in the order of their first `depth` or more symbols.
+    """Suffixes of the symbols (under 2**PLACE_BITS, or an error) in the order of their first `depth` or more symbols.
 
     Prefix doubling: a suffix's rank is the place where its class of equal prefixes begins, and only the members of classes
     with more than one suffix are sorted on. Rank, next rank and position share one word, so that a plain sort does.
     """
     n = len(text)
-    low, mask = np.uint64(21), np.uint64((1 << 21) - 1)
+    if n >= 1 << PLACE_BITS:
+        raise ValueError(f"{n} symbols are too many for positions of {PLACE_BITS} bits")
+    low, mask = np.uint64(PLACE_BITS), np.uint64((1 << PLACE_BITS) - 1)
     used = np.bincount(text) > 0
     dense = np.cumsum(used)[text]  # from one: the end of the text comes before all
     bits = int(used.sum()).bit_length()
-    h = min(8, 42 // bits)
+    h = min(8, 2 * PLACE_BITS // bits)
     wide = np.zeros(n + h, np.uint64)
     wide[:n] = dense
     first = np.zeros(n, np.uint64)
@@ -141,7 +143,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         if h >= depth or not len(place):
             return order
         tied = order[place]
-        keys = (rank[tied] - np.uint64(1)) << np.uint64(42) | rank[np.minimum(tied + h, n)] << low | tied.astype(np.uint64)
+        keys = (rank[tied] - np.uint64(1)) << np.uint64(2 * PLACE_BITS) | rank[np.minimum(tied + h, n)] << low | tied.astype(np.uint64)
         keys.sort()
         order[place] = (keys & mask).astype(np.int64)
         high = keys >> low
@@ -198,8 +200,29 @@ class RunIndex:
         return np.maximum.accumulate(reach) - at
 
 
+def window_digests(piece: bytes, length: int = LENGTH) -> np.ndarray:
+    """A row (w1, w2) of two 64-bit hashes for every window."""
+    data = np.frombuffer(piece, np.uint8)
+    at = np.arange(len(data) - length + 1)
+    return np.stack([_slice_hash(*_sums(data, base), at, at + length) for base in BASES[1:]], 1).view(np.int64)
+
+
+def _counted_windows(pieces: list[bytes], many: list[bool], length: int) -> list[np.ndarray]:
+    """For each fragment whether its windows occur elsewhere, by their digests: for what is too large for an index."""
+    digests = [window_digests(p, length) for p in pieces]
+    both = np.concatenate(digests)
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    new = np.concatenate([[True], (both[order[1:]] != both[order[:-1]]).any(1)])
+    group = np.cumsum(new) - 1
+    found = np.empty(len(both), bool)
+    found[order] = np.bincount(group)[group] > 1
+    return [f | m for f, m in zip(np.split(found, np.cumsum([len(d) for d in digests])[:-1]), many, strict=True)]
+
+
 def repeated_windows(pieces: list[bytes], many: list[bool], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each fragment the runs [a, b) of its windows that occur elsewhere; all of them where it occurs more than once itself."""
+    if sum(map(len, pieces)) + len(pieces) >= 1 << PLACE_BITS:
+        return [_true_runs(f) for f in _counted_windows(pieces, many, length)]
     index = RunIndex(pieces)
     found = index.statistics() >= length
     out = []
@@ -208,38 +231,73 @@ def repeated_windows(pieces: list[bytes], many: list[bool], length: int = LENGTH
         if many[k]:
             out.append([(0, windows)])
             continue
-        s, e = _runs(found[start : start + windows])
-        on = found[start + s]
-        out.append(list(zip(s[on].tolist(), e[on].tolist(), strict=True)))
+        out.append(_true_runs(found[start : start + windows]))
     return out
 
 
+def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    s, e = _runs(flags)
+    return list(zip(s[flags[s]].tolist(), e[flags[s]].tolist(), strict=True))
+
+
 def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, h, f1, f2, many, offset, piece): the bytes of the wanted fragments, those of hot names cut further."""
+    """(h, f1, f2, many, hot, piece): the bytes of the wanted fragments."""
     joined = docs.join(wanted, ["_key", "_id"]).select("_text", "_list")
 
     def cut(batches):
         for batch in batches:
             rows = []
             for text, wanted_here in zip(batch.column("_text").to_pylist(), batch.column("_list").to_pylist(), strict=True):
-                for w in wanted_here:
-                    piece = text[w["s"] : w["e"] + LENGTH - 1]
-                    if not w["hot"]:
-                        rows.append((w["h"], w["h"], w["f1"], w["f2"], w["many"], 0, piece))
-                        continue
-                    second = names(np.frombuffer(piece, np.uint8), base=BASES[1])
-                    for a, b in zip(*_runs(second), strict=True):
-                        rows.append((int((second[a] ^ np.uint64(w["h"] % (1 << 64))).view(np.int64)), w["h"], w["f1"], w["f2"], w["many"], int(a), piece[a : b + LENGTH - 1]))
+                rows += [(w["h"], w["f1"], w["f2"], w["many"], w["hot"], text[w["s"] : w["e"] + LENGTH - 1]) for w in wanted_here]
             for k in range(0, len(rows), 4096):
                 columns = list(zip(*rows[k : k + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.bool_(), pa.int32(), pa.binary()), strict=True))], ["name", "h", "f1", "f2", "many", "offset", "piece"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.bool_(),) * 2 + (pa.binary(),), strict=True))], ["h", "f1", "f2", "many", "hot", "piece"])
 
-    return joined.mapInArrow(cut, "name bigint, h bigint, f1 bigint, f2 bigint, many boolean, offset int, piece binary")
+    return joined.mapInArrow(cut, "h bigint, f1 bigint, f2 bigint, many boolean, hot boolean, piece binary")
+
+
+def _hot_windows(pieces: DataFrame) -> DataFrame:
+    """Windows of the fragments of hot names, (w1, w2, n, h, f1, f2, a, b), in three kinds of rows.
+
+    A window that its fragment holds once: its digest, n = 1 and its place [a, b). One that repeats by the fragment alone: its digest with
+    n = 2 and no place. The places [a, b) of the latter: no digest.
+    """
+    kinds = (*(pa.int64(),) * 6, pa.int32(), pa.int32())
+    columns = ["w1", "w2", "n", "h", "f1", "f2", "a", "b"]
+
+    def cut(batches):
+        for batch in batches:
+            for h, f1, f2, many, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digests = window_digests(piece)
+                _, at, back, n = np.unique(digests, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                twice = (n > 1) | many
+                for k in range(0, len(at), 65536):
+                    part, two = at[k : k + 65536], twice[k : k + 65536]
+                    same = [np.full(len(part), x, np.int64) for x in (h, f1, f2)]
+                    values = [digests[part, 0], digests[part, 1], 1 + two.astype(np.int64), *same]
+                    places = [pa.array(x.astype(np.int32), mask=two) for x in (part, part + 1)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, values), *places], columns)
+                runs = _true_runs(twice[back.ravel()])
+                for k in range(0, len(runs), 65536):
+                    rows = zip(*[(None, None, None, h, f1, f2, a, b) for a, b in runs[k : k + 65536]], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], columns)
+
+    return pieces.mapInArrow(cut, "w1 bigint, w2 bigint, n bigint, h bigint, f1 bigint, f2 bigint, a int, b int")
+
+
+def _counted(windows: DataFrame) -> DataFrame:
+    """(h, f1, f2, a, b): runs of repeated windows of hot names, relative to the fragment."""
+    more = windows.filter("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
+    single = windows.filter("w1 IS NOT NULL AND a IS NOT NULL").join(more, ["w1", "w2"])
+    # neighbouring windows keep the difference of place and number in the fragment
+    row = F.row_number().over(Window.partitionBy("h", "f1", "f2").orderBy("a"))
+    merged = single.select("h", "f1", "f2", "a", "b", (F.col("a") - row).alias("run")).groupBy("h", "f1", "f2", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.drop("run").unionByName(windows.filter("w1 IS NULL").select("h", "f1", "f2", "a", "b"))
 
 
 def _matched(pieces: DataFrame, parts: int) -> DataFrame:
     """(h, f1, f2, a, b): runs of repeated windows, relative to the fragment, from indexes over whole names."""
-    dealt = pieces.repartition(parts, "name").sortWithinPartitions("name", "h", "f1", "f2", "offset")
+    dealt = pieces.repartition(parts, "h").sortWithinPartitions("h", "f1", "f2")
 
     def index(batches):
         held: list[tuple] = []
@@ -248,21 +306,21 @@ def _matched(pieces: DataFrame, parts: int) -> DataFrame:
 
         def flush():
             out = []
-            for row, runs in zip(held, repeated_windows([r[5] for r in held], [r[3] for r in held]), strict=True):
-                out += [(*row[:3], row[4] + a, row[4] + b) for a, b in runs]
+            for row, runs in zip(held, repeated_windows([r[4] for r in held], [r[3] for r in held]), strict=True):
+                out += [(*row[:3], a, b) for a, b in runs]
             columns = list(zip(*out, strict=True)) or [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], ["h", "f1", "f2", "a", "b"])
 
         for batch in batches:
-            for name, h, f1, f2, many, offset, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (name, h, f1, f2, offset) == last:
-                    continue  # the same place, from a row that repeats
-                if held and size >= INDEX_BYTES and name != last[0]:
+            for h, f1, f2, many, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (h, f1, f2) == last:
+                    continue  # the same fragment, from a row that repeats
+                if held and size >= INDEX_BYTES and h != last[0]:
                     yield flush()
                     held.clear()
                     size = 0
-                last = (name, h, f1, f2, offset)
-                held.append((h, f1, f2, many, offset, piece))
+                last = (h, f1, f2)
+                held.append((h, f1, f2, many, piece))
                 size += len(piece) + 1
         if held:
             yield flush()
@@ -285,14 +343,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     places = written(keyed.filter(F.length("_text") >= LENGTH).select("_key", "_id", "_text").mapInArrow(found, f"_key binary, _id bigint, anchors {ANCHORS}"), "fragments")
     each = places.select("_key", "_id", F.inline("anchors"))
     # fixed-width sums and minima only: aggregated by hash, map-side first. `least` is in both branches so that they share one exchange
-    distinct = each.groupBy("h", "f1", "f2").agg(F.count("*").alias("m"), F.max("own").alias("own"), F.min("_id").alias("least"))
-    counted = distinct.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.max("own").alias("some"), F.min("least").alias("any")).filter("(n > 1 OR some) AND any IS NOT NULL")
-    shared = written(distinct.join(counted.select("h", "k"), "h"), "names")
+    distinct = each.groupBy("h", "f1", "f2").agg(F.count("*").alias("m"), F.max("own").alias("own"), F.min("_id").alias("least"), F.min(F.col("e") - F.col("s") + LENGTH).alias("size"))
+    counted = distinct.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.max("own").alias("some"), F.min("least").alias("any"), F.sum("size").alias("symbols")).filter("(n > 1 OR some) AND any IS NOT NULL")
+    shared = written(distinct.drop("size").join(counted.select("h", ((F.col("k") > HOT) | (F.col("symbols") > INDEX_BYTES)).alias("hot")), "h"), "names")
     places_of = written(each.drop("own").join(shared.drop("own"), ["h", "f1", "f2"]), "places")
     first = places_of.filter(F.col("_id") == F.col("least"))  # one place is enough; rows that repeat are met again in the index
-    wanted = first.groupBy("_key", "_id").agg(F.collect_set(F.struct("h", "f1", "f2", (F.col("m") > 1).alias("many"), (F.col("k") > HOT).alias("hot"), "s", "e")).alias("_list"))
+    wanted = first.groupBy("_key", "_id").agg(F.collect_set(F.struct("h", "f1", "f2", (F.col("m") > 1).alias("many"), "hot", "s", "e")).alias("_list"))
     pieces = _pieces(keyed.select("_key", "_id", "_text"), wanted)
-    runs = written(_matched(pieces, parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "runs")
+    some_hot = not shared.filter("hot").isEmpty()
+    if some_hot:
+        pieces = written(pieces, "pieces")
+    runs = written(_matched(pieces.filter("NOT hot").drop("hot"), parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "runs")
+    if some_hot:
+        # once each: a place that stands again is that of a row that repeats, and counted in `m`
+        hot = pieces.filter("hot").select("h", "f1", "f2", "many", "piece").dropDuplicates(["h", "f1", "f2"])
+        runs = runs.unionByName(written(_counted(written(_hot_windows(hot), "windows")), "hot_runs"))
     spans = places_of.join(runs, ["h", "f1", "f2"]).select("_key", F.struct((F.col("s") + F.col("a")).alias("low"), (F.col("s") + F.col("b") + (LENGTH - 1)).alias("high")).alias("span"))
     covered = spans.groupBy("_key").agg(F.collect_set("span").alias("spans"))
     joined = keyed.select("_name", "_key", "_text").join(covered, "_key", "left").select("_name", "_text", F.array_sort(F.coalesce("spans", F.array())).alias("spans"))

@@ -260,6 +260,31 @@ def test_hot_names_are_dealt_without_loss(spark, monkeypatch):
         assert (got[k].n_removed, got[k].n_spans) == (removed, runs) and got[k].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_passage_in_thousands_of_contexts_and_long_period(spark):
+    rng = random.Random(10)
+    word = lambda n: bytes(rng.choices(b"abcdefgh ", k=n)).decode()
+    shared = word(420)
+    cases = [word(400) + shared + word(400) for _ in range(6500)] + [word(97) * 31_000]
+    got = {r.doc_id: r for r in bwt_dedup.digest(documents(spark, cases)).collect()}
+    period = cases.pop().encode()
+    for k, (kept, removed, runs) in enumerate(bwt_dedup.brute_force([t.encode() for t in cases])):
+        assert (got[k].n_removed, got[k].n_spans) == (removed, runs) and got[k].kept_sha256 == hashlib.sha256(kept).hexdigest(), k
+    assert (got[6500].n_removed, got[6500].n_spans) == (len(period), 1)
+
+
+def test_no_index_beyond_its_positions(monkeypatch):
+    rng = random.Random(11)
+    word = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    shared = word(450)
+    pieces = [word(200) + shared + word(200) for _ in range(40)] + [b"xyz" * 300, word(900)]
+    many = [False] * 41 + [True]
+    want = bwt_dedup.repeated_windows(pieces, many)
+    monkeypatch.setattr(bwt_dedup, "PLACE_BITS", 15)
+    assert bwt_dedup.repeated_windows(pieces, many) == want
+    with pytest.raises(ValueError):
+        bwt_dedup.RunIndex(pieces)
+
+
 def test_run_index_statistics_by_hand():
     rng = random.Random(9)
     pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 40))) for _ in range(12)] + [b"abab" * 6]
