@@ -1,11 +1,13 @@
 """Personal data: four exact kinds, and identifiers found by bootstrapped contextual extraction. DataFrame functions only.
 
-Base kinds (email, ip, card, phone) are regular expressions with a check of the match. They are the seeds of the method:
-every identifier-like token of a text is an instance, and its neighbouring words together with its shape (digits and
-letters run-length coded) are patterns. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the
-smoothed mean score of its distinct instances, an instance's score is what its trusted patterns leave open of doubt,
-1 - product(1 - confidence), and 1 for a seed. A pattern is trusted from `MIN_CONFIDENCE` and `MIN_SUPPORT` distinct instances
-that are seeds or already found. Tokens outside the base spans whose score reaches `MIN_SCORE` become spans of kind `id`.
+Base kinds (email, ip, card, phone) are regular expressions with a check of the match. Their spans, whole, are the seeds of the
+method; the identifier-like tokens outside them are the other instances. Patterns are an instance's neighbouring words, alone
+and together with its exact shape (digits and letters as runs, and the length), and its runs alone. Spark scores the graph of
+patterns and instances in rounds: a pattern's confidence is the smoothed mean score of its distinct instances, an instance's score
+is what its trusted patterns leave open of doubt, 1 - product(1 - weight * confidence), and 1 for a seed. A pattern is trusted from
+`MIN_CONFIDENCE` and `MIN_SUPPORT` distinct instances that are seeds or already found. Weights are 1 for two neighbouring words or an
+exact shape in context, `ONE_WORD` for a single word and `RUNS` for the runs: neither of these vouches alone. Tokens whose
+score reaches `MIN_SCORE` become spans of kind `id`, whatever their shape.
 
 Scale: each text is read once, in a narrow map that leaves spans and candidate tokens only; the graph holds distinct
 (pattern, instance) edges, so copies of a text weigh nothing more; scores are aggregated map-side; the number of rounds is a
@@ -36,6 +38,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-
 #: Identifier-like tokens: at least 6 characters with at least 2 digits.
 TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9][A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, MIN_SCORE, CONTEXT = 3, 0.7, 3, 0.7, 48
+ONE_WORD, RUNS = 0.6, 0.3
 
 NO_SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -89,7 +92,7 @@ def _tagged(order: int, kind: str) -> Column:
 
 
 def _found(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """keep, _key (digest of a text that has candidates, else null), base (array of start, end, kind), tokens: one row a document."""
+    """keep, _key (digest of a text that has seeds or candidates, else null), base (array of start, end, kind), tokens (both): one row a document."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     each = docs.select(*keep, text).select(*keep, "_text", *[base_spans(F.col("_text"), k).alias(k) for k in KINDS])
     tagged = [_tagged(j, k) for j, k in enumerate(KINDS)]
@@ -97,15 +100,17 @@ def _found(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     tokens = F.when(digits, located(F.col("_text"), TOKEN)).otherwise(F.array().cast(NO_SPANS))
     with_tokens = each.select(*keep, "_text", F.array_sort(F.concat(*tagged)).alias("base"), tokens.alias("_t"))
 
-    def context(t: Column) -> Column:
+    def context(t: Column, value: Column, seed: bool) -> Column:
         low = F.greatest(t.start - CONTEXT, F.lit(0))
         left = F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), _context_words(F.substring(F.col("_text"), low + 1, t.start - low))), -2, 2)
         right = F.slice(F.concat(_context_words(F.substring(F.col("_text"), t.end + 1, F.lit(CONTEXT))), F.array(F.lit("$"))), 1, 1)
-        seed = F.exists(F.col("base"), lambda b: (b.start < t.end) & (t.start < b.end))
-        return F.struct(t.start.alias("start"), t.end.alias("end"), t.value.alias("value"), left[0].alias("l2"), left[1].alias("l1"), right[0].alias("r1"), seed.alias("seed"))
+        return F.struct(t.start.alias("start"), t.end.alias("end"), value.alias("value"), left[0].alias("l2"), left[1].alias("l1"), right[0].alias("r1"), F.lit(seed).alias("seed"))
 
-    return with_tokens.select(
-        *keep, "base", F.transform("_t", context).alias("tokens"), F.when(F.size("_t") > 0, F.sha2("_text", 256)).alias("_key")
+    outside = F.filter("_t", lambda t: ~F.exists(F.col("base"), lambda b: (b.start < t.end) & (t.start < b.end)))
+    seeds = F.transform("base", lambda b: context(b, F.substring(F.col("_text"), b.start + 1, b.end - b.start), True))
+    return with_tokens.select(*keep, "_text", "base", outside.alias("_t")).select(
+        *keep, "base", F.concat(seeds, F.transform("_t", lambda t: context(t, t.value, False))).alias("tokens"),
+        F.when((F.size("_t") > 0) | (F.size("base") > 0), F.sha2("_text", 256)).alias("_key"),
     )
 
 
@@ -113,30 +118,42 @@ def _context_words(part: Column) -> Column:
     return F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}=:#]+"), lambda w: w != "")
 
 
+def runs(value: Column) -> Column:
+    """Digits and letters as runs: 9 for digits, a for letters, other characters as they are."""
+    return F.regexp_replace(F.regexp_replace(F.lower(value), r"\p{L}+", "a"), "[0-9]+", "9")
+
+
 def shape(value: Column) -> Column:
-    """Digits and letters as runs: 9 for a digit, a for a letter, other characters as they are; length in tens kept apart."""
-    runs = F.regexp_replace(F.regexp_replace(F.lower(value), r"\p{L}+", "a"), "[0-9]+", "9")
-    return F.concat(runs, F.lit("/"), F.char_length(value))
+    """The runs and the length."""
+    return F.concat(runs(value), F.lit("/"), F.char_length(value))
+
+
+def _patterns() -> Column:
+    """array<struct<pattern, weight>> of an instance. A rim of the text is no context of its own."""
+    value, left, right = F.col("t.value"), F.col("t.l1") != "^", F.col("t.r1") != "$"
+    each = [
+        ("left", ("t.l1", shape(value)), 1.0, None), ("left2", ("t.l2", "t.l1", shape(value)), 1.0, None), ("both", ("t.l1", "t.r1", shape(value)), 1.0, None),
+        ("words2", ("t.l2", "t.l1"), 1.0, F.col("t.l2") != "^"), ("around", ("t.l1", "t.r1"), 1.0, left & right),
+        ("before", ("t.l1",), ONE_WORD, left), ("after", ("t.r1",), ONE_WORD, right), ("runs", (runs(value),), RUNS, None),
+    ]
+    made = [(F.struct(F.concat_ws(" ", F.lit(name), *parts).alias("pattern"), F.lit(weight).alias("weight")), when) for name, parts, weight, when in each]
+    return F.filter(F.array(*[p if when is None else F.when(when, p) for p, when in made]), lambda p: p.isNotNull())
 
 
 def _induced(found: DataFrame, rounds: int) -> DataFrame:
     """(_key, spans: array of start, end): tokens outside the base spans that trusted patterns vouch for."""
     tokens = written(
         found.filter("_key IS NOT NULL").select("_key", F.explode("tokens").alias("t"))
-        .select("_key", "t.start", "t.end", "t.value", "t.seed", F.array(
-            F.concat_ws(" ", F.lit("left"), "t.l1", shape(F.col("t.value"))),
-            F.concat_ws(" ", F.lit("left2"), "t.l2", "t.l1", shape(F.col("t.value"))),
-            F.concat_ws(" ", F.lit("both"), "t.l1", "t.r1", shape(F.col("t.value"))),
-        ).alias("patterns")).dropDuplicates(["_key", "start"]),
+        .select("_key", "t.start", "t.end", "t.value", "t.seed", _patterns().alias("patterns")).dropDuplicates(["_key", "start", "end"]),
         "tokens",
     )
-    edges = written(tokens.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "edges")
+    edges = written(tokens.select(F.inline("patterns"), "value", "seed").groupBy("pattern", "weight", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "edges")
     instances = edges.groupBy("value").agg(F.max("seed").alias("score"))
     for _ in range(rounds):
         scored = edges.join(instances, "value")
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("score") >= MIN_SCORE).alias("support"))
         trusted = patterns.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT))
-        doubt = edges.join(trusted, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999999)))).alias("doubt"))
+        doubt = edges.join(trusted, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.col("weight") * F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999999)))).alias("doubt"))
         instances = written(doubt.select("value", F.greatest("seed", 1 - F.exp("doubt")).alias("score")), "instances")
     known = instances.filter(F.col("score") >= MIN_SCORE).select("value")
     return (

@@ -230,6 +230,16 @@ def test_patterns_discover_unseen_identifiers_and_redaction(spark):
     assert text[at + 2] == "call [PHONE] or [EMAIL]" and text[at + 3] is None
 
 
+def test_patterns_discover_shapes_of_no_base_kind(spark):
+    seen = [f"please write to {name}@x.org at once" for name in ("ann", "bob", "cleo", "dora", "ed", "fay", "gus", "hal")]
+    staff = "please write to staff-QX.77-K4 at once"
+    other = "the order ZK-2047-19 was late, version 2.10.33b came after 1999-12"
+    rows = {r.doc_id: r for r in pii.digest(documents(spark, [*seen, staff, other])).collect()}
+    found = rows[len(seen)].spans
+    assert found == f"id:{staff.index('staff')}:{staff.index(' at once')}"
+    assert rows[len(seen) + 1].spans == "" and all(rows[k].spans.startswith("email:") and "id:" not in rows[k].spans for k in range(len(seen)))
+
+
 # 7 repeated passages
 
 def test_repeats_equal_brute_force(spark, texts):
