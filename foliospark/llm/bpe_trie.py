@@ -11,7 +11,7 @@ Results equal those of the `tokenizers` library for a byte-level BPE file withou
 are matched first, as that library does.
 
 Scale: a narrow map without a shuffle; a worker keeps a bounded word cache between batches; the vocabulary (a file of fixed
-size) is read on the driver and broadcast.
+size) is read on the driver and broadcast. Work and memory are linear in the length of a word, however long it is.
 
 Defined cases: a null text counts as empty, an empty text has no ids and decodes to the empty string; null ids decode to
 the empty string; ids outside the vocabulary decode to nothing; rows keep all their columns, and a column that has an
@@ -179,11 +179,11 @@ class ByteBpe:
                 states.append(state)
                 last.append(k)
                 before.append(start)
-            path, code = word, b""
+            path, codes = word, []
             while end:
-                code = code_of[last[end]] + code
+                codes.append(code_of[last[end]])
                 end = before[end]
-            self.words[text] = code
+            self.words[text] = b"".join(reversed(codes))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
