@@ -8,13 +8,13 @@ segmentations (forward-backward) of the sample's words, in Spark jobs that retur
 Words are runs of letters in lower case, with the vocabulary's word mark before them. A letter outside the vocabulary is
 a piece of its own with probability `UNKNOWN` in every language.
 
-Scale: the model is fitted on at most `SAMPLE` documents a language, chosen by the hash of doc_id; its size is that of
-the vocabulary times the languages. Prediction is a narrow map without a shuffle. A task scores each distinct word of a
+Scale: the model is fitted on at most `SAMPLE` documents a language, chosen by the hash of doc_id (rows that repeat as a whole count
+once); its size is that of the vocabulary times the languages. Words are trained whole, whatever their length. Prediction is a narrow map without a shuffle. A task scores each distinct word of a
 chunk once, many of them in step (numpy), and keeps a bounded cache.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with nothing to learn from every text is; equal texts
-have equal answers, ties go to the first language by name; a null doc_id counts as the empty string for the fold; all
-columns are kept, those named like an output are replaced; an empty table gives an empty result.
+have equal answers, ties go to the first language by name; a null doc_id counts as the empty string for the fold,
+and its row may be learned from; all columns are kept, those named like an output are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,33 +134,62 @@ def log_scores(pieces: tuple[str, ...], probability: np.ndarray, words: list[str
     return out
 
 
-def _long_score(pieces: tuple[str, ...], probability: np.ndarray, word: str) -> np.ndarray:
-    """The same for a word of any length: each node is held relative to the largest value near it."""
-    longest = int(_lengths(pieces).max())
-    known: dict[int, list[tuple[int, int]]] = {}
-    for end, (k, n) in _automaton(pieces).iter(word):
-        known.setdefault(end + 1, []).append((k, n))
-    logs = np.full((len(word) + 1, probability.shape[1]), -np.inf)
-    logs[0] = 0
-    log_p = np.log(probability)
-    for node in range(1, len(word) + 1):
-        edges = known.get(node, [])
+def _edges(pieces: tuple[str, ...], word: str) -> list[list[tuple[int, int]]]:
+    """For each node of a word the (piece, length) that end there; a letter outside the vocabulary is a piece of its own."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
+    for end, found in _automaton(pieces).iter(word):
+        out[end + 1].append(found)
+    for edges in out[1:]:
         if not any(n == 1 for _, n in edges):
-            edges = [*edges, (len(pieces), 1)]
-        parts = np.stack([logs[node - n] + log_p[k] for k, n in edges if n <= longest])
+            edges.append((len(pieces), 1))
+    return out
+
+
+def _log_forward(edges: list[list[tuple[int, int]]], log_p: np.ndarray) -> np.ndarray:
+    """Logs of the sums into every node of one word, of any length; log_p: (pieces + 1, languages)."""
+    logs = np.zeros((len(edges), log_p.shape[1]))
+    for node in range(1, len(edges)):
+        parts = np.stack([logs[node - n] + log_p[k] for k, n in edges[node]])
         top = parts.max(0)
         logs[node] = top + np.log(np.exp(parts - top).sum(0))
-    return logs[-1]
+    return logs
+
+
+def _long_score(pieces: tuple[str, ...], probability: np.ndarray, word: str) -> np.ndarray:
+    return _log_forward(_edges(pieces, word), np.log(probability))[-1]
+
+
+def _long_counts(pieces: tuple[str, ...], probability: np.ndarray, word: str) -> np.ndarray:
+    """expected_counts for one word of any length and one language, by logs."""
+    edges, log_p = _edges(pieces, word), np.log(probability)
+    ahead = _log_forward(edges, log_p[:, None])[:, 0]
+    back = np.full(len(edges), -np.inf)
+    back[-1] = 0
+    total = np.zeros(len(pieces) + 1)
+    for node in range(len(edges) - 1, 0, -1):
+        for k, n in edges[node]:
+            through = log_p[k] + back[node]
+            total[k] += np.exp(ahead[node - n] + through - ahead[-1])
+            back[node - n] = np.logaddexp(back[node - n], through)
+    return total
 
 
 def expected_counts(pieces: tuple[str, ...], probability: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """(pieces + 1): how often each piece is used in `words`, `counts` times each, over all segmentations of one language."""
+    long = [k for k, w in enumerate(words) if len(w) > LONG]
+    total = np.zeros(len(pieces) + 1)
+    for k in long:
+        total += counts[k] * _long_counts(pieces, probability, MARK + words[k])
+    short = [k for k, w in enumerate(words) if len(w) <= LONG]
+    if not short:
+        return total
+    words, counts = [words[k] for k in short], counts[short]
     weight = probability[:, None] * (SCALE ** _lengths(pieces))[:, None]
     lattice = Lattice(pieces, words)
     alpha, beta = lattice.forward(weight)[:, 0], lattice.backward(weight)[:, 0]
     of_word = np.searchsorted(lattice.begin, lattice.source, "right") - 1
     share = alpha[lattice.source] * weight[lattice.ids, 0] * beta[lattice.target] / alpha[lattice.final][of_word]
-    return np.bincount(lattice.ids, share * counts[of_word], len(pieces) + 1)
+    return total + np.bincount(lattice.ids, share * counts[of_word], len(pieces) + 1)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -172,13 +201,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str |
     spark = docs.sparkSession
     for_long_rows(spark)
     pieces = tuple(pieces_of(path))
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    for by in (["lang", F.pmod(F.col("h"), F.lit(PARTS))], ["lang"]):  # first within parts, so that no task gets all rows of a language
-        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("r") <= sample).drop("r")
-    chosen = chosen.select("doc_id", "lang").distinct()
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # `sample` rows a language at most
-    spans = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: (w != "") & (F.length(w) <= LONG)))
+    named = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "lang", "text").alias("row"))
+    labelled = named.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
+    chosen = labelled.select("lang", "doc_id", "h", "row")
+    for by in (["lang", F.pmod(F.col("row"), F.lit(PARTS))], ["lang"]):  # first within parts, so that no task gets all rows of a language
+        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id", "row"))).filter(F.col("r") <= sample).drop("r")
+    chosen = chosen.select("row").distinct()
+    # `sample` rows a language at most; rows that repeat as a whole are one
+    texts = labelled.join(F.broadcast(chosen), "row").select("row", "lang", "text").dropDuplicates(["row"])
+    spans = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
     counted = written(texts.select("lang", spans.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
     start = np.array([0.25 ** len(p.strip(MARK)) for p in pieces] + [UNKNOWN])
