@@ -11,7 +11,8 @@ score reaches `MIN_SCORE` become spans of kind `id`, whatever their shape.
 
 Scale: each text is read once, in a narrow map that leaves spans and candidate tokens only; the graph holds distinct
 (pattern, instance) edges, so copies of a text weigh nothing more; scores are aggregated map-side; the number of rounds is a
-parameter. Possessive expressions keep the search linear in very long runs.
+parameter. Possessive expressions keep the search linear in very long runs, and places are running totals by blocks, so that work
+grows with a text's length however many spans it holds.
 
 Defined cases: null counts as empty; equal texts have equal spans; rows that repeat stay as they are; with no seed
 nothing is induced; an empty table gives an empty result; extra columns are ignored by find_spans and kept by redact.
@@ -19,6 +20,8 @@ nothing is induced; an empty table gives an empty result; extra columns are igno
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,21 +43,64 @@ TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9][A-Za-z._%+@-]*+[0-9])[A
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, MIN_SCORE, CONTEXT = 3, 0.7, 3, 0.7, 48
 ONE_WORD, RUNS = 0.6, 0.3
 
-NO_SPANS = "array<struct<start:int,end:int,value:string>>"
+NO_SPANS = "array<struct<start:int,end:int,low:int,high:int,value:string,before:string,after:string>>"
+#: Elements that a running total takes at a time.
+BLOCK = 256
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array the merged elements before it.
+
+    Within blocks, and over the blocks' totals: an array that grows by one element is copied each time, so that one fold over
+    all elements would be quadratic.
+    """
+
+    def inside(part: Column, first: Column) -> Column:
+        state = F.struct(first.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, state, lambda a, v: F.struct(merge(a.now, v).alias("now"), F.array_append(a.out, a.now).alias("out")), lambda a: a.out)
+
+    def whole(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / BLOCK).cast("int"), F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        return bound(blocks, lambda b: F.flatten(F.zip_with(b, inside(F.transform(b, lambda p: F.aggregate(p, zero, merge)), zero), inside)))
+
+    return bound(values, whole)
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points from 0, end exclusive."""
+    """array<struct<start, end, low, high, value, before, after>> of all matches: in code points and in bytes from 0, ends exclusive, with
+    up to CONTEXT characters on either side, taken from the gaps and the neighbouring matches. Linear in the text."""
+
+    def places(sizes: Column, starts: Column, lows: Column) -> Column:
+        return F.zip_with(F.zip_with(sizes, starts, lambda s, a: F.struct(s.alias("s"), a.alias("a"))), lows, lambda x, w: F.struct(
+            (x.a + x.s.gap).alias("start"), (x.a + x.s.both).alias("end"), (w + x.s.low_gap).alias("low"), (w + x.s.low_both).alias("high"),
+            x.s.value.alias("value"), x.s.before.alias("before"), x.s.after.alias("after"),
+        ))
+
+    def sized(found: Column, gaps: Column) -> Column:
+        near = lambda k: F.coalesce(F.get(found, k), F.lit(""))
+
+        def one(x: Column, k: Column) -> Column:
+            gap, after = F.get(gaps, k), F.coalesce(F.get(gaps, k + 1), F.lit(""))
+            return F.struct(
+                F.char_length(gap).alias("gap"), (F.char_length(gap) + F.char_length(x)).alias("both"),
+                F.octet_length(gap).alias("low_gap"), (F.octet_length(gap) + F.octet_length(x)).alias("low_both"), x.alias("value"),
+                F.substring(F.concat(near(k - 1), gap), -CONTEXT, CONTEXT).alias("before"), F.substring(F.concat(after, near(k + 1)), 1, CONTEXT).alias("after"),
+            )
+
+        return F.transform(found, one)
+
+    def summed(sizes: Column) -> Column:
+        add = lambda a, v: a + v
+        return places(sizes, running(F.transform(sizes, lambda s: s.both), add, F.lit(0)), running(F.transform(sizes, lambda s: s.low_both), add, F.lit(0)))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda x, g: F.struct(F.char_length(g).alias("gap"), F.char_length(x).alias("size")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        sizes, state,
-        lambda a, s: F.struct((a.at + s.gap + s["size"]).alias("at"), F.array_append(a.starts, a.at + s.gap).alias("starts")),
-        lambda a: a.starts,
-    )
-    return F.zip_with(starts, found, lambda s, x: F.struct(s.alias("start"), (s + F.char_length(x)).alias("end"), x.alias("value")))
+    return bound(found, lambda f: F.when(F.size(f) > 0, bound(F.split(text, pattern, -1), lambda g: bound(sized(f, g), summed))).otherwise(F.array().cast(NO_SPANS)))
 
 
 def _digits(x: Column) -> Column:
@@ -87,33 +133,46 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(hint, F.filter(located(text, PATTERNS[kind]), lambda m: holds(kind, m.value))).otherwise(F.array().cast(NO_SPANS))
 
 
-def _tagged(order: int, kind: str) -> Column:
-    return F.transform(F.col(kind), lambda m: F.struct(m.start.alias("start"), F.lit(order).alias("order"), m.end.alias("end"), F.lit(kind).alias("kind")))
-
-
 def _found(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """keep, _key (digest of a text that has seeds or candidates, else null), base (array of start, end, kind), tokens (both): one row a document."""
+    """keep, _key (digest of a text that has seeds or candidates, else null), base (array of spans), tokens (both): one row a document."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     each = docs.select(*keep, text).select(*keep, "_text", *[base_spans(F.col("_text"), k).alias(k) for k in KINDS])
-    tagged = [_tagged(j, k) for j, k in enumerate(KINDS)]
+    tagged = [F.transform(k, _span(j, k)) for j, k in enumerate(KINDS)]
     digits = F.col("_text").rlike("[0-9]")
     tokens = F.when(digits, located(F.col("_text"), TOKEN)).otherwise(F.array().cast(NO_SPANS))
-    with_tokens = each.select(*keep, "_text", F.array_sort(F.concat(*tagged)).alias("base"), tokens.alias("_t"))
-
-    def context(t: Column, value: Column, seed: bool) -> Column:
-        low = F.greatest(t.start - CONTEXT, F.lit(0))
-        left = F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), _context_words(F.substring(F.col("_text"), low + 1, t.start - low))), -2, 2)
-        right = F.slice(F.concat(_context_words(F.substring(F.col("_text"), t.end + 1, F.lit(CONTEXT))), F.array(F.lit("$"))), 1, 1)
-        return F.struct(t.start.alias("start"), t.end.alias("end"), value.alias("value"), left[0].alias("l2"), left[1].alias("l1"), right[0].alias("r1"), F.lit(seed).alias("seed"))
-
-    outside = F.filter("_t", lambda t: ~F.exists(F.col("base"), lambda b: (b.start < t.end) & (t.start < b.end)))
-    seeds = F.transform("base", lambda b: context(b, F.substring(F.col("_text"), b.start + 1, b.end - b.start), True))
-    return with_tokens.select(*keep, "_text", "base", outside.alias("_t")).select(
-        *keep, "base", F.concat(seeds, F.transform("_t", lambda t: context(t, t.value, False))).alias("tokens"),
+    with_tokens = each.select(*keep, "_text", *KINDS, F.array_sort(F.concat(*tagged)).alias("base"), tokens.alias("_t"))
+
+    def instance(t: Column, seed: bool) -> Column:
+        left = F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), _context_words(t.before)), -2, 2)
+        right = F.slice(F.concat(_context_words(t.after), F.array(F.lit("$"))), 1, 1)
+        return F.struct(*[t[c].alias(c) for c in ("start", "end", "low", "high", "value")], left[0].alias("l2"), left[1].alias("l1"), right[0].alias("r1"), F.lit(seed).alias("seed"))
+
+    seeds = F.concat(*[F.transform(k, lambda m: instance(m, True)) for k in KINDS])
+    found = with_tokens.select(*keep, "_text", "base", seeds.alias("_seeds"), outside(F.col("_t"), F.col("base")).alias("_t"))
+    return found.select(
+        *keep, "base", F.concat("_seeds", F.transform("_t", lambda t: instance(t, False))).alias("tokens"),
         F.when((F.size("_t") > 0) | (F.size("base") > 0), F.sha2("_text", 256)).alias("_key"),
     )
 
 
+def _span(order: int, kind: str) -> Callable[[Column], Column]:
+    return lambda m: F.struct(m.start.alias("start"), F.lit(order).alias("order"), m.end.alias("end"), m.low.alias("low"), m.high.alias("high"), F.lit(kind).alias("kind"))
+
+
+def outside(tokens: Column, base: Column) -> Column:
+    """The tokens (no two overlap) that overlap no base span: in the order of spans' starts and tokens' ends, none before a token reaches into it."""
+    none = F.lit(None)
+    spans = F.transform(base, lambda b: F.struct(b.start.alias("at"), F.lit(1).alias("kind"), b.end.alias("reach"), F.get(tokens, F.lit(-1)).alias("t")))
+    ends = F.transform(tokens, lambda t: F.struct(t.end.alias("at"), F.lit(0).alias("kind"), none.cast("int").alias("reach"), t.alias("t")))
+
+    def free(both: Column) -> Column:
+        reach = running(F.transform(both, lambda x: F.coalesce(x.reach, F.lit(0))), lambda a, v: F.greatest(a, v), F.lit(0))
+        kept = F.zip_with(both, reach, lambda x, r: F.when((x["kind"] == 0) & (r <= x.t.start), x.t))
+        return F.filter(kept, lambda t: t.isNotNull())
+
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(bound(F.array_sort(F.concat(spans, ends)), free))
+
+
 def _context_words(part: Column) -> Column:
     return F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}=:#]+"), lambda w: w != "")
 
@@ -144,7 +203,7 @@ def _induced(found: DataFrame, rounds: int) -> DataFrame:
     """(_key, spans: array of start, end): tokens outside the base spans that trusted patterns vouch for."""
     tokens = written(
         found.filter("_key IS NOT NULL").select("_key", F.explode("tokens").alias("t"))
-        .select("_key", "t.start", "t.end", "t.value", "t.seed", _patterns().alias("patterns")).dropDuplicates(["_key", "start", "end"]),
+        .select("_key", "t.start", "t.end", "t.low", "t.high", "t.value", "t.seed", _patterns().alias("patterns")).dropDuplicates(["_key", "start", "end"]),
         "tokens",
     )
     edges = written(tokens.select(F.inline("patterns"), "value", "seed").groupBy("pattern", "weight", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "edges")
@@ -158,12 +217,13 @@ def _induced(found: DataFrame, rounds: int) -> DataFrame:
     known = instances.filter(F.col("score") >= MIN_SCORE).select("value")
     return (
         tokens.filter("NOT seed").join(known, "value").groupBy("_key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("id").alias("kind")))).alias("more"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end", "low", "high", F.lit("id").alias("kind")))).alias("more"))
     )
 
 
 def find_spans(docs: DataFrame, keep: list[str], text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(keep, base, spans): arrays of struct<start, order, end, kind>, by start, then kind; spans are base and induced."""
+    """(keep, base, spans): arrays of struct<start, order, end, low, high, kind> (low and high in bytes), by start, then kind; spans are base
+    and induced."""
     found = written(_found(docs, keep, text_col), "found")
     more = _induced(found, rounds)
     plain = found.filter("_key IS NULL").select(*keep, "base", F.col("base").alias("spans"))
@@ -189,13 +249,18 @@ def redact(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Dat
     spans = find_spans(keyed.filter("__fs_sha IS NOT NULL"), ["__fs_sha"], text_col, rounds).filter(F.size("spans") > 0).select("__fs_sha", F.col("spans").alias("__fs_spans")).dropDuplicates(["__fs_sha"])
     some = keyed.filter("__fs_sha IS NOT NULL").join(spans, "__fs_sha", "left")
     text = F.col(text_col)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    parts = F.aggregate(
-        "__fs_spans", state,
-        lambda a, s: F.struct(F.greatest(a.at, s.end).alias("at"), F.when(
-            s.start >= a.at, F.concat(a.parts, F.array(F.substring(text, a.at + 1, s.start - a.at), F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))
-        ).otherwise(a.parts).alias("parts")),
-        lambda a: F.concat(F.array_join(a.parts, ""), F.substring(text, a.at + 1, F.char_length(text))),
-    )
+
+    def cut(raw: Column) -> Column:
+        """By bytes: a substring of a binary value is found without reading what stands before it."""
+        piece = lambda low, high: F.substring(raw, low + 1, high - low).cast("string")
+
+        def pieces(spans: Column) -> Column:
+            at = running(F.transform(spans, lambda s: s.high), lambda a, v: F.greatest(a, v), F.lit(0))
+            put = F.zip_with(spans, at, lambda s, a: F.when(s.low >= a, F.concat(piece(a, s.low), F.lit("["), F.upper(s.kind), F.lit("]"))).otherwise(""))
+            return F.concat(F.array_join(put, ""), piece(F.array_max(F.transform(spans, lambda s: s.high)), F.octet_length(raw)))
+
+        return bound(F.col("__fs_spans"), pieces)
+
+    parts = bound(text.cast("binary"), cut)
     done = some.withColumn(text_col, F.when(F.col("__fs_spans").isNull(), text).otherwise(parts)).select(docs.columns)
     return done.unionByName(keyed.filter("__fs_sha IS NULL").select(docs.columns))
