@@ -13,7 +13,7 @@ Scale: fitting reads the sample only; extraction is a narrow map without a shuff
 step, sorted by their number of blocks; the model (some 60,000 numbers) is broadcast.
 
 Defined cases: null or empty pages and pages without main text give the empty string; text outside any element is a block;
-unclosed and stray tags are tolerated; repeated pages give repeated rows; all columns are kept, columns named like
+unclosed and stray tags, quoted attributes with angle brackets and a head without its end are read as browsers do; repeated pages give repeated rows; all columns are kept, columns named like
 an output are replaced; an empty table gives an empty result (and an untrained model is never asked).
 """
 
@@ -24,6 +24,7 @@ import io
 import re
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import for_long_rows, mapped
+from .markup import attributes, shown
 
 #: Pages whose words are used for training, at most; layouts drawn; passes over them.
 SAMPLE, LAYOUTS, EPOCHS, SEED = 200, 3000, 7, 11
@@ -39,19 +41,23 @@ FEATURES = PATH + WORDS + COUNTS
 #: Blocks of a chunk of pages that are labelled in step.
 STEP_BLOCKS = 40_000
 
-#: Fixed values of HTML.
-RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "head", "title")
+#: Fixed values of HTML. Other content that isn't shown is left out by markup.shown.
+UNSHOWN = ("head", "noscript", "template", "svg", "object")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.I | re.S)
-NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = frozenset(("class", "id", "role", "aria-label"))
 PART = re.compile(r"[a-z]+")
 
 
-def blocks_of(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters inside links) of the leaf blocks in page order; white space is one space, no block is empty."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def blocks_of(page: str | None) -> list[tuple[str, np.ndarray, int]]:
+    """(text, path counts, characters inside links) of the leaf blocks in page order; white space is one space, no block is empty.
+
+    The counts of the open elements are kept up tag by tag, so that the work is linear in the page, however deep it is.
+    """
+    out: list[tuple[str, np.ndarray, int]] = []
+    stack: list[tuple[str, list[int]]] = []
+    open_tags: Counter[str] = Counter()
+    counts = np.zeros(PATH, np.int32)
     pieces: list[str] = []
     linked = depth = 0
 
@@ -59,41 +65,44 @@ def blocks_of(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            out.append((text, tuple(name for _, names in stack for name in names), min(linked, len(text))))
+            out.append((text, np.minimum(counts, 2).astype(np.uint8), min(linked, len(text))))
         pieces.clear()
         linked = 0
 
-    at = 0
-    page = page or ""
-    for m in TOKEN.finditer(page):
-        text = page[at : m.start()]
-        at = m.end()
+    def pop() -> str:
+        tag, buckets = stack.pop()
+        open_tags[tag] -= 1
+        for k in buckets:
+            counts[k] -= 1
+        return tag
+
+    for text, tag, rest in shown(page, UNSHOWN):
         if text:
             pieces.append(text)
             linked += len(text) if depth else 0
-        tag = m[3]
-        if tag is None:
+        if not tag:
             continue
-        tag = tag.lower()
+        ends, tag = tag[0] == "/", tag.lstrip("/")
         if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                pieces.append(" " if tag == "br" else "")
+            if tag == "br":
+                pieces.append(" ")
             elif tag == "a":
-                depth = max(0, depth + (-1 if m[2] else 1))
+                depth = max(0, depth + (-1 if ends else 1))
             continue
         close()
-        if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                del stack[k:]
-        elif tag not in VOID and not m[4].endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                if stack and stack[-1][0] == tag or tag != "li" and any(t == "p" for t, _ in stack[-1:]):
-                    stack.pop()
-            names = [f"{tag}.{part}" for a, b, c in NAMED.findall(m[4]) for part in PART.findall((a or b or c).lower())] if m[4] else []
-            stack.append((tag, (tag, *names)))
+        if ends:
+            if open_tags[tag]:
+                while pop() != tag:
+                    pass
+        elif tag not in VOID and not rest.endswith("/"):
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and (stack[-1][0] == tag or tag != "li" and stack[-1][0] == "p"):
+                pop()
+            names = [tag, *(f"{tag}.{part}" for name, value in attributes(rest) if name in NAMED for part in PART.findall(value.lower()))]
+            stack.append((tag, path_buckets(names)))
+            open_tags[tag] += 1
+            for k in stack[-1][1]:
+                counts[k] += 1
         depth = depth if tag == "li" else 0
-    pieces.append(page[at:])
     close()
     return out
 
@@ -115,21 +124,22 @@ class _Buckets(dict):
 _PATHS, _NAMES, _WORDS = _Buckets(PATH, "path "), _Buckets(PATH, "name "), _Buckets(WORDS, "word ")
 
 
-def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def path_buckets(names) -> list[int]:
+    """The buckets that tag and class names count in: a name with its tag, and alone."""
+    return [k for name in names for k in ((_PATHS[name], _NAMES[name.partition(".")[2]]) if "." in name else (_PATHS[name],))]
+
+
+def vectors(blocks: list[tuple[str, np.ndarray, int]]) -> np.ndarray:
     """(blocks, FEATURES) of one page."""
     out = np.zeros((len(blocks), FEATURES), np.float32)
     n = len(blocks)
     for k, (text, path, linked) in enumerate(blocks):
         row = out[k]
-        for name in path:
-            row[_PATHS[name]] += 1
-            if "." in name:
-                row[_NAMES[name.partition(".")[2]]] += 1
+        row[:PATH] = path
         words = text.split()
         row[PATH : PATH + WORDS] = np.bincount(list(map(_WORDS.__getitem__, words)), minlength=WORDS) / len(words)
         size = len(text)
         row[PATH + WORDS :] = (np.log1p(size) / 8, np.log1p(len(words)) / 6, linked / size, (text.count(".") + text.count(",")) / len(words), k / n, 1 - k / n, size / len(words) / 10, text[-1] in ".!?:")
-    np.minimum(out[:, :PATH], 2, out=out[:, :PATH])
     return out
 
 
@@ -303,7 +313,7 @@ def fit_texts(texts: list[list[str]], layouts: int = LAYOUTS, epochs: int = EPOC
     for _ in range(layouts):
         rows = draw_layout(rng, texts)
         if rows:
-            made.append((vectors([(t, p, n) for p, t, n, _ in rows]), np.array([m for *_, m in rows], np.float32)))
+            made.append((vectors([(t, np.minimum(np.bincount(path_buckets(p), minlength=PATH), 2), n) for p, t, n, _ in rows]), np.array([m for *_, m in rows], np.float32)))
     made.sort(key=lambda r: len(r[0]))
     model = BiLstm(rng)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}

@@ -26,20 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import for_long_rows, mapped
+from .markup import attributes, shown
 
 #: The crawl date that write_responses puts down; the tables have none.
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 9562
 #: Fixed values of HTML: elements whose text is never shown, and those that start a new line.
-HIDDEN = ("script", "style", "noscript", "template", "head", "svg", "textarea", "select")
+HIDDEN = ("noscript", "template", "head", "svg", "select")
 BREAKING = frozenset(
     "address article aside blockquote br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul body html".split()
 )
-DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN)})\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-TAG = re.compile(r"<(/?[A-Za-z!?][^\s>/]*)[^>]*>")
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
-LINK = re.compile(r"<a\s[^>]*href", re.I)
+TITLE, TITLE_END = re.compile(r"<title(?=[\s>])[^>]*+>", re.I), re.compile(r"</title", re.I)
 
 DERIVED = "struct<record_type:string,record_id:string,refers_to:string,target_uri:string,date:string,content_type:string,block:binary,block_digest:string,source_payload_digest:string,source_headers:map<string,string>,valid:boolean,record:binary>"
 
@@ -91,18 +89,27 @@ def response(url: str | None, body: str | None) -> bytes:
     )
 
 
-def plain_text(page: str) -> str:
-    """Shown text: one line for each run between breaking elements, white space as one space, empty lines left out."""
-    parts = TAG.split(DROP.sub("", page))
-    lines, line = [], [parts[0]]
-    for tag, text in zip(parts[1::2], parts[2::2], strict=True):
-        if tag.lstrip("/").lower() in BREAKING:
+def read_page(page: str) -> tuple[str, int]:
+    """The shown text and the number of links. Text: one line for each run between breaking elements, white space as one space, empty
+    lines left out."""
+    lines, line, links = [], [], 0
+    for text, tag, rest in shown(page, HIDDEN):
+        line.append(text)
+        links += tag == "a" and any(name == "href" for name, _ in attributes(rest))
+        if tag.lstrip("/") in BREAKING:
             lines.append("".join(line))
-            line = [text]
-        else:
-            line.append(text)
+            line = []
     lines.append("".join(line))
-    return "\n".join(filter(None, (" ".join(html.unescape(x).split()) for x in lines)))
+    return "\n".join(filter(None, (" ".join(html.unescape(x).split()) for x in lines))), links
+
+
+def title_of(page: str) -> str:
+    """The text of the first title element."""
+    opened = TITLE.search(page)
+    if not opened:
+        return ""
+    closed = TITLE_END.search(page, opened.end())
+    return " ".join(html.unescape(page[opened.end() : closed.start() if closed else len(page)]).split())
 
 
 def derivatives(raw: bytes | None) -> list[dict]:
@@ -120,9 +127,9 @@ def derivatives(raw: bytes | None) -> list[dict]:
     except LookupError:
         page = payload.decode("utf-8", "replace")
     source, date, uri = fields.get("WARC-Record-ID", ""), fields.get("WARC-Date", DATE), fields.get("WARC-Target-URI", "")
-    title = TITLE.search(page)
-    about = [("source-status", status.decode("latin-1")), *((f"source-{k.lower()}", v) for k, v in headers.items()), ("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("links", str(len(LINK.findall(page))))]
-    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"))}
+    text, links = read_page(page)
+    about = [("source-status", status.decode("latin-1")), *((f"source-{k.lower()}", v) for k, v in headers.items()), ("title", title_of(page)), ("links", str(links))]
+    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), "conversion": ("text/plain; charset=utf-8", text.encode("utf-8", "replace"))}
     out = []
     for kind, (content, data) in blocks.items():
         own = {"record_type": kind, "record_id": identifier(kind, source, digest(data)), "refers_to": source, "target_uri": uri, "date": date, "content_type": content, "block": data, "block_digest": digest(data), "source_payload_digest": fields.get("WARC-Payload-Digest"), "source_headers": headers, "valid": valid}
