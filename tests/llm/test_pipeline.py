@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliospark.llm import langid, mixing
-from tests.llm.test_operators import DOC, base_spans, brute_components, documents
+from tests.llm.test_operators import DOC, base_spans, documents
+from tests.llm.test_similar import kept_places
 
 
 def test_stages_and_columns(spark, sf):
@@ -29,8 +30,7 @@ def test_run_equals_brute_force(spark, sf, tmp_path):
     model = langid.fit(table.select("doc_id", "text", "lang"))
     scorer = langid.Scorer(model)
     rows = [(r.doc_id, r.text, p["lang_pred"], r.source) for r, p in ((r, scorer.predict([r.text])[0]) for r in table.orderBy("doc_id").collect()) if p["lang_pred"] != "und"]
-    _, label = brute_components([r[1] for r in rows])
-    rows = [r for k, r in enumerate(rows) if label[k] == k]
+    rows = [rows[k] for k in kept_places([r[1] for r in rows])[0]]
 
     def masked(t):
         out, at = [], 0
@@ -60,6 +60,8 @@ def test_odd_rows_pass_all_stages(spark, sf):
         rows = docs.collect()
         if name == "near_dedup":
             assert sum(r.text == texts[2] for r in rows) == 1 and any(r.doc_id is None for r in rows)
+            again = docs.unionByName(docs.select(F.lit(2).cast("long").alias("doc_id"), F.lit("other text under a known name").alias("text"), "lang", "source", "n_chars").limit(1))
+            assert stage(spark, again, sf).filter("text = 'other text under a known name'").count() == 1
         if name == "redact_pii":
             assert not any(re.search("me@x", r.text) for r in rows)
     empty = documents(spark, ["x"]).limit(0)
