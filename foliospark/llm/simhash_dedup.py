@@ -9,10 +9,9 @@ vectors are within r, and then verified on the fingerprints.
 Counts are held in unary, two bits a segment (0: 00, 1: 01, 2: 11): the Manhattan distance of two vectors is then one
 xor and one bit count.
 
-Scale: only distinct fingerprints enter the join, so exact copies meet in one row; a pair is found in the first choice of
-bands that it shares, so nothing has to be made distinct after the join; both sides of the self-join are one exchange.
-Near copies share a cell only as far as their fingerprints differ in other bands; a hot cell is split by the skew join of
-AQE. No cell is capped.
+Scale: only distinct fingerprints enter the join, so exact copies meet in one row. Only cells with company are kept, and in them
+links to one member come first; pairs are looked for between what these leave apart (see `links`), so a group of near copies
+isn't expanded into all its pairs. A hot cell is split by the skew join of AQE. No cell is capped.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other. Rows with equal doc_id are one
 document with several texts: each row keeps its own fingerprint. A null doc_id never becomes a component's name
@@ -65,39 +64,53 @@ def bit_masks(radius: int, same: int = 3, width: int = 1) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def linked(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs (fp_a < fp_b) of the distinct longs `fp` within the Hamming radius, each once."""
-    masks = bit_masks(radius, width=2)
+def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(k, cell, fp, e): a distinct long `fp` with its counts e, once for each choice of bands."""
     grid = fps.select("fp", segment_counts(F.col("fp")).alias("e"))
     choices = F.array(*[F.struct(F.lit(k).alias("k"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)])
-    cells = grid.select("fp", "e", F.inline(choices))
-    a, b = cells.alias("a"), cells.alias("b")
+    return grid.select(F.inline(choices), "fp", "e")
+
+
+def _near(a: str, b: str, radius: int) -> Column:
+    """The bound on the counts, then the distance of the fingerprints."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    return (F.bit_count(c(a, "e").bitwiseXOR(c(b, "e"))) <= radius) & (hamming(c(a, "fp"), c(b, "fp")) <= radius)
+
+
+def links(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b): pairs of the distinct longs `fp` within the Hamming radius, that connect all that such pairs connect.
+
+    First each fingerprint of a cell meets the smallest one. What these links connect needs no further pair among itself: in a cell that
+    still holds several components, the members of all but the largest one meet everything in it. So a group of near copies
+    gives links in proportion to its members, not to their pairs, and no connection is lost.
+    """
+    masks = bit_masks(radius, width=2)
+    cells = _keyed(fps, masks)
+    shared = written(cells.groupBy("k", "cell").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
+    held = written(cells.join(shared, ["k", "cell"]), "held")
+    head = F.struct(F.col("head").alias("fp"), segment_counts(F.col("head")).alias("e")).alias("h")
+    stars = written(held.filter("fp <> head").select("fp", "e", head).filter(_near("", "h.", radius)).select(F.col("fp").alias("a"), F.col("h.fp").alias("b")).distinct(), "stars")
+    labels = components(stars, "parts").withColumnRenamed("node", "fp")
+    marked = written(held.drop("head").join(labels, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component"), "marked")
+    sizes = marked.groupBy("k", "cell", "part").agg(F.count("*").alias("n")).groupBy("k", "cell").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
+    open_ = written(marked.join(sizes.filter("parts > 1").drop("parts"), ["k", "cell"]), "open")
+    a, b = open_.filter("part <> largest").alias("a"), open_.alias("b")
     moved = F.col("a.e").bitwiseXOR(F.col("b.e"))
     first = F.lit(len(masks))
     for k in reversed(range(len(masks))):
         first = F.when(moved.bitwiseAND(F.lit(masks[k])) == 0, F.lit(k)).otherwise(first)
-    near = (
-        (F.col("a.k") == F.col("b.k"))
-        & (F.col("a.cell") == F.col("b.cell"))
-        & (F.col("a.fp") < F.col("b.fp"))
-        & (F.bit_count(moved) <= radius)
-        & (hamming(F.col("a.fp"), F.col("b.fp")) <= radius)
-        & (F.col("a.k") == first)
-    )
-    return a.hint("merge").join(b, near).select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"))
+    once = (F.col("b.part") == F.col("b.largest")) | (F.col("a.fp") < F.col("b.fp"))
+    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") != F.col("b.part")) & once & _near("a.", "b.", radius) & (F.col("a.k") == first)
+    across = a.hint("merge").join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    return written(stars.unionByName(across), "links")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 3) -> DataFrame:
-    """(id_col, fingerprint: hex, component_id: smallest id of the component, n_links: linked other fingerprints) a row."""
+    """(id_col, fingerprint: hex, component_id: smallest id of the component) a row."""
     fps = written(shingle_fingerprints(docs, id_col, text_col, n), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
-    links = written(linked(classes.select("fp"), radius), "links")
-    ends = links.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other")).unionByName(
-        links.select(F.col("fp_b").alias("fp"), F.col("fp_a").alias("other"))
-    )
-    labels = components(links.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
-    degree = ends.groupBy("fp").agg(F.count("*").alias("n_links"))
-    member = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labels = components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    member = classes.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = member.join(names, "component").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return fps.join(named, "fp", "left").select(id_col, hex64(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+    named = member.join(names, "component").select("fp", "component_id")
+    return fps.join(named, "fp", "left").select(id_col, hex64(F.col("fp")).alias("fingerprint"), "component_id")
