@@ -57,9 +57,21 @@ def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3) -> DataFra
     return a.hint("merge").join(b, on).select(F.col("a.fp").alias("query"), F.col("b.fp").alias("fp"))
 
 
+def matches(rows: DataFrame, every: int = 20, radius: int = 3) -> DataFrame:
+    """(query, fp, n, least, distance) for the fingerprints `query` of the rows (doc_id, fp) whose id is divisible by `every`.
+
+    A row for every class of equal fingerprints within the radius of all rows, its own included: its number of rows and its smallest
+    id. Copies aren't expanded: rows and classes meet by their fingerprints.
+    """
+    classes = written(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "classes")
+    asked = rows.filter((F.col("doc_id") % every) == 0).select("fp").distinct()
+    found = neighbours(asked, classes, radius).unionByName(asked.select(F.col("fp").alias("query"), "fp"))
+    return found.join(classes, "fp").select("query", "fp", "n", "least", hamming(F.col("query"), F.col("fp")).alias("distance"))
+
+
 def edited_likeness(docs: DataFrame, every: int = 20, radius: int = 3) -> DataFrame:
     """The op4 result: a row's fingerprint, that of its edited text and of the next document, and for ids divisible by
-    `every` n_near, the number of other fingerprints of the table within the radius (null for the others)."""
+    `every` n_near, the number of other rows within the radius, copies included (null for the others)."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     linked = with_guests(base, "doc_id", F.col("text")).withColumn("_next", following("text"))
     size = F.char_length("text")
@@ -79,11 +91,10 @@ def edited_likeness(docs: DataFrame, every: int = 20, radius: int = 3) -> DataFr
     row = written(each.groupBy("_bucket", "_n").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "_guest", "n_chars")], F.max(F.when(F.col("_which") == 1, F.col("edited_sha256"))).alias("edited_sha256"), pick(0).alias("fp"), pick(1).alias("edited")), "fingerprints")
     full = row.withColumn("_after", following("fp")).filter("NOT _guest")
     own = row.filter("NOT _guest")
-    asked = own.filter((F.col("doc_id") % every) == 0)
-    counts = neighbours(asked, own, radius).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("_near"))
+    counts = written(matches(own.select("doc_id", "fp"), every, radius).groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("_near")), "near")
     out = full.join(counts.hint("merge"), "fp", "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex64(F.col("fp")).alias("fingerprint"), hex64(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited")).alias("near_edited"), likeness(F.col("fp"), F.col("_after")).alias("near_next"),
-        F.when(F.col("doc_id") % every == 0, F.coalesce("_near", F.lit(0))).alias("n_near"),
+        F.when(F.col("doc_id") % every == 0, F.col("_near")).alias("n_near"),
     )

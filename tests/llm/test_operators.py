@@ -132,6 +132,33 @@ def test_edited_likeness(spark):
     assert simhash_search.edited_likeness(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    terms = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
+    total, votes = 0, np.zeros(64, np.int64)
+    for term in terms:
+        h, w = xxhash.xxh64_intdigest(term.encode(), seed=42), min(len(term), simhash_search.MAX_WEIGHT)
+        total += w
+        votes += w * (h >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.int64)
+    return sum(1 << j for j in range(64) if 2 * votes[j] > total)
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, texts):
+    rng = random.Random(13)
+    cases = [*texts[:60], *ODD[:9], *[texts[k] for k in range(20)], *[" ".join([*texts[k].split()[:-1], "tail"]) for k in range(40) if len(texts[k].split()) > 30]]
+    rng.shuffle(cases)
+    got = {r.doc_id: r for r in simhash_search.edited_likeness(documents(spark, cases, extra=True)).collect()}
+    own = [brute_fingerprint(t or "") for t in cases]
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    for k, t in enumerate(cases):
+        t, after = t or "", cases[k - 1] or ""  # falling ids, the first follows the last
+        edited = brute_fingerprint(t[: len(t) - len(t) // 3] + after[: len(t) // 3])
+        assert (got[k].fingerprint, got[k].edited_fingerprint) == (f"{own[k]:016x}", f"{edited:016x}")
+        assert (got[k].near_edited, got[k].near_next) == (like(own[k], edited), like(own[k], own[k - 1]))
+        want = sum((own[k] ^ x).bit_count() <= 3 for x in own) - 1 if k % 20 == 0 else None
+        assert got[k].n_near == want
+
+
 def test_weighted_votes_by_hand(spark):
     text = "aa bb cc aa bb verylongword another"
     words = text.split()
