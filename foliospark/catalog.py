@@ -12,7 +12,7 @@ from foliospark.operators import scoring as S
 from foliospark.operators.layout import reading_order_lines, word_segments
 from foliospark.operators.linediff import entries
 from foliospark.operators.regions import merged
-from foliospark.operators.revisions import aligned, pairs, revised_pages
+from foliospark.operators.revisions import aligned, manifest, pairs, revised_pages, truth
 from foliospark.plans.oracles import ORACLES  # noqa: F401  read by the driver entry
 from foliospark.plans.shared import written
 from foliospark.sources.tables import binary_files, checked_binaries, document_summary, page_lines, pages_of, table
@@ -224,46 +224,59 @@ def hybrid_entries(spark, d):
     return _rounded(C.hybrid_entries(e, r))
 
 
-def _truth(pages: DataFrame, e: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Expected pages, texts and boxes of the derived corpus: texts of every change; boxes of both halves, the stray ones left out."""
-    changes = C.changes(e)
-    node = F.xxhash64("pair_id", "page_index", "entry_seq").alias("node")
-    texts = changes.select(F.col("pair_id").alias("case_id"), node, "old_text", "new_text")
-    boxes = r.filter("region_id >= 0").select(F.col("pair_id").alias("case_id"), F.xxhash64("pair_id", "page_index", "region_id").alias("node"), "left", "top", "right", "bottom")
-    same = F.coalesce(F.transform("old_lines", T.compare_key) == F.transform("new_lines", T.compare_key), F.lit(False))
-    status = F.when(F.col("side") != "common", F.col("side")).when(same, "match").otherwise("modified")
-    return aligned(pages).select(F.col("pair_id").alias("case_id"), "page_index", status.alias("status")), texts, boxes
+def _all_modes(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("mode", F.explode(F.array(*map(F.lit, C.MODES))))
+
+
+def _compared(spark, d) -> C.Report:
+    """Each document against the next one of its source, in every mode."""
+    docs = _docs(spark, d)
+    return C.compare(_all_modes(manifest(docs)), pages_of(docs).select("doc_id", "page_index", "lines"))
+
+
+@query
+def compare_pages(spark, d):
+    return _compared(spark, d).pages
+
+
+@query
+def compare_entries(spark, d):
+    return _rounded(_compared(spark, d).entries)
+
+
+@query
+def compare_stats(spark, d):
+    return _compared(spark, d).stats
 
 
 def _case_scores(spark, d) -> DataFrame:
-    """Every case in the modes text and visual: one plan, no loop over cases."""
-    pages, e, r = _regions(spark, d)
-    expected, texts, boxes = _truth(pages, e, r)
-    found_boxes = merged(r).select(F.col("pair_id").alias("case_id"), F.xxhash64("pair_id", "page_index", "left", "top").alias("node"), "left", "top", "right", "bottom")
-    text = S.counts(texts, texts, S.text_matches(texts, texts))
-    near = C.contained_pairs(boxes, found_boxes, 0.5).select(F.col("t.case_id").alias("case_id"), F.col("t.node").alias("t"), F.col("d.node").alias("d"))
-    region = S.counts(boxes, found_boxes, near).join(boxes.select("case_id").distinct(), "case_id", "left_semi")  # unscored without a true box
-    status = C.page_status(pages, e)
-    seen = status.withColumnRenamed("pair_id", "case_id")
-    base = S.page_classes(expected, seen).join(S.false_positives(expected, C.diff_stats(C.page_summary(status, e))), "case_id", "left")
-    named = lambda df, n: df.select("case_id", *[F.col(k).alias(f"{n}_{k}") for k in ("tp", "fp", "fn")])
-    zero = F.lit(None).cast("long")
-    as_text = base.join(named(text, "text"), "case_id", "left").withColumn("mode", F.lit("text")).withColumns({f"region_{k}": zero for k in ("tp", "fp", "fn")})
-    as_visual = base.join(named(region, "region"), "case_id", "left").withColumn("mode", F.lit("visual")).withColumns({f"text_{k}": zero for k in ("tp", "fp", "fn")})
-    return as_text.unionByName(as_visual)
+    """Every case in every mode, against the truth of the edit rules: one plan, no loop over cases."""
+    pages = _pages(spark, d)
+    report = C.compare_aligned(pages, _all_modes(pages.select("pair_id").distinct()))
+    return S.case_scores(report, *truth(_docs(spark, d)))
 
 
 @query
 def truth_tables(spark, d):
-    pages, e, r = _regions(spark, d)
-    return _truth(pages, e, r)[0].withColumn("page", F.col("page_index") + 1).select("case_id", "page", "status")
+    expected = _all_modes(truth(_docs(spark, d))[0])
+    return expected.select("case_id", (F.col("page_index") + 1).alias("page"), "mode", S.status_for(F.col("mode")).alias("status"))
+
+
+@query
+def truth_regions(spark, d):
+    return truth(_docs(spark, d))[1]
+
+
+@query
+def case_list(spark, d):
+    pages = truth(_docs(spark, d))[0]
+    return S.case_list(pages.groupBy("case_id").agg(F.array_sort(F.collect_set("status")).alias("s")).select(F.concat(F.lit("case "), "case_id").alias("name"), F.array_join("s", ", ").alias("description")))
 
 
 @query
 def text_scores(spark, d):
-    _, e, r = _regions(spark, d)
-    _, texts, _ = _truth(_pages(spark, d), e, r)
-    return S.with_rates(S.counts(texts, texts, S.text_matches(texts, texts)))
+    s = _case_scores(spark, d).filter("text_tp IS NOT NULL")
+    return S.with_rates(s.select("case_id", "mode", F.col("text_tp").alias("tp"), F.col("text_fp").alias("fp"), F.col("text_fn").alias("fn")))
 
 
 @query
@@ -273,16 +286,17 @@ def region_scores(spark, d):
 
 @query
 def page_accuracy(spark, d):
-    pages, e = _both(spark, d)
-    expected = _truth(pages, e, C.change_regions(e))[0]
-    return S.page_classes(expected, C.page_status(pages, e).withColumnRenamed("pair_id", "case_id"))
+    return _case_scores(spark, d).select("case_id", "mode", "pages_total", "pages_correct", "page_accuracy")
 
 
 @query
 def false_positive_docs(spark, d):
-    pages, e = _both(spark, d)
-    expected = _truth(pages, e, C.change_regions(e))[0]
-    return S.false_positives(expected, C.diff_stats(_summary(pages, e)))
+    return _case_scores(spark, d).select("case_id", "mode", "doc_false_positive")
+
+
+@query
+def case_prf(spark, d):
+    return S.case_strings(_case_scores(spark, d))
 
 
 @query

@@ -1,15 +1,20 @@
-"""Text, visual and hybrid comparison of revision pairs, and what reports take from them. All results are lazy tables."""
+"""Text, visual and hybrid comparison of revision pairs, and what reports take from them.
+
+Results are lazy tables, over intermediate ones that are written where several branches read them."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import corners, html_escape, one_decimal
+from foliospark.plans.shared import written
 from .layout import contained, flipped, line_box, overlaps
 from .linediff import entries
 from .regions import merged
-from .revisions import aligned
+from .revisions import aligned, paired
 
 KINDS = ("added", "removed", "modified")
 
@@ -32,10 +37,10 @@ def page_summary(status: DataFrame, all_entries: DataFrame) -> DataFrame:
     return filled.withColumn("total", F.col("added") + F.col("removed") + F.col("modified"))
 
 
-def diff_stats(summary: DataFrame) -> DataFrame:
-    """One row a pair: pages by status, entries by kind, whether anything differs."""
+def diff_stats(summary: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row a pair (or `by`): pages by status, entries by kind, whether anything differs."""
     pages = [F.count_if(F.col("status") == s).alias(f"pages_{s}") for s in ("match", "modified", "added", "removed")]
-    out = summary.groupBy("pair_id").agg(*pages, *[F.sum(k).alias(f"entries_{k}") for k in KINDS], F.sum("total").alias("total_changes"))
+    out = summary.groupBy(*(by or ["pair_id"])).agg(*pages, *[F.sum(k).alias(f"entries_{k}") for k in KINDS], F.sum("total").alias("total_changes"))
     return out.withColumn("has_differences", (F.col("total_changes") > 0) | (F.col("pages_added") + F.col("pages_removed") > 0))
 
 
@@ -159,10 +164,64 @@ def nested_report(status: DataFrame, all_entries: DataFrame) -> DataFrame:
     return nested.select("pair_id", F.size("pages").cast("long").alias("n_pages"), F.to_json(F.struct("pair_id", "pages")).alias("report"))
 
 
-def compared(pages: DataFrame) -> DataFrame:
-    return entries(pages)
+MODES = ("text", "visual", "hybrid")
+
+
+def parsed_modes(names: list[str] | None) -> list[str]:
+    """The modes asked for, in order, each once; none means all; an unknown one is an error."""
+    unknown = sorted(set(names or ()) - set(MODES))
+    if unknown:
+        raise ValueError(f"unknown mode: {', '.join(unknown)}; there are {', '.join(MODES)}")
+    return list(dict.fromkeys(names or MODES))
+
+
+@dataclass(frozen=True)
+class Report:
+    """pages (pair_id, mode, page_index, status), entries (pair_id, mode, page_index, origin, entry_seq, kind, old_line, new_line, old_text,
+    new_text, left, top, right, bottom), stats (a row a pair and mode)."""
 
+    pages: DataFrame
+    entries: DataFrame
+    stats: DataFrame
 
-def contained_pairs(truth: DataFrame, found: DataFrame, share: float) -> DataFrame:
-    on = (F.col("t.case_id") == F.col("d.case_id")) & contained("t", "d", share)
-    return truth.alias("t").join(found.alias("d"), on)
+
+def compare(pairs: DataFrame, pages: DataFrame, regions: DataFrame | None = None) -> Report:
+    """Documents against documents: pairs (pair_id, old_doc_id, new_doc_id, mode; several modes of a pair are several rows), pages
+    (doc_id, page_index, lines), and the changed regions of a detector (pair_id, page_index, region_id, box in top-left space)."""
+    base = pairs.select("pair_id", "old_doc_id", "new_doc_id").distinct()
+    return compare_aligned(written(paired(base, pages), "paired"), pairs.select("pair_id", "mode").distinct(), regions)
+
+
+def compare_aligned(pages: DataFrame, modes: DataFrame, regions: DataFrame | None = None) -> Report:
+    """The same for aligned pages (pair_id, page_index, old_lines, new_lines) and modes (pair_id, mode).
+
+    Lines are compared once for all modes of a pair. Text: the changed lines. Visual: the merged regions. Hybrid: the changed lines, and
+    the merged regions that overlap none of their boxes. A common page is modified if its mode has an entry on it. Without
+    regions, boxes around the changed lines stand in for a detector's.
+    """
+    text = written(entries(pages), "entries")
+    found = changes(text)
+    seen = written(merged(change_regions(text) if regions is None else regions), "merged")
+    lines = found.select("pair_id", "page_index", F.lit("text").alias("origin"), "entry_seq", "kind", "old_line", "new_line", "old_text", "new_text")
+    boxes = lambda df: df.select("pair_id", "page_index", F.lit("visual").alias("origin"), F.lit("modified").alias("kind"), "left", "top", "right", "bottom")
+    of = lambda df, *names: df.join(modes.filter(F.col("mode").isin(*names)), "pair_id")
+    every = written(
+        of(lines, "text", "hybrid").unionByName(of(boxes(seen), "visual"), allowMissingColumns=True).unionByName(of(boxes(uncovered(seen, text_boxes(text))), "hybrid"), allowMissingColumns=True), "found",
+    )
+    key = ["pair_id", "mode", "page_index"]
+    counts = every.groupBy(*key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
+    status = F.when(F.col("side") != "common", F.col("side")).when(F.col("modified").isNotNull(), "modified").otherwise("match")
+    summary = aligned(pages).select("pair_id", "page_index", "side").join(modes, "pair_id").join(counts, key, "left").select(*key, status.alias("status"), *[F.coalesce(k, F.lit(0)).alias(k) for k in KINDS])
+    stats = diff_stats(summary.withColumn("total", F.col("added") + F.col("removed") + F.col("modified")), ["pair_id", "mode"])
+    return Report(summary.select(*key, "status"), every, stats)
+
+
+def contained_pairs(truth: DataFrame, found: DataFrame, share: float, band: float = 64.0) -> DataFrame:
+    """(case_id, t, d): nodes of boxes of one case, whatever their page, that share `share` of the smaller one; boxes meet in bands of height."""
+    def banded(df: DataFrame) -> DataFrame:
+        first, last = F.floor(F.col("top") / band).cast("int"), F.floor(F.col("bottom") / band).cast("int")
+        return df.filter("bottom >= top").select("*", F.explode(F.sequence(first, last)).alias("band"))
+
+    t, d = banded(truth).alias("t"), banded(found).alias("d")
+    on = (F.col("t.case_id") == F.col("d.case_id")) & (F.col("t.band") == F.col("d.band")) & contained("t", "d", share)
+    return t.join(d, on).select(F.col("t.case_id").alias("case_id"), F.col("t.node").alias("t"), F.col("d.node").alias("d")).distinct()

@@ -1,7 +1,7 @@
 """Scores of a change detector against ground truth: texts, regions, pages, documents, modes, gates.
 
 truth_pages (case_id, page_index, status), truth_texts / truth_boxes (case_id, region_id, ...), detections with a node number
-each. Matches are whole-document and many-to-many; the OR of old and new text is a union of two equi-joins.
+each. Matches are whole-document and many-to-many.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import f1, normalised, precision, recall, valid
+from foliospark.functions.text import f1, normalised, numeral, precision, recall, valid
+from .compare import Report, boxed, contained_pairs
+from .layout import flipped
 
 
 def counts(truth: DataFrame, found: DataFrame, matches: DataFrame, case: str = "case_id") -> DataFrame:
@@ -22,10 +24,27 @@ def counts(truth: DataFrame, found: DataFrame, matches: DataFrame, case: str = "
     return both.select(case, zero(F.col("tp")).alias("tp"), (zero(F.col("n_found")) - zero(F.col("hit"))).alias("fp"), (zero(F.col("n_truth")) - zero(F.col("tp"))).alias("fn"))
 
 
-def text_matches(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """Equal normalised new text or equal normalised old text in one case."""
-    side = lambda name: truth.select("case_id", F.col("node").alias("t"), normalised(F.col(name)).alias("k")).filter("k <> ''").join(found.select("case_id", F.col("node").alias("d"), normalised(F.col(name)).alias("k")).filter("k <> ''"), ["case_id", "k"]).select("case_id", "t", "d")
-    return side("new_text").union(side("old_text")).distinct()
+def text_counts(truth: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """(by, tp, fp, fn) of texts: a row of one side is matched if the other side of its case has its normalised new text, or its old
+    one. Each side meets the distinct texts of the other, so repeated lines don't multiply. Rows without any text don't count."""
+    keyed = lambda df: df.filter("old_text IS NOT NULL OR new_text IS NOT NULL").select(*by, *[F.nullif(normalised(F.col(f"{s}_text")), F.lit("")).alias(s) for s in ("old", "new")])
+    t, d = keyed(truth), keyed(found)
+
+    def matched(own: DataFrame, other: DataFrame) -> DataFrame:
+        for s in ("old", "new"):
+            known = other.filter(F.col(s).isNotNull()).select(*by, s).distinct().withColumn(f"has_{s}", F.lit(True))
+            own = own.join(known, [*by, s], "left")
+        return own.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.coalesce("has_old", F.lit(False)) | F.coalesce("has_new", F.lit(False))).alias("hit"))
+
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    side = lambda df, name: df.withColumnsRenamed({"n": f"n_{name}", "hit": f"hit_{name}"})
+    both = side(matched(t, d), "t").join(side(matched(d, t), "d"), by, "full")
+    return both.select(*by, zero(F.col("hit_t")).alias("tp"), (zero(F.col("n_d")) - zero(F.col("hit_d"))).alias("fp"), (zero(F.col("n_t")) - zero(F.col("hit_t"))).alias("fn"))
+
+
+def status_for(mode: Column) -> Column:
+    """The status expected in a mode: its override, else that of the page."""
+    return F.coalesce(F.when(mode == "text", F.col("text_status")).when(mode == "visual", F.col("visual_status")).when(mode == "hybrid", F.col("hybrid_status")), F.col("status"))
 
 
 def with_rates(df: DataFrame) -> DataFrame:
@@ -33,17 +52,72 @@ def with_rates(df: DataFrame) -> DataFrame:
     return df.withColumns({"precision": precision(tp, fp), "recall": recall(tp, fn), "f1": f1(tp, fp, fn), "valid": valid(tp, fp, fn)})
 
 
-def page_classes(expected: DataFrame, detected: DataFrame) -> DataFrame:
-    """(case_id, pages_total, pages_correct, page_accuracy): a page that only one side has is wrong."""
-    e, d = expected.select("case_id", "page_index", F.col("status").alias("want")), detected.select("case_id", "page_index", F.col("status").alias("got"))
-    each = e.join(d, ["case_id", "page_index"], "full").groupBy("case_id").agg(F.count("*").alias("pages_total"), F.count_if(F.col("want") == F.col("got")).alias("pages_correct"))
+def page_classes(expected: DataFrame, detected: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(case_id or by, pages_total, pages_correct, page_accuracy): a page that only one side has is wrong; of a page that a side names
+    more than once the last status by its order `ord` (if there is one) counts."""
+    by = by or ["case_id"]
+
+    def last(df: DataFrame, name: str) -> DataFrame:
+        ordered = F.max_by("status", "ord") if "ord" in df.columns else F.max("status")
+        return df.groupBy(*by, "page_index").agg(ordered.alias(name))
+
+    each = last(expected, "want").join(last(detected, "got"), [*by, "page_index"], "full").groupBy(*by).agg(F.count("*").alias("pages_total"), F.count_if(F.col("want") == F.col("got")).alias("pages_correct"))
     return each.withColumn("page_accuracy", F.coalesce(F.try_divide("pages_correct", "pages_total"), F.lit(0.0)))
 
 
-def false_positives(expected: DataFrame, stats: DataFrame) -> DataFrame:
-    """(case_id, doc_false_positive): differences reported where every page should match."""
-    clean = expected.groupBy("case_id").agg(F.bool_and(F.col("status") == "match").alias("clean"))
-    return stats.select(F.col("pair_id").alias("case_id"), "has_differences").join(clean, "case_id", "left").select("case_id", (F.col("has_differences") & F.coalesce("clean", F.lit(True))).alias("doc_false_positive"))
+def false_positives(expected: DataFrame, stats: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(case_id or by, doc_false_positive): differences reported where every page should match."""
+    by = by or ["case_id"]
+    clean = expected.groupBy(*by).agg(F.bool_and(F.col("status") == "match").alias("clean"))
+    return stats.select(*by, "has_differences").join(clean, by, "left").select(*by, (F.col("has_differences") & F.coalesce("clean", F.lit(True))).alias("doc_false_positive"))
+
+
+def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame, cases: list | None = None, share: float = 0.5) -> DataFrame:
+    """(case_id, mode, pages_total, pages_correct, page_accuracy, doc_false_positive, text_tp ... region_fn): a report against truth of its own.
+
+    Texts are scored in the modes text and hybrid, boxes in the mode visual where a case has a true box. `cases` keeps some
+    cases only; if there are none of these it is an error. All cases and modes are one plan.
+    """
+    by = ["case_id", "mode"]
+    name = lambda df: df.withColumnRenamed("pair_id", "case_id")
+    found, pages, stats = name(report.entries), name(report.pages), name(report.stats)
+    if cases:
+        keep = F.col("case_id").isin(*cases)
+        truth_pages, truth_regions, found, pages, stats = (df.filter(keep) for df in (truth_pages, truth_regions, found, pages, stats))
+        if truth_pages.isEmpty():
+            raise ValueError(f"no case of that name: {', '.join(map(str, cases))}")
+    modes = stats.select(*by)
+    expected = truth_pages.join(modes, "case_id").withColumn("status", status_for(F.col("mode")))
+    base = page_classes(expected, pages, by).join(false_positives(expected, stats, by), by, "left")
+    as_text = F.col("mode").isin("text", "hybrid")
+    text = text_counts(truth_regions.join(modes.filter(as_text), "case_id"), found.filter(as_text & (F.col("origin") == "text")), by)
+    boxes = true_boxes(truth_regions)
+    seen = found.filter("mode = 'visual'").select("case_id", F.xxhash64("case_id", "page_index", "left", "top").alias("node"), "left", "top", "right", "bottom")
+    region = counts(boxes, seen, contained_pairs(boxes, seen, share)).join(boxes.select("case_id").distinct(), "case_id", "left_semi").withColumn("mode", F.lit("visual"))
+    named = lambda df, n: df.select(*by, *[F.col(k).alias(f"{n}_{k}") for k in ("tp", "fp", "fn")])
+    return base.join(named(text, "text"), by, "left").join(named(region, "region"), by, "left")
+
+
+def true_boxes(truth_regions: DataFrame) -> DataFrame:
+    """(case_id, node, left, top, right, bottom): boxes of the changed lines of a truth table, those of the new side where there is one."""
+    placed = boxed(truth_regions.filter("old_line IS NOT NULL OR new_line IS NOT NULL"))
+    side = lambda n: F.coalesce(F.col(f"new_{n}"), F.col(f"old_{n}"))
+    return placed.select("case_id", F.xxhash64("case_id", "page_index", "region_id").alias("node"), side("left").alias("left"), flipped(side("top")).alias("top"), side("right").alias("right"), flipped(side("bottom")).alias("bottom"))
+
+
+def case_list(cases: DataFrame) -> DataFrame:
+    """(name, description) in the order of names; no case at all is an error."""
+    if cases.isEmpty():
+        raise ValueError("no cases")
+    return cases.select("name", "description").orderBy("name")
+
+
+def case_strings(scores: DataFrame) -> DataFrame:
+    """(case_id, mode, prf): precision, recall and F1 of the case's metric with three decimals, n/a without signal."""
+    tp, fp, fn = (F.coalesce(F.col(f"text_{k}"), F.col(f"region_{k}")) for k in ("tp", "fp", "fn"))
+    show = lambda x: numeral(x, "0.000")
+    parts = F.concat_ws(" / ", show(precision(tp, fp)), show(recall(tp, fn)), show(f1(tp, fp, fn)))
+    return scores.select("case_id", "mode", F.when(valid(tp, fp, fn), parts).otherwise("n/a").alias("prf"))
 
 
 def by_mode(scores: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ line AS (SELECT doc_id, (i - 1)::INT AS line_no, ((i - 1) // {PAGE_LINES})::INT
 _EDIT = f"""list_transform(range(1, len(o) + 1), lambda i: CASE (doc_id * 31 + (p * {PAGE_LINES} + i - 1) * 17) % 23 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [o[i] || ' [rev]']
     WHEN 2 THEN [o[i], 'inserted ' || doc_id || ':' || (p * {PAGE_LINES} + i - 1)] ELSE [o[i]] END)"""
 
-PAGES = f"""{LINES},
+_OLD = f"""{LINES},
 cut AS (SELECT doc_id, doc_id % 10 AS rule, (len(l) + {PAGE_LINES - 1}) // {PAGE_LINES} AS n, l, unnest(range(0, (len(l) + {PAGE_LINES - 1}) // {PAGE_LINES})) AS p FROM docs),
-old AS (SELECT doc_id, rule, n, p, l[p * {PAGE_LINES} + 1 : p * {PAGE_LINES} + {PAGE_LINES}] AS o FROM cut),
+old AS (SELECT doc_id, rule, n, p, l[p * {PAGE_LINES} + 1 : p * {PAGE_LINES} + {PAGE_LINES}] AS o FROM cut)"""
+
+PAGES = f"""{_OLD},
 pair AS (
   SELECT doc_id AS pair_id, p::INT AS page_index, o AS old_lines, CASE
     WHEN rule = 2 AND n > 1 AND p = n - 1 THEN NULL WHEN rule IN (0, 1, 2) THEN o
@@ -29,8 +31,15 @@ pair AS (
   UNION ALL SELECT DISTINCT doc_id, n::INT, NULL, ['appended page of ' || doc_id] FROM old WHERE rule = 1),
 side AS (SELECT *, CASE WHEN new_lines IS NULL THEN 'removed' WHEN old_lines IS NULL THEN 'added' ELSE 'common' END AS side FROM pair)"""
 
-#: Longest common subsequences by the usual table, one row of it a step, then read from the end.
-ENTRIES = f"""{PAGES},
+#: Each document against the next one of its source, page by page.
+TWO_SIDES = f"""{_OLD},
+following AS (SELECT doc_id AS pair_id, doc_id AS old_doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS new_doc_id FROM documents WHERE source IS NOT NULL),
+one AS (SELECT pair_id, p::INT AS page_index, o AS old_lines FROM following JOIN old ON doc_id = old_doc_id WHERE new_doc_id IS NOT NULL),
+two AS (SELECT pair_id, p::INT AS page_index, o AS new_lines FROM following JOIN old ON doc_id = new_doc_id),
+side AS (SELECT *, CASE WHEN new_lines IS NULL THEN 'removed' WHEN old_lines IS NULL THEN 'added' ELSE 'common' END AS side FROM one FULL JOIN two USING (pair_id, page_index))"""
+
+#: Longest common subsequences by the usual table, one row of it a step, then read from the end. Follows a table `side`.
+_ENTRIES = """
 keyed AS MATERIALIZED (SELECT *, list_transform(old_lines, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ok, list_transform(new_lines, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS nk
   FROM side WHERE side = 'common'),
 grown(pair_id, page_index, ok, nk, i, tab) AS (
@@ -69,7 +78,9 @@ box AS (SELECT *, CASE WHEN old_line IS NOT NULL THEN 72::DOUBLE END AS old_left
   (800 - 14 * old_line)::DOUBLE - 1.98::DOUBLE AS old_bottom, CASE WHEN new_line IS NOT NULL THEN 72::DOUBLE END AS new_left, (800 - 14 * new_line)::DOUBLE + 8.14::DOUBLE AS new_top,
   72::DOUBLE + length(new_text) * 6.05::DOUBLE AS new_right, (800 - 14 * new_line)::DOUBLE - 1.98::DOUBLE AS new_bottom FROM change)"""
 
-REGIONS = f"""{ENTRIES},
+ENTRIES = f"{PAGES},{_ENTRIES}"
+
+_REGIONS = """
 wide AS (SELECT pair_id, page_index, entry_seq, coalesce(new_left, old_left) AS l, coalesce(new_right, old_right) AS r, 842::DOUBLE - coalesce(new_top, old_top) AS t, 842::DOUBLE - coalesce(new_bottom, old_bottom) AS b FROM box),
 region AS (
   SELECT pair_id, page_index, entry_seq * 2 AS region_id, l AS "left", t AS top, (72::DOUBLE + r) / 2 - 2 AS "right", b AS bottom FROM wide
@@ -81,25 +92,61 @@ reach(pair_id, page_index, a, b) AS (SELECT pair_id, page_index, region_id, regi
 label AS (SELECT pair_id, page_index, a AS region_id, min(b) AS component FROM reach GROUP BY ALL),
 merged AS (SELECT pair_id, page_index, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, count(*) AS n_boxes FROM region JOIN label USING (pair_id, page_index, region_id) GROUP BY pair_id, page_index, component)"""
 
-CASES = f"""{REGIONS},
-expected AS (SELECT pair_id AS case_id, page_index, CASE WHEN side <> 'common' THEN side WHEN list_transform(old_lines, lambda x: trim(x)) = list_transform(new_lines, lambda x: trim(x)) THEN 'match' ELSE 'modified' END AS status FROM side),
-classes AS (SELECT coalesce(e.case_id, s.pair_id) AS case_id, count(*) AS pages_total, count(*) FILTER (e.status = s.status) AS pages_correct FROM expected e FULL JOIN status s ON e.case_id = s.pair_id AND e.page_index = s.page_index GROUP BY 1),
-clean AS (SELECT case_id, bool_and(status = 'match') AS clean FROM expected GROUP BY 1),
-wrong AS (SELECT pair_id AS case_id, has_differences AND coalesce(clean, true) AS doc_false_positive FROM full_stats LEFT JOIN clean ON case_id = pair_id),
-text_node AS (SELECT pair_id AS case_id, page_index * 100000 + entry_seq AS node, nullif(trim(regexp_replace(old_text, '{SPACE}', ' ', 'g')), '') AS o, nullif(trim(regexp_replace(new_text, '{SPACE}', ' ', 'g')), '') AS n FROM change),
-text_hit AS (SELECT a.case_id, count(DISTINCT a.node) AS hit FROM text_node a WHERE EXISTS (SELECT 1 FROM text_node b WHERE a.case_id = b.case_id AND (a.o = b.o OR a.n = b.n)) GROUP BY 1),
-text_count AS (SELECT case_id, coalesce(any_value(hit), 0) AS tp, count(*) - coalesce(any_value(hit), 0) AS fp, count(*) - coalesce(any_value(hit), 0) AS fn FROM text_node LEFT JOIN text_hit USING (case_id) GROUP BY 1),
-truth_box AS (SELECT pair_id AS case_id, page_index, region_id, "left" l, top t, "right" r, bottom b FROM region WHERE region_id >= 0),
-found_box AS (SELECT pair_id AS case_id, row_number() OVER () AS d, "left" l, top t, "right" r, bottom b FROM merged),
-meet AS (SELECT t.case_id, t.page_index, t.region_id, d FROM truth_box t JOIN found_box f ON t.case_id = f.case_id
+REGIONS = f"{ENTRIES},{_REGIONS}"
+
+#: Entries and page statuses of the three modes.
+_MODES = """
+line_box AS (SELECT pair_id, page_index, old_left AS l, 842::DOUBLE - old_top AS t, old_right AS r, 842::DOUBLE - old_bottom AS b FROM box WHERE old_line IS NOT NULL
+  UNION ALL SELECT pair_id, page_index, new_left, 842::DOUBLE - new_top, new_right, 842::DOUBLE - new_bottom FROM box WHERE new_line IS NOT NULL),
+loose AS MATERIALIZED (SELECT * FROM merged m WHERE NOT EXISTS (SELECT 1 FROM line_box x WHERE x.pair_id = m.pair_id AND x.page_index = m.page_index AND m."left" < x.r AND x.l < m."right" AND m.top < x.b AND x.t < m.bottom)),
+mode_name AS (SELECT unnest(['text', 'visual', 'hybrid']) AS mode),
+found AS MATERIALIZED (
+  SELECT pair_id, mode, page_index, 'text' AS origin, entry_seq, kind, old_line, new_line, old_text, new_text, NULL::DOUBLE AS "left", NULL::DOUBLE AS top, NULL::DOUBLE AS "right", NULL::DOUBLE AS bottom FROM change, mode_name WHERE mode <> 'visual'
+  UNION ALL SELECT pair_id, 'visual', page_index, 'visual', NULL, 'modified', NULL, NULL, NULL, NULL, "left", top, "right", bottom FROM merged
+  UNION ALL SELECT pair_id, 'hybrid', page_index, 'visual', NULL, 'modified', NULL, NULL, NULL, NULL, "left", top, "right", bottom FROM loose),
+mode_page AS MATERIALIZED (SELECT pair_id, mode, page_index, CASE WHEN side <> 'common' THEN side WHEN n IS NULL THEN 'match' ELSE 'modified' END AS status, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, coalesce(modified, 0) AS modified
+  FROM side CROSS JOIN mode_name LEFT JOIN (SELECT pair_id, mode, page_index, count(*) AS n, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'modified') AS modified FROM found GROUP BY ALL) USING (pair_id, mode, page_index)),
+mode_stats AS (SELECT pair_id, mode, count(*) FILTER (status = 'match') AS pages_match, count(*) FILTER (status = 'modified') AS pages_modified, count(*) FILTER (status = 'added') AS pages_added, count(*) FILTER (status = 'removed') AS pages_removed,
+  sum(added)::BIGINT AS entries_added, sum(removed)::BIGINT AS entries_removed, sum(modified)::BIGINT AS entries_modified, sum(added + removed + modified)::BIGINT AS total_changes, bool_or(status <> 'match') AS has_differences FROM mode_page GROUP BY ALL)"""
+
+COMPARED = f"{TWO_SIDES},{_ENTRIES},{_REGIONS},{_MODES}"
+
+_TRUTH = f"""
+truth_region AS MATERIALIZED (
+  SELECT doc_id AS case_id, p::INT AS page_index, (row_number() OVER (PARTITION BY doc_id, p ORDER BY i) - 1)::INT AS region_id, CASE WHEN x <> 2 THEN i END::INT AS old_line, CASE x WHEN 1 THEN i + ins - rem WHEN 2 THEN i + ins - rem + 1 END::INT AS new_line,
+    CASE WHEN x <> 2 THEN t END AS old_text, CASE x WHEN 1 THEN t || ' [rev]' WHEN 2 THEN 'inserted ' || doc_id || ':' || (p * {PAGE_LINES} + i) END AS new_text
+  FROM (SELECT doc_id, p, i, h[i + 1] AS x, o[i + 1] AS t, len(list_filter(h[1:i], lambda y: y = 2)) AS ins, len(list_filter(h[1:i], lambda y: y = 0)) AS rem
+    FROM (SELECT *, unnest(range(0, len(o))) AS i FROM (SELECT doc_id, p, o, list_transform(range(0, len(o)), lambda k: (doc_id * 31 + (p * {PAGE_LINES} + k) * 17) % 23) AS h FROM old WHERE rule > 5))) WHERE x <= 2
+  UNION ALL SELECT doc_id, p::INT, k::INT, 0, k::INT, o[1], 'fresh ' || chr((97 + k)::INT) || ' ' || doc_id || ':' || p FROM old, range(3) AS r(k) WHERE rule = 4
+  UNION ALL SELECT doc_id, p::INT, k::INT, k::INT, 0, o[k + 1], 'fresh d ' || doc_id || ':' || p FROM old, range(3) AS r(k) WHERE rule = 5 AND len(o) >= 4
+  UNION ALL SELECT doc_id, p::INT, -1, NULL, NULL, NULL, 'a line that nobody wrote' FROM old WHERE doc_id % 29 = 3 AND p = 0),
+truth_page AS MATERIALIZED (
+  SELECT o.doc_id AS case_id, p::INT AS page_index, CASE WHEN rule = 2 AND n > 1 AND p = n - 1 THEN 'removed' WHEN t.case_id IS NULL THEN 'match' ELSE 'modified' END AS status, NULL::VARCHAR AS text_status, CASE WHEN rule = 3 THEN 'modified' END AS visual_status, NULL::VARCHAR AS hybrid_status
+  FROM old o LEFT JOIN (SELECT DISTINCT case_id, page_index FROM truth_region WHERE region_id >= 0) t ON t.case_id = doc_id AND t.page_index = p
+  UNION ALL SELECT DISTINCT doc_id, n::INT, 'added', NULL, NULL, NULL FROM old WHERE rule = 1)"""
+
+CASES = f"""{REGIONS},{_MODES},{_TRUTH},
+expected AS (SELECT case_id, mode, page_index, coalesce(CASE mode WHEN 'text' THEN text_status WHEN 'visual' THEN visual_status ELSE hybrid_status END, status) AS status FROM truth_page CROSS JOIN mode_name),
+classes AS (SELECT coalesce(e.case_id, s.pair_id) AS case_id, coalesce(e.mode, s.mode) AS mode, count(*) AS pages_total, count(*) FILTER (e.status = s.status) AS pages_correct FROM expected e FULL JOIN mode_page s ON e.case_id = s.pair_id AND e.mode = s.mode AND e.page_index = s.page_index GROUP BY 1, 2),
+clean AS (SELECT case_id, mode, bool_and(status = 'match') AS clean FROM expected GROUP BY ALL),
+wrong AS (SELECT pair_id AS case_id, s.mode, has_differences AND coalesce(clean, true) AS doc_false_positive FROM mode_stats s LEFT JOIN clean c ON case_id = pair_id AND c.mode = s.mode),
+text_true AS (SELECT case_id, nullif(trim(regexp_replace(old_text, '{SPACE}', ' ', 'g')), '') AS o, nullif(trim(regexp_replace(new_text, '{SPACE}', ' ', 'g')), '') AS n FROM truth_region WHERE old_text IS NOT NULL OR new_text IS NOT NULL),
+text_found AS (SELECT pair_id AS case_id, nullif(trim(regexp_replace(old_text, '{SPACE}', ' ', 'g')), '') AS o, nullif(trim(regexp_replace(new_text, '{SPACE}', ' ', 'g')), '') AS n FROM change),
+hit_true AS (SELECT t.case_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM text_found f WHERE f.case_id = t.case_id AND f.o = t.o) OR EXISTS (SELECT 1 FROM text_found f WHERE f.case_id = t.case_id AND f.n = t.n)) AS hit FROM text_true t GROUP BY 1),
+hit_found AS (SELECT t.case_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM text_true f WHERE f.case_id = t.case_id AND f.o = t.o) OR EXISTS (SELECT 1 FROM text_true f WHERE f.case_id = t.case_id AND f.n = t.n)) AS hit FROM text_found t GROUP BY 1),
+text_count AS (SELECT case_id, coalesce(t.hit, 0) AS tp, coalesce(f.n, 0) - coalesce(f.hit, 0) AS fp, coalesce(t.n, 0) - coalesce(t.hit, 0) AS fn FROM hit_true t FULL JOIN hit_found f USING (case_id)),
+true_box AS (SELECT case_id, page_index, region_id, 72::DOUBLE AS l, 842::DOUBLE - ((800 - 14 * coalesce(new_line, old_line))::DOUBLE + 8.14::DOUBLE) AS t, 72::DOUBLE + length(coalesce(new_text, old_text)) * 6.05::DOUBLE AS r,
+  842::DOUBLE - ((800 - 14 * coalesce(new_line, old_line))::DOUBLE - 1.98::DOUBLE) AS b FROM truth_region WHERE old_line IS NOT NULL OR new_line IS NOT NULL),
+seen_box AS (SELECT pair_id AS case_id, row_number() OVER () AS d, "left" l, top t, "right" r, bottom b FROM merged),
+meet AS (SELECT t.case_id, t.page_index, t.region_id, d FROM true_box t JOIN seen_box f ON t.case_id = f.case_id
   WHERE least(t.r, f.r) > greatest(t.l, f.l) AND least(t.b, f.b) > greatest(t.t, f.t) AND (t.r - t.l) * (t.b - t.t) > 0 AND (f.r - f.l) * (f.b - f.t) > 0
   AND (least(t.r, f.r) - greatest(t.l, f.l)) * (least(t.b, f.b) - greatest(t.t, f.t)) >= least((t.r - t.l) * (t.b - t.t), (f.r - f.l) * (f.b - f.t)) * 0.5::DOUBLE),
-region_count AS (SELECT n.case_id, coalesce(m.tp, 0) AS tp, f.n - coalesce(m.hit, 0) AS fp, n.n - coalesce(m.tp, 0) AS fn FROM (SELECT case_id, count(*) AS n FROM truth_box GROUP BY 1) n
-  JOIN (SELECT case_id, count(*) AS n FROM found_box GROUP BY 1) f USING (case_id) LEFT JOIN (SELECT case_id, count(DISTINCT (page_index, region_id)) AS tp, count(DISTINCT d) AS hit FROM meet GROUP BY 1) m USING (case_id)),
+region_count AS (SELECT n.case_id, coalesce(m.tp, 0) AS tp, coalesce(f.n, 0) - coalesce(m.hit, 0) AS fp, n.n - coalesce(m.tp, 0) AS fn FROM (SELECT case_id, count(*) AS n FROM true_box GROUP BY 1) n
+  LEFT JOIN (SELECT case_id, count(*) AS n FROM seen_box GROUP BY 1) f USING (case_id) LEFT JOIN (SELECT case_id, count(DISTINCT (page_index, region_id)) AS tp, count(DISTINCT d) AS hit FROM meet GROUP BY 1) m USING (case_id)),
 score AS (
-  SELECT c.case_id, 'text' AS mode, pages_total, pages_correct, doc_false_positive, t.tp AS text_tp, t.fp AS text_fp, t.fn AS text_fn, NULL::BIGINT AS region_tp, NULL::BIGINT AS region_fp, NULL::BIGINT AS region_fn
-  FROM classes c LEFT JOIN wrong USING (case_id) LEFT JOIN text_count t USING (case_id)
-  UNION ALL SELECT c.case_id, 'visual', pages_total, pages_correct, doc_false_positive, NULL, NULL, NULL, r.tp, r.fp, r.fn FROM classes c LEFT JOIN wrong USING (case_id) LEFT JOIN region_count r USING (case_id)),
+  SELECT c.case_id, c.mode, pages_total, pages_correct, doc_false_positive, CASE WHEN c.mode <> 'visual' THEN t.tp END AS text_tp, CASE WHEN c.mode <> 'visual' THEN t.fp END AS text_fp, CASE WHEN c.mode <> 'visual' THEN t.fn END AS text_fn,
+    CASE WHEN c.mode = 'visual' THEN r.tp END AS region_tp, CASE WHEN c.mode = 'visual' THEN r.fp END AS region_fp, CASE WHEN c.mode = 'visual' THEN r.fn END AS region_fn
+  FROM classes c LEFT JOIN wrong w ON w.case_id = c.case_id AND w.mode = c.mode LEFT JOIN text_count t ON t.case_id = c.case_id LEFT JOIN region_count r ON r.case_id = c.case_id),
 mode AS (
   SELECT mode, count(*) AS cases, sum(text_tp) FILTER (text_tp + text_fp + text_fn > 0)::BIGINT AS text_tp, sum(text_fp) FILTER (text_tp + text_fp + text_fn > 0)::BIGINT AS text_fp, sum(text_fn) FILTER (text_tp + text_fp + text_fn > 0)::BIGINT AS text_fn,
     sum(region_tp) FILTER (region_tp + region_fp + region_fn > 0)::BIGINT AS region_tp, sum(region_fp) FILTER (region_tp + region_fp + region_fn > 0)::BIGINT AS region_fp, sum(region_fn) FILTER (region_tp + region_fp + region_fn > 0)::BIGINT AS region_fn,
@@ -200,16 +247,19 @@ ORACLES: dict[str, str] = {
       "SELECT pair_id, page_index, round(CASE WHEN abs(x) < 1 AND abs(y) < 1 THEN 0 ELSE x END, 3)::DOUBLE AS dx, round(CASE WHEN abs(x) < 1 AND abs(y) < 1 THEN 0 ELSE y END, 3)::DOUBLE AS dy FROM shift"),
     "merged_regions": sql(REGIONS, f"SELECT {_round()} FROM merged"),
     "visual_entries": sql(REGIONS, f"SELECT {_round('* EXCLUDE n_boxes')}, 'modified' AS kind FROM merged"),
-    "hybrid_entries": sql(f"""{REGIONS}, line_box AS (SELECT pair_id, page_index, old_left AS l, 842::DOUBLE - old_top AS t, old_right AS r, 842::DOUBLE - old_bottom AS b FROM box WHERE old_line IS NOT NULL
-      UNION ALL SELECT pair_id, page_index, new_left, 842::DOUBLE - new_top, new_right, 842::DOUBLE - new_bottom FROM box WHERE new_line IS NOT NULL)""",
-      """SELECT pair_id, page_index, 'text' AS origin, kind, old_text, new_text, NULL::DOUBLE AS "left", NULL::DOUBLE AS top, NULL::DOUBLE AS "right", NULL::DOUBLE AS bottom FROM change
-      UNION ALL SELECT pair_id, page_index, 'visual', 'modified', NULL, NULL, round("left", 3), round(top, 3), round("right", 3), round(bottom, 3) FROM merged m
-      WHERE NOT EXISTS (SELECT 1 FROM line_box x WHERE x.pair_id = m.pair_id AND x.page_index = m.page_index AND m."left" < x.r AND x.l < m."right" AND m.top < x.b AND x.t < m.bottom)"""),
-    "truth_tables": sql(CASES, "SELECT case_id, page_index + 1 AS page, status FROM expected"),
-    "text_scores": sql(CASES, f"SELECT case_id, tp, fp, fn, {_rates('tp', 'fp', 'fn')} FROM text_count"),
+    "hybrid_entries": sql(f"{REGIONS},{_MODES}", f"""SELECT pair_id, page_index, origin, kind, old_text, new_text, "left", top, "right", bottom FROM (SELECT {_round()} FROM found) WHERE mode = 'hybrid'"""),
+    "compare_pages": sql(COMPARED, "SELECT pair_id, mode, page_index, status FROM mode_page"),
+    "compare_entries": sql(COMPARED, f"SELECT {_round()} FROM found"),
+    "compare_stats": sql(COMPARED, "SELECT * FROM mode_stats"),
+    "truth_tables": sql(CASES, "SELECT case_id, page_index + 1 AS page, mode, status FROM expected"),
+    "truth_regions": sql(f"{PAGES},{_TRUTH}", "SELECT * FROM truth_region"),
+    "case_list": sql(f"{PAGES},{_TRUTH}", "SELECT 'case ' || case_id AS name, string_agg(DISTINCT status, ', ' ORDER BY status) AS description FROM truth_page GROUP BY case_id"),
+    "text_scores": sql(CASES, f"SELECT case_id, mode, text_tp AS tp, text_fp AS fp, text_fn AS fn, {_rates('text_tp', 'text_fp', 'text_fn')} FROM score WHERE text_tp IS NOT NULL"),
     "region_scores": sql(CASES, "SELECT case_id, tp, fp, fn FROM region_count"),
-    "page_accuracy": sql(CASES, "SELECT case_id, pages_total, pages_correct, pages_correct / pages_total::DOUBLE AS page_accuracy FROM classes"),
+    "page_accuracy": sql(CASES, "SELECT case_id, mode, pages_total, pages_correct, pages_correct / pages_total::DOUBLE AS page_accuracy FROM classes"),
     "false_positive_docs": sql(CASES, "SELECT * FROM wrong"),
+    "case_prf": sql(CASES, """SELECT case_id, mode, CASE WHEN tp + fp + fn > 0 THEN printf('%.3f / %.3f / %.3f', coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 2 * tp / (2 * tp + fp + fn)::DOUBLE) ELSE 'n/a' END AS prf
+      FROM (SELECT case_id, mode, coalesce(text_tp, region_tp) AS tp, coalesce(text_fp, region_fp) AS fp, coalesce(text_fn, region_fn) AS fn FROM score)"""),
     "mode_summary": sql(CASES, "SELECT * FROM rated"),
     "gate": sql(CASES, "SELECT 'text_f1' AS metric, min(text_f1) AS \"value\", 0.9::DOUBLE AS threshold, coalesce(min(text_f1) >= 0.9, true) AS passed FROM rated UNION ALL SELECT 'visual_region_f1', min(region_f1) FILTER (mode = 'visual'), 0.85::DOUBLE, coalesce(min(region_f1) FILTER (mode = 'visual') >= 0.85, true) FROM rated"),
     "eval_tsv": sql(CASES, """SELECT case_id::VARCHAR AS "case", mode, coalesce(CASE WHEN text_tp + text_fp + text_fn > 0 THEN printf('%.3f', 2 * text_tp / (2 * text_tp + text_fp + text_fn)::DOUBLE) END, 'n/a') AS text_f1,
