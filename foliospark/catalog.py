@@ -15,7 +15,7 @@ from foliospark.operators.regions import merged
 from foliospark.operators.revisions import aligned, manifest, pairs, revised_pages, truth
 from foliospark.plans.oracles import ORACLES  # noqa: F401  read by the driver entry
 from foliospark.plans.shared import written
-from foliospark.sources.tables import binary_files, checked_binaries, document_summary, page_lines, pages_of, table
+from foliospark.sources.tables import checked_binaries, document_summary, page_lines, pages_of, table
 
 QUERIES: dict = {}
 
@@ -108,7 +108,7 @@ def diff_summary(spark, d):
 @query
 def overview(spark, d):
     pages, e = _both(spark, d)
-    return C.overview(C.diff_stats(_summary(pages, e)), pairs(pages))
+    return C.overview(C.diff_stats(_summary(pages, e)), pairs(pages), F.timestamp_seconds(F.lit(1704067200)))
 
 
 @query
@@ -141,10 +141,16 @@ def word_diff_markup(spark, d):
     return C.word_markup(_entries(spark, d))
 
 
+@query
+def report_changes(spark, d):
+    return C.report_rows(_compared(spark, d))
+
+
 @query
 def json_report(spark, d):
-    pages, e = _both(spark, d)
-    return C.nested_report(C.page_status(pages, e), e).select("pair_id", "n_pages", F.length("report").cast("long").alias("n_chars"), "report")
+    docs = _docs(spark, d)
+    made = C.nested_report(_compared(spark, d), _all_modes(manifest(docs)), document_summary(docs), F.timestamp_seconds(F.lit(1704067200)))
+    return made.select("pair_id", "mode", "n_pages", F.length("report").cast("long").alias("n_chars"), "report")
 
 
 @query
@@ -158,8 +164,8 @@ def golden_truth(spark, d):
 @query
 def search_hits(spark, d):
     pages = pages_of(_docs(spark, d)).select("doc_id", "page_index", F.array_join("lines", " ").alias("text"))
-    first = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(T.normalised(F.col("text")), " "), 1, 3), " ").alias("query"))
-    return M.search(pages, first)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.normalised(F.col("text")).alias("query"))
+    return M.search(pages, asked)
 
 
 @query
@@ -192,11 +198,22 @@ def outline_levels(spark, d):
     return M.outline_levels(region.unionByName(nation).unionByName(customer), 3).select("node_id", "parent_id", "title", "level", "path")
 
 
+PAGE = ["pair_id", "page_index"]
+
+
+def _side_lines(pages: DataFrame, side: str) -> DataFrame:
+    """The lines of one side of common pages, from their words as segments."""
+    lines = pages.filter("old_lines IS NOT NULL AND new_lines IS NOT NULL").select(*PAGE, F.posexplode(f"{side}_lines").alias("line_index", "text"))
+    return reading_order_lines(word_segments(lines, "pair_id"), PAGE)
+
+
+def _text_offset(pages: DataFrame) -> DataFrame:
+    return M.text_offset(_side_lines(pages, "old"), _side_lines(pages, "new"), PAGE)
+
+
 @query
 def text_offset(spark, d):
-    words = written(word_segments(page_lines(_docs(spark, d))), "segments").withColumnRenamed("doc_id", "pair_id")
-    moved = words.withColumns({"left": F.col("left") + F.col("pair_id") % 5, "top": F.col("top") - F.col("page_index") % 3})
-    return M.text_offset(words.groupBy("pair_id", "page_index", "text").agg(F.min("left").alias("left"), F.min("top").alias("top")), moved.groupBy("pair_id", "page_index", "text").agg(F.min("left").alias("left"), F.min("top").alias("top")), ["pair_id", "page_index"])
+    return _text_offset(_pages(spark, d))
 
 
 def _regions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -323,29 +340,36 @@ def eval_summary(spark, d):
     return s.select("mode", "cases", show("text_f1").alias("text_f1"), show("region_f1").alias("region_f1"), T.numeral("page_accuracy", "0.0000").alias("page_acc"), F.col("false_positive_docs").alias("fp_docs"))
 
 
-def _cells(spark, d) -> DataFrame:
-    """Event counts by user (mod 64) and hour of the day, the month's first half against its second: the two grids of a page."""
-    e = table(spark, d, "events").filter("user_id IS NOT NULL AND ts IS NOT NULL")
-    side = F.when(F.dayofmonth("ts") <= 15, "old").otherwise("new")
-    return e.groupBy(F.lit(0).alias("page"), side.alias("side"), (F.col("user_id") % 64).cast("int").alias("x"), F.hour("ts").alias("y")).agg(F.count("*").cast("int").alias("v"))
+def _cells(pages: DataFrame) -> DataFrame:
+    """Common pages whose lines aren't the same, as grids."""
+    return M.page_cells(pages.filter("old_lines IS NOT NULL AND new_lines IS NOT NULL AND old_lines <> new_lines"))
 
 
 @query
 def grid_mask(spark, d):
-    return M.grid_mask(_cells(spark, d), 2, reach=0)
+    return M.grid_mask(written(_cells(_pages(spark, d)), "cells"), PAGE)
 
 
 @query
 def grid_regions(spark, d):
-    return M.grid_regions(written(M.grid_mask(_cells(spark, d), 2, reach=0), "mask"))
+    mask = written(M.grid_mask(written(_cells(_pages(spark, d)), "cells"), PAGE), "mask")
+    return _rounded(M.grid_regions(mask, PAGE, scale=(0.24, 0.24)))
 
 
 @query
 def grid_offset(spark, d):
-    return M.grid_offset(_cells(spark, d))
+    return M.grid_offset(written(_cells(_pages(spark, d)), "cells"), PAGE)
+
+
+@query
+def page_offset(spark, d):
+    """The offset of lines that both sides have; that of the grids where there is none."""
+    pages = _pages(spark, d)
+    known = _text_offset(pages)
+    rest = pages.join(known.select(*PAGE), PAGE, "left_anti")
+    return M.page_offset(known, M.grid_offset(written(_cells(rest), "cells"), PAGE), PAGE, 612 * 300 / 72, 842 * 300 / 72)
 
 
 @query
 def binary_scan(spark, d):
-    files = binary_files(spark, f"{d}/documents.parquet")
-    return checked_binaries(files, "PAR1").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "reason")
+    return checked_binaries(spark, f"{d}/documents.parquet", "PAR1").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "reason")

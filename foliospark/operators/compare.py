@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import corners, html_escape, one_decimal
+from foliospark.functions.text import corners, html_escape, one_decimal, rfc3339
 from foliospark.plans.shared import written
 from .layout import contained, flipped, line_box, overlaps
 from .linediff import entries
@@ -44,14 +44,14 @@ def diff_stats(summary: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("has_differences", (F.col("total_changes") > 0) | (F.col("pages_added") + F.col("pages_removed") > 0))
 
 
-def overview(stats: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair_id, item, value): fourteen label and value rows a comparison."""
+def overview(stats: DataFrame, pairs: DataFrame, at: Column | None = None) -> DataFrame:
+    """(pair_id, item, value): fourteen label and value rows a comparison, with the time `at` (now, if none is given)."""
     items = [
-        ("mode", "mode"), ("time", "'2024-01-01T00:00:00Z'"), ("old document", "old_doc_id"), ("new document", "new_doc_id"), ("old pages", "old_pages"), ("new pages", "new_pages"),
+        ("mode", "mode"), ("time", "_at"), ("old document", "old_doc_id"), ("new document", "new_doc_id"), ("old pages", "old_pages"), ("new pages", "new_pages"),
         ("matching pages", "pages_match"), ("modified pages", "pages_modified"), ("added pages", "pages_added"), ("removed pages", "pages_removed"),
         ("added entries", "entries_added"), ("removed entries", "entries_removed"), ("modified entries", "entries_modified"), ("total changes", "total_changes"),
     ]
-    both = pairs.join(stats, "pair_id")
+    both = pairs.join(stats, "pair_id").withColumn("_at", rfc3339(F.current_timestamp() if at is None else at))
     return both.selectExpr("pair_id", f"stack({len(items)}, {', '.join(f'{chr(39)}{k}{chr(39)}, cast({v} as string)' for k, v in items)}) as (item, value)")
 
 
@@ -156,12 +156,42 @@ def hybrid_entries(all_entries: DataFrame, regions: DataFrame) -> DataFrame:
     return text.unionByName(seen, allowMissingColumns=True)
 
 
-def nested_report(status: DataFrame, all_entries: DataFrame) -> DataFrame:
-    """One row a pair: the report as JSON, pages and entries in order."""
-    each = changes(all_entries).groupBy("pair_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("entry_seq", "kind", "old_line", "new_line", "old_text", "new_text"))).alias("entries"))
-    pages = status.join(each, ["pair_id", "page_index"], "left").withColumn("entries", F.coalesce("entries", F.array()))
-    nested = pages.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "status", "entries"))).alias("pages"))
-    return nested.select("pair_id", F.size("pages").cast("long").alias("n_pages"), F.to_json(F.struct("pair_id", "pages")).alias("report"))
+def report_rows(report: Report) -> DataFrame:
+    """The change list of a report in any mode: page and lines from 1, texts, boxes as (l,t)-(r,b) with one decimal, and the number of changed regions."""
+    text = F.col("origin") == "text"
+    placed = boxed(report.entries)
+    corner = lambda s: F.when(text, corners(*[F.col(f"{s}_{n}") for n in ("left", "top", "right", "bottom")]))
+    seen = corners(F.col("left"), F.col("top"), F.col("right"), F.col("bottom"))
+    return placed.select(
+        "pair_id", "mode", (F.col("page_index") + 1).alias("page"), "kind", (F.col("old_line") + 1).alias("old_line"), (F.col("new_line") + 1).alias("new_line"), "old_text", "new_text",
+        F.coalesce(corner("old"), F.lit("")).alias("old_box"), F.coalesce(corner("new"), seen).alias("new_box"), F.when(text, 0).otherwise(1).alias("regions"),
+    )
+
+
+def nested_report(report: Report, pairs: DataFrame, summaries: DataFrame, at: Column | None = None) -> DataFrame:
+    """(pair_id, mode, n_pages, report): one JSON object a pair and mode: both documents (id, page count, title), mode, time, pages and their
+    entries in order with lines, texts and boxes, and the statistics.
+
+    pairs (pair_id, old_doc_id, new_doc_id, mode), summaries (doc_id, page_count, title).
+    """
+    key = ["pair_id", "mode"]
+    placed = boxed(report.entries)
+    text = F.col("origin") == "text"
+    box = lambda prefix, when: F.when(when, F.struct(*[F.col(f"{prefix}{n}").alias(n) for n in ("left", "top", "right", "bottom")]))
+    entry = F.struct(
+        F.coalesce("entry_seq", F.lit(2**31 - 1)).alias("entry_seq"), "kind", "old_line", "new_line", "old_text", "new_text", box("old_", F.col("old_line").isNotNull()).alias("old_rect"),
+        F.when(text, box("new_", F.col("new_line").isNotNull())).otherwise(box("", ~text)).alias("new_rect"), F.when(text, F.array()).otherwise(F.array(box("", ~text))).alias("visual_rects"),
+    )
+    each = placed.groupBy(*key, "page_index").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    pages = report.pages.join(each, [*key, "page_index"], "left").withColumn("entries", F.coalesce("entries", F.array()))
+    nested = pages.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("page_index", "status", "entries"))).alias("pages"))
+    known = pairs
+    for side in ("old", "new"):
+        known = known.join(summaries.select(F.col("doc_id").alias(f"{side}_doc_id"), F.struct("doc_id", "page_count", "title").alias(side)), f"{side}_doc_id", "left")
+    stats = report.stats.select(*key, F.struct(*[c for c in report.stats.columns if c not in key]).alias("stats"))
+    time = rfc3339(F.current_timestamp() if at is None else at)
+    whole = nested.join(known.select(*key, "old", "new"), key).join(stats, key).withColumn("generated_at", time)
+    return whole.select(*key, F.size("pages").cast("long").alias("n_pages"), F.to_json(F.struct("old", "new", "mode", "generated_at", "pages", "stats")).alias("report"))
 
 
 MODES = ("text", "visual", "hybrid")

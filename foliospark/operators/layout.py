@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.arrays import running
 from foliospark.functions.text import not_blank, normalised
 
 LEFT, FIRST_BASELINE, PITCH, SIZE, PAGE_HEIGHT = 72.0, 800, 14, 11, 842.0
@@ -12,34 +13,55 @@ ASCENT, DESCENT, ADVANCE = 8.14, 1.98, 6.05
 
 
 def word_segments(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The words of page lines as positioned segments; neighbours are shifted by half a point against each other."""
-    # one exchange of the lines by page serves this window and that of the reading order
-    dealt = lines.repartition(id_col, "page_index")
-    words = dealt.select(id_col, "page_index", "line_index", F.posexplode(F.split("text", " ")).alias("word_no", "word"))
-    ahead = Window.partitionBy(id_col, "page_index", "line_index").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    words = words.withColumn("offset", F.coalesce(F.sum(F.length("word") + 1).over(ahead), F.lit(0)))
+    """The words of page lines as positioned segments; neighbours are shifted by half a point against each other. No exchange."""
+    split = lines.select(id_col, "page_index", "line_index", F.split("text", " ").alias("w"))
+    offsets = running(F.transform("w", lambda x: F.length(x) + 1), lambda a, v: a + v, F.lit(0))
+    each = split.select(id_col, "page_index", "line_index", F.posexplode(F.arrays_zip(F.col("w").alias("word"), offsets.alias("offset"))).alias("word_no", "x"))
+    words = each.select(id_col, "page_index", "line_index", "word_no", "x.word", "x.offset")
     top = 800 - 14 * F.col("line_index") + ((F.col(id_col) + F.col("word_no")) % 2) * 0.5
     placed = words.select(id_col, "page_index", "line_index", "word_no", F.col("word").alias("text"), (F.col("offset") * 6).cast("double").alias("left"), top.cast("double").alias("top"))
-    return placed.withColumn("right", F.col("left") + 6 * F.length("text")).withColumn("bottom", F.col("top") - 10).withColumn("seg_id", F.col("line_index") * 100_000 + F.col("word_no"))
+    return placed.withColumn("right", F.col("left") + 6 * F.length("text")).withColumn("bottom", F.col("top") - 10).withColumn("seg_id", F.shiftleft(F.col("line_index").cast("long"), 32) + F.col("word_no"))
 
 
 def reading_order_lines(segments: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line_index, text, left, top, right, bottom): segments in order of top, then left, gathered into lines.
 
-    A segment opens a line if it lies over one point below everything before it: for well-formed boxes the lowest bottom
-    of all earlier segments of the page is that of the current line, so a running minimum decides. One window, one exchange.
+    A segment joins the line before it unless it lies below the line's bottom by more than the tolerance (0.3 of the line's height, 1 at
+    least). For well-formed boxes (top not under bottom) the height counts as 0, and the lowest bottom of all earlier
+    segments of the page is that of the current line, so a running minimum decides. Pages that hold a malformed box are folded
+    segment by segment. One exchange, which both ways share.
     """
+    shown = segments.filter(not_blank(F.col("text")))
+    flagged = shown.withColumn("bad", F.max(F.col("top") < F.col("bottom")).over(Window.partitionBy(*keys)))
     page = Window.partitionBy(*keys).orderBy(F.desc("top"), "left", "seg_id")
     lowest = F.min("bottom").over(page.rowsBetween(Window.unboundedPreceding, -1))
-    shown = segments.filter(not_blank(F.col("text")))
-    opened = shown.withColumn("opens", F.coalesce((F.col("top") < lowest - 1.0).cast("int"), F.lit(0))).withColumn("ord", F.row_number().over(page))
-    lined = opened.withColumn("line_index", F.sum("opens").over(page))
+    opened = flagged.filter("NOT bad").withColumn("opens", F.coalesce((F.col("top") < lowest - 1.0).cast("int"), F.lit(0))).withColumn("ord", F.row_number().over(page))
+    box = ["text", "left", "top", "right", "bottom"]
+    lined = opened.withColumn("line_index", F.sum("opens").over(page)).select(*keys, "line_index", "ord", *box).unionByName(_folded(flagged.filter("bad"), keys).select(*keys, "line_index", "ord", *box))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s.text), " ")
     return lined.groupBy(*keys, "line_index").agg(
         normalised(text).alias("text"), F.min("left").alias("left"), F.max("top").alias("top"), F.max("right").alias("right"), F.min("bottom").alias("bottom")
     )
 
 
+def _folded(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments with ord and line_index, from a fold over a page's segments in reading order."""
+    listed = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("top")).alias("down"), "left", "seg_id", "text", "top", "right", "bottom"))).alias("s"))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        joins = F.coalesce(s.top >= a.bottom - F.greatest(F.greatest(a.bottom - a.top, F.lit(0.0)) * 0.3, F.lit(1.0)), F.lit(False))
+        line = a.line + F.when(joins, 0).otherwise(1)
+        return F.struct(
+            F.when(joins, F.greatest(a.top, s.top)).otherwise(s.top).cast("double").alias("top"), F.when(joins, F.least(a.bottom, s.bottom)).otherwise(s.bottom).cast("double").alias("bottom"),
+            line.alias("line"), F.array_append(a.out, line).alias("out"),
+        )
+
+    folded = listed.withColumn("n", F.aggregate("s", start, step, lambda a: a.out))
+    each = folded.select(*keys, F.posexplode(F.arrays_zip("s", "n")).alias("ord", "x"))
+    return each.select(*keys, F.col("x.n").cast("long").alias("line_index"), "ord", *[F.col(f"x.s.{c}").alias(c) for c in ("text", "left", "top", "right", "bottom")])
+
+
 def line_box(line: Column, text: Column) -> dict[str, Column]:
     """The estimated box of a line of type, in PDF space."""
     baseline = (FIRST_BASELINE - PITCH * line).cast("double")

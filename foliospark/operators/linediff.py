@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.plans.shared import ensure_importable
+from foliospark.plans.shared import ensure_importable, written
 from .revisions import keys
 
 KEPT = "array<struct<o:int,n:int>>"
+#: Rows of the table of common lengths that are held while they are traced.
+ROWS_HELD = 64
 
 
 def paths(pages: DataFrame) -> DataFrame:
@@ -28,21 +30,42 @@ def paths(pages: DataFrame) -> DataFrame:
 
 
 def common_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence."""
+    """Index pairs of a longest common subsequence.
+
+    Rows of the table of common lengths come from the row above; halves are traced from below, each from its own first row, so that a
+    logarithm of rows is held at a time.
+    """
     codes: dict[str, int] = {}
     a, b = (np.array([codes.setdefault(x, len(codes)) for x in side], np.int64) for side in (old, new))
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a)):
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(b == a[i], table[i, :-1] + 1, 0)))
-    i, j, out = len(a), len(b), []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif table[i - 1, j] >= table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    out: list[tuple[int, int]] = []
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        after = np.zeros_like(row)
+        after[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b[: len(row) - 1] == a[i], row[:-1] + 1, 0)))
+        return after
+
+    def trace(low: int, high: int, row: np.ndarray) -> int:
+        """Pairs of the old lines [low, high) with the new lines that `row`, the one before low, covers; returns how many of these are left."""
+        if high - low > ROWS_HELD:
+            middle, now = (low + high) // 2, row
+            for i in range(low, middle):
+                now = below(now, i)
+            return trace(low, middle, row[: trace(middle, high, now) + 1])
+        table = [row]
+        for i in range(low, high):
+            table.append(below(table[-1], i))
+        i, j = high, len(row) - 1
+        while i > low and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif table[i - 1 - low][j] >= table[i - low][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return j
+
+    trace(0, len(a), np.zeros(len(b) + 1, np.int32))
     return out[::-1]
 
 
@@ -54,9 +77,9 @@ def _by_search(batches):
 
 
 def kept_lines(pages: DataFrame) -> DataFrame:
-    """Common pages with path and kept: the index pairs of the lines that stay."""
+    """Common pages with path and kept: the index pairs of the lines that stay. The routed pages are written, as three branches read them."""
     ensure_importable(pages.sparkSession)
-    routed = paths(pages)
+    routed = written(paths(pages), "routed")
     place = lambda o, n: F.struct(o.cast("int").alias("o"), n.cast("int").alias("n"))
     equal = F.transform("ok", lambda k, i: place(i, i))
     moved = F.filter(F.transform("ok", lambda k, i: place(i, F.array_position("nk", k) - 1)), lambda p: p.n >= 0)

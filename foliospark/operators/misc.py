@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.colour import CHANNELS, difference, luminance
 from foliospark.functions.text import alignment_key, match_count, normalised, snippet
 from foliospark.plans.components import components
 
 
+#: Letters by which words and query words meet.
+GRAM = 3
+
+
 def search(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, page_index, match_count, snippet): every query over every page that holds it, in any case.
 
-    A page can only hold a query if it holds the query's longest word as part of one of its own words; the distinct words of the
-    pages are looked at once for each distinct longest word, and what is left joins on words. Blank queries find nothing.
+    A page can only hold a query if it holds the query's longest word as part of one of its own words. That part shares its first `GRAM`
+    letters (all of a shorter word) with the query's word, so distinct words and distinct query words meet on letter groups, by
+    an equi-join, and what is left joins on words. Blank queries find nothing.
     """
     asked = queries.filter(F.trim("query") != "").withColumn("q", F.lower(F.trim("query"))).withColumn("w", F.element_at(F.array_sort(F.split("q", r"\s+"), lambda a, b: F.length(a) - F.length(b)), -1))
     texts = pages.withColumn("low", F.lower("text"))
     words = texts.select("doc_id", "page_index", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word"))
-    hits = words.select("word").distinct().join(asked.select("w").distinct(), F.contains("word", "w"))
+    wanted = asked.select("w", F.substring("w", 1, GRAM).alias("gram")).distinct()
+    groups = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("word") - i + 1)), lambda n: F.substring(F.col("word"), i, n)))))
+    known = words.select("word").distinct().filter("word <> ''").select("word", F.explode(groups).alias("gram"))
+    hits = known.join(wanted, "gram").filter(F.contains("word", "w")).select("word", "w").distinct()
     places = words.join(hits, "word").select("doc_id", "page_index", "w").distinct()
     found = places.join(asked, "w").join(texts, ["doc_id", "page_index"]).filter(F.contains("low", "q"))
     return found.select("query_id", "doc_id", "page_index", match_count(F.col("text"), F.col("q")).alias("match_count"), snippet(F.col("text"), F.col("q")).alias("snippet"))
@@ -51,40 +60,88 @@ def text_offset(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return shift.select(*keys, F.round(F.when(small, 0.0).otherwise(F.col("x")), 3).alias("dx"), F.round(F.when(small, 0.0).otherwise(F.col("y")), 3).alias("dy"))
 
 
-def grid_mask(cells: DataFrame, threshold: int, reach: int = 1, neighbours: int = 3) -> DataFrame:
-    """(page, x, y): cells that differ from every old cell within `reach` by more than the threshold, and have as many differing
-    neighbours. cells (page, side, x, y, v); a missing cell is 0."""
-    side = lambda s: cells.filter(F.col("side") == s).select("page", "x", "y", F.col("v").alias(s))
-    both = side("old").join(side("new"), ["page", "x", "y"], "full").select("page", "x", "y", F.coalesce("old", F.lit(0)).alias("old"), F.coalesce("new", F.lit(0)).alias("new"))
-    centre = both.filter(F.abs(F.col("old") - F.col("new")) > threshold)
+def page_cells(pages: DataFrame) -> DataFrame:
+    """(pair_id, page_index, side, x, y, r, g, b, a): pages as grids, a cell a word, the longer the darker, letters red and others blue."""
+    def side(name: str) -> DataFrame:
+        lines = pages.select("pair_id", "page_index", F.posexplode(f"{name}_lines").alias("y", "line"))
+        words = lines.select("pair_id", "page_index", "y", F.posexplode(F.split("line", " ")).alias("x", "w"))
+        letters = F.length(F.regexp_replace("w", "[^A-Za-z]", ""))
+        grey = lambda n: F.greatest(F.lit(0), 255 - n * 20).cast("int")
+        return words.select("pair_id", "page_index", F.lit(name).alias("side"), "x", "y", grey(F.length("w")).alias("r"), grey(letters).alias("g"), grey(F.length("w") - letters).alias("b"), F.lit(255).alias("a"))
+
+    return side("old").unionByName(side("new"))
+
+
+def _pixel() -> Column:
+    return F.struct(*CHANNELS)
+
+
+def _white() -> Column:
+    return F.struct(*[F.lit(255).alias(c) for c in CHANNELS])
+
+
+def _extent(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides are padded to one extent: missing cells are white."""
+    return cells.groupBy(*keys).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def grid_mask(cells: DataFrame, keys: list[str], threshold: float = 60.0, reach: int = 2, neighbours: int = 3) -> DataFrame:
+    """(keys, x, y): old cells that differ in colour by more than the threshold from every new cell within `reach` (places beyond the rim count
+    as those at the rim), and have as many differing ones among their eight neighbours."""
+    side = lambda s: cells.filter(F.col("side") == s).select(*keys, "x", "y", _pixel().alias(s))
+    new = side("new")
+    both = side("old").join(new, [*keys, "x", "y"], "full").select(*keys, "x", "y", F.coalesce("old", _white()).alias("old"), F.coalesce("new", _white()).alias("new"))
+    centre = both.filter(difference(F.col("old"), F.col("new")) > threshold).join(_extent(cells, keys), keys)
     steps = [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]
-    around = F.array(*[F.struct((F.col("x") + dx).alias("ax"), (F.col("y") + dy).alias("ay")) for dx, dy in steps])
-    looked = centre.select("page", "x", "y", "new", F.inline(around)).join(both.select("page", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("old").alias("near")), ["page", "ax", "ay"])
-    like = looked.filter(F.abs(F.col("near") - F.col("new")) <= threshold).select("page", "x", "y").distinct()
-    differing = centre.join(like, ["page", "x", "y"], "left_anti").select("page", "x", "y")
+    inside = lambda v, most: F.greatest(F.lit(0), F.least(v, F.col(most) - 1))
+    around = F.array_distinct(F.array(*[F.struct(inside(F.col("x") + dx, "width").alias("ax"), inside(F.col("y") + dy, "height").alias("ay")) for dx, dy in steps]))
+    near = new.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("new").alias("near"))
+    looked = centre.select(*keys, "x", "y", "old", F.inline(around)).join(near, [*keys, "ax", "ay"], "left")
+    like = looked.groupBy(*keys, "x", "y").agg(F.bool_or(difference(F.col("old"), F.coalesce("near", _white())) <= threshold).alias("like"))
+    differing = like.filter("NOT like").drop("like")
     ring = F.array(*[F.struct((F.col("x") + dx).alias("x2"), (F.col("y") + dy).alias("y2")) for dx, dy in [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]])
-    support = differing.select("page", F.inline(ring)).groupBy("page", F.col("x2").alias("x"), F.col("y2").alias("y")).agg(F.count("*").alias("n"))
-    return differing.join(support.filter(F.col("n") >= neighbours), ["page", "x", "y"], "left_semi")
+    support = differing.select(*keys, F.inline(ring)).groupBy(*keys, F.col("x2").alias("x"), F.col("y2").alias("y")).agg(F.count("*").alias("n"))
+    return differing.join(support.filter(F.col("n") >= neighbours), [*keys, "x", "y"], "left_semi")
 
 
-def grid_regions(mask: DataFrame, least: int = 3) -> DataFrame:
-    """(page, left, top, right, bottom, n_cells): 4-connected regions of the mask with at least `least` cells; right and bottom exclusive."""
-    numbered = mask.withColumn("node", F.xxhash64("page", "x", "y"))
-    step = lambda dx, dy: numbered.select("page", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("node").alias("a")).join(numbered.select("page", "x", "y", F.col("node").alias("b")), ["page", "x", "y"]).select("a", "b")
+def grid_regions(mask: DataFrame, keys: list[str], least: int = 8, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(keys, left, top, right, bottom, n_cells): 4-connected regions of the mask with at least `least` cells, right and bottom exclusive, in cells
+    times the scale."""
+    numbered = mask.withColumn("node", F.xxhash64(*keys, "x", "y"))
+    step = lambda dx, dy: numbered.select(*keys, (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("node").alias("a")).join(numbered.select(*keys, "x", "y", F.col("node").alias("b")), [*keys, "x", "y"]).select("a", "b")
     labels = components(step(1, 0).union(step(0, 1)), "grid").withColumnRenamed("node", "_n")
     named = numbered.join(labels, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
-    boxes = named.groupBy("page", "component").agg(F.min("x").alias("left"), F.min("y").alias("top"), (F.max("x") + 1).alias("right"), (F.max("y") + 1).alias("bottom"), F.count("*").alias("n_cells"))
+    w, h = scale
+    boxes = named.groupBy(*keys, "component").agg((F.min("x") * w).alias("left"), (F.min("y") * h).alias("top"), ((F.max("x") + 1) * w).alias("right"), ((F.max("y") + 1) * h).alias("bottom"), F.count("*").alias("n_cells"))
     return boxes.filter(F.col("n_cells") >= least).drop("component")
 
 
-def grid_offset(cells: DataFrame, reach: int = 2, every: int = 2) -> DataFrame:
-    """(page, dx, dy, score): the whole-cell shift with the smallest mean absolute difference on every `every`-th cell; the first of equals."""
-    new = cells.filter((F.col("side") == "new") & (F.col("x") % every == 0) & (F.col("y") % every == 0)).select("page", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("v").alias("nv"))
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)])
-    moved = new.select("*", F.inline(steps)).withColumn("x", F.col("nx") - F.col("dx")).withColumn("y", F.col("ny") - F.col("dy"))
-    scored = moved.join(cells.filter("side = 'old'").select("page", "x", "y", "v"), ["page", "x", "y"]).groupBy("page", "dx", "dy").agg((F.sum(F.abs(F.col("nv") - F.col("v"))) / F.count("*")).alias("score"))
-    best = scored.groupBy("page").agg(F.min(F.struct("score", (F.abs("dx") + F.abs("dy")).alias("far"), "dx", "dy")).alias("b"))
-    return best.select("page", "b.dx", "b.dy", F.round("b.score", 6).alias("score"))
+def grid_offset(cells: DataFrame, keys: list[str], reach: float = 2.0, step: float = 0.25, every: int = 8) -> DataFrame:
+    """(keys, dx, dy, score): the shift of the new side with the smallest mean difference in luminance on every `every`-th old cell.
+
+    Shifts go by `step` up to `reach`; between cells a value is bilinear, channel by channel, in whole numbers; what comes to lie outside
+    doesn't count. No shift wins over equals, then the first by dy and dx.
+    """
+    n = int(reach / step)
+    steps = [k * step for k in range(-n, n + 1)]
+    extent = _extent(cells, keys)
+    spots = extent.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1, F.lit(every))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(every))).alias("y"))
+    side = lambda s: cells.filter(F.col("side") == s).select(*keys, "x", "y", _pixel().alias(s))
+    sampled = spots.join(side("old"), [*keys, "x", "y"], "left").select(*keys, "width", "height", "x", "y", luminance(F.coalesce("old", _white())).alias("old"))
+    moved = sampled.select("*", F.explode(F.array(*map(F.lit, steps))).alias("dx")).select("*", F.explode(F.array(*map(F.lit, steps))).alias("dy"))
+    at = moved.withColumn("nx", F.col("x") + F.col("dx")).withColumn("ny", F.col("y") + F.col("dy")).filter("nx >= 0 AND ny >= 0 AND nx < width AND ny < height")
+    at = at.withColumn("nx", F.least("nx", F.col("width") - 1)).withColumn("ny", F.least("ny", F.col("height") - 1))
+    low = at.withColumns({"x0": F.floor("nx").cast("int"), "y0": F.floor("ny").cast("int")}).withColumns({"fx": F.col("nx") - F.col("x0"), "fy": F.col("ny") - F.col("y0")})
+    corner = lambda i, j: F.struct(
+        F.least(F.col("x0") + i, F.col("width") - 1).alias("cx"), F.least(F.col("y0") + j, F.col("height") - 1).alias("cy"), ((F.col("fx") if i else 1 - F.col("fx")) * (F.col("fy") if j else 1 - F.col("fy"))).alias("weight"),
+    )
+    spread = low.select(*keys, "x", "y", "dx", "dy", "old", F.inline(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).filter("weight > 0")
+    met = spread.join(side("new").withColumnsRenamed({"x": "cx", "y": "cy"}), [*keys, "cx", "cy"], "left").withColumn("new", F.coalesce("new", _white()))
+    mixed = met.groupBy(*keys, "dx", "dy", "x", "y").agg(F.first("old").alias("old"), *[F.round(F.sum(F.col("weight") * F.col(f"new.{c}"))).alias(c) for c in CHANNELS])
+    scored = mixed.groupBy(*keys, "dx", "dy").agg(F.avg(F.abs(F.col("old") - luminance(_pixel()))).alias("score"))
+    # sums come in no certain order: equal to nine places is equal
+    best = scored.groupBy(*keys).agg(F.min(F.struct(F.round("score", 9).alias("score"), ((F.col("dx") != 0) | (F.col("dy") != 0)).alias("moved"), "dy", "dx")).alias("b"))
+    return best.select(*keys, "b.dx", "b.dy", F.round("b.score", 6).alias("score"))
 
 
 def page_offset(by_text: DataFrame, by_grid: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:

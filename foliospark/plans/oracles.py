@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foliospark.functions import colour
 from foliospark.sources.tables import PAGE_LINES
 
 SPACE = r"\s+"
@@ -196,13 +197,66 @@ def sql(ctes: str, select: str) -> str:
 SEGMENTS = f"""{LINES},
 seg AS (SELECT doc_id, page_index, line_index, i - 1 AS word_no, w[i] AS text, (length(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END) * 6::DOUBLE AS "left",
   800 - 14 * line_index + ((doc_id + i - 1) % 2) * 0.5::DOUBLE AS top FROM (SELECT doc_id, page_index, line_index, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM line)),
-placed AS (SELECT *, "left" + 6 * length(text) AS "right", top - 10 AS bottom, line_index * 100000 + word_no AS seg_id FROM seg)"""
+placed AS (SELECT *, "left" + 6 * length(text) AS "right", top - 10 AS bottom, (line_index::BIGINT << 32) + word_no AS seg_id FROM seg)"""
+
+SIDE_LINES = f"""{PAGES},
+side_line AS (SELECT pair_id, page_index, s, i - 1 AS line_index, l[i] AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (
+  SELECT pair_id, page_index, 'old' AS s, old_lines AS l FROM side WHERE side = 'common' UNION ALL SELECT pair_id, page_index, 'new', new_lines FROM side WHERE side = 'common'))),
+side_word AS (SELECT pair_id, page_index, s, line_index, i - 1 AS word_no, w[i] AS text, (length(array_to_string(w[1:i - 1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END) * 6::DOUBLE AS l
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT pair_id, page_index, s, line_index, string_split(text, ' ') AS w FROM side_line))),
+side_seg AS (SELECT *, 800 - 14 * line_index + ((pair_id + word_no) % 2) * 0.5::DOUBLE AS t, (line_index::BIGINT << 32) + word_no AS seg_id FROM side_word WHERE trim(text) <> ''),
+side_open AS (SELECT *, row_number() OVER (PARTITION BY pair_id, page_index, s ORDER BY t DESC, l, seg_id) AS ord,
+  CASE WHEN t < min(t - 10) OVER (PARTITION BY pair_id, page_index, s ORDER BY t DESC, l, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 THEN 1 ELSE 0 END AS opens FROM side_seg),
+shown_line AS (SELECT pair_id, page_index, s, line, lower(string_agg(text, ' ' ORDER BY ord)) AS k, min(l) AS l, max(t) AS t FROM (SELECT *, sum(opens) OVER (PARTITION BY pair_id, page_index, s ORDER BY ord) AS line FROM side_open) GROUP BY ALL),
+shift AS (SELECT a.pair_id, a.page_index, median(b.l - a.l) * 300 / 72 AS x, -median(b.t - a.t) * 300 / 72 AS y FROM shown_line a JOIN shown_line b ON a.pair_id = b.pair_id AND a.page_index = b.page_index AND a.k = b.k WHERE a.s = 'old' AND b.s = 'new' GROUP BY ALL),
+text_shift AS (SELECT pair_id, page_index, round(CASE WHEN abs(x) < 1 AND abs(y) < 1 THEN 0 ELSE x END, 3)::DOUBLE AS dx, round(CASE WHEN abs(x) < 1 AND abs(y) < 1 THEN 0 ELSE y END, 3)::DOUBLE AS dy FROM shift)"""
+
+
+def _axis_of(weights: tuple, p: str) -> str:
+    return " + ".join(f"{w}::DOUBLE * {p}{c}" for w, c in zip(weights, "rgb", strict=True))
+
+
+def _difference(p: str, q: str) -> str:
+    """Of two colours, as the column function has it; all cells are opaque."""
+    y, i, k = (f"(({_axis_of(w, p)}) - ({_axis_of(w, q)}))" for w in (colour.Y, colour.I, colour.Q))
+    return f"sqrt({y} * {y} + 0.48::DOUBLE * {i} * {i} + 0.48::DOUBLE * {k} * {k} + {y} * {y} + 0.3::DOUBLE * {i} * {i} + 0.3::DOUBLE * {k} * {k})"
+
+
+_WHITE = ", ".join(f"coalesce({{0}}.{c}, 255) AS {{1}}{c}" for c in "rgb")
+
+
+def _cells(which: str) -> str:
+    return f"""
+grid_line AS (SELECT pair_id, page_index, s, i - 1 AS y, l[i] AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (
+  SELECT pair_id, page_index, 'old' AS s, old_lines AS l FROM side WHERE side = 'common' AND old_lines <> new_lines AND {which} UNION ALL SELECT pair_id, page_index, 'new', new_lines FROM side WHERE side = 'common' AND old_lines <> new_lines AND {which}))),
+grid_word AS (SELECT pair_id, page_index, s, y, i - 1 AS x, length(w[i]) AS n, length(regexp_replace(w[i], '[^A-Za-z]', '', 'g')) AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT pair_id, page_index, s, y, string_split(text, ' ') AS w FROM grid_line))),
+cell AS MATERIALIZED (SELECT pair_id, page_index, s, x, y, greatest(0, 255 - n * 20) AS r, greatest(0, 255 - k * 20) AS g, greatest(0, 255 - (n - k) * 20) AS b FROM grid_word),
+extent AS (SELECT pair_id, page_index, max(x) + 1 AS width, max(y) + 1 AS height FROM cell GROUP BY ALL)"""
+
+
+MASK = f"""{PAGES},{_cells('true')},
+pixel AS (SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, coalesce(o.page_index, n.page_index) AS page_index, coalesce(o.x, n.x) AS x, coalesce(o.y, n.y) AS y, {_WHITE.format('o', 'u')}, {_WHITE.format('n', 'v')}
+  FROM (SELECT * FROM cell WHERE s = 'old') o FULL JOIN (SELECT * FROM cell WHERE s = 'new') n ON o.pair_id = n.pair_id AND o.page_index = n.page_index AND o.x = n.x AND o.y = n.y),
+centre AS (SELECT p.*, width, height FROM pixel p JOIN extent USING (pair_id, page_index) WHERE {_difference('u', 'v')} > 60),
+looked AS (SELECT *, greatest(0, least(x + dx, width - 1)) AS ax, greatest(0, least(y + dy, height - 1)) AS ay FROM centre, range(-2, 3) u(dx), range(-2, 3) v(dy)),
+differing AS MATERIALIZED (SELECT q.pair_id, q.page_index, q.x, q.y FROM (SELECT l.pair_id, l.page_index, l.x, l.y, l.ur, l.ug, l.ub, {_WHITE.format('c', 'm')} FROM (SELECT pair_id, page_index, x, y, ax, ay, ur, ug, ub FROM looked) l
+  LEFT JOIN cell c ON c.s = 'new' AND c.pair_id = l.pair_id AND c.page_index = l.page_index AND c.x = ax AND c.y = ay) q GROUP BY ALL HAVING min({_difference('q.u', 'q.m')}) > 60),
+mask AS (SELECT pair_id, page_index, x, y FROM differing a WHERE (SELECT count(*) FROM differing b WHERE a.pair_id = b.pair_id AND a.page_index = b.page_index AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)) >= 3)"""
+
+_LUMA = "0.29889531::DOUBLE * {0}r + 0.58662247::DOUBLE * {0}g + 0.11448223::DOUBLE * {0}b"
+
+
+def _offset(which: str) -> str:
+    return f"""{_cells(which)},
+spot AS (SELECT e.pair_id, e.page_index, width, height, x, y, {_LUMA.format('p.')} AS old FROM (SELECT v.pair_id, v.page_index, v.x, v.y, {_WHITE.format('c', '')} FROM
+  (SELECT *, unnest(range(0, height, 8)) AS y FROM (SELECT *, unnest(range(0, width, 8)) AS x FROM extent)) v LEFT JOIN cell c ON c.s = 'old' AND c.pair_id = v.pair_id AND c.page_index = v.page_index AND c.x = v.x AND c.y = v.y) p JOIN extent e USING (pair_id, page_index)),
+tried AS (SELECT *, least(x + dx, width - 1) AS nx, least(y + dy, height - 1) AS ny FROM (SELECT *, (a - 8) * 0.25::DOUBLE AS dx, (b - 8) * 0.25::DOUBLE AS dy FROM spot, range(17) m(a), range(17) n(b)) WHERE x + dx >= 0 AND y + dy >= 0 AND x + dx < width AND y + dy < height),
+corner AS (SELECT *, least(floor(nx)::BIGINT + i, width - 1) AS cx, least(floor(ny)::BIGINT + j, height - 1) AS cy, (CASE i WHEN 1 THEN nx - floor(nx) ELSE 1 - nx + floor(nx) END) * (CASE j WHEN 1 THEN ny - floor(ny) ELSE 1 - ny + floor(ny) END) AS weight FROM tried, range(2) p(i), range(2) q(j)),
+mixed AS (SELECT k.pair_id, k.page_index, dx, dy, k.x, k.y, any_value(old) AS old, round(sum(weight * coalesce(c.r, 255))) AS r, round(sum(weight * coalesce(c.g, 255))) AS g, round(sum(weight * coalesce(c.b, 255))) AS b
+  FROM corner k LEFT JOIN cell c ON c.s = 'new' AND c.pair_id = k.pair_id AND c.page_index = k.page_index AND c.x = cx AND c.y = cy WHERE weight > 0 GROUP BY ALL),
+scored AS (SELECT pair_id, page_index, dx, dy, avg(abs(old - ({_LUMA.format('')}))) AS score FROM mixed GROUP BY ALL),
+grid_shift AS (SELECT pair_id, page_index, dx, dy, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY pair_id, page_index ORDER BY round(score, 9), dx <> 0 OR dy <> 0, dy, dx) = 1)"""
 
-CELLS = "cell AS (SELECT CASE WHEN day(ts) <= 15 THEN 'old' ELSE 'new' END AS side, (user_id % 64)::INT AS x, hour(ts)::INT AS y, count(*)::INT AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)"
-MASK = f"""{CELLS},
-both_sides AS (SELECT x, y, coalesce(o.v, 0) AS o, coalesce(n.v, 0) AS n FROM (SELECT * FROM cell WHERE side = 'old') o FULL JOIN (SELECT * FROM cell WHERE side = 'new') n USING (x, y)),
-differing AS (SELECT x, y FROM both_sides WHERE abs(o - n) > 2),
-mask AS (SELECT x, y FROM differing a WHERE (SELECT count(*) FROM differing b WHERE abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)) >= 3)"""
 
 TEXT_PAGE = "text_page AS (SELECT doc_id, page_index, string_agg(text, ' ' ORDER BY line_index) AS text FROM line GROUP BY ALL)"
 
@@ -231,7 +285,7 @@ ORACLES: dict[str, str] = {
     "word_diff": sql(ENTRIES, f"SELECT pair_id, page_index, entry_seq, coalesce(array_to_string(list_filter({_O}, lambda x: NOT list_contains({_N}, x)), ' '), '') AS deleted, coalesce(array_to_string(list_filter({_N}, lambda x: NOT list_contains({_O}, x)), ' '), '') AS inserted FROM change WHERE kind = 'modified'"),
     "word_diff_markup": sql(ENTRIES, f"SELECT pair_id, page_index, entry_seq, kind, {_markup(_O, _N, 'del', 'removed', 'old_text')} AS old_markup, {_markup(_N, _O, 'ins', 'added', 'new_text')} AS new_markup FROM change"),
     "golden_truth": sql(ENTRIES, "SELECT pair_id, page_index + 1 AS page, entry_seq, CASE WHEN kind <> 'added' THEN old_text END AS old_text, CASE WHEN kind <> 'removed' THEN new_text END AS new_text FROM change"),
-    "search_hits": sql(f"{LINES}, {TEXT_PAGE}, asked AS (SELECT item_id AS query_id, lower(array_to_string(string_split(trim(regexp_replace(text, '{SPACE}', ' ', 'g')), ' ')[1:3], ' ')) AS q FROM benchmark)", """
+    "search_hits": sql(f"{LINES}, {TEXT_PAGE}, asked AS (SELECT item_id AS query_id, lower(trim(regexp_replace(text, '{SPACE}', ' ', 'g'))) AS q FROM benchmark)", """
       SELECT query_id, doc_id, page_index, ((length(lower(text)) - length(replace(lower(text), q, ''))) // length(q))::BIGINT AS match_count,
         CASE WHEN instr(lower(text), q) > 41 THEN '...' ELSE '' END || trim(substring(text, greatest(instr(lower(text), q) - 41, 0) + 1, least(instr(lower(text), q) - 1 + length(q) + 40, length(text)) - greatest(instr(lower(text), q) - 41, 0))) AS snippet
       FROM text_page JOIN asked ON contains(lower(text), q) WHERE trim(q) <> ''"""),
@@ -242,9 +296,9 @@ ORACLES: dict[str, str] = {
     "outline_levels": """WITH RECURSIVE node AS (SELECT 'r' || r_regionkey AS node_id, NULL::VARCHAR AS parent_id, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
       tree(node_id, parent_id, title, level, path) AS (SELECT node_id, parent_id, title, 0, node_id FROM node WHERE parent_id IS NULL UNION ALL SELECT n.node_id, n.parent_id, n.title, level + 1, path || '/' || n.node_id FROM node n JOIN tree t ON n.parent_id = t.node_id)
       SELECT node_id, parent_id, coalesce(nullif(trim(title), ''), '(Untitled)') AS title, level, path FROM tree""",
-    "text_offset": sql(f"""{SEGMENTS}, word AS (SELECT doc_id AS pair_id, page_index, lower(text) AS k, text, min("left") AS l, min(top) AS t FROM placed GROUP BY doc_id, page_index, text),
-      shift AS (SELECT pair_id, page_index, median((b.l + pair_id % 5) - a.l) * 300 / 72 AS x, -median((b.t - page_index % 3) - a.t) * 300 / 72 AS y FROM word a JOIN word b USING (pair_id, page_index, k) GROUP BY ALL)""",
-      "SELECT pair_id, page_index, round(CASE WHEN abs(x) < 1 AND abs(y) < 1 THEN 0 ELSE x END, 3)::DOUBLE AS dx, round(CASE WHEN abs(x) < 1 AND abs(y) < 1 THEN 0 ELSE y END, 3)::DOUBLE AS dy FROM shift"),
+    "text_offset": sql(SIDE_LINES, "SELECT pair_id, page_index, dx, dy FROM text_shift"),
+    "page_offset": sql(f"{SIDE_LINES},{_offset('(pair_id, page_index) NOT IN (SELECT (pair_id, page_index) FROM text_shift)')},both_shifts AS (SELECT pair_id, page_index, dx, dy FROM text_shift UNION ALL SELECT pair_id, page_index, dx, dy FROM grid_shift)",
+      "SELECT pair_id, page_index, CASE WHEN none THEN 0 ELSE dx END AS dx, CASE WHEN none THEN 0 ELSE dy END AS dy FROM (SELECT *, abs(dx) < 1 AND abs(dy) < 1 OR abs(dx) > 612 * 300 / 72 / 8 OR abs(dy) > 842 * 300 / 72 / 8 AS none FROM both_shifts)"),
     "merged_regions": sql(REGIONS, f"SELECT {_round()} FROM merged"),
     "visual_entries": sql(REGIONS, f"SELECT {_round('* EXCLUDE n_boxes')}, 'modified' AS kind FROM merged"),
     "hybrid_entries": sql(f"{REGIONS},{_MODES}", f"""SELECT pair_id, page_index, origin, kind, old_text, new_text, "left", top, "right", bottom FROM (SELECT {_round()} FROM found) WHERE mode = 'hybrid'"""),
@@ -265,9 +319,10 @@ ORACLES: dict[str, str] = {
     "eval_tsv": sql(CASES, """SELECT case_id::VARCHAR AS "case", mode, coalesce(CASE WHEN text_tp + text_fp + text_fn > 0 THEN printf('%.3f', 2 * text_tp / (2 * text_tp + text_fp + text_fn)::DOUBLE) END, 'n/a') AS text_f1,
       coalesce(CASE WHEN region_tp + region_fp + region_fn > 0 THEN printf('%.3f', 2 * region_tp / (2 * region_tp + region_fp + region_fn)::DOUBLE) END, 'n/a') AS region_f1, printf('%.4f', pages_correct / pages_total::DOUBLE) AS page_acc, doc_false_positive::INT::VARCHAR AS fp_doc FROM score"""),
     "eval_summary": sql(CASES, "SELECT mode, cases, coalesce(printf('%.3f', text_f1), 'n/a') AS text_f1, coalesce(printf('%.3f', region_f1), 'n/a') AS region_f1, printf('%.4f', page_accuracy) AS page_acc, false_positive_docs AS fp_docs FROM rated"),
-    "grid_mask": sql(MASK, "SELECT 0 AS page, x, y FROM mask"),
-    "grid_regions": sql(f"{MASK}, walk(x, y, a, b) AS (SELECT x, y, x, y FROM mask UNION SELECT w.x, w.y, m.x, m.y FROM walk w JOIN mask m ON abs(w.a - m.x) + abs(w.b - m.y) = 1), named AS (SELECT x, y, min(a * 1000 + b) AS c FROM walk GROUP BY ALL)",
-      'SELECT 0 AS page, min(x) AS "left", min(y) AS top, max(x) + 1 AS "right", max(y) + 1 AS bottom, count(*) AS n_cells FROM named GROUP BY c HAVING count(*) >= 3'),
-    "grid_offset": sql(f"""{CELLS}, step AS (SELECT dx, dy FROM range(-2, 3) a(dx), range(-2, 3) b(dy)), scored AS (SELECT dx, dy, sum(abs(n.v - o.v)) / count(*) AS score FROM cell n CROSS JOIN step JOIN cell o ON o.side = 'old' AND o.x = n.x - dx AND o.y = n.y - dy WHERE n.side = 'new' AND n.x % 2 = 0 AND n.y % 2 = 0 GROUP BY ALL)""",
-      "SELECT 0 AS page, dx::INT AS dx, dy::INT AS dy, round(score, 6) AS score FROM scored ORDER BY score, abs(dx) + abs(dy), dx, dy LIMIT 1"),
+    "grid_mask": sql(MASK, "SELECT pair_id, page_index, x::INT AS x, y::INT AS y FROM mask"),
+    "grid_regions": sql(f"{MASK}, walk(pair_id, page_index, x, y, a, b) AS (SELECT pair_id, page_index, x, y, x, y FROM mask UNION SELECT w.pair_id, w.page_index, w.x, w.y, m.x, m.y FROM walk w JOIN mask m ON w.pair_id = m.pair_id AND w.page_index = m.page_index AND abs(w.a - m.x) + abs(w.b - m.y) = 1), named AS (SELECT pair_id, page_index, x, y, min(a * 100000 + b) AS c FROM walk GROUP BY ALL)",
+      'SELECT pair_id, page_index, round(min(x) * 0.24::DOUBLE, 3) AS "left", round(min(y) * 0.24::DOUBLE, 3) AS top, round((max(x) + 1) * 0.24::DOUBLE, 3) AS "right", round((max(y) + 1) * 0.24::DOUBLE, 3) AS bottom, count(*) AS n_cells FROM named GROUP BY pair_id, page_index, c HAVING count(*) >= 8'),
+    "grid_offset": sql(f"{PAGES},{_offset('true')}", "SELECT pair_id, page_index, dx, dy, score FROM grid_shift"),
+    "report_changes": sql(COMPARED, f"""SELECT f.pair_id, mode, f.page_index + 1 AS page, f.kind, f.old_line + 1 AS old_line, f.new_line + 1 AS new_line, f.old_text, f.new_text, CASE WHEN origin = 'text' THEN {_corners('old').split(' AS old_box')[0]} ELSE '' END AS old_box,
+      CASE WHEN origin = 'text' THEN {_corners('new').split(' AS new_box')[0]} ELSE printf('(%.1f,%.1f)-(%.1f,%.1f)', "left", top, "right", bottom) END AS new_box, CASE WHEN origin = 'text' THEN 0 ELSE 1 END AS regions FROM found f LEFT JOIN box USING (pair_id, page_index, entry_seq)"""),
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import normalised, not_blank
 
 PAGE_LINES = 20
-LIMIT_BYTES = 2 * 1024**3
+#: Files of this length or more can't be read as one value.
+LIMIT_BYTES = 2**31
 
 GROUND_TRUTH = (
     "name string, description string, pages array<struct<page:int,status:string,text_status:string,visual_status:string,hybrid_status:string,"
@@ -50,17 +54,34 @@ def document_summary(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:
     )
 
 
-def checked_binaries(files: DataFrame, magic: str = "%PDF") -> DataFrame:
-    """files (path, length, content) with reason: empty, too large or not of the kind; null where accepted."""
-    head = F.substring("content", 1, len(magic)) == F.lit(magic).cast("binary")
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > LIMIT_BYTES, "too large").when(~head, "wrong kind")
-    return files.withColumn("reason", reason)
+SEGMENT = "doc_id bigint, page_index int, seg_id bigint, text string, left double, top double, right double, bottom double"
+
+
+def segments(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """Positioned segments as given; those without shown text are dropped."""
+    return spark.read.schema(SEGMENT).format(form).load(path).filter(not_blank(F.col("text")))
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def checked_binaries(spark: SparkSession, path: str, magic: str = "%PDF") -> DataFrame:
+    """(path, length, reason) of the files below a path: empty, too large or not of the kind; null where accepted.
+
+    Lengths come from the listing; contents are read of files only whose length is in bounds, so a large one is rejected unread. Spark leaves
+    empty files out of its scans: they are the names of the listing that the scan lacks.
+    """
+    files = binary_files(spark, path)
+    scanned = files.select("path", "length")
+    fits = (F.col("length") > 0) & (F.col("length") < LIMIT_BYTES)
+    heads = files.filter(fits).select("path", (F.substring("content", 1, len(magic)) == F.lit(magic).cast("binary")).alias("right"))
+    names = spark.createDataFrame([(re.sub("^([a-z0-9]+:)/+", r"\1/", unquote(x)),) for x in files.inputFiles()], "path string")
+    listed = names.join(scanned.withColumn("path", F.regexp_replace("path", "^([a-z0-9]+:)/+", "$1/")), "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") >= LIMIT_BYTES, "too large").when(~F.coalesce("right", F.lit(False)), "wrong kind")
+    return listed.join(heads.withColumn("path", F.regexp_replace("path", "^([a-z0-9]+:)/+", "$1/")), "path", "left").select("path", "length", reason.alias("reason"))
+
+
 def ground_truth(spark: SparkSession, corpus: str) -> DataFrame:
     """One row a case folder that holds ground_truth.json, old.pdf and new.pdf; broken JSON is an error."""
     listed = binary_files(spark, corpus).select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("case_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
@@ -77,7 +98,3 @@ def truth_rows(cases: DataFrame) -> DataFrame:
     """(case_id, page, status, text_status, visual_status, hybrid_status, region_id, rect, old_text, new_text): pages without regions stay."""
     pages = cases.select("case_id", F.explode("pages").alias("p")).select("case_id", "p.*")
     return pages.select("case_id", "page", "status", "text_status", "visual_status", "hybrid_status", F.posexplode_outer("regions").alias("region_id", "r")).select("*", "r.*").drop("r")
-
-
-def numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -2,12 +2,17 @@
 
 import json
 import random
+import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from foliospark.functions import colour
 from foliospark.functions import text as T
 from foliospark.operators import compare as C
+from foliospark.operators import linediff
 from foliospark.operators import misc as M
 from foliospark.operators import scoring as S
 from foliospark.operators.layout import reading_order_lines
@@ -19,11 +24,14 @@ SEGMENT = "doc_id int, page_index int, seg_id int, text string, left double, top
 
 
 @pytest.mark.parametrize("rows,lines", [
-    ([("line2", 10, 40, 90, 30), ("line1", 10, 90, 90, 80)], ["line1", "line2"]),
-    ([("value_a", 200, 30, 290, 20), ("value_b", 20, 30, 110, 20)], ["value_b value_a"]),
-    ([("row1", 10, 90, 100, 80), ("row2", 10, 40, 100, 30)], ["row1", "row2"]),
-    ([("aa", 10, 90, 40, 78), ("bb", 45, 88, 70, 76)], ["aa bb"]),
-    ([("", 0, 0, 0, 0), ("hello", 10, 60, 60, 20)], ["hello"]),
+    ([("lower", 31, 207.5, 95, 196), ("upper", 31, 233, 95, 221)], ["upper", "lower"]),
+    ([("right cell", 305, 118, 361, 107.5), ("left cell", 44, 118, 131, 107.5)], ["left cell right cell"]),
+    ([("high", 310, 118.5, 361, 107.5), ("low", 44, 118, 131, 107.5)], ["high low"]),  # by top first, however far to the right
+    ([("tall", 12, 77, 30, 51), ("inside", 33, 70, 64, 61), ("next", 12, 49.5, 40, 40)], ["tall inside", "next"]),
+    ([("touching", 5, 64, 9, 55), ("within one point", 5, 54.2, 9, 45)], ["touching within one point"]),
+    ([("", 3, 9, 4, 8), ("\u00a0", 3, 9, 4, 8), ("shown", 17, 23, 58, 12)], ["shown"]),
+    # a bottom above its top: what follows is held against that line alone, not against the lowest bottom so far
+    ([("tall", 1, 70, 5, 10), ("upside down", 1, 5, 5, 5.5), ("beside it", 8, 4.6, 9, 4)], ["tall", "upside down beside it"]),
     ([], []),
 ])
 def test_reading_order(spark, rows, lines):
@@ -38,13 +46,13 @@ def diff(spark, old, new):
 
 
 @pytest.mark.parametrize("old,new,kinds", [
-    (["aaa", "bbb"], ["aaa", "bbb"], ["unchanged", "unchanged"]),
-    (["aaa", "ccc"], ["aaa", "bbb", "ccc"], ["unchanged", "added", "unchanged"]),
-    (["aaa", "bbb", "ccc"], ["aaa", "ccc"], ["unchanged", "removed", "unchanged"]),
-    (["hello"], ["hell0"], ["modified"]),
-    (["value"], ["value "], ["unchanged"]),
+    (["north", "south"], ["north", "south"], ["unchanged", "unchanged"]),
+    (["north", "south"], ["north", "west", "south"], ["unchanged", "added", "unchanged"]),
+    (["north", "west", "south", "east"], ["north", "south"], ["unchanged", "removed", "unchanged", "removed"]),
+    (["total 17"], ["total 71"], ["modified"]),
+    (["\tfee", "sum\u2003"], ["fee  ", " sum"], ["unchanged", "unchanged"]),
     ([], [], []),
-    (["a"], [], ["removed"]),
+    (["only"], [], ["removed"]),
 ])
 def test_line_diff_kinds(spark, old, new, kinds):
     assert [e[0] for e in diff(spark, old, new)] == kinds
@@ -76,6 +84,14 @@ def test_diff_rebuilds_both_sides_with_fewest_edits(spark):
         assert sum(r.kind == "unchanged" for r in mine) == lcs(old, new) == len(common_lines(old, new))
 
 
+def test_common_lines_in_halves(monkeypatch):
+    rng = random.Random(6)
+    cases = [([rng.choice("abcdefg") for _ in range(rng.randrange(90))], [rng.choice("abcdefg") for _ in range(rng.randrange(90))]) for _ in range(60)]
+    whole = [common_lines(a, b) for a, b in cases]
+    monkeypatch.setattr(linediff, "ROWS_HELD", 3)
+    assert [common_lines(a, b) for a, b in cases] == whole and all(len(w) == lcs(a, b) for w, (a, b) in zip(whole, cases))
+
+
 def boxes(spark, rows):
     return spark.createDataFrame([(1, 0, k, *map(float, r)) for k, r in enumerate(rows)], "pair_id long, page_index int, region_id int, left double, top double, right double, bottom double")
 
@@ -88,12 +104,12 @@ def test_regions_merge_within_gap(spark):
 
 
 def test_word_diff(spark):
-    rows = [(1, 0, 0, "modified", "The quick brown fox", "The fast brown fox"), (1, 0, 1, "modified", "a < b", "a < b"), (1, 0, 2, "removed", "<gone>", None)]
+    rows = [(1, 0, 0, "modified", "pay two euros in May and two in June", "pay six euros in May and six in July"), (1, 0, 1, "modified", "a < b", "a < b"), (1, 0, 2, "removed", "<gone>", None)]
     df = spark.createDataFrame(rows, "pair_id long, page_index int, entry_seq int, kind string, old_text string, new_text string")
     got = [(r.deleted, r.inserted) for r in C.word_diff(df).orderBy("entry_seq").collect()]
-    assert got == [("quick", "fast"), ("", "")]
+    assert got == [("two two June", "six six July"), ("", "")]
     marks = [(r.old_markup, r.new_markup) for r in C.word_markup(df).orderBy("entry_seq").collect()]
-    assert marks[0] == ("The <del>quick</del> brown fox", "The <ins>fast</ins> brown fox")
+    assert marks[0] == ("pay <del>two</del> euros in May and <del>two</del> in <del>June</del>", "pay <ins>six</ins> euros in May and <ins>six</ins> in <ins>July</ins>")
     assert marks[2] == ("<del>&lt;gone&gt;</del>", "")
 
 
@@ -105,12 +121,75 @@ def test_search(spark):
     assert got[(3, 3)][1].startswith("...x") and got[(3, 1)][1] == "aaaa and Some words"
 
 
-def test_scores(spark):
-    t = spark.createDataFrame([("c", 1, "hi", "hello"), ("e", 9, None, "miss")], "case_id string, node long, old_text string, new_text string")
-    d = spark.createDataFrame([("c", 1, "hi", None), ("c", 2, None, "hello"), ("f", 3, None, "unexpected")], "case_id string, node long, old_text string, new_text string")
-    got = {r.case_id: r for r in S.with_rates(S.counts(t, d, S.text_matches(t, d))).collect()}
-    assert (got["c"].tp, got["c"].fp, got["c"].fn, got["c"].f1) == (1, 0, 0, 1.0)
-    assert (got["e"].tp, got["e"].fn) == (0, 1) and (got["f"].fp, got["f"].f1) == (1, 0.0)
+def test_text_counts(spark):
+    kind = "case_id string, old_text string, new_text string"
+    t = spark.createDataFrame([("both", "3 pens", "4 pens"), ("both", "3 pens", "4 pens"), ("missed", None, "ink"), ("blank", " ", None)], kind)
+    d = spark.createDataFrame([("both", "3  pens", None), ("both", None, "4 pens "), ("both", "other", None), ("invented", None, "glue"), ("missed", None, None)], kind)
+    got = {r.case_id: (r.tp, r.fp, r.fn) for r in S.text_counts(t, d, ["case_id"]).collect()}
+    assert got == {"both": (2, 1, 0), "missed": (0, 0, 1), "blank": (0, 0, 1), "invented": (0, 1, 0)}
+
+
+def test_page_classes_take_the_last_status(spark):
+    want = spark.createDataFrame([("c", 0, "match", 1), ("c", 0, "modified", 2), ("c", 1, "added", 1)], "case_id string, page_index int, status string, ord int")
+    got = spark.createDataFrame([("c", 0, "modified"), ("c", 2, "match"), ("d", 0, "match")], "case_id string, page_index int, status string")
+    rows = {r.case_id: (r.pages_total, r.pages_correct) for r in S.page_classes(want, got).collect()}
+    assert rows == {"c": (3, 1), "d": (1, 0)}
+
+
+def two_documents(spark):
+    pages = [("a", 0, ["one", "two"]), ("a", 1, ["three"]), ("b", 0, ["one", "2"]), ("b", 1, ["three"]), ("b", 2, ["four"]), ("e", 0, [])]
+    table = spark.createDataFrame(pages, "doc_id string, page_index int, lines array<string>")
+    pairs = spark.createDataFrame([(k, o, n, m) for k, o, n in ((1, "a", "b"), (2, "b", "a"), (3, "a", "a"), (4, "e", "missing")) for m in C.MODES], "pair_id long, old_doc_id string, new_doc_id string, mode string")
+    return table, pairs
+
+
+def test_comparison_of_two_documents_in_three_modes(spark):
+    table, pairs = two_documents(spark)
+    regions = spark.createDataFrame([(1, 0, 0, 70.0, 40.0, 90.0, 50.0), (1, 1, 0, 300.0, 300.0, 320.0, 310.0), (1, 1, 1, 322.0, 300.0, 340.0, 310.0)], "pair_id long, page_index int, region_id int, left double, top double, right double, bottom double")
+    report = C.compare(pairs, table, regions)
+    got = {}
+    for r in report.pages.orderBy("page_index").collect():
+        got.setdefault((r.pair_id, r["mode"]), []).append(r.status)
+    assert got == {
+        (1, "text"): ["modified", "match", "added"], (1, "visual"): ["modified", "modified", "added"], (1, "hybrid"): ["modified", "modified", "added"],
+        (2, "text"): ["modified", "match", "removed"], (2, "visual"): ["match", "match", "removed"], (2, "hybrid"): ["modified", "match", "removed"],
+        **{(3, m): ["match", "match"] for m in C.MODES}, **{(4, m): ["removed"] for m in C.MODES},
+    }
+    entries_ = {(r.pair_id, r["mode"]): sorted((e.origin, e.kind) for e in report.entries.filter((F.col("pair_id") == r.pair_id) & (F.col("mode") == r["mode"])).collect()) for r in pairs.filter("pair_id = 1").collect()}
+    assert entries_ == {(1, "text"): [("text", "modified")], (1, "visual"): [("visual", "modified")] * 2, (1, "hybrid"): [("text", "modified"), ("visual", "modified")]}
+    stats = {(r.pair_id, r["mode"]): (r.total_changes, r.has_differences) for r in report.stats.collect()}
+    assert stats[(1, "visual")] == (2, True) and stats[(3, "text")] == (0, False) and stats[(4, "visual")] == (0, True)
+    rows = C.report_rows(report).filter("pair_id = 1 AND mode = 'hybrid'").orderBy("page").collect()
+    assert [(r.page, r.old_line, r.new_text, r.regions) for r in rows] == [(1, 2, "2", 0), (2, None, None, 1)] and rows[1].new_box == "(300.0,300.0)-(340.0,310.0)"
+
+
+def test_full_report(spark):
+    table, pairs = two_documents(spark)
+    summaries = spark.createDataFrame([("a", 2, "A title"), ("b", 3, None)], "doc_id string, page_count long, title string")
+    made = C.nested_report(C.compare(pairs, table), pairs, summaries).filter("pair_id = 1 AND mode = 'text'").first()
+    report = json.loads(made.report)
+    assert report["old"] == {"doc_id": "a", "page_count": 2, "title": "A title"} and report["mode"] == "text" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", report["generated_at"])
+    assert [p["status"] for p in report["pages"]] == ["modified", "match", "added"] and report["stats"]["entries_modified"] == 1
+    entry = report["pages"][0]["entries"][0]
+    assert (entry["old_text"], entry["new_text"]) == ("two", "2") and entry["old_rect"]["left"] == 72 and entry["visual_rects"] == []
+
+
+def test_modes_and_cases_asked_for(spark):
+    assert C.parsed_modes(None) == list(C.MODES) and C.parsed_modes(["hybrid", "text", "hybrid"]) == ["hybrid", "text"]
+    with pytest.raises(ValueError):
+        C.parsed_modes(["text", "audio"])
+    table, pairs = two_documents(spark)
+    report = C.compare(pairs.filter("pair_id < 3"), table)
+    pages = spark.createDataFrame([(1, 0, "modified", None, None, None), (1, 1, "match", None, "modified", None), (1, 2, "added", None, None, None), (2, 0, "match", None, None, None)], "case_id long, page_index int, status string, text_status string, visual_status string, hybrid_status string")
+    regions = spark.createDataFrame([(1, 0, 0, 1, 1, "two", "2")], "case_id long, page_index int, region_id int, old_line int, new_line int, old_text string, new_text string")
+    got = {(r.case_id, r["mode"]): r for r in S.case_scores(report, pages, regions).collect()}
+    assert (got[(1, "text")].text_tp, got[(1, "text")].pages_correct, got[(1, "visual")].pages_correct, got[(1, "visual")].region_tp) == (1, 3, 2, 1)
+    assert got[(2, "text")].doc_false_positive and got[(2, "text")].text_fp == 1 and got[(1, "hybrid")].region_tp is None
+    assert {r.case_id for r in S.case_scores(report, pages, regions, cases=[1]).collect()} == {1}
+    with pytest.raises(ValueError):
+        S.case_scores(report, pages, regions, cases=[77])
+    with pytest.raises(ValueError):
+        S.case_list(spark.createDataFrame([], "name string, description string"))
 
 
 def test_recent_and_names(spark):
@@ -133,18 +212,66 @@ def test_ground_truth_folders(spark, tmp_path):
     cases = tables.ground_truth(spark, str(tmp_path))
     assert [r.case_id for r in cases.collect()] == ["good"]
     assert [(r.page, r.old_text, r.rect) for r in tables.truth_rows(cases).collect()] == [(1, "a", None)]
-    reasons = tables.checked_binaries(tables.binary_files(spark, str(tmp_path))).select("reason").distinct().collect()
-    assert {r.reason for r in reasons} == {None, "wrong kind"}
+    (tmp_path / "good" / "empty.pdf").write_bytes(b"")
+    reasons = {Path(r.path).name: r.reason for r in tables.checked_binaries(spark, str(tmp_path)).collect()}
+    assert reasons == {"old.pdf": None, "new.pdf": None, "ground_truth.json": "wrong kind", "empty.pdf": "empty"}
+
+
+def test_files_over_the_limit_are_rejected_unread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LIMIT_BYTES", 100)
+    (tmp_path / "big.pdf").write_bytes(b"%PDF" + b"x" * 500)
+    (tmp_path / "small.pdf").write_bytes(b"%PDF")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "200")
+    try:
+        assert {Path(r.path).name: r.reason for r in tables.checked_binaries(spark, str(tmp_path)).collect()} == {"big.pdf": "too large", "small.pdf": None}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_given_segments(spark, tmp_path):
+    rows = [(1, 0, 0, "kept", 1.0, 9.0, 5.0, 2.0), (1, 0, 1, " \u3000", 1.0, 9.0, 5.0, 2.0)]
+    spark.createDataFrame(rows, tables.SEGMENT).write.parquet(str(tmp_path / "s"))
+    assert [r.text for r in tables.segments(spark, str(tmp_path / "s")).collect()] == ["kept"]
+
+
+CELL = "page int, side string, x int, y int, r int, g int, b int, a int"
+
+
+def test_colours(spark):
+    row = lambda *c: Row(r=c[0], g=c[1], b=c[2], a=c[3])
+    df = spark.createDataFrame([Row(p=row(0, 0, 0, 255), q=row(255, 255, 255, 255)), Row(p=row(9, 8, 7, 255), q=row(9, 8, 7, 0)), Row(p=row(200, 30, 90, 128), q=row(20, 130, 9, 255))])
+
+    def want(p, q):
+        y, i, k = (sum(w * (p[n] - q[n]) for n, w in enumerate(axis)) for axis in ((0.29889531, 0.58662247, 0.11448223), (0.59597799, -0.27417610, -0.32180189), (0.21147017, -0.52261711, 0.31114694)))
+        o = (p[3] + q[3]) / 510
+        return (max(0, o * (y * y + 0.48 * i * i) + 0.48 * k * k) + max(0, o * y * y + 0.3 * i * i + 0.3 * k * k)) ** 0.5
+
+    for r in df.select("p", "q", colour.difference(F.col("p"), F.col("q")).alias("d"), colour.luminance(F.col("p")).alias("l")).collect():
+        assert abs(r.d - want(tuple(r.p), tuple(r.q))) < 1e-9 and abs(r.l - (0.29889531 * r.p.r + 0.58662247 * r.p.g + 0.11448223 * r.p.b)) < 1e-9
 
 
 def test_grid(spark):
-    cells = [(0, "old", x, y, 0) for x in range(12) for y in range(12)] + [(0, "new", x, y, 9 if 3 <= x < 8 and 2 <= y < 6 else 0) for x in range(12) for y in range(12)]
-    df = spark.createDataFrame([*cells, (0, "new", 11, 11, 9)], "page int, side string, x int, y int, v int")
-    found = M.grid_regions(M.grid_mask(df, 2, reach=0)).collect()
-    assert [(r.left, r.top, r.right, r.bottom) for r in found] == [(3, 2, 8, 6)]
-    moved = [(0, "old", x, y, x * x + 7 * y) for x in range(12) for y in range(12)] + [(0, "new", x + 1, y + 2, x * x + 7 * y) for x in range(12) for y in range(12)]
-    best = M.grid_offset(spark.createDataFrame(moved, "page int, side string, x int, y int, v int")).first()
-    assert (best.dx, best.dy, best.score) == (1, 2, 0.0)
+    white, ink = (255, 255, 255, 255), (40, 60, 20, 255)
+    cells = [(0, "old", x, y, *white) for x in range(24) for y in range(16)]
+    cells += [(0, "new", x, y, *(ink if 5 <= x < 14 and 4 <= y < 11 or (x, y) == (21, 2) else white)) for x in range(24) for y in range(16)]
+    cells += [(1, "old", 3, 3, *ink), (1, "new", 4, 5, *ink)]  # moved by less than the reach; missing cells are white
+    cells += [(2, "old", x, y, *ink) for x in range(6) for y in range(6)] + [(2, "new", 9, 9, *white)]
+    df = spark.createDataFrame(cells, CELL)
+    mask = M.grid_mask(df, ["page"])
+    found = {r.page: (r.left, r.top, r.right, r.bottom) for r in M.grid_regions(mask, ["page"]).collect()}
+    # only cells at least the reach away from any like one differ: new ink on white has white around, old ink has none
+    assert found == {0: (7, 6, 12, 9), 2: (0, 0, 6, 6)}
+    assert M.grid_regions(mask, ["page"], least=99).count() == 0
+
+
+def test_grid_offset(spark):
+    rng = random.Random(5)
+    shade = {(x, y): rng.randrange(256) for x in range(-4, 44) for y in range(-4, 36)}
+    cells = [(0, "old", x, y, *[shade[x, y]] * 3, 255) for x in range(40) for y in range(32)]
+    cells += [(0, "new", x, y, *[shade[x - 1, y + 2]] * 3, 255) for x in range(40) for y in range(32)]
+    cells += [(1, s, x, y, *[shade[x, y]] * 3, 255) for s in ("old", "new") for x in range(20) for y in range(20)]
+    got = {r.page: (r.dx, r.dy, r.score) for r in M.grid_offset(spark.createDataFrame(cells, CELL), ["page"]).collect()}
+    assert got == {0: (1.0, -2.0, 0.0), 1: (0.0, 0.0, 0.0)}
 
 
 def test_page_offset(spark):
@@ -164,7 +291,10 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_csv(rows, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert back.first().old_text == 'say "a", b' and back.columns == rows.columns
-    sinks.write_reports(C.nested_report(C.page_status(pages, e), e), str(tmp_path / "reports"))
+    modes = spark.createDataFrame([(1, "text")], "pair_id long, mode string")
+    names = spark.createDataFrame([(1, "a", "b", "text")], "pair_id long, old_doc_id string, new_doc_id string, mode string")
+    none = spark.createDataFrame([], "doc_id string, page_count long, title string")
+    sinks.write_reports(C.nested_report(C.compare_aligned(pages, modes), names, none), str(tmp_path / "reports"))
     report = json.loads(spark.read.text(str(tmp_path / "reports" / "pair_id=1")).first().value)
     assert [p["status"] for p in report["pages"]] == ["modified", "removed"] and report["pages"][0]["entries"][0]["new_text"] == "say c"
     golden = C.changes(e).select("pair_id", (F.col("page_index") + 1).alias("page"), "entry_seq", "old_text", "new_text")
