@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder is made only where that is unset (tests)."""
+    """spark.checkpoint.dir. In local mode (tests) a folder is made where that is unset; on a cluster, whose machines would each
+    write to their own, that is an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
