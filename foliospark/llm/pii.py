@@ -4,7 +4,10 @@ Base kinds (email, ip, card, phone) are regular expressions with a check of the
 method; the identifier-like tokens outside them are the other instances. Patterns are an instance's neighbouring words, alone
 and together with its exact shape (digits and letters as runs, and the length), and its runs alone. Spark scores the graph of
 patterns and instances in rounds: a pattern's confidence is the smoothed mean score of its distinct instances, an instance's score
-is what its trusted patterns leave open of doubt, 1 - product(1 - weight * confidence), and 1 for a seed. A pattern is trusted from
+is what its trusted patterns leave open of doubt, 1 - product(1 - weight * confidence), 1 for a seed, and `PRIOR` at least: an unknown
+instance isn't a wrong one. One that has the form of a base kind and fails its check is held to be wrong until words around it say
+otherwise: its form is no evidence.
+So a context is trusted where about half of the identifier-like tokens in it, or more, are seeds or found. A pattern is trusted from
 `MIN_CONFIDENCE` and `MIN_SUPPORT` distinct instances that are seeds or already found. Weights are 1 for two neighbouring words or an
 exact shape in context, `ONE_WORD` for a single word and `RUNS` for the runs: neither of these vouches alone. Tokens whose
 score reaches `MIN_SCORE` become spans of kind `id`, whatever their shape.
@@ -43,7 +46,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-
 #: Identifier-like tokens: at least 6 characters with at least 2 digits.
 TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9][A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, MIN_SCORE, CONTEXT = 3, 0.7, 3, 0.7, 48
-ONE_WORD, RUNS = 0.6, 0.3
+ONE_WORD, RUNS, PRIOR = 0.6, 0.3, 0.4
 
 NO_SPANS = "array<struct<start:int,end:int,low:int,high:int,value:string,before:string,after:string>>"
 
@@ -104,29 +107,38 @@ def holds(kind: str, x: Column) -> Column:
     return size.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def matched(text: Column, kind: str) -> Column:
+    """All matches of a kind's expression, whether or not they pass its check."""
     hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
-    return F.when(hint, F.filter(located(text, PATTERNS[kind]), lambda m: holds(kind, m.value))).otherwise(F.array().cast(NO_SPANS))
+    return F.when(hint, located(text, PATTERNS[kind])).otherwise(F.array().cast(NO_SPANS))
+
+
+def refused(kind: str, x: Column) -> Column:
+    """Whether a match has a kind's form and length and yet fails its check: known not to be one."""
+    return F.length(_digits(x)).between(12, 19) & ~holds(kind, x) if kind == "card" else ~holds(kind, x)
 
 
 def _found(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     """keep, _key (digest of a text that has seeds or candidates, else null), base (array of spans), tokens (both): one row a document."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
-    each = docs.select(*keep, text).select(*keep, "_text", *[base_spans(F.col("_text"), k).alias(k) for k in KINDS])
+    all_ = docs.select(*keep, text).select(*keep, "_text", *[matched(F.col("_text"), k).alias(f"_{k}") for k in KINDS])
+    wrong = F.array_sort(F.concat(*[F.transform(F.filter(f"_{k}", _fails(k)), _span(0, k)) for k in ("ip", "card")]))
+    each = all_.select(*keep, "_text", wrong.alias("_wrong"), *[F.filter(f"_{k}", _passes(k)).alias(k) for k in KINDS])
     tagged = [F.transform(k, _span(j, k)) for j, k in enumerate(KINDS)]
     digits = F.col("_text").rlike("[0-9]")
     tokens = F.when(digits, located(F.col("_text"), TOKEN)).otherwise(F.array().cast(NO_SPANS))
-    with_tokens = each.select(*keep, "_text", *KINDS, F.array_sort(F.concat(*tagged)).alias("base"), tokens.alias("_t"))
+    with_tokens = each.select(*keep, "_text", "_wrong", *KINDS, F.array_sort(F.concat(*tagged)).alias("base"), tokens.alias("_t"))
 
-    def instance(t: Column, seed: bool) -> Column:
+    def instance(t: Column, seed: bool, prior: float) -> Column:
         left = F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), _context_words(t.before)), -2, 2)
         right = F.slice(F.concat(_context_words(t.after), F.array(F.lit("$"))), 1, 1)
-        return F.struct(*[t[c].alias(c) for c in ("start", "end", "low", "high", "value")], left[0].alias("l2"), left[1].alias("l1"), right[0].alias("r1"), F.lit(seed).alias("seed"))
+        return F.struct(*[t[c].alias(c) for c in ("start", "end", "low", "high", "value")], left[0].alias("l2"), left[1].alias("l1"), right[0].alias("r1"), F.lit(seed).alias("seed"), F.lit(prior).alias("prior"))
 
-    seeds = F.concat(*[F.transform(k, lambda m: instance(m, True)) for k in KINDS])
-    found = with_tokens.select(*keep, "_text", "base", seeds.alias("_seeds"), outside(F.col("_t"), F.col("base")).alias("_t"))
+    seeds = F.concat(*[F.transform(k, lambda m: instance(m, True, 1.0)) for k in KINDS])
+    found = with_tokens.select(*keep, "_text", "_wrong", "base", seeds.alias("_seeds"), outside(F.col("_t"), F.col("base")).alias("_t"))
+    others = F.concat(F.transform(outside(F.col("_t"), F.col("_wrong")), lambda t: instance(t, False, PRIOR)), F.transform(outside(F.col("_t"), F.col("_wrong"), False), lambda t: instance(t, False, 0.0)))
     return found.select(
-        *keep, "base", F.concat("_seeds", F.transform("_t", lambda t: instance(t, False))).alias("tokens"),
+        *keep, "base", F.concat("_seeds", others).alias("tokens"),
         F.when((F.size("_t") > 0) | (F.size("base") > 0), F.sha2("_text", 256)).alias("_key"),
     )
 
@@ -135,18 +147,26 @@ def _span(order: int, kind: str) -> Callable[[Column], Column]:
     return lambda m: F.struct(m.start.alias("start"), F.lit(order).alias("order"), m.end.alias("end"), m.low.alias("low"), m.high.alias("high"), F.lit(kind).alias("kind"))
 
 
-def outside(tokens: Column, base: Column) -> Column:
-    """The tokens (no two overlap) that overlap no base span: in the order of spans' starts and tokens' ends, none before a token reaches into it."""
+def _passes(kind: str) -> Callable[[Column], Column]:
+    return lambda m: holds(kind, m.value)
+
+
+def _fails(kind: str) -> Callable[[Column], Column]:
+    return lambda m: refused(kind, m.value)
+
+
+def outside(tokens: Column, base: Column, free: bool = True) -> Column:
+    """The tokens (no two overlap) that overlap no span of base (or, unless `free`, some): in the order of spans' starts and tokens' ends, none before a token reaches into it."""
     none = F.lit(None)
     spans = F.transform(base, lambda b: F.struct(b.start.alias("at"), F.lit(1).alias("kind"), b.end.alias("reach"), F.get(tokens, F.lit(-1)).alias("t")))
     ends = F.transform(tokens, lambda t: F.struct(t.end.alias("at"), F.lit(0).alias("kind"), none.cast("int").alias("reach"), t.alias("t")))
 
-    def free(both: Column) -> Column:
+    def sifted(both: Column) -> Column:
         reach = running(F.transform(both, lambda x: F.coalesce(x.reach, F.lit(0))), lambda a, v: F.greatest(a, v), F.lit(0))
-        kept = F.zip_with(both, reach, lambda x, r: F.when((x["kind"] == 0) & (r <= x.t.start), x.t))
+        kept = F.zip_with(both, reach, lambda x, r: F.when((x["kind"] == 0) & ((r <= x.t.start) if free else (r > x.t.start)), x.t))
         return F.filter(kept, lambda t: t.isNotNull())
 
-    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(bound(F.array_sort(F.concat(spans, ends)), free))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens if free else F.slice(tokens, 1, 0)).otherwise(bound(F.array_sort(F.concat(spans, ends)), sifted))
 
 
 def _context_words(part: Column) -> Column:
@@ -164,12 +184,12 @@ def shape(value: Column) -> Column:
 
 
 def _patterns() -> Column:
-    """array<struct<pattern, weight>> of an instance. A rim of the text is no context of its own."""
-    value, left, right = F.col("t.value"), F.col("t.l1") != "^", F.col("t.r1") != "$"
+    """array<struct<pattern, weight>> of an instance. A rim of the text is no context of its own, a refused form no pattern."""
+    value, left, right, formed = F.col("t.value"), F.col("t.l1") != "^", F.col("t.r1") != "$", F.col("t.prior") > 0
     each = [
-        ("left", ("t.l1", shape(value)), 1.0, None), ("left2", ("t.l2", "t.l1", shape(value)), 1.0, None), ("both", ("t.l1", "t.r1", shape(value)), 1.0, None),
+        ("left", ("t.l1", shape(value)), 1.0, formed), ("left2", ("t.l2", "t.l1", shape(value)), 1.0, formed), ("both", ("t.l1", "t.r1", shape(value)), 1.0, formed),
         ("words2", ("t.l2", "t.l1"), 1.0, F.col("t.l2") != "^"), ("around", ("t.l1", "t.r1"), 1.0, left & right),
-        ("before", ("t.l1",), ONE_WORD, left), ("after", ("t.r1",), ONE_WORD, right), ("runs", (runs(value),), RUNS, None),
+        ("before", ("t.l1",), ONE_WORD, left), ("after", ("t.r1",), ONE_WORD, right), ("runs", (runs(value),), RUNS, formed),
     ]
     made = [(F.struct(F.concat_ws(" ", F.lit(name), *parts).alias("pattern"), F.lit(weight).alias("weight")), when) for name, parts, weight, when in each]
     return F.filter(F.array(*[p if when is None else F.when(when, p) for p, when in made]), lambda p: p.isNotNull())
@@ -179,17 +199,17 @@ def _induced(found: DataFrame, rounds: int) -> DataFrame:
     """(_key, spans: array of start, end): tokens outside the base spans that trusted patterns vouch for."""
     tokens = written(
         found.filter("_key IS NOT NULL").select("_key", F.explode("tokens").alias("t"))
-        .select("_key", "t.start", "t.end", "t.low", "t.high", "t.value", "t.seed", _patterns().alias("patterns")).dropDuplicates(["_key", "start", "end"]),
+        .select("_key", "t.start", "t.end", "t.low", "t.high", "t.value", "t.seed", "t.prior", _patterns().alias("patterns")).dropDuplicates(["_key", "start", "end"]),
         "tokens",
     )
-    edges = written(tokens.select(F.inline("patterns"), "value", "seed").groupBy("pattern", "weight", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "edges")
-    instances = edges.groupBy("value").agg(F.max("seed").alias("score"))
+    edges = written(tokens.select(F.inline("patterns"), "value", "seed", "prior").groupBy("pattern", "weight", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.max("prior").alias("prior")), "edges")
+    instances = edges.groupBy("value").agg(F.max("prior").alias("score"))
     for _ in range(rounds):
         scored = edges.join(instances, "value")
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("score") >= MIN_SCORE).alias("support"))
         trusted = patterns.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("support") >= MIN_SUPPORT))
-        doubt = edges.join(trusted, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.col("weight") * F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999999)))).alias("doubt"))
-        instances = written(doubt.select("value", F.greatest("seed", 1 - F.exp("doubt")).alias("score")), "instances")
+        doubt = edges.join(trusted, "pattern", "left").groupBy("value").agg(F.max("prior").alias("prior"), F.sum(F.log1p(-F.col("weight") * F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999999)))).alias("doubt"))
+        instances = written(doubt.select("value", F.greatest("prior", 1 - F.exp("doubt")).alias("score")), "instances")
     known = instances.filter(F.col("score") >= MIN_SCORE).select("value")
     return (
         tokens.filter("NOT seed").join(known, "value").groupBy("_key")
