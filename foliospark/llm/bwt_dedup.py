@@ -39,6 +39,8 @@ from .common import for_long_rows, written
 LENGTH, GRAM = 400, 64
 #: Bytes of an index, and distinct fragments from which a name's windows are dealt singly.
 INDEX_BYTES, HOT = 1_000_000, 1024
+#: Windows of a text that are named at a time; bounds memory, not results.
+CHUNK = 1 << 20
 #: Bits of a position in an index.
 PLACE_BITS = 21
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
@@ -97,8 +99,12 @@ def fragments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[dict]
     own: the naming gram stands in the fragment more than once, so that its windows may repeat within it.
     """
     data = np.frombuffer(text, np.uint8)
-    if len(data) < length:
-        return []
+    windows = len(data) - length + 1
+    return [f for low in range(0, windows, CHUNK) for f in _fragments(data[low : min(low + CHUNK, windows) + length - 1], low, length, gram)]
+
+
+def _fragments(data: np.ndarray, offset: int, length: int, gram: int) -> list[dict]:
+    """Those of a stretch of a text; one that goes on in the next stretch is two fragments of one name."""
     hashed, width = grams(data, gram), length - gram + 1
     named = _least(hashed, width)
     s, e = _runs(named)
@@ -106,7 +112,7 @@ def fragments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[dict]
     first = s + (hashed[s[:, None] + reach] == value).argmax(1)
     last = e + width - 2 - (hashed[(e + width - 2)[:, None] - reach] == value).argmax(1)
     f1, f2 = (_slice_hash(*_sums(data, b), s, e + length - 1).view(np.int64) for b in BASES[1:])
-    columns = (named[s].view(np.int64), f1, f2, s, e, first != last)
+    columns = (named[s].view(np.int64), f1, f2, s + offset, e + offset, first != last)
     return [dict(zip(("h", "f1", "f2", "s", "e", "own"), row, strict=True)) for row in zip(*(c.tolist() for c in columns), strict=True)]
 
 
