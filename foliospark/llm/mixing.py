@@ -81,9 +81,9 @@ def leaf_budgets(leaves: DataFrame, budget: Column, weights: dict = WEIGHTS, max
 
 
 def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """rows joined to their leaf; a leaf's row is there once for each of SALTS parts of its documents."""
+    """rows joined to their leaf; a leaf's row is there once for each of SALTS parts of its rows (any part serves any row)."""
     salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "_salt"]).drop("_salt")
 
 
 def leaf_plan(counted: DataFrame, budget: Column, weights: dict = WEIGHTS, max_epochs: int = 4, seed: int = SEED) -> DataFrame:
