@@ -36,7 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words, and pairs of tokens, kept by a task between batches; beyond it a cache starts afresh. Bounds memory, not results.
 CACHE_WORDS, CACHE_PAIRS = 150_000, 300_000
 #: Characters of text that are split and encoded together.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 def default_path() -> str:

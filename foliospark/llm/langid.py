@@ -36,7 +36,7 @@ SAMPLE, ROUNDS, PARTS = 300, 3, 64
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Probabilities are held times SCALE for each character, so that products over a word stay near one.
 SCALE, LONG = 12.0, 64
-CACHE_WORDS, CHUNK_CHARS, LATTICE_WORDS = 200_000, 1_000_000, 20_000
+CACHE_WORDS, CHUNK_CHARS, LATTICE_WORDS = 200_000, 500_000, 8_000
 MARK = "▁"
 LETTERS = regex.compile(r"\p{L}+").findall
 RESULT = "struct<lang_pred:string,score:double>"
