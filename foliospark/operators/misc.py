@@ -141,7 +141,7 @@ def grid_offset(cells: DataFrame, keys: list[str], reach: float = 2.0, step: flo
     scored = mixed.groupBy(*keys, "dx", "dy").agg(F.avg(F.abs(F.col("old") - luminance(_pixel()))).alias("score"))
     # sums come in no certain order: equal to nine places is equal
     best = scored.groupBy(*keys).agg(F.min(F.struct(F.round("score", 9).alias("score"), ((F.col("dx") != 0) | (F.col("dy") != 0)).alias("moved"), "dy", "dx")).alias("b"))
-    return best.select(*keys, "b.dx", "b.dy", F.round("b.score", 6).alias("score"))
+    return best.select(*keys, "b.dx", "b.dy", F.round("b.score", 4).alias("score"))
 
 
 def page_offset(by_text: DataFrame, by_grid: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:

@@ -255,7 +255,7 @@ corner AS (SELECT *, least(floor(nx)::BIGINT + i, width - 1) AS cx, least(floor(
 mixed AS (SELECT k.pair_id, k.page_index, dx, dy, k.x, k.y, any_value(old) AS old, round(sum(weight * coalesce(c.r, 255))) AS r, round(sum(weight * coalesce(c.g, 255))) AS g, round(sum(weight * coalesce(c.b, 255))) AS b
   FROM corner k LEFT JOIN cell c ON c.s = 'new' AND c.pair_id = k.pair_id AND c.page_index = k.page_index AND c.x = cx AND c.y = cy WHERE weight > 0 GROUP BY ALL),
 scored AS (SELECT pair_id, page_index, dx, dy, avg(abs(old - ({_LUMA.format('')}))) AS score FROM mixed GROUP BY ALL),
-grid_shift AS (SELECT pair_id, page_index, dx, dy, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY pair_id, page_index ORDER BY round(score, 9), dx <> 0 OR dy <> 0, dy, dx) = 1)"""
+grid_shift AS (SELECT pair_id, page_index, dx, dy, round(score, 4) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY pair_id, page_index ORDER BY round(score, 9), dx <> 0 OR dy <> 0, dy, dx) = 1)"""
 
 
 TEXT_PAGE = "text_page AS (SELECT doc_id, page_index, string_agg(text, ' ' ORDER BY line_index) AS text FROM line GROUP BY ALL)"
