@@ -11,7 +11,7 @@ xor and one bit count.
 
 Scale: only distinct fingerprints enter the join, so exact copies meet in one row. Only cells with company are kept, and in them
 links to one member come first; pairs are looked for between what these leave apart (see `links`), so a group of near copies
-isn't expanded into all its pairs. A hot cell is split by the skew join of AQE. No cell is capped.
+isn't expanded into all its pairs. The joins by cell are sort-merge joins at every size: no side of them is bounded. A hot cell is split by the skew join of AQE. No cell is capped.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other. Rows with equal doc_id are one
 document with several texts: each row keeps its own fingerprint. A null doc_id never becomes a component's name
@@ -87,13 +87,13 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     masks = bit_masks(radius, width=2)
     cells = _keyed(fps, masks)
     shared = written(cells.groupBy("k", "cell").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
-    held = written(cells.join(shared, ["k", "cell"]), "held")
+    held = written(cells.hint("merge").join(shared, ["k", "cell"]), "held")
     head = F.struct(F.col("head").alias("fp"), segment_counts(F.col("head")).alias("e")).alias("h")
     stars = written(held.filter("fp <> head").select("fp", "e", head).filter(_near("", "h.", radius)).select(F.col("fp").alias("a"), F.col("h.fp").alias("b")).distinct(), "stars")
     labels = components(stars, "parts").withColumnRenamed("node", "fp")
-    marked = written(held.drop("head").join(labels, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component"), "marked")
+    marked = written(held.drop("head").hint("merge").join(labels, "fp", "left").withColumn("part", F.coalesce("component", "fp")).drop("component"), "marked")
     sizes = marked.groupBy("k", "cell", "part").agg(F.count("*").alias("n")).groupBy("k", "cell").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
-    open_ = written(marked.join(sizes.filter("parts > 1").drop("parts"), ["k", "cell"]), "open")
+    open_ = written(marked.hint("merge").join(sizes.filter("parts > 1").drop("parts"), ["k", "cell"]), "open")
     a, b = open_.filter("part <> largest").alias("a"), open_.alias("b")
     moved = F.col("a.e").bitwiseXOR(F.col("b.e"))
     first = F.lit(len(masks))
