@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, bwt_dedup, html_lstm, langid, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
+from . import bpe_trie, bwt_dedup, html_lstm, langid, line_hash, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
 from .common import read_table
 
 
@@ -72,6 +72,10 @@ def op10_recurrent_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame
     return html_lstm.extract(pages, weights).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_hash.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe_trie": op2_bpe_trie,
@@ -83,4 +87,5 @@ QUERIES = {
     "op8_hierarchical_mixing": op8_hierarchical_mixing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_recurrent_block_labeller": op10_recurrent_block_labeller,
+    "op11_line_hash": op11_line_hash,
 }

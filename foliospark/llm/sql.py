@@ -53,7 +53,21 @@ SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_
 FROM raw LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, sum(high - low) AS n, count(*) AS c FROM span GROUP BY r) USING (r)
 """
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+LINES = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+each AS (SELECT r, d, unnest(range(1, len(l) + 1)) AS i, l FROM docs),
+keyed AS (SELECT r, d, i, l[i] AS line, translate(trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM each),
+shared AS (SELECT k, min(d) AS lo FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING min(d) < max(d)),
+marked AS (SELECT r, i, line, coalesce(d > lo, false) AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked JOIN docs USING (r) GROUP BY r
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_line_hash": LINES,
     "op7_run_length_index": REPEATS,
     "op8_hierarchical_mixing": MIXING,
 }
