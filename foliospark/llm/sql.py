@@ -66,7 +66,31 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM marked JOIN docs USING (r) GROUP BY r
 """
 
+TRIE = """
+WITH bits AS (SELECT conv_id, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)) AS bytes FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+crc AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bytes, lambda b: b::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) % 4 AS h FROM bits),
+own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT c.conv_id, n, role, text FROM crc c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND n <= h
+  UNION ALL SELECT c.conv_id, n, role, text FROM crc c JOIN own o ON o.conv_id = c.conv_id AND n > h),
+path AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(role) || md5(text), '') OVER w AS p, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM crc),
+ends AS (SELECT conv_id, max(depth) AS top FROM path GROUP BY conv_id),
+node AS (SELECT depth, p, min(conv_id) AS lo, count(*) AS n, any_value(words) AS words FROM path GROUP BY depth, p),
+child AS (SELECT a.depth, a.p, count(*) AS children FROM node a JOIN path b ON b.conv_id = a.lo AND b.depth = a.depth JOIN node c ON c.depth = a.depth + 1 JOIN path d ON d.conv_id = c.lo AND d.depth = a.depth AND d.p = a.p GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(children, 0) AS children FROM node LEFT JOIN child USING (depth, p)),
+sums AS (SELECT u.depth, u.p, sum(CASE WHEN v.children = 0 THEN 1 ELSE 0 END) AS leaves, sum((v.n - 1) * v.words) AS saved FROM full_node v JOIN path u ON u.conv_id = v.lo AND u.depth <= v.depth GROUP BY ALL),
+last AS (SELECT path.depth, p, string_agg(path.conv_id::VARCHAR, ',' ORDER BY path.conv_id) AS ids FROM path JOIN ends ON ends.conv_id = path.conv_id AND top = path.depth GROUP BY ALL)
+SELECT f.lo AS conv_id, f.depth, m.lo AS parent_conv_id, f.n AS n_convs, f.children AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_node f JOIN sums USING (depth, p) LEFT JOIN last USING (depth, p)
+LEFT JOIN path q ON q.conv_id = f.lo AND q.depth = f.depth - 1 LEFT JOIN node m ON m.depth = q.depth AND m.p = q.p
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_trie": TRIE,
     "op11_line_hash": LINES,
     "op7_run_length_index": REPEATS,
     "op8_hierarchical_mixing": MIXING,
