@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, bwt_dedup, conversation_trie, html_lstm, langid, line_hash, mixing, mpegts, pii, simhash_dedup, simhash_search, warc
+from . import bpe_trie, bwt_dedup, conversation_trie, html_lstm, langid, line_hash, mixing, mpegts, phrases, pii, simhash_dedup, simhash_search, warc
 from .common import read_table
 
 
@@ -80,6 +80,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie_nodes(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe_trie": op2_bpe_trie,
@@ -93,4 +97,5 @@ QUERIES = {
     "op10_recurrent_block_labeller": op10_recurrent_block_labeller,
     "op11_line_hash": op11_line_hash,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_phrase_automata": op13_phrase_automata,
 }

@@ -89,7 +89,27 @@ FROM full_node f JOIN sums USING (depth, p) LEFT JOIN last USING (depth, p)
 LEFT JOIN path q ON q.conv_id = f.lo AND q.depth = f.depth - 1 LEFT JOIN node m ON m.depth = q.depth AND m.p = q.p
 """
 
+PHRASES = f"""
+WITH piece AS (SELECT row_number() OVER () AS id, lang, p FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+words AS (SELECT id, lang, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT id, lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS l FROM piece)),
+three AS (SELECT lang, w, lead(w) OVER o AS v, lead(w, 2) OVER o AS u FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+gram AS (SELECT lang, 1 AS k, w AS g FROM three UNION ALL SELECT lang, 2, w || ' ' || v FROM three WHERE v IS NOT NULL UNION ALL SELECT lang, 3, w || ' ' || v || ' ' || u FROM three WHERE u IS NOT NULL),
+f AS (SELECT lang, g, any_value(k) AS k, count(*) AS f FROM gram GROUP BY lang, g),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(g, ' ') AS s FROM f WHERE k > 1 AND f >= 10),
+parts AS (SELECT lang, g, k, f AS a, j, array_to_string(s[1:j], ' ') AS first, array_to_string(s[j + 1:], ' ') AS rest FROM cand CROSS JOIN range(1, 3) t(j) WHERE j < k),
+cut AS (SELECT p.lang, p.g, p.k, a, j, l.f AS l, r.f AS r, 1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS score FROM parts p JOIN f l ON l.lang = p.lang AND l.g = first JOIN f r ON r.lang = p.lang AND r.g = rest),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+longer AS (SELECT lang, s[1] || ' ' || s[2] AS g, f FROM cand WHERE k = 3 UNION ALL SELECT lang, s[2] || ' ' || s[3], f FROM cand WHERE k = 3),
+around AS (SELECT lang, g, max(f) AS most FROM longer GROUP BY lang, g),
+kept AS (SELECT best.lang, best.g AS phrase, a, l, r, score FROM best LEFT JOIN around ON around.lang = best.lang AND around.g = best.g WHERE coalesce(100 * most < 50 * a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_phrase_automata": PHRASES,
     "op12_conversation_trie": TRIE,
     "op11_line_hash": LINES,
     "op7_run_length_index": REPEATS,

@@ -73,7 +73,8 @@ def trie_by_hand(rows):
     made = {}
     for c, t in own.items():
         h = zlib.crc32(str(c).encode()) % 4
-        made[c] = tuple(own.get(c - c % 20, [])[:h] + t[h:])
+        base = c - int(np.fmod(c, 20))  # as in SQL, towards zero
+        made[c] = tuple(own.get(base, [])[:h] + t[h:])
     members = defaultdict(list)
     for c, t in made.items():
         for d in range(len(t) + 1):
