@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.operators import compare as C
 from foliospark.operators import misc as M
+from foliospark.operators import outline as O
 from foliospark.operators import scoring as S
 from foliospark.operators.layout import reading_order_lines, word_segments
 from foliospark.operators.linediff import entries
@@ -195,7 +196,27 @@ def outline_levels(spark, d):
     region = table(spark, d, "region").select(id_("r", F.col("r_regionkey")).alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
     nation = table(spark, d, "nation").select(id_("n", F.col("n_nationkey")).alias("node_id"), id_("r", F.col("n_regionkey")).alias("parent_id"), F.col("n_name").alias("title"))
     customer = table(spark, d, "customer").select(id_("c", F.col("c_custkey")).alias("node_id"), id_("n", F.col("c_nationkey")).alias("parent_id"), F.col("c_name").alias("title"))
-    return M.outline_levels(region.unionByName(nation).unionByName(customer), 3).select("node_id", "parent_id", "title", "level", "path")
+    return M.outline_levels(region.unionByName(nation).unionByName(customer)).select("node_id", "parent_id", "title", "level", "path")
+
+
+def _turn_outlines(spark, d) -> O.Outline:
+    """Each conversation as an outline: a turn under the one before it, every third one under the third before. Some point at pages that don't exist, at themselves or at nothing."""
+    turns = table(spark, d, "conversations")
+    t = F.col("turn")
+    parent = F.when(t == 0, None).when((F.col("conv_id") % 11 == 5) & (t == 2), t).when((F.col("conv_id") % 11 == 7) & (t == 3), t + 1000).when(t % 3 == 0, t - 3).otherwise(t - 1)
+    nodes = turns.select(F.col("conv_id").alias("outline_id"), t.alias("node_id"), parent.alias("parent_id"), (-t).alias("ord"), F.substring("text", 1, 30).alias("title"), F.when(t % 5 != 4, F.floor(t / 2)).alias("page_index"))
+    pages = turns.groupBy(F.col("conv_id").alias("outline_id")).agg(F.ceil(F.count("*") / 3).alias("page_count"))
+    return O.flattened(nodes, pages)
+
+
+@query
+def outline_order(spark, d):
+    return _turn_outlines(spark, d).nodes
+
+
+@query
+def outline_rejects(spark, d):
+    return _turn_outlines(spark, d).rejected
 
 
 PAGE = ["pair_id", "page_index"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.colour import CHANNELS, difference, luminance
 from foliospark.functions.text import alignment_key, match_count, normalised, snippet
 from foliospark.plans.components import components
+from .outline import climbed, titled
 
 
 #: Letters by which words and query words meet.
@@ -39,16 +40,10 @@ def recent(events: DataFrame, by: str, what: list[str], top: int) -> DataFrame:
     return last.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), *what))).filter(F.col("place") <= top)
 
 
-def outline_levels(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """nodes (node_id, parent_id, ord, title) with level and path; blank titles are `(Untitled)`. One join a level."""
-    named = nodes.withColumn("title", F.coalesce(F.nullif(normalised(F.col("title")), F.lit("")), F.lit("(Untitled)")))
-    level = named.filter("parent_id IS NULL").withColumn("level", F.lit(0)).withColumn("path", F.col("node_id"))
-    out = level
-    for k in range(1, depth):
-        above = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = named.join(above, "parent_id").select(*named.columns, F.lit(k).alias("level"), F.concat("above", F.lit("/"), "node_id").alias("path"))
-        out = out.unionByName(level)
-    return out
+def outline_levels(nodes: DataFrame) -> DataFrame:
+    """nodes (node_id, parent_id, title) with level and path, of any depth; blank titles are `(Untitled)`. Nodes without a root above them are left to `outline.flattened` to report."""
+    climb = climbed(nodes.select("node_id", "parent_id"), [], path=True).filter("level IS NOT NULL AND root_parent IS NULL")
+    return titled(nodes).join(climb.select("node_id", "level", "path"), "node_id")
 
 
 def text_offset(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

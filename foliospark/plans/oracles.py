@@ -39,6 +39,15 @@ one AS (SELECT pair_id, p::INT AS page_index, o AS old_lines FROM following JOIN
 two AS (SELECT pair_id, p::INT AS page_index, o AS new_lines FROM following JOIN old ON doc_id = new_doc_id),
 side AS (SELECT *, CASE WHEN new_lines IS NULL THEN 'removed' WHEN old_lines IS NULL THEN 'added' ELSE 'common' END AS side FROM one FULL JOIN two USING (pair_id, page_index))"""
 
+#: Turns as outlines; siblings come in falling order of their turns.
+_TURNS = """node AS (
+  SELECT conv_id AS outline_id, turn AS node_id, CASE WHEN turn = 0 THEN NULL WHEN conv_id % 11 = 5 AND turn = 2 THEN turn WHEN conv_id % 11 = 7 AND turn = 3 THEN turn + 1000 WHEN turn % 3 = 0 THEN turn - 3 ELSE turn - 1 END AS parent_id,
+    substring(text, 1, 30) AS title, CASE WHEN turn % 5 <> 4 THEN turn // 2 END AS page_index FROM conversations),
+many AS (SELECT outline_id, (count(*) + 2) // 3 AS page_count FROM node GROUP BY outline_id),
+down AS (
+  SELECT *, 0::BIGINT AS level, [-node_id] AS path FROM node WHERE parent_id IS NULL
+  UNION ALL SELECT n.*, level + 1, list_append(path, -n.node_id) FROM node n JOIN down d ON n.outline_id = d.outline_id AND n.parent_id = d.node_id)"""
+
 #: Longest common subsequences by the usual table, one row of it a step, then read from the end. Follows a table `side`.
 _ENTRIES = """
 keyed AS MATERIALIZED (SELECT *, list_transform(old_lines, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ok, list_transform(new_lines, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS nk
@@ -293,6 +302,11 @@ ORACLES: dict[str, str] = {
     "recent_pairs": "SELECT user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS place FROM (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY ALL)) WHERE place <= 3",
     "url_paths": f"""SELECT page_id, base AS base_name, lower(regexp_extract(base, '\\.([^.]*)$', 1)) AS extension, {_escape('url')} AS escaped FROM (SELECT *, CASE WHEN regexp_extract(url, '[^/\\\\]*$') = '' THEN url ELSE regexp_extract(url, '[^/\\\\]*$') END AS base FROM pages)""",
     "label_prf": f"SELECT tp, fp, fn, {_rates('tp', 'fp', 'fn')} FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn FROM labels)",
+    "outline_order": f"""WITH RECURSIVE {_TURNS}
+SELECT outline_id, node_id, parent_id, coalesce(nullif({BLANKS.replace("(x,", "(title,")}, ''), '(Untitled)') AS title, level, row_number() OVER (PARTITION BY outline_id ORDER BY path) - 1 AS position,
+  CASE WHEN page_index < page_count THEN page_index END AS page_index FROM down JOIN many USING (outline_id)""",
+    "outline_rejects": f"""WITH RECURSIVE {_TURNS}
+SELECT outline_id, node_id, parent_id, CASE WHEN outline_id % 11 = 5 THEN 'cycle' ELSE 'orphan' END AS reason FROM node ANTI JOIN down USING (outline_id, node_id)""",
     "outline_levels": """WITH RECURSIVE node AS (SELECT 'r' || r_regionkey AS node_id, NULL::VARCHAR AS parent_id, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
       tree(node_id, parent_id, title, level, path) AS (SELECT node_id, parent_id, title, 0, node_id FROM node WHERE parent_id IS NULL UNION ALL SELECT n.node_id, n.parent_id, n.title, level + 1, path || '/' || n.node_id FROM node n JOIN tree t ON n.parent_id = t.node_id)
       SELECT node_id, parent_id, coalesce(nullif(trim(title), ''), '(Untitled)') AS title, level, path FROM tree""",

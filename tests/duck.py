@@ -1,6 +1,7 @@
 """Runs a registered query's SQL in DuckDB and compares the rows with Spark's, in any order."""
 
 import math
+import tempfile
 
 import duckdb
 
@@ -14,7 +15,7 @@ def _value(x):
 
 
 def duck_rows(sql, sf):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": tempfile.mkdtemp(prefix="spark-")})
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.sql(sql)
