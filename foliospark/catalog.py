@@ -11,7 +11,7 @@ from foliospark.operators import misc as M
 from foliospark.operators import outline as O
 from foliospark.operators import scoring as S
 from foliospark.operators.layout import reading_order_lines, word_segments
-from foliospark.operators.linediff import entries
+from foliospark.operators.linediff import edit_lengths, entries
 from foliospark.operators.regions import merged
 from foliospark.operators.revisions import aligned, manifest, pairs, revised_pages, truth
 from foliospark.plans.oracles import ORACLES  # noqa: F401  read by the driver entry
@@ -80,6 +80,15 @@ def line_entries_residual(spark, d):
     return _entries(spark, d).filter("path = 'c'").drop("path")
 
 
+@query
+def document_diff(spark, d):
+    """Both versions of a document as one page each: how many lines an edit script keeps, and how long it is."""
+    pages = revised_pages(_docs(spark, d)).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "old_lines", "new_lines"))).alias("p"))
+    lines = lambda side: F.flatten(F.transform("p", lambda x: F.coalesce(x[f"{side}_lines"], F.array().cast("array<string>"))))
+    whole = pages.select("pair_id", F.lit(0).alias("page_index"), lines("old").alias("old_lines"), lines("new").alias("new_lines"))
+    return edit_lengths(whole).drop("page_index")
+
+
 @query
 def page_status(spark, d):
     return C.page_status(*_both(spark, d))
@@ -282,6 +291,14 @@ def compare_entries(spark, d):
     return _rounded(_compared(spark, d).entries)
 
 
+@query
+def compare_rejects(spark, d):
+    """Documents against ids that may be missing, and against documents without a line."""
+    docs = _docs(spark, d)
+    asked = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old_doc_id"), (F.col("doc_id") * 3 + 1).alias("new_doc_id"), F.lit("text").alias("mode"))
+    return C.rejected_pairs(asked, pages_of(docs))
+
+
 @query
 def compare_stats(spark, d):
     return _compared(spark, d).stats

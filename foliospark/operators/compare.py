@@ -4,7 +4,7 @@ Results are lazy tables, over intermediate ones that are written where several b
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,18 +208,48 @@ def parsed_modes(names: list[str] | None) -> list[str]:
 @dataclass(frozen=True)
 class Report:
     """pages (pair_id, mode, page_index, status), entries (pair_id, mode, page_index, origin, entry_seq, kind, old_line, new_line, old_text,
-    new_text, left, top, right, bottom), stats (a row a pair and mode)."""
+    new_text, left, top, right, bottom), stats (a row a pair and mode), rejected (pair_id, mode, reason): pairs a document of which has no
+    pages, that is, can't be read. A pair is in stats or in rejected (with one document in both)."""
 
     pages: DataFrame
     entries: DataFrame
     stats: DataFrame
+    rejected: DataFrame | None = None
+
+
+def known_modes(pairs: DataFrame) -> None:
+    """An error if a mode is none of MODES."""
+    odd = pairs.filter(F.col("mode").isNull() | ~F.col("mode").isin(*MODES)).select("mode").distinct().limit(5).collect()
+    if odd:
+        raise ValueError(f"unknown mode: {', '.join(sorted(str(r.mode) for r in odd))}; there are {', '.join(MODES)}")
+
+
+def single_pages(pages: DataFrame) -> None:
+    """An error if a page stands in more than one row: its lines would be compared with each other's."""
+    twice = pages.groupBy("doc_id", "page_index").agg(F.count("*").alias("n")).filter("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"pages in several rows: {', '.join(f'{r.doc_id} page {r.page_index}' for r in twice)}")
+
+
+def rejected_pairs(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(pair_id, mode, reason): `old`, `new` or `both`: the document without pages."""
+    docs = pages.select("doc_id").distinct()
+    seen = lambda side: docs.select(F.col("doc_id").alias(f"{side}_doc_id"), F.lit(True).alias(f"_{side}"))
+    met = pairs.join(seen("old"), "old_doc_id", "left").join(seen("new"), "new_doc_id", "left")
+    reason = F.when(F.col("_old").isNull() & F.col("_new").isNull(), "both").when(F.col("_old").isNull(), "old").when(F.col("_new").isNull(), "new")
+    return met.select("pair_id", "mode", reason.alias("reason")).filter("reason IS NOT NULL").distinct()
 
 
 def compare(pairs: DataFrame, pages: DataFrame, regions: DataFrame | None = None) -> Report:
     """Documents against documents: pairs (pair_id, old_doc_id, new_doc_id, mode; several modes of a pair are several rows), pages
-    (doc_id, page_index, lines), and the changed regions of a detector (pair_id, page_index, region_id, box in top-left space)."""
+    (doc_id, page_index, lines), and the changed regions of a detector (pair_id, page_index, region_id, box in top-left space).
+
+    An unknown mode and a page in several rows are errors.
+    """
+    known_modes(pairs)
+    single_pages(pages)
     base = pairs.select("pair_id", "old_doc_id", "new_doc_id").distinct()
-    return compare_aligned(written(paired(base, pages), "paired"), pairs.select("pair_id", "mode").distinct(), regions)
+    return replace(compare_aligned(written(paired(base, pages), "paired"), pairs.select("pair_id", "mode").distinct(), regions), rejected=rejected_pairs(pairs, pages))
 
 
 def compare_aligned(pages: DataFrame, modes: DataFrame, regions: DataFrame | None = None) -> Report:

@@ -4,6 +4,10 @@ A page pair is a row with the lines of both sides. Where the two key arrays are
 each side and the common ones keep their order (path b), the kept lines follow from array functions. Only the other pages
 (path c: repeated or moved lines) go to Python, an Arrow batch at a time, for a longest common subsequence; it prefers, read
 from the end, equal lines first and then the removal of old lines, so the script is the same on every run.
+
+Pages with few edits are solved by furthest-reaching frontiers (Myers): after d edits one place a diagonal, all diagonals of a step at once, equal stretches
+measured by prefix hashes of the lines' numbers. Some frontiers are kept, the others made again from these as the way back needs them. Where the edits
+turn out to be so many that the table of common lengths is cheaper, that is used. Both give the same script.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from foliospark.plans.shared import ensure_importable, written
 from .revisions import keys
 
 KEPT = "array<struct<o:int,n:int>>"
+#: Pairs of lines beyond which a page is left to the search whatever its lines are.
+SEARCHED = 1_000_000
 #: Rows of the table of common lengths that are held while they are traced.
 ROWS_HELD = 64
 
@@ -26,17 +32,131 @@ def paths(pages: DataFrame) -> DataFrame:
     keyed = pages.filter("old_lines IS NOT NULL AND new_lines IS NOT NULL").withColumn("ok", keys(F.col("old_lines"))).withColumn("nk", keys(F.col("new_lines")))
     unique = (F.size(F.array_distinct("ok")) == F.size("ok")) & (F.size(F.array_distinct("nk")) == F.size("nk"))
     where = F.filter(F.transform("ok", lambda k: F.array_position("nk", k)), lambda p: p > 0)
-    return keyed.withColumn("path", F.when(F.col("ok") == F.col("nk"), "a").when(unique & (where == F.array_sort(where)), "b").otherwise("c"))
+    long = F.size("ok").cast("long") * F.size("nk") > SEARCHED  # array_position looks at every line
+    return keyed.withColumn("path", F.when(F.col("ok") == F.col("nk"), "a").when(long, "c").when(unique & (where == F.array_sort(where)), "b").otherwise("c"))
 
 
-def common_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence.
+#: Cells of the table of common lengths up to which it is used at once, and how many of them cost as much as a place of a frontier.
+SMALL, COST = 4096, 24
+#: Steps of the hashes of line numbers.
+_STEP = 0x9E3779B97F4A7C15
 
-    Rows of the table of common lengths come from the row above; halves are traced from below, each from its own first row, so that a
-    logarithm of rows is held at a time.
-    """
+
+def common_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, the one that the table of common lengths gives if read from the end."""
     codes: dict[str, int] = {}
     a, b = (np.array([codes.setdefault(x, len(codes)) for x in side], np.int64) for side in (old, new))
+    if len(a) * len(b) > SMALL:
+        found = by_frontiers(a, b, int((len(a) * len(b) / COST) ** 0.5))
+        if found is not None:
+            return found
+    return by_table(a, b)
+
+
+class _Stretches:
+    """Lengths of the equal stretches of two sequences from (ahead) or before (back) pairs of places, by hashes of their prefixes."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        n = max(len(a), len(b)) + 1
+        powers = lambda base: np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+        self.up, down = powers(_STEP), powers(pow(_STEP, -1, 1 << 64))
+        self.n, self.m = len(a), len(b)
+        # sums[i] = sums[i - 1] * step + x: the hash of a stretch is sums[end] - sums[start] * step ** length
+        salt = np.uint64(0xBF58476D1CE4E5B9)
+        mixed = [((x.astype(np.uint64) + np.uint64(1)) * salt) ^ ((x.astype(np.uint64) + np.uint64(1)) * salt >> np.uint64(29)) for x in (a, b)]
+        self.sums = [np.append(np.uint64(0), np.cumsum(x * down[1 : len(x) + 1])) * self.up[: len(x) + 1] for x in mixed]
+
+    def _equal(self, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        a, b = self.sums
+        return a[x + size] - a[x] * self.up[size] == b[y + size] - b[y] * self.up[size]
+
+    def _longest(self, most: np.ndarray, fits) -> np.ndarray:
+        size = np.zeros_like(most)
+        step = 1 << int(most.max(initial=0)).bit_length()
+        while step:
+            more = np.minimum(size + step, most)
+            size = np.where(fits(more), more, size)
+            step >>= 1
+        return size
+
+    def ahead(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self._longest(np.minimum(self.n - x, self.m - y), lambda s: self._equal(x, y, s))
+
+    def back(self, x: int, y: int) -> int:
+        at = np.array([x]), np.array([y])
+        return int(self._longest(np.minimum(*at), lambda s: self._equal(at[0] - s, at[1] - s, s))[0])
+
+
+def by_frontiers(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]] | None:
+    """Index pairs of the common subsequence, or None if more than `most` edits are needed.
+
+    A frontier holds for the diagonals k = -d, -d + 2, ..., d (old place minus new place) the furthest old place that d edits reach, or -1.
+    """
+    n, m = len(a), len(b)
+    stretch = _Stretches(a, b)
+
+    def next_one(front: np.ndarray, d: int) -> np.ndarray:
+        """Frontier d from frontier d - 1: an old line less (one diagonal up) or a new line more (one down), then equal lines."""
+        k = np.arange(-d, d + 1, 2)
+        if d == 0:
+            x = np.zeros(1, np.int64)
+        else:
+            gone, come = np.append(-2, front) + 1, np.append(front, -2)
+            gone[gone < 1], come[come < 0] = -1, -1
+            gone[gone > n] = -1
+            come[come - k > m] = -1
+            x = np.maximum(gone, come)
+        ok = (x >= 0) & (x - k <= m) & (x - k >= 0)
+        x[~ok] = -1
+        at = np.flatnonzero(ok)
+        x[at] += stretch.ahead(x[at], x[at] - k[at])
+        return x
+
+    every = max(1, int(most**0.5))
+    kept, front, d = {}, np.zeros(0, np.int64), 0
+    while True:
+        front = next_one(front, d)
+        if d % every == 0:
+            kept[d] = front
+        if abs(n - m) <= d and (n - m + d) % 2 == 0 and front[(n - m + d) // 2] >= n:
+            break
+        d += 1
+        if d > most:
+            return None
+    held: dict[int, np.ndarray] = {}
+
+    def frontier(e: int) -> np.ndarray:
+        if e not in held:
+            held.clear()
+            low = e - e % every
+            now = kept[low]
+            held[low] = now
+            for step in range(low + 1, e + 1):
+                now = held[step] = next_one(now, step)
+        return held[e]
+
+    out: list[tuple[int, int]] = []
+    i, j = n, m
+    while i and j:
+        size = stretch.back(i, j)
+        out += [(i - t, j - t) for t in range(1, size + 1)]
+        i, j = i - size, j - size
+        if not (i and j):
+            break
+        d -= 1
+        place = i - 1 - j + d  # of the diagonal after the removal of old line i - 1
+        if 0 <= place <= 2 * d and place % 2 == 0 and frontier(d)[place // 2] >= i - 1:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def by_table(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The same by the table of common lengths.
+
+    Rows come from the row above; halves are traced from below, each from its own first row, so that a logarithm of rows is held at a time.
+    """
     out: list[tuple[int, int]] = []
 
     def below(row: np.ndarray, i: int) -> np.ndarray:
@@ -113,8 +233,13 @@ def entries(pages: DataFrame) -> DataFrame:
             F.when(i < F.size("b") - 1, F.array(F.struct(F.lit("unchanged").alias("kind"), F.get("b", i).o.alias("o"), F.get("b", i).n.alias("n")))).otherwise(F.array().cast("array<struct<kind:string,o:int,n:int>>")),
         ),
     )
-    made = kept.withColumn("b", bounds).select("pair_id", "page_index", "path", "old_lines", "new_lines", F.posexplode(F.flatten(step)).alias("entry_seq", "e"))
-    return made.select(
-        "pair_id", "page_index", "path", "entry_seq", "e.kind", F.col("e.o").alias("old_line"), F.col("e.n").alias("new_line"),
-        F.get("old_lines", F.col("e.o")).alias("old_text"), F.get("new_lines", F.col("e.n")).alias("new_text"),
-    )
+    # texts go into the entries first, so that no row of the result carries a page
+    whole = F.transform(F.flatten(step), lambda e: F.struct(e.kind.alias("kind"), e.o.alias("old_line"), e.n.alias("new_line"), F.get("old_lines", e.o).alias("old_text"), F.get("new_lines", e.n).alias("new_text")))
+    made = kept.withColumn("b", bounds).select("pair_id", "page_index", "path", F.posexplode(whole).alias("entry_seq", "e"))
+    return made.select("pair_id", "page_index", "path", "entry_seq", "e.*")
+
+
+def edit_lengths(pages: DataFrame) -> DataFrame:
+    """(pair_id, page_index, n_old, n_new, n_kept, n_edits): how long the edit script of a common page is."""
+    size = lambda c: F.size(c).cast("long")
+    return kept_lines(pages).select("pair_id", "page_index", size("ok").alias("n_old"), size("nk").alias("n_new"), size("kept").alias("n_kept"), (size("ok") + size("nk") - 2 * size("kept")).alias("n_edits"))

@@ -6,11 +6,13 @@ each. Matches are whole-document and many-to-many.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import f1, normalised, numeral, precision, recall, valid
-from .compare import Report, boxed, contained_pairs
+from .compare import Report, boxed, contained_pairs, parsed_modes
 from .layout import flipped
 
 
@@ -72,7 +74,7 @@ def false_positives(expected: DataFrame, stats: DataFrame, by: list[str] | None
     return stats.select(*by, "has_differences").join(clean, by, "left").select(*by, (F.col("has_differences") & F.coalesce("clean", F.lit(True))).alias("doc_false_positive"))
 
 
-def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame, cases: list | None = None, share: float = 0.5) -> DataFrame:
+def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame, cases: list | None = None, share: float = 0.5, only: list[str] | None = None) -> DataFrame:
     """(case_id, mode, pages_total, pages_correct, page_accuracy, doc_false_positive, text_tp ... region_fn): a report against truth of its own.
 
     Texts are scored in the modes text and hybrid, boxes in the mode visual where a case has a true box. `cases` keeps some

@@ -302,6 +302,17 @@ ORACLES: dict[str, str] = {
     "recent_pairs": "SELECT user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS place FROM (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY ALL)) WHERE place <= 3",
     "url_paths": f"""SELECT page_id, base AS base_name, lower(regexp_extract(base, '\\.([^.]*)$', 1)) AS extension, {_escape('url')} AS escaped FROM (SELECT *, CASE WHEN regexp_extract(url, '[^/\\\\]*$') = '' THEN url ELSE regexp_extract(url, '[^/\\\\]*$') END AS base FROM pages)""",
     "label_prf": f"SELECT tp, fp, fn, {_rates('tp', 'fp', 'fn')} FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn FROM labels)",
+    "document_diff": f"""WITH RECURSIVE {PAGES},
+whole AS (SELECT pair_id, flatten(list(coalesce(old_lines, []) ORDER BY page_index)) AS o, flatten(list(coalesce(new_lines, []) ORDER BY page_index)) AS n FROM pair GROUP BY pair_id),
+keyed AS MATERIALIZED (SELECT pair_id, list_transform(o, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ok, list_transform(n, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS nk FROM whole),
+grown(pair_id, i, prev) AS (
+  SELECT pair_id, 0, list_transform(range(len(nk) + 1), lambda x: 0::BIGINT) FROM keyed
+  UNION ALL SELECT g.pair_id, i + 1, list_reduce(range(1, len(nk) + 1), lambda acc, j: list_append(acc, CASE WHEN ok[i + 1] = nk[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[j]) END), [0::BIGINT])
+  FROM grown g JOIN keyed USING (pair_id) WHERE i < len(ok))
+SELECT pair_id, len(ok)::BIGINT AS n_old, len(nk)::BIGINT AS n_new, prev[-1] AS n_kept, (len(ok) + len(nk) - 2 * prev[-1])::BIGINT AS n_edits FROM grown JOIN keyed USING (pair_id) WHERE i = len(ok)""",
+    "compare_rejects": f"""WITH {LINES}, has AS (SELECT DISTINCT doc_id FROM line),
+asked AS (SELECT doc_id AS pair_id, doc_id IN (FROM has) AS o, doc_id * 3 + 1 IN (FROM has) AS n FROM documents WHERE doc_id IS NOT NULL)
+SELECT DISTINCT pair_id, 'text' AS mode, CASE WHEN o THEN 'new' WHEN n THEN 'old' ELSE 'both' END AS reason FROM asked WHERE NOT (o AND n)""",
     "outline_order": f"""WITH RECURSIVE {_TURNS}
 SELECT outline_id, node_id, parent_id, coalesce(nullif({BLANKS.replace("(x,", "(title,")}, ''), '(Untitled)') AS title, level, row_number() OVER (PARTITION BY outline_id ORDER BY path) - 1 AS position,
   CASE WHEN page_index < page_count THEN page_index END AS page_index FROM down JOIN many USING (outline_id)""",

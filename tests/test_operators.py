@@ -301,3 +301,45 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_ground_truth(golden, C.page_status(pages, e), str(tmp_path / "truth"))
     truth = spark.read.schema(tables.GROUND_TRUTH).json(str(tmp_path / "truth")).first()
     assert [(p.page, p.status, len(p.regions)) for p in truth.pages] == [(1, "modified", 1), (2, "removed", 0)]
+
+
+def test_pages_with_few_edits_have_the_script_of_the_table():
+    import random
+
+    import numpy as np
+
+    from foliospark.operators import linediff
+
+    rng = random.Random(1)
+    for _ in range(400):
+        kinds = rng.choice([1, 2, 3, 8, 30])
+        a = [rng.randrange(kinds) for _ in range(rng.randrange(25))]
+        b = [rng.randrange(kinds) for _ in range(rng.randrange(25))] if rng.random() < 0.5 else [x for x in a if rng.random() < 0.9]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        assert linediff.by_frontiers(a, b, 1000) == linediff.by_table(a, b)
+    old = [f"line {k % 5000}" for k in range(100_000)]
+    new = list(old)
+    for _ in range(50):
+        new[rng.randrange(len(new))] = "other"
+    assert len(linediff.common_lines(old, new)) >= 99_950
+
+
+def test_comparison_refuses_what_it_cannot_compare(spark):
+    from foliospark.operators import compare, scoring
+
+    page = "doc_id long, page_index int, lines array<string>"
+    pages = spark.createDataFrame([(1, 0, ["a"]), (2, 0, ["b"])], page)
+    pair = "pair_id long, old_doc_id long, new_doc_id long, mode string"
+    with pytest.raises(ValueError, match="visuel"):
+        compare.compare(spark.createDataFrame([(1, 1, 2, "visuel")], pair), pages)
+    with pytest.raises(ValueError, match="1 page 0"):
+        compare.compare(spark.createDataFrame([(1, 1, 2, "text")], pair), pages.union(pages))
+    pairs = spark.createDataFrame([(1, 1, 2, "text"), (2, 1, 9, "text"), (3, 8, 2, "visual"), (4, 8, 9, "hybrid")], pair)
+    report = compare.compare(pairs, pages)
+    assert sorted(tuple(r) for r in report.rejected.collect()) == [(2, "text", "new"), (3, "visual", "old"), (4, "hybrid", "both")]
+    assert {r.pair_id for r in report.stats.collect()} | {r.pair_id for r in report.rejected.collect()} == {1, 2, 3, 4}
+    truth = spark.createDataFrame([(1, 0, "modified", None, None, None)], "case_id long, page_index int, status string, text_status string, visual_status string, hybrid_status string")
+    none = spark.createDataFrame([], "case_id long, page_index int, region_id int, old_line int, new_line int, old_text string, new_text string")
+    assert {r.mode for r in scoring.case_scores(report, truth, none, only=["text"]).collect()} == {"text"}
+    with pytest.raises(ValueError, match="unknown mode"):
+        scoring.case_scores(report, truth, none, only=["txt"])
