@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import compare as C
+from foliospark.operators import drawings
 from foliospark.operators import misc as M
 from foliospark.operators import outline as O
 from foliospark.operators import scoring as S
+from foliospark.operators.detect import visual_changes, visual_regions
 from foliospark.operators.layout import reading_order_lines, word_segments
 from foliospark.operators.linediff import edit_lengths, entries
 from foliospark.operators.regions import merged
@@ -408,6 +410,36 @@ def page_offset(spark, d):
     return M.page_offset(known, M.grid_offset(written(_cells(rest), "cells"), PAGE), PAGE, 612 * 300 / 72, 842 * 300 / 72)
 
 
+def _drawings(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The pairs, and the changed regions of their drawings, merged, in points."""
+    ids = _docs(spark, d).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("pair_id")).distinct()
+    return ids, visual_changes(written(drawings.drawn(ids), "drawn"), drawings.shifts(ids), drawings.SCALE)
+
+
+@query
+def drawing_regions(spark, d):
+    """What the detector finds on drawings from the cells alone."""
+    return _drawings(spark, d)[1].drop("n_boxes")
+
+
+@query
+def drawing_scores(spark, d):
+    """The detector against the boxes of the edit rules, over all cases."""
+    ids, found = _drawings(spark, d)
+    scores = S.region_counts(drawings.truth_boxes(ids), found.withColumnRenamed("pair_id", "case_id"), 0.5)
+    return S.with_rates(scores.groupBy(F.pmod("case_id", F.lit(8)).alias("edit")).agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")]))
+
+
+@query
+def drawing_comparison(spark, d):
+    """Pages whose lines are equal, compared with the detector's regions: a change that no line shows."""
+    ids, _ = _drawings(spark, d)
+    regions = visual_regions(written(drawings.drawn(ids), "drawn"), drawings.shifts(ids), drawings.SCALE)
+    same = F.array(F.concat(F.lit("page of "), F.col("pair_id").cast("string")))
+    pages = ids.select("pair_id", F.lit(0).alias("page_index"), same.alias("old_lines"), same.alias("new_lines"))
+    return C.compare_aligned(pages, _all_modes(ids), regions).pages
+
+
 @query
 def binary_scan(spark, d):
     return checked_binaries(spark, f"{d}/documents.parquet", "PAR1").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "reason")

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.plans.components import components
 
 GAP = 8.0
+#: Side of a grid bucket by which boxes meet.
+BUCKET = 32.0
+
+
+def buckets(low: Column, high: Column, side: float) -> Column:
+    """The numbers of the grid intervals of that side that [low, high] touches."""
+    return F.sequence(F.floor(F.least(low, high) / side).cast("int"), F.floor(F.greatest(low, high) / side).cast("int"))
+
 
+def near_pairs(regions: DataFrame, gap: float = GAP, side: float = BUCKET) -> DataFrame:
+    """Pairs (a < b) of node numbers of regions of one page, both gaps at most `gap`.
 
-def near_pairs(regions: DataFrame, gap: float = GAP) -> DataFrame:
-    """Pairs (a < b) of node numbers of regions of one page, both gaps at most `gap`. Sorted self-join by page."""
-    a, b = regions.alias("a"), regions.alias("b")
+    Boxes, those of a wider by the gap, stand in all buckets of a grid that they touch, and meet there; a pair is reported in the bucket that holds the top left corner of what they share.
+    """
+    key = ["pair_id", "page_index"]
+    put = lambda df, g: df.select("*", F.explode(buckets(F.col("left") - g, F.col("right") + g, side)).alias("bx")).select("*", F.explode(buckets(F.col("top") - g, F.col("bottom") + g, side)).alias("by"))
+    a, b = put(regions, gap).alias("a"), put(regions, 0.0).alias("b")
     apart = lambda low, high: F.greatest(F.col(f"a.{low}") - F.col(f"b.{high}"), F.col(f"b.{low}") - F.col(f"a.{high}"))
-    on = (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.page_index") == F.col("b.page_index")) & (F.col("a.node") < F.col("b.node")) & (apart("left", "right") <= gap) & (apart("top", "bottom") <= gap)
-    return a.join(b, on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    corner = lambda low: F.floor(F.greatest(F.col(f"a.{low}") - gap, F.col(f"b.{low}")) / side)
+    met = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*key, "bx", "by"]]
+    near = (F.col("a.node") < F.col("b.node")) & (apart("left", "right") <= gap) & (apart("top", "bottom") <= gap)
+    once = (corner("left") == F.col("a.bx")) & (corner("top") == F.col("a.by"))
+    return a.join(b, reduce(and_, met) & near & once).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def merged(regions: DataFrame, gap: float = GAP) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import f1, normalised, numeral, precision, recall, valid
+from foliospark.plans.shared import written
 from .compare import Report, boxed, contained_pairs, parsed_modes
 from .layout import flipped
 
@@ -44,6 +45,23 @@ def text_counts(truth: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*by, zero(F.col("hit_t")).alias("tp"), (zero(F.col("n_d")) - zero(F.col("hit_d"))).alias("fp"), (zero(F.col("n_t")) - zero(F.col("hit_t"))).alias("fn"))
 
 
+def region_counts(truth: DataFrame, found: DataFrame, share: float) -> DataFrame:
+    """(case_id, tp, fp, fn) of boxes, whatever their page: a box is matched if one of the other side shares `share` of the smaller one. Each distinct box of
+    a case meets the other side's once, so that pages with equal lines don't multiply."""
+    box = ["left", "top", "right", "bottom"]
+    distinct = lambda df: df.groupBy("case_id", *box).agg(F.count("*").alias("n")).withColumn("node", F.xxhash64("case_id", *box))
+    t, d = distinct(truth), distinct(found)
+    pairs = written(contained_pairs(t, d, share), "contained")
+
+    def side(df: DataFrame, node: str, name: str) -> DataFrame:
+        hit = pairs.select("case_id", F.col(node).alias("node")).distinct().withColumn("hit", F.lit(True))
+        return df.join(hit, ["case_id", "node"], "left").groupBy("case_id").agg(F.sum("n").alias(f"n_{name}"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias(f"hit_{name}"))
+
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    both = side(t, "t", "t").join(side(d, "d", "d"), "case_id", "full")
+    return both.select("case_id", zero(F.col("hit_t")).alias("tp"), (zero(F.col("n_d")) - zero(F.col("hit_d"))).alias("fp"), (zero(F.col("n_t")) - zero(F.col("hit_t"))).alias("fn"))
+
+
 def status_for(mode: Column) -> Column:
     """The status expected in a mode: its override, else that of the page."""
     return F.coalesce(F.when(mode == "text", F.col("text_status")).when(mode == "visual", F.col("visual_status")).when(mode == "hybrid", F.col("hybrid_status")), F.col("status"))
@@ -78,8 +96,10 @@ def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame
     """(case_id, mode, pages_total, pages_correct, page_accuracy, doc_false_positive, text_tp ... region_fn): a report against truth of its own.
 
     Texts are scored in the modes text and hybrid, boxes in the mode visual where a case has a true box. `cases` keeps some
-    cases only; if there are none of these it is an error. All cases and modes are one plan.
+    cases only; if there are none of these it is an error. `only` keeps some modes; an unknown one is an error. All cases and modes are one plan.
     """
+    asked = F.col("mode").isin(*parsed_modes(only))
+    report = replace(report, entries=report.entries.filter(asked), pages=report.pages.filter(asked), stats=report.stats.filter(asked))
     by = ["case_id", "mode"]
     name = lambda df: df.withColumnRenamed("pair_id", "case_id")
     found, pages, stats = name(report.entries), name(report.pages), name(report.stats)
@@ -94,8 +114,7 @@ def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame
     as_text = F.col("mode").isin("text", "hybrid")
     text = text_counts(truth_regions.join(modes.filter(as_text), "case_id"), found.filter(as_text & (F.col("origin") == "text")), by)
     boxes = true_boxes(truth_regions)
-    seen = found.filter("mode = 'visual'").select("case_id", F.xxhash64("case_id", "page_index", "left", "top").alias("node"), "left", "top", "right", "bottom")
-    region = counts(boxes, seen, contained_pairs(boxes, seen, share)).join(boxes.select("case_id").distinct(), "case_id", "left_semi").withColumn("mode", F.lit("visual"))
+    region = region_counts(boxes, found.filter("mode = 'visual'"), share).join(boxes.select("case_id").distinct(), "case_id", "left_semi").withColumn("mode", F.lit("visual"))
     named = lambda df, n: df.select(*by, *[F.col(k).alias(f"{n}_{k}") for k in ("tp", "fp", "fn")])
     return base.join(named(text, "text"), by, "left").join(named(region, "region"), by, "left")
 

@@ -252,6 +252,31 @@ differing AS MATERIALIZED (SELECT q.pair_id, q.page_index, q.x, q.y FROM (SELECT
   LEFT JOIN cell c ON c.s = 'new' AND c.pair_id = l.pair_id AND c.page_index = l.page_index AND c.x = ax AND c.y = ay) q GROUP BY ALL HAVING min({_difference('q.u', 'q.m')}) > 60),
 mask AS (SELECT pair_id, page_index, x, y FROM differing a WHERE (SELECT count(*) FROM differing b WHERE a.pair_id = b.pair_id AND a.page_index = b.page_index AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)) >= 3)"""
 
+#: Drawings as rectangles, their cells, the new side seen from the old frame, what differs, and the regions of that.
+DRAWN = f"""
+ids AS (SELECT p, p % 8 AS e, 2 + q * 7 % 6 AS x, 2 + q * 5 % 4 AS y, 10 + q % 4 AS w, 9 + q % 3 AS h FROM (SELECT DISTINCT doc_id AS p, doc_id % 1000 AS q FROM documents WHERE doc_id IS NOT NULL)),
+base AS (SELECT p, e, unnest([{{l: 0, x: 45, y: 30, w: 6, h: 4, r: 200, g: 0, b: 0}}, {{l: 1, x: 59, y: 39, w: 1, h: 1, r: 0, g: 0, b: 0}}] || list_transform(range(6), lambda i: {{l: (2 + i)::INT, x: (2 + 10 * (i // 2))::INT, y: (19 + 9 * (i % 2))::INT, w: 9, h: 8, r: 180, g: 180, b: 255}}), recursive := true) FROM ids),
+rect AS (
+  SELECT p, e, s, l, x, y, w, h, r, g, b FROM base, (VALUES ('old'), ('new')) t(s)
+  UNION ALL SELECT p, e, 'old', 8, x, y, w, h, 0, 0, 0 FROM ids WHERE e <> 7 UNION ALL SELECT p, e, 'new', 8, CASE e WHEN 1 THEN x + 26 WHEN 5 THEN x + 1 ELSE x END, y, w, h, 0, 0, 0 FROM ids WHERE e <> 2
+  UNION ALL SELECT p, e, 'new', 9, 12, 19, 9, 8, 0, 0, 120 FROM ids WHERE e = 3 UNION ALL SELECT p, e, 'new', 9, 50, 20, 1, 1, 0, 0, 0 FROM ids WHERE e = 6),
+flat AS (SELECT p, s, x + i AS x, y + j AS y, arg_max({{r: r, g: g, b: b}}, l) AS c FROM rect, range(14) u(i), range(12) v(j) WHERE i < w AND j < h AND NOT (e = 4 AND s = 'new') GROUP BY ALL),
+part AS (SELECT p, s, x + i + 4 AS x, y + j + 3 AS y, (CASE WHEN i < w THEN 0.75::DOUBLE ELSE 0 END + CASE WHEN i > 0 THEN 0.25::DOUBLE ELSE 0 END) * (CASE WHEN j < h THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN j > 0 THEN 0.5::DOUBLE ELSE 0 END) AS z, r, g, b
+  FROM rect, range(15) u(i), range(13) v(j) WHERE i <= w AND j <= h AND e = 4 AND s = 'new'),
+cell AS MATERIALIZED (SELECT p, s, x, y, c.r AS r, c.g AS g, c.b AS b FROM flat
+  UNION ALL SELECT p, s, x, y, round(255 + sum(z * (r - 255)))::INT, round(255 + sum(z * (g - 255)))::INT, round(255 + sum(z * (b - 255)))::INT FROM part WHERE x < 60 AND y < 40 GROUP BY ALL),
+spot AS (SELECT p, x, y, dx, dy, least(greatest(x + dx, 0), 59) AS u, least(greatest(y + dy, 0), 39) AS v FROM (SELECT p, i - 2 AS x, j - 2 AS y, CASE WHEN e = 4 THEN 4.25::DOUBLE ELSE 0 END AS dx, CASE WHEN e = 4 THEN 3.5::DOUBLE ELSE 0 END AS dy FROM ids, range(64) m(i), range(44) n(j))),
+corner AS (SELECT * FROM (SELECT p, x, y, dx, dy, floor(u)::INT + i AS cx, floor(v)::INT + j AS cy, (1 - abs(u - floor(u) - i)) * (1 - abs(v - floor(v) - j)) AS z FROM spot, range(2) m(i), range(2) n(j)) WHERE z > 0),
+sampled AS MATERIALIZED (SELECT k.p, k.x, k.y, any_value(dx) AS dx, any_value(dy) AS dy, round(255 + sum(z * (coalesce(c.r, 255) - 255)))::INT AS mr, round(255 + sum(z * (coalesce(c.g, 255) - 255)))::INT AS mg, round(255 + sum(z * (coalesce(c.b, 255) - 255)))::INT AS mb
+  FROM corner k LEFT JOIN cell c ON c.p = k.p AND c.s = 'new' AND c.x = cx AND c.y = cy GROUP BY k.p, k.x, k.y),
+centre AS (SELECT * FROM (SELECT m.p, m.x, m.y, coalesce(c.r, 255) AS ur, coalesce(c.g, 255) AS ug, coalesce(c.b, 255) AS ub, mr, mg, mb FROM sampled m LEFT JOIN cell c ON c.p = m.p AND c.s = 'old' AND c.x = m.x AND c.y = m.y
+  WHERE m.x >= 0 AND m.y >= 0 AND m.x + dx < 60 AND m.y + dy < 40 AND m.x < 60 AND m.y < 40) WHERE {_difference('u', 'm')} > 60),
+differing AS MATERIALIZED (SELECT p, x, y FROM (SELECT c.p, c.x, c.y, ur, ug, ub, m.mr, m.mg, m.mb FROM (SELECT *, x + i - 2 AS ax, y + j - 2 AS ay FROM centre, range(5) u(i), range(5) v(j)) c JOIN sampled m ON m.p = c.p AND m.x = ax AND m.y = ay) GROUP BY p, x, y HAVING min({_difference('u', 'm')}) > 60),
+kept AS MATERIALIZED (SELECT a.p, a.x, a.y FROM differing a JOIN differing b ON a.p = b.p AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y) GROUP BY ALL HAVING count(*) >= 3),
+walk(p, x, y, a, b) AS (SELECT p, x, y, x, y FROM kept UNION SELECT w.p, w.x, w.y, m.x, m.y FROM walk w JOIN kept m ON w.p = m.p AND abs(w.a - m.x) + abs(w.b - m.y) = 1),
+box AS MATERIALIZED (SELECT p AS pair_id, 0::INT AS page_index, c AS region, min(x) * 12.0::DOUBLE AS "left", min(y) * 12.0::DOUBLE AS top, (max(x) + 1) * 12.0::DOUBLE AS "right", (max(y) + 1) * 12.0::DOUBLE AS bottom
+  FROM (SELECT p, x, y, min(a * 1000 + b) AS c FROM walk GROUP BY p, x, y) GROUP BY p, c HAVING count(*) >= 8)"""
+
 _LUMA = "0.29889531::DOUBLE * {0}r + 0.58662247::DOUBLE * {0}g + 0.11448223::DOUBLE * {0}b"
 
 
@@ -302,6 +327,19 @@ ORACLES: dict[str, str] = {
     "recent_pairs": "SELECT user_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS place FROM (SELECT user_id, event_type, max(ts) AS ts FROM events WHERE user_id IS NOT NULL GROUP BY ALL)) WHERE place <= 3",
     "url_paths": f"""SELECT page_id, base AS base_name, lower(regexp_extract(base, '\\.([^.]*)$', 1)) AS extension, {_escape('url')} AS escaped FROM (SELECT *, CASE WHEN regexp_extract(url, '[^/\\\\]*$') = '' THEN url ELSE regexp_extract(url, '[^/\\\\]*$') END AS base FROM pages)""",
     "label_prf": f"SELECT tp, fp, fn, {_rates('tp', 'fp', 'fn')} FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn FROM labels)",
+    "drawing_regions": f"""WITH RECURSIVE {DRAWN} SELECT pair_id, page_index, "left", top, "right", bottom FROM box""",
+    "drawing_comparison": f"""WITH RECURSIVE {DRAWN},
+mode(mode) AS (VALUES ('text'), ('visual'), ('hybrid'))
+SELECT p AS pair_id, mode, 0::INT AS page_index, CASE WHEN mode <> 'text' AND p IN (SELECT pair_id FROM box) THEN 'modified' ELSE 'match' END AS status FROM ids, mode""",
+    "drawing_scores": f"""WITH RECURSIVE {DRAWN},
+made AS (SELECT p AS case_id, k, x * 12.0::DOUBLE AS tl, y * 12.0::DOUBLE AS tt, (x + w) * 12.0::DOUBLE AS tr, (y + h) * 12.0::DOUBLE AS tb FROM (
+  SELECT p, 0 AS k, x, y, w, h FROM ids WHERE e IN (1, 2, 5, 7) UNION ALL SELECT p, 1, x + 26, y, w, h FROM ids WHERE e = 1 UNION ALL SELECT p, 0, 12, 19, 9, 8 FROM ids WHERE e = 3)),
+hit AS (SELECT case_id, k, b.region AS d FROM made JOIN box b ON b.pair_id = case_id WHERE least(tr, b."right") > greatest(tl, b."left") AND least(tb, bottom) > greatest(tt, top)
+  AND (least(tr, b."right") - greatest(tl, b."left")) * (least(tb, bottom) - greatest(tt, top)) >= 0.5 * least((tr - tl) * (tb - tt), (b."right" - b."left") * (bottom - top))),
+t AS (SELECT case_id % 8 AS edit, count(*) AS n, count(*) FILTER ((case_id, k) IN (SELECT (case_id, k) FROM hit)) AS tp FROM made GROUP BY 1),
+d AS (SELECT pair_id % 8 AS edit, count(*) AS n, count(*) FILTER ((pair_id, region) IN (SELECT (case_id, d) FROM hit)) AS ok FROM box GROUP BY 1),
+sums AS (SELECT edit, coalesce(tp, 0) AS tp, coalesce(d.n, 0) - coalesce(ok, 0) AS fp, coalesce(t.n, 0) - coalesce(tp, 0) AS fn FROM t FULL JOIN d USING (edit))
+SELECT edit, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1, tp + fp + fn > 0 AS valid FROM sums""",
     "document_diff": f"""WITH RECURSIVE {PAGES},
 whole AS (SELECT pair_id, flatten(list(coalesce(old_lines, []) ORDER BY page_index)) AS o, flatten(list(coalesce(new_lines, []) ORDER BY page_index)) AS n FROM pair GROUP BY pair_id),
 keyed AS MATERIALIZED (SELECT pair_id, list_transform(o, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ok, list_transform(n, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS nk FROM whole),
