@@ -9,7 +9,7 @@ own identifiers follow from the source's, so a rerun writes the same records.
 Scale: narrow maps without a shuffle, a task holds one Arrow batch.
 
 Defined cases: a null page is an empty body, a null URL an empty target; a record that isn't a response, or whose digest does
-not fit its block, gives derivatives with `valid` false; no bytes at all give no derivatives; rows that repeat give
+not fit its block, gives derivatives with `valid` false; HTTP headers that repeat all stay, in their order; no bytes at all give no derivatives; rows that repeat give
 repeated records with equal identifiers; all columns are kept, columns named like outputs are replaced; empty tables stay empty.
 """
 
@@ -39,7 +39,7 @@ BREAKING = frozenset(
 )
 TITLE, TITLE_END = re.compile(r"<title(?=[\s>])[^>]*+>", re.I), re.compile(r"</title", re.I)
 
-DERIVED = "struct<record_type:string,record_id:string,refers_to:string,target_uri:string,date:string,content_type:string,block:binary,block_digest:string,source_payload_digest:string,source_headers:map<string,string>,valid:boolean,record:binary>"
+DERIVED = "struct<record_type:string,record_id:string,refers_to:string,target_uri:string,date:string,content_type:string,block:binary,block_digest:string,source_payload_digest:string,source_headers:map<string,array<string>>,valid:boolean,record:binary>"
 
 
 def digest(data: bytes) -> str:
@@ -55,16 +55,31 @@ def write_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _fields(head: bytes) -> dict[str, str]:
-    """Named fields, continuation lines joined; of a repeated name the first counts."""
-    found: dict[str, str] = {}
-    name = ""
+def named_fields(head: bytes) -> list[tuple[str, str]]:
+    """All named fields in their order, continuation lines joined."""
+    found: list[list[str]] = []
     for line in head.decode("utf-8", "replace").split("\r\n"):
-        if line[:1] in (" ", "\t") and name:
-            found[name] += " " + line.strip()
+        if line[:1] in (" ", "\t") and found:
+            found[-1][1] += " " + line.strip()
         elif ":" in line:
-            name, value = line.split(":", 1)
-            found.setdefault(name.strip(), value.strip())
+            found.append([x.strip() for x in line.split(":", 1)])
+    return [(name, value) for name, value in found]
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """The fields of a WARC record, whose names stand once; of one that is repeated all the same the first counts."""
+    found: dict[str, str] = {}
+    for name, value in named_fields(head):
+        found.setdefault(name, value)
+    return found
+
+
+def by_name(headers: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """The values of each name in their order; names differ by more than case, and are spelt as they are first."""
+    spelt: dict[str, str] = {}
+    found: dict[str, list[str]] = {}
+    for name, value in headers:
+        found.setdefault(spelt.setdefault(name.lower(), name), []).append(value)
     return found
 
 
@@ -119,24 +134,25 @@ def derivatives(raw: bytes | None) -> list[dict]:
     fields, block = read_record(raw)
     http, _, payload = block.partition(b"\r\n\r\n")
     status, _, names = http.partition(b"\r\n")
-    headers = _fields(names)
+    headers = named_fields(names)
+    content = next((v for k, v in headers if k.lower() == "content-type"), "")
     valid = fields.get("WARC-Type") == "response" and fields.get("WARC-Block-Digest", digest(block)) == digest(block) and fields.get("WARC-Payload-Digest", "") in ("", digest(payload))
-    charset = re.search(r"charset=[\"']?([\w.:-]+)", headers.get("Content-Type", ""), re.I)
+    charset = re.search(r"charset=[\"']?([\w.:-]+)", content, re.I)
     try:
         page = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
     source, date, uri = fields.get("WARC-Record-ID", ""), fields.get("WARC-Date", DATE), fields.get("WARC-Target-URI", "")
     text, links = read_page(page)
-    about = [("source-status", status.decode("latin-1")), *((f"source-{k.lower()}", v) for k, v in headers.items()), ("title", title_of(page)), ("links", str(links))]
+    about = [("source-status", status.decode("latin-1")), *((f"source-{k.lower()}", v) for k, v in headers), ("title", title_of(page)), ("links", str(links))]
     blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), "conversion": ("text/plain; charset=utf-8", text.encode("utf-8", "replace"))}
     out = []
-    for kind, (content, data) in blocks.items():
-        own = {"record_type": kind, "record_id": identifier(kind, source, digest(data)), "refers_to": source, "target_uri": uri, "date": date, "content_type": content, "block": data, "block_digest": digest(data), "source_payload_digest": fields.get("WARC-Payload-Digest"), "source_headers": headers, "valid": valid}
+    for kind, (form, data) in blocks.items():
+        own = {"record_type": kind, "record_id": identifier(kind, source, digest(data)), "refers_to": source, "target_uri": uri, "date": date, "content_type": form, "block": data, "block_digest": digest(data), "source_payload_digest": fields.get("WARC-Payload-Digest"), "valid": valid}
         named = [("WARC-Type", kind), ("WARC-Record-ID", own["record_id"]), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source), ("WARC-Block-Digest", own["block_digest"])]
         if own["source_payload_digest"]:
             named.append(("WARC-Source-Payload-Digest", own["source_payload_digest"]))
-        out.append(own | {"source_headers": list(headers.items()), "record": write_record([*named, ("Content-Type", content)], data)})
+        out.append(own | {"source_headers": list(by_name(headers).items()), "record": write_record([*named, ("Content-Type", form)], data)})
     return out
 
 
@@ -157,7 +173,10 @@ def write_responses(pages: DataFrame, url_col: str = "url", html_col: str = "htm
 def derive(records: DataFrame, record_col: str = "record") -> DataFrame:
     """One row a derivative: the columns of records without record_col, and those of DERIVED."""
     built = mapped(records, record_col, "__fs_derived", f"array<{DERIVED}>", lambda raws: [derivatives(r) for r in raws])
-    names = [f.split(":")[0] for f in re.sub(r"<[^<>]*>", "", DERIVED[7:-1]).split(",")]
+    flat = DERIVED[7:-1]
+    while "<" in flat:
+        flat = re.sub(r"<[^<>]*>", "", flat)
+    names = [f.split(":")[0] for f in flat.split(",")]
     return built.drop(record_col).drop(*names).select("*", F.inline("__fs_derived")).drop("__fs_derived")
 
 
@@ -166,5 +185,5 @@ def summary(pages: DataFrame) -> DataFrame:
     made = derive(write_responses(pages.select("page_id", "url", "html")).drop("html", "url"))
     return made.select(
         "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", F.length("block").cast("long").alias("content_length"),
-        "block_digest", "source_payload_digest", F.element_at("source_headers", "Content-Type").alias("source_content_type"), "valid", F.sha2("record", 256).alias("record_sha256"),
+        "block_digest", "source_payload_digest", F.get(F.element_at("source_headers", "Content-Type"), 0).alias("source_content_type"), "valid", F.sha2("record", 256).alias("record_sha256"),
     )

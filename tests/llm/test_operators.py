@@ -204,7 +204,7 @@ def test_warc_links_and_digests(spark):
         fields, block = warc.read_record(bytes(r.record))
         assert fields["WARC-Refers-To"] == r.refers_to and fields["WARC-Target-URI"] == r.target_uri
         assert block == bytes(r.block) and warc.digest(block) == r.block_digest == fields["WARC-Block-Digest"] and r.valid
-        assert r.source_headers["Content-Type"].startswith("text/html")
+        assert r.source_headers["Content-Type"][0].startswith("text/html")
     text = {r.page_id: bytes(r.block).decode() for r in made if r.record_type == "conversion"}
     assert text == {1: "One two\nthree", 2: "", 3: "plain"}
     about = {r.page_id: bytes(r.block).decode() for r in made if r.record_type == "metadata"}

@@ -157,3 +157,30 @@ def test_planted_identifiers_are_found(spark):
         for s in filter(lambda x: x.startswith("id:"), r.spans.split(",")):
             found.add((r.doc_id, *map(int, s.split(":")[1:])))
     assert len(planted & found) >= 0.9 * len(planted) and len(planted & found) >= 0.95 * len(found)
+
+
+def test_repeated_headers_all_stay():
+    from foliospark.llm import warc
+
+    payload = b"<title>t</title>hi"
+    block = b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\nSet-Cookie: a=1\r\nX: folded\r\n  line\r\nset-cookie: b=2\r\nSet-Cookie: a=1\r\n\r\n" + payload
+    raw = warc.write_record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Payload-Digest", warc.digest(payload)), ("WARC-Block-Digest", warc.digest(block))], block)
+    meta, plain = warc.derivatives(raw)
+    for made in (meta, plain):
+        assert made["valid"] and dict(made["source_headers"]) == {"content-type": ["text/html"], "Set-Cookie": ["a=1", "b=2", "a=1"], "X": ["folded line"]}
+    names = [line.split(b": ")[0] for line in meta["block"].split(b"\r\n") if line]
+    assert names == [b"source-status", b"source-content-type", b"source-set-cookie", b"source-x", b"source-set-cookie", b"source-set-cookie", b"title", b"links"]
+
+
+def test_copies_without_id_are_indexed_once(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.llm import bwt_dedup
+
+    text = " ".join(f"word{k * k}" for k in range(60))
+    docs = spark.createDataFrame([(None, text)] * 400 + [(1, "other " * 100)], "doc_id long, text string")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.unhex(F.md5("text")).alias("_key"), F.col("text").cast("binary").alias("_text"))
+    wanted = keyed.filter("_id = -1").select("_key", "_id").distinct().withColumn("_list", F.array(F.struct(*[F.lit(1).cast("long").alias(c) for c in ("h", "f1", "f2")], F.lit(True).alias("many"), F.lit(False).alias("hot"), F.lit(0).alias("s"), F.lit(1).alias("e"))))
+    assert bwt_dedup._pieces(keyed.repartition("_key"), F.broadcast(wanted)).count() == 1
+    got = bwt_dedup.repeated_passages(docs).select("doc_id", "n_bytes", "n_removed").distinct().collect()
+    assert {(r.doc_id, r.n_removed) for r in got} == {(None, len(text)), (1, 600)}
