@@ -248,12 +248,16 @@ def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _pieces(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, f1, f2, many, hot, piece): the bytes of the wanted fragments."""
-    joined = docs.join(wanted, ["_key", "_id"]).select("_text", "_list")
+    joined = docs.join(wanted, ["_key", "_id"]).select("_key", "_id", "_text", "_list")
 
     def cut(batches):
+        last = None
         for batch in batches:
             rows = []
-            for text, wanted_here in zip(batch.column("_text").to_pylist(), batch.column("_list").to_pylist(), strict=True):
+            for key, name, text, wanted_here in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "_text", "_list")), strict=True):
+                if (key, name) == last:
+                    continue  # a row that repeats (or equal texts without id): the join leaves them side by side
+                last = key, name
                 rows += [(w["h"], w["f1"], w["f2"], w["many"], w["hot"], text[w["s"] : w["e"] + LENGTH - 1]) for w in wanted_here]
             for k in range(0, len(rows), 4096):
                 columns = list(zip(*rows[k : k + 4096], strict=True))
