@@ -26,8 +26,11 @@ def search(pages: DataFrame, queries: DataFrame) -> DataFrame:
     texts = pages.withColumn("low", F.lower("text"))
     words = texts.select("doc_id", "page_index", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word"))
     wanted = asked.select("w", F.substring("w", 1, GRAM).alias("gram")).distinct()
-    groups = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("word") - i + 1)), lambda n: F.substring(F.col("word"), i, n)))))
-    known = words.select("word").distinct().filter("word <> ''").select("word", F.explode(groups).alias("gram"))
+    # letters first, so that the work is linear in a word's length
+    letters = words.select("word").distinct().filter("word <> ''").withColumn("l", F.split("word", ""))
+    group = lambda n: F.transform(F.sequence(F.lit(0), F.size("l") - n), lambda i: F.concat(*[F.get("l", i + k) for k in range(n)]))
+    groups = F.concat(*[F.when(F.size("l") >= n, group(n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
+    known = letters.select("word", F.explode(F.array_distinct(groups)).alias("gram"))
     hits = known.join(wanted, "gram").filter(F.contains("word", "w")).select("word", "w").distinct()
     places = words.join(hits, "word").select("doc_id", "page_index", "w").distinct()
     found = places.join(asked, "w").join(texts, ["doc_id", "page_index"]).filter(F.contains("low", "q"))

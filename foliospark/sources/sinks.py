@@ -11,9 +11,25 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("errorifexists").option("header", True).option("escape", '"').option("sep", sep).csv(path)
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One folder a pair, one JSON object a line."""
-    reports.select("pair_id", F.col("report").alias("value")).write.mode("errorifexists").partitionBy("pair_id").text(path)
+#: Files of a sink, however many pairs there are.
+FILES = 64
+
+
+def ordered(df: DataFrame, order: list[str], files: int = FILES) -> DataFrame:
+    """df in at most `files` parts, in order within and from part to part."""
+    return df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+
+
+def write_change_list(changes: DataFrame, path: str, files: int = FILES, sep: str = ",") -> None:
+    """CSV files which, read one after the other by name, are the changes by pair, page and place on it (a header in each)."""
+    write_csv(ordered(changes, [c for c in ("pair_id", "mode", "page", "entry_seq") if c in changes.columns], files), path, sep)
+
+
+def write_reports(reports: DataFrame, path: str, files: int = FILES) -> None:
+    """One JSON object a line, a line a pair and mode, in order over a bounded number of files."""
+    key = [c for c in ("pair_id", "mode") if c in reports.columns]
+    line = F.concat(F.lit('{"pair_id":'), F.to_json(F.array("pair_id")).substr(F.lit(2), F.length(F.to_json(F.array("pair_id"))) - 2), F.lit(","), F.expr("substring(report, 2)"))
+    ordered(reports.select(*key, line.alias("value")), key, files).select("value").write.mode("errorifexists").text(path)
 
 
 def write_ground_truth(golden: DataFrame, status: DataFrame, path: str) -> None:

@@ -295,7 +295,8 @@ def test_sinks_round_trip(spark, tmp_path):
     names = spark.createDataFrame([(1, "a", "b", "text")], "pair_id long, old_doc_id string, new_doc_id string, mode string")
     none = spark.createDataFrame([], "doc_id string, page_count long, title string")
     sinks.write_reports(C.nested_report(C.compare_aligned(pages, modes), names, none), str(tmp_path / "reports"))
-    report = json.loads(spark.read.text(str(tmp_path / "reports" / "pair_id=1")).first().value)
+    report = json.loads(spark.read.text(str(tmp_path / "reports")).first().value)
+    assert report["pair_id"] == 1
     assert [p["status"] for p in report["pages"]] == ["modified", "removed"] and report["pages"][0]["entries"][0]["new_text"] == "say c"
     golden = C.changes(e).select("pair_id", (F.col("page_index") + 1).alias("page"), "entry_seq", "old_text", "new_text")
     sinks.write_ground_truth(golden, C.page_status(pages, e), str(tmp_path / "truth"))
@@ -343,3 +344,34 @@ def test_comparison_refuses_what_it_cannot_compare(spark):
     assert {r.mode for r in scoring.case_scores(report, truth, none, only=["text"]).collect()} == {"text"}
     with pytest.raises(ValueError, match="unknown mode"):
         scoring.case_scores(report, truth, none, only=["txt"])
+
+
+def test_sinks_keep_order_in_a_bounded_number_of_files(spark, tmp_path):
+    from foliospark.sources import sinks
+
+    rows = [(p, (p * 7) % 5 + 1, e, f'text "{e}", of {p}') for p in range(3000) for e in range(3)]
+    changes = spark.createDataFrame(rows, "pair_id long, page long, entry_seq long, old_text string").repartition(7)
+    sinks.write_change_list(changes, str(tmp_path / "list"), files=5)
+    files = sorted((tmp_path / "list").glob("part-*.csv"))
+    assert 1 < len(files) <= 5
+    read = [r for f in files for r in spark.read.option("header", True).option("escape", '"').csv(str(f)).collect()]
+    assert [(int(r.pair_id), int(r.page), int(r.entry_seq), r.old_text) for r in read] == sorted(rows)
+    reports = spark.range(2000).selectExpr("concat('p', lpad(id, 4, '0')) as pair_id", "'text' as mode", "to_json(struct(id as n)) as report").repartition(3)
+    sinks.write_reports(reports, str(tmp_path / "reports"), files=4)
+    files = sorted((tmp_path / "reports").glob("part-*.txt"))
+    lines = [json.loads(line) for f in files for line in f.read_text().splitlines()]
+    assert len(files) <= 4 and lines == [{"pair_id": f"p{k:04}", "n": k} for k in range(2000)]
+
+
+def test_search_is_linear_in_a_word(spark):
+    import time
+
+    from foliospark.operators import misc
+
+    long = "ab\U0001f600" * 30_000 + "needle" + "cd" * 100_000
+    pages = spark.createDataFrame([(1, 0, f"short {long} end"), (2, 0, "Needle in a haystack"), (3, 0, "n e")], "doc_id long, page_index int, text string")
+    asked = spark.createDataFrame([(1, "needle"), (2, "\U0001f600n"), (3, "e"), (4, " "), (5, "end")], "query_id long, query string")
+    began = time.time()
+    got = sorted((r.query_id, r.doc_id, r.match_count) for r in misc.search(pages, asked).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 1, 4), (3, 2, 3), (3, 3, 1), (5, 1, 1)]
+    assert time.time() - began < 40
