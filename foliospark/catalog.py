@@ -18,7 +18,7 @@ from foliospark.operators.regions import merged
 from foliospark.operators.revisions import aligned, manifest, pairs, revised_pages, truth
 from foliospark.plans.oracles import ORACLES  # noqa: F401  read by the driver entry
 from foliospark.plans.shared import written
-from foliospark.sources.tables import checked_binaries, document_summary, page_lines, pages_of, table
+from foliospark.sources.tables import checked_binaries, document_metadata, document_summary, page_lines, pages_of, table
 
 QUERIES: dict = {}
 
@@ -51,6 +51,14 @@ def doc_page_counts(spark, d):
     return document_summary(_docs(spark, d))
 
 
+@query
+def page_metadata(spark, d):
+    """Web pages as documents: the title element as title, the language of the page as subject, the URL as path."""
+    tag = lambda pattern: F.regexp_extract("html", pattern, 1)
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), tag("<title>([^<]*)</title>").alias("title"), tag('<html lang="([^"]*)"').alias("subject"), F.col("url").alias("path"))
+    return document_metadata(pages.withColumn("title", F.when(F.col("doc_id") % 3 > 0, F.col("title"))))
+
+
 @query
 def line_normalise(spark, d):
     return page_lines(_docs(spark, d))

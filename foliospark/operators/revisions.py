@@ -7,10 +7,11 @@ one; otherwise lines are removed, changed or followed by a new one where (31 doc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import compare_key
+from foliospark.plans.order import with_next
 from foliospark.sources.tables import PAGE_LINES, pages_of
 
 
@@ -94,10 +95,10 @@ def truth(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest(docs: DataFrame, by: str = "source") -> DataFrame:
-    """(pair_id, old_doc_id, new_doc_id): each document against the next one of its `by`, in the order of their ids."""
-    following = F.lead("doc_id").over(Window.partitionBy(by).orderBy("doc_id"))
-    each = docs.filter(F.col(by).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old_doc_id"), following.alias("new_doc_id"))
-    return each.filter("new_doc_id IS NOT NULL")
+    """(pair_id, old_doc_id, new_doc_id): each document against the next one of its `by`, in the order of their ids. A `by` of any size is spread over tasks."""
+    known = docs.filter(F.col(by).isNotNull() & F.col("doc_id").isNotNull()).select(by, "doc_id")
+    each = with_next(known, [by], ["doc_id"], "doc_id")
+    return each.filter("next IS NOT NULL").select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("old_doc_id"), F.col("next").alias("new_doc_id"))
 
 
 def paired(pairs: DataFrame, old_pages: DataFrame, new_pages: DataFrame | None = None) -> DataFrame:

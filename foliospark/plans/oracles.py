@@ -340,6 +340,10 @@ t AS (SELECT case_id % 8 AS edit, count(*) AS n, count(*) FILTER ((case_id, k) I
 d AS (SELECT pair_id % 8 AS edit, count(*) AS n, count(*) FILTER ((pair_id, region) IN (SELECT (case_id, d) FROM hit)) AS ok FROM box GROUP BY 1),
 sums AS (SELECT edit, coalesce(tp, 0) AS tp, coalesce(d.n, 0) - coalesce(ok, 0) AS fp, coalesce(t.n, 0) - coalesce(tp, 0) AS fn FROM t FULL JOIN d USING (edit))
 SELECT edit, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) AS f1, tp + fp + fn > 0 AS valid FROM sums""",
+    "page_metadata": f"""WITH given AS (SELECT page_id AS doc_id, len(list_filter(list_transform(string_split(coalesce(html, ''), chr(10)), lambda x: {BLANKS}), lambda x: x <> ''))::BIGINT AS n,
+  CASE WHEN page_id % 3 > 0 THEN nullif({BLANKS.replace("(x,", "(regexp_extract(html, '<title>([^<]*)</title>', 1),")}, '') END AS title, nullif({BLANKS.replace("(x,", "(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1),")}, '') AS subject,
+  nullif(CASE WHEN regexp_extract(url, '[^/\\\\]*$') = '' THEN url ELSE regexp_extract(url, '[^/\\\\]*$') END, '') AS name FROM pages)
+SELECT doc_id, n AS n_lines, (n + {PAGE_LINES - 1}) // {PAGE_LINES} AS page_count, title, NULL::VARCHAR AS author, subject, coalesce(title, name, 'Untitled') AS display_title, n = 0 AS rejected FROM given""",
     "document_diff": f"""WITH RECURSIVE {PAGES},
 whole AS (SELECT pair_id, flatten(list(coalesce(old_lines, []) ORDER BY page_index)) AS o, flatten(list(coalesce(new_lines, []) ORDER BY page_index)) AS n FROM pair GROUP BY pair_id),
 keyed AS MATERIALIZED (SELECT pair_id, list_transform(o, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ok, list_transform(n, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS nk FROM whole),

@@ -8,7 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import normalised, not_blank
+from foliospark.functions.text import base_name, normalised, not_blank
 
 PAGE_LINES = 20
 #: Files of this length or more can't be read as one value.
@@ -44,13 +44,20 @@ def pages_of(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:
 
 
 def document_summary(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:
-    """(doc_id, n_lines, page_count, title, display_title, rejected): a document without pages is rejected."""
+    """(doc_id, n_lines, page_count, title, display_title, rejected): a document without pages is rejected. The source stands in for the title."""
+    return document_metadata(docs.select("doc_id", "text", F.col("source").alias("title")), per_page).drop("author", "subject")
+
+
+def document_metadata(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:
+    """(doc_id, n_lines, page_count, title, author, subject, display_title, rejected): title, author and subject are trimmed, and null where blank; those that docs doesn't
+    have are null. What is displayed is the title, or else the base name of the path, or else `Untitled`."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), not_blank)
-    title = F.nullif(normalised(F.col("source")), F.lit(""))
+    given = lambda c: F.nullif(normalised(F.col(c).cast("string")), F.lit("")) if c in docs.columns else F.lit(None).cast("string")
+    name = F.nullif(base_name(F.col("path")), F.lit("")) if "path" in docs.columns else F.lit(None).cast("string")
     count = F.size("_l").cast("long")
-    return docs.select("doc_id", lines.alias("_l"), title.alias("title")).select(
-        "doc_id", count.alias("n_lines"), F.ceil(count / per_page).cast("long").alias("page_count"), "title",
-        F.coalesce("title", F.lit("Untitled")).alias("display_title"), (count == 0).alias("rejected"),
+    return docs.select("doc_id", lines.alias("_l"), *[given(c).alias(c) for c in ("title", "author", "subject")], name.alias("_name")).select(
+        "doc_id", count.alias("n_lines"), F.ceil(count / per_page).cast("long").alias("page_count"), "title", "author", "subject",
+        F.coalesce("title", "_name", F.lit("Untitled")).alias("display_title"), (count == 0).alias("rejected"),
     )
 
 
