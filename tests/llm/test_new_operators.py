@@ -10,13 +10,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import conversation_trie, line_hash, queries, sql
+from foliospark.llm import conversation_trie, line_hash, phrases, queries, sql
 from tests.duck import duck_rows, spark_rows
 
 DOC = "doc_id long, text string, lang string"
 
 
-@pytest.mark.parametrize("name", ["op11_line_hash", "op12_conversation_trie"])
+@pytest.mark.parametrize("name", ["op11_line_hash", "op12_conversation_trie", "op13_phrase_automata"])
 def test_queries_match_sql(spark, sf, name):
     assert spark_rows(queries.QUERIES[name](spark, sf)) == duck_rows(sql.ORACLES[name], sf)
 
@@ -123,3 +123,76 @@ def test_double_array_walks_its_sequences_and_no_others():
             if to >= 0:
                 states[*p, x] = to
     assert len(set(states.values())) == len(known)
+
+
+# 13 phrase automata
+
+def pieces_of(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return [[w for w in re.split(r"[\x20\x09]+", p) if w] for p in re.split(r"[.,;:!?\x0A-\x0D]", low)]
+
+
+def phrases_by_hand(rows, least, top):
+    f, n = defaultdict(int), defaultdict(int)
+    for lang, text in rows:
+        for p in pieces_of(text):
+            n[lang or "und"] += len(p)
+            for k in (1, 2, 3):
+                for i in range(len(p) - k + 1):
+                    f[lang or "und", tuple(p[i : i + k])] += 1
+    cand = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
+    found = defaultdict(list)
+    for (lang, p), a in cand.items():
+        if len(p) == 2 and any(len(q) == 3 and lang == other and p in (q[:2], q[1:]) and 100 * b >= 50 * a for (other, q), b in cand.items()):
+            continue
+        score, k = min((10**6 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        found[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -score) for lang, each in found.items() for i, (score, a, p, left, right) in enumerate(sorted(each)[:top]))
+
+
+@pytest.mark.parametrize("top", [7, 2000])
+def test_phrases_of_awkward_texts(spark, top):
+    rng = random.Random(7)
+    words = ["a", "A", "b", "the", "The", "é", "É", "日本", "x\u00a0y", "\x00", "w" * 300, "ÿ"]
+    draw = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\r", "?!"]) for _ in range(n))
+    rows = [(rng.choice(["en", "en", "fr", None, "und"]), draw(rng.randrange(60))) for _ in range(60)] + [("en", None), (None, ""), ("de", " . "), ("en", "big deal here " * 4000), ("en", "big deal here " * 4000)]
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumn("n", F.lit("x")).withColumn("range", F.lit(0)).repartition(5)
+    got = phrases.collocations(docs, least=3, top=top, ranges=6)
+    assert sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == phrases_by_hand(rows, 3, top)
+    assert phrases.collocations(docs.limit(0)).count() == 0
+
+
+def test_parts_of_a_long_text_count_once(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice("abcdefg") + rng.choice(["", "", "."]) for _ in range(5000))
+    want = defaultdict(int)
+    for p in pieces_of(text):
+        for k in (1, 2, 3):
+            for i in range(len(p) - k + 1):
+                want[tuple(p[i : i + k])] += 1
+    monkeypatch.setattr(phrases, "BYTES", 64)
+    tally, parts = phrases.Tally(), []
+    for k, words in enumerate(phrases._split(text.encode())):
+        tally.add(words)
+        if k % 3 == 0:
+            parts += [phrases.Automaton.loaded(x.stored()) for _, x in tally.taken(4)]
+    parts += [x for _, x in tally.taken(4)]
+    whole = phrases.united(parts)
+    names = [w.decode() for w in whole.symbols.to_pylist()]
+    size, c, n = whole.arcs()
+    got = {(names[s],): k for s, k in zip(whole.ones, whole.ones_n)} | {(names[a], names[b]): k for a, b, k in zip(whole.a, whole.b, whole.twos_n)}
+    pair = np.repeat(np.arange(len(size)), size)
+    got |= {(names[whole.a[i]], names[whole.b[i]], names[s]): k for i, s, k in zip(pair, c, n)}
+    assert got == dict(want)
+    kept = phrases.frequent(whole, 40)
+    assert kept.twos_n.min() >= 40 and kept.paths() == sum(k >= 40 for k in want.values())
+
+
+def test_equal_states_are_one():
+    import pyarrow as pa
+
+    i = lambda *x: np.array(x, np.int64)
+    symbols = pa.array([b"a", b"b", b"c"], pa.large_binary())
+    x = phrases.Automaton.built(symbols, i(0, 1, 2), i(9, 9, 9), i(0, 0, 1, 1, 2), i(0, 1, 0, 1, 0), i(5, 5, 5, 5, 5), i(1, 2, 1, 2, 0), i(2, 0, 1, 2, 0, 1), i(4, 1, 2, 4, 1, 2))
+    assert x.state[0] == x.state[2] != 0 and x.state[1] == x.state[3] and x.state[4] == 0 and len(x.c) == 3
+    assert phrases.united([x, x]).twos_n.tolist() == [10] * 5
