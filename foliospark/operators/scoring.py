@@ -120,7 +120,11 @@ def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame
 
 
 def true_boxes(truth_regions: DataFrame) -> DataFrame:
-    """(case_id, node, left, top, right, bottom): boxes of the changed lines of a truth table, those of the new side where there is one."""
+    """(case_id, node, left, top, right, bottom): boxes of a truth table, as given (rect: left, top, right, bottom from the top left corner, or null), or else of its changed lines,
+    those of the new side where there is one."""
+    if "rect" in truth_regions.columns:
+        at = [F.get("rect", k).cast("double").alias(n) for k, n in enumerate(("left", "top", "right", "bottom"))]
+        return truth_regions.filter("rect IS NOT NULL").select("case_id", F.xxhash64("case_id", "page_index", "region_id").alias("node"), *at)
     placed = boxed(truth_regions.filter("old_line IS NOT NULL OR new_line IS NOT NULL"))
     side = lambda n: F.coalesce(F.col(f"new_{n}"), F.col(f"old_{n}"))
     return placed.select("case_id", F.xxhash64("case_id", "page_index", "region_id").alias("node"), side("left").alias("left"), flipped(side("top")).alias("top"), side("right").alias("right"), flipped(side("bottom")).alias("bottom"))

@@ -105,3 +105,16 @@ def truth_rows(cases: DataFrame) -> DataFrame:
     """(case_id, page, status, text_status, visual_status, hybrid_status, region_id, rect, old_text, new_text): pages without regions stay."""
     pages = cases.select("case_id", F.explode("pages").alias("p")).select("case_id", "p.*")
     return pages.select("case_id", "page", "status", "text_status", "visual_status", "hybrid_status", F.posexplode_outer("regions").alias("region_id", "r")).select("*", "r.*").drop("r")
+
+
+def frozen_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases as `sinks.write_ground_truth` leaves them, many in a file: (case_id: the name, name, description, pages). Broken JSON is an error."""
+    return spark.read.schema(GROUND_TRUTH).option("mode", "FAILFAST").json(path).withColumn("case_id", F.col("name"))
+
+
+def truth_of_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Case files as the truth of an evaluation: pages (case_id, page_index, status, text_status, visual_status, hybrid_status) and regions (case_id, page_index, region_id, rect,
+    old_text, new_text), pages from 0 (a page number under one is the first page). Of a page that a case names twice both rows stay, with `ord`, and the last counts."""
+    pages = cases.select("case_id", F.posexplode("pages").alias("ord", "p")).select("case_id", "ord", F.greatest(F.col("p.page") - 1, F.lit(0)).alias("page_index"), "p.*").drop("page")
+    regions = pages.select("case_id", "page_index", "ord", F.posexplode("regions").alias("k", "r")).select("case_id", "page_index", F.xxhash64("ord", "k").alias("region_id"), "r.*")
+    return pages.drop("regions"), regions

@@ -375,3 +375,33 @@ def test_search_is_linear_in_a_word(spark):
     got = sorted((r.query_id, r.doc_id, r.match_count) for r in misc.search(pages, asked).collect())
     assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 1, 4), (3, 2, 3), (3, 3, 1), (5, 1, 1)]
     assert time.time() - began < 40
+
+
+def test_frozen_comparison_scores_one_against_itself(spark, sf, tmp_path):
+    from foliospark import catalog
+    from foliospark.operators import scoring
+    from foliospark.plans.shared import written
+    from foliospark.sources import sinks, tables
+
+    pages = written(catalog.revised_pages(tables.table(spark, sf, "documents").limit(60)), "pages")
+    report = catalog.C.compare_aligned(pages, pages.select("pair_id").distinct().withColumn("mode", F.lit("text")))
+    golden = report.entries.select("pair_id", (F.col("page_index") + 1).alias("page"), "entry_seq", *[F.when(F.col("kind") != k, F.col(c)).alias(c) for k, c in (("added", "old_text"), ("removed", "new_text"))])
+    sinks.write_ground_truth(golden, report.pages, str(tmp_path / "frozen"))
+    named = lambda df: df.withColumn("pair_id", F.concat(F.lit("pair "), "pair_id"))
+    own = catalog.C.Report(named(report.pages), named(report.entries), named(report.stats))
+    truth = tables.truth_of_cases(tables.frozen_cases(spark, str(tmp_path / "frozen")))
+    assert truth[1].count() == golden.count() > 50
+    scores = scoring.by_mode(scoring.case_scores(own, *truth)).collect()
+    assert [(r.mode, r.text_f1, r.page_accuracy, r.false_positive_docs) for r in scores] == [("text", 1.0, 1.0, 0)]
+    # and through folders of case files, with boxes
+    for name, rect in (("moved", "[100, 100, 200, 160]"), ("same", None)):
+        (tmp_path / "cases" / name).mkdir(parents=True)
+        for file in ("old.pdf", "new.pdf"):
+            (tmp_path / "cases" / name / file).write_bytes(b"%PDF")
+        regions = [{"rect": json.loads(rect)}] if rect else []
+        (tmp_path / "cases" / name / "ground_truth.json").write_text(json.dumps({"name": name, "description": "", "pages": [{"page": 1, "status": "modified" if rect else "match", "text_status": "match", "regions": regions}]}, indent=1))
+    pages = spark.createDataFrame([("moved", 0, ["x"], ["x"]), ("same", 0, ["x"], ["x"])], "pair_id string, page_index int, old_lines array<string>, new_lines array<string>")
+    seen = spark.createDataFrame([("moved", 0, 1, 110.0, 105.0, 190.0, 150.0)], "pair_id string, page_index int, region_id long, left double, top double, right double, bottom double")
+    report = catalog.C.compare_aligned(pages, pages.select("pair_id").withColumn("mode", F.explode(F.array(F.lit("text"), F.lit("visual")))), seen)
+    scores = {r.mode: r for r in scoring.by_mode(scoring.case_scores(report, *tables.truth_of_cases(tables.ground_truth(spark, str(tmp_path / "cases"))))).collect()}
+    assert scores["visual"].region_f1 == 1.0 and scores["visual"].page_accuracy == 1.0 and scores["text"].page_accuracy == 1.0
