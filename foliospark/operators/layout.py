@@ -10,14 +10,27 @@ from foliospark.functions.text import not_blank, normalised
 
 LEFT, FIRST_BASELINE, PITCH, SIZE, PAGE_HEIGHT = 72.0, 800, 14, 11, 842.0
 ASCENT, DESCENT, ADVANCE = 8.14, 1.98, 6.05
+#: Words of a line that are placed together.
+STRETCH = 64
+BOX = ["left", "top", "right", "bottom"]
+LINE = "struct<line_index:bigint,at:int,n:int,left:double,top:double,right:double,bottom:double>"
 
 
 def word_segments(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The words of page lines as positioned segments; neighbours are shifted by half a point against each other. No exchange."""
-    split = lines.select(id_col, "page_index", "line_index", F.split("text", " ").alias("w"))
-    offsets = running(F.transform("w", lambda x: F.length(x) + 1), lambda a, v: a + v, F.lit(0))
-    each = split.select(id_col, "page_index", "line_index", F.posexplode(F.arrays_zip(F.col("w").alias("word"), offsets.alias("offset"))).alias("word_no", "x"))
-    words = each.select(id_col, "page_index", "line_index", "word_no", "x.word", "x.offset")
+    """The words of page lines as positioned segments; neighbours are shifted by half a point against each other.
+
+    Lines are dealt by page, as they are a fraction of the size of their words as rows: what works by page afterwards needs no exchange.
+    A word's offset is the length of what stands before it. Lines are cut into stretches of `STRETCH` words first, so that the work is linear in a line.
+    """
+    split = lines.select(id_col, "page_index", "line_index", "text").repartition(id_col, "page_index").select(id_col, "page_index", "line_index", F.split("text", " ").alias("w"))
+    last = F.floor((F.size("w") - 1) / STRETCH).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("w", k * STRETCH + 1, F.lit(STRETCH)), " "))
+    cut = split.select(id_col, "page_index", "line_index", stretches.alias("s"))
+    starts = F.when(F.size("s") == 1, F.array(F.lit(0))).otherwise(running(F.transform("s", lambda x: F.length(x) + 1), lambda a, v: a + v, F.lit(0)))
+    parts = cut.select(id_col, "page_index", "line_index", F.posexplode(F.arrays_zip(F.col("s").alias("s"), starts.alias("start"))).alias("part", "x"))
+    each = parts.select(id_col, "page_index", "line_index", "part", F.col("x.s").alias("s"), F.col("x.start").alias("start")).select("*", F.posexplode(F.split("s", " ")).alias("k", "word"))
+    before = F.when(F.col("k") == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("s"), F.lit(" "), F.col("k"))) + 1)
+    words = each.select(id_col, "page_index", "line_index", (F.col("part") * STRETCH + F.col("k")).alias("word_no"), "word", (F.col("start") + before).alias("offset"))
     top = 800 - 14 * F.col("line_index") + ((F.col(id_col) + F.col("word_no")) % 2) * 0.5
     placed = words.select(id_col, "page_index", "line_index", "word_no", F.col("word").alias("text"), (F.col("offset") * 6).cast("double").alias("left"), top.cast("double").alias("top"))
     return placed.withColumn("right", F.col("left") + 6 * F.length("text")).withColumn("bottom", F.col("top") - 10).withColumn("seg_id", F.shiftleft(F.col("line_index").cast("long"), 32) + F.col("word_no"))
@@ -28,38 +41,46 @@ def reading_order_lines(segments: DataFrame, keys: list[str]) -> DataFrame:
 
     A segment joins the line before it unless it lies below the line's bottom by more than the tolerance (0.3 of the line's height, 1 at
     least). For well-formed boxes (top not under bottom) the height counts as 0, and the lowest bottom of all earlier
-    segments of the page is that of the current line, so a running minimum decides. Pages that hold a malformed box are folded
-    segment by segment. One exchange, which both ways share.
+    segments of the page is that of the current line, so a running minimum decides. A page that holds a malformed box is gathered whole and
+    folded segment by segment. Both ways share one exchange, one sort and one grouping.
     """
     shown = segments.filter(not_blank(F.col("text")))
-    flagged = shown.withColumn("bad", F.max(F.col("top") < F.col("bottom")).over(Window.partitionBy(*keys)))
     page = Window.partitionBy(*keys).orderBy(F.desc("top"), "left", "seg_id")
-    lowest = F.min("bottom").over(page.rowsBetween(Window.unboundedPreceding, -1))
-    opened = flagged.filter("NOT bad").withColumn("opens", F.coalesce((F.col("top") < lowest - 1.0).cast("int"), F.lit(0))).withColumn("ord", F.row_number().over(page))
-    box = ["text", "left", "top", "right", "bottom"]
-    lined = opened.withColumn("line_index", F.sum("opens").over(page)).select(*keys, "line_index", "ord", *box).unionByName(_folded(flagged.filter("bad"), keys).select(*keys, "line_index", "ord", *box))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s.text), " ")
-    return lined.groupBy(*keys, "line_index").agg(
-        normalised(text).alias("text"), F.min("left").alias("left"), F.max("top").alias("top"), F.max("right").alias("right"), F.min("bottom").alias("bottom")
+    whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = shown.select(
+        *keys, "text", *BOX, F.row_number().over(page).alias("ord"), F.min("bottom").over(page.rowsBetween(Window.unboundedPreceding, -1)).alias("lowest"),
+        F.coalesce(F.max(F.col("top") < F.col("bottom")).over(whole), F.lit(False)).alias("bad"), "seg_id",
     )
+    opens = F.coalesce((F.col("top") < F.col("lowest") - 1.0).cast("int"), F.lit(0))
+    lined = placed.withColumn("line", F.when(F.col("bad"), F.lit(-1).cast("long")).otherwise(F.sum(opens).over(page)))
+    grouped = lined.groupBy(*keys, "line").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"), F.array_sort(F.collect_list(F.when(F.col("bad"), F.struct("ord", *[F.col(c).cast("double").alias(c) for c in BOX])))).alias("s"),
+        F.min("left").alias("left"), F.max("top").alias("top"), F.max("right").alias("right"), F.min("bottom").alias("bottom"),
+    )
+    own = F.struct(F.col("line").alias("line_index"), F.lit(1).alias("at"), F.size("t").alias("n"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    each = grouped.select(*keys, "t", F.inline(F.when(F.col("line") < 0, _folded(F.col("s"))).otherwise(F.array(own))))
+    text = F.array_join(F.transform(F.slice("t", F.col("at"), F.col("n")), lambda s: s.text), " ")
+    return each.select(*keys, "line_index", normalised(text).alias("text"), *BOX)
+
 
+def _folded(segments: Column) -> Column:
+    """The lines of a page's segments in reading order: array of (line_index, at and n: its segments, box). What grows in the fold is the list of lines."""
+    none = F.lit(None).cast("double")
+    start = F.struct(*[none.alias(c) for c in BOX], F.lit(1).alias("at"), F.lit(0).alias("seen"), F.array().cast(f"array<{LINE}>").alias("out"))
 
-def _folded(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments with ord and line_index, from a fold over a page's segments in reading order."""
-    listed = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("top")).alias("down"), "left", "seg_id", "text", "top", "right", "bottom"))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    def closed(a: Column) -> Column:
+        line = F.struct(F.size(a.out).cast("long").alias("line_index"), a["at"].alias("at"), (a.seen + 1 - a["at"]).alias("n"), *[a[c].alias(c) for c in BOX])
+        return F.when(a.seen == 0, a.out).otherwise(F.array_append(a.out, line))
 
     def step(a: Column, s: Column) -> Column:
         joins = F.coalesce(s.top >= a.bottom - F.greatest(F.greatest(a.bottom - a.top, F.lit(0.0)) * 0.3, F.lit(1.0)), F.lit(False))
-        line = a.line + F.when(joins, 0).otherwise(1)
+        side = lambda c, wider: F.when(joins, wider(a[c], s[c])).otherwise(s[c]).alias(c)
         return F.struct(
-            F.when(joins, F.greatest(a.top, s.top)).otherwise(s.top).cast("double").alias("top"), F.when(joins, F.least(a.bottom, s.bottom)).otherwise(s.bottom).cast("double").alias("bottom"),
-            line.alias("line"), F.array_append(a.out, line).alias("out"),
+            side("left", F.least), side("top", F.greatest), side("right", F.greatest), side("bottom", F.least),
+            F.when(joins, a["at"]).otherwise(a.seen + 1).alias("at"), (a.seen + 1).alias("seen"), F.when(joins, a.out).otherwise(closed(a)).alias("out"),
         )
 
-    folded = listed.withColumn("n", F.aggregate("s", start, step, lambda a: a.out))
-    each = folded.select(*keys, F.posexplode(F.arrays_zip("s", "n")).alias("ord", "x"))
-    return each.select(*keys, F.col("x.n").cast("long").alias("line_index"), "ord", *[F.col(f"x.s.{c}").alias(c) for c in ("text", "left", "top", "right", "bottom")])
+    return F.aggregate(segments, start, step, closed)
 
 
 def line_box(line: Column, text: Column) -> dict[str, Column]:

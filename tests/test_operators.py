@@ -15,7 +15,7 @@ from foliospark.operators import compare as C
 from foliospark.operators import linediff
 from foliospark.operators import misc as M
 from foliospark.operators import scoring as S
-from foliospark.operators.layout import reading_order_lines
+from foliospark.operators.layout import STRETCH, reading_order_lines, word_segments
 from foliospark.operators.linediff import common_lines, entries
 from foliospark.operators.regions import merged
 from foliospark.sources import tables
@@ -40,6 +40,41 @@ def test_reading_order(spark, rows, lines):
     assert got == lines
 
 
+def line_by_line(segments):
+    """The lines (text, left, top, right, bottom) of one page's segments (text, left, top, right, bottom), one segment after another."""
+    lines = []
+    for text, left, top, right, bottom in sorted(segments, key=lambda s: (-s[2], s[1])):
+        if lines and top >= lines[-1][4] - max((lines[-1][4] - lines[-1][2]) * 0.3, 1.0):
+            text_, left_, top_, right_, bottom_ = lines[-1]
+            lines[-1] = (f"{text_} {text}", min(left, left_), max(top, top_), max(right, right_), min(bottom, bottom_))
+        else:
+            lines.append((text, left, top, right, bottom))
+    return lines
+
+
+def test_pages_with_and_without_malformed_boxes(spark):
+    rng = random.Random(5)
+    pages = {}
+    for page in range(12):
+        place = rng.sample(range(4000), 150)
+        pages[page] = [(f"w{k}", float(x % 97), x / 4, x % 97 + 9.0, x / 4 - (rng.choice([8, 11, -4, -30]) if page % 2 else rng.choice([8, 11]))) for k, x in enumerate(place)]
+    df = spark.createDataFrame([(1, page, k, *s) for page, own in pages.items() for k, s in enumerate(own)], SEGMENT)
+    got = reading_order_lines(df, ["doc_id", "page_index"]).orderBy("page_index", "line_index").collect()
+    for page, own in pages.items():
+        rows = [r for r in got if r.page_index == page]
+        assert [r.line_index for r in rows] == list(range(len(rows)))
+        assert [(r.text, r.left, r.top, r.right, r.bottom) for r in rows] == line_by_line(own)
+
+
+@pytest.mark.parametrize("n", [1, STRETCH, STRETCH + 1, 20 * STRETCH + 7])
+def test_offsets_of_words(spark, n):
+    words = [("f\u00fcr", "x", "\U0001f600y", "longer")[k * k % 4] for k in range(n)]
+    rows = word_segments(spark.createDataFrame([(6, 0, 3, " ".join(words))], "doc_id long, page_index int, line_index int, text string")).orderBy("word_no").collect()
+    assert [r.text for r in rows] == words and [r.word_no for r in rows] == list(range(n))
+    assert [r.left for r in rows] == [6.0 * sum(len(w) + 1 for w in words[:k]) for k in range(n)]
+    assert len({r.seg_id for r in rows}) == n
+
+
 def diff(spark, old, new):
     df = spark.createDataFrame([(1, 0, old, new)], "pair_id long, page_index int, old_lines array<string>, new_lines array<string>")
     return [tuple(r) for r in entries(df).orderBy("entry_seq").select("kind", "old_line", "new_line", "old_text", "new_text").collect()]
