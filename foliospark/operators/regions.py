@@ -1,18 +1,28 @@
-"""Merging of changed regions: boxes of one page within a gap of each other are one region, linked on the original boxes."""
+"""Merging of changed regions: boxes of one page within a gap of each other are one region, linked on the original boxes.
+
+Pages of up to `PAIRED` boxes are merged as rows, all pairs of a page at once; on larger ones boxes meet by a grid and are linked over the table.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.plans.components import components
+from foliospark.plans.grouped import labels, lists, pairs_within, split
+from foliospark.plans.shared import ensure_importable, written
 
 GAP = 8.0
 #: Side of a grid bucket by which boxes meet.
 BUCKET = 32.0
+#: Boxes of a page up to which all its pairs are looked at, and pairs that are held at a time.
+PAIRED, HELD = 256, 1 << 20
+BOX = ("left", "top", "right", "bottom")
 
 
 def buckets(low: Column, high: Column, side: float) -> Column:
@@ -38,9 +48,54 @@ def near_pairs(regions: DataFrame, gap: float = GAP, side: float = BUCKET) -> Da
 
 def merged(regions: DataFrame, gap: float = GAP) -> DataFrame:
     """(pair_id, page_index, left, top, right, bottom, n_boxes): union boxes of the connected regions of a page."""
-    numbered = regions.withColumn("node", F.xxhash64("pair_id", "page_index", "region_id"))
-    labels = components(near_pairs(numbered, gap), "regions").withColumnRenamed("node", "_n")
-    named = numbered.join(labels, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
+    key = ["pair_id", "page_index"]
+    rows = written(regions.select(*key, F.xxhash64(*key, "region_id").alias("node"), *BOX), "boxes")
+    plain = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < 1e300) for c in BOX])
+    small, large = split(rows, key, plain, PAIRED)
+    ensure_importable(regions.sparkSession)
+    pages = small.groupBy(*key).agg(F.collect_list(F.struct("node", *[F.col(c).cast("double").alias(c) for c in BOX])).alias("b"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = pages.mapInArrow(_merger(gap), ", ".join([*[f"{k} {kinds[k]}" for k in key], *[f"{c} double" for c in BOX], "n_boxes bigint"]))
+    out = out.select(*key, *[F.col(c).cast(kinds[c]).alias(c) for c in BOX], "n_boxes")
+    return out if large is None else out.unionByName(_merged_by_grid(large, gap))
+
+
+def _merger(gap: float):
+    def merge(batches):
+        for batch in batches:
+            done, rows = 0, batch.num_rows
+            sizes = np.diff(batch.column("b").offsets.to_numpy())
+            pairs = np.cumsum(sizes.astype(np.int64) ** 2 // 2)
+            while done < rows:  # as many pages as have HELD pairs
+                before = pairs[done - 1] if done else 0
+                end = max(done + 1, int(np.searchsorted(pairs, before + HELD, "right")))
+                yield _merge(batch.slice(done, end - done), gap)
+                done = end
+
+    return merge
+
+
+def _merge(batch: pa.RecordBatch, gap: float) -> pa.RecordBatch:
+    sizes, c = lists(batch.column("b"))
+    a, b = pairs_within(sizes)
+    apart = lambda low, high: np.maximum(c[low][a] - c[high][b], c[low][b] - c[high][a])
+    near = (apart("left", "right") <= gap) & (apart("top", "bottom") <= gap) | (c["node"][a] == c["node"][b])
+    label = labels(len(c["node"]), a[near], b[near])
+    roots, place = np.unique(label, return_inverse=True)
+    box = {}
+    for name in BOX:
+        least = name in ("left", "top")
+        box[name] = np.full(len(roots), np.inf if least else -np.inf)
+        (np.minimum if least else np.maximum).at(box[name], place, c[name])
+    page = np.repeat(np.arange(len(sizes)), sizes)[roots]
+    keys = [batch.column(k).take(pa.array(page)) for k in ("pair_id", "page_index")]
+    return pa.RecordBatch.from_arrays([*keys, *[pa.array(box[n]) for n in BOX], pa.array(np.bincount(place, minlength=len(roots)))], names=["pair_id", "page_index", *BOX, "n_boxes"])
+
+
+def _merged_by_grid(numbered: DataFrame, gap: float) -> DataFrame:
+    """The same for pages of any number of boxes."""
+    labelled = components(near_pairs(numbered, gap), "regions").withColumnRenamed("node", "_n")
+    named = numbered.join(labelled, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
     return named.groupBy("pair_id", "page_index", "component").agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.count("*").alias("n_boxes")
     ).drop("component")
