@@ -1,4 +1,4 @@
-"""Visual changes of page pairs from their grids of coloured cells: offset, tiles that differ, differing cells, regions, merged regions.
+"""Visual changes of page pairs from their grids of coloured cells: offset, tiles, differing cells, regions, merged regions.
 
 cells (keys, side, x, y, r, g, b, a) of both sides; a cell that isn't there is white. offsets (keys, dx, dy): where the old cell (x, y) stands on
 the new side, (0, 0) for pages that it doesn't hold.
@@ -6,32 +6,23 @@ the new side, (0, 0) for pages that it doesn't hold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.colour import CHANNELS, difference
+from foliospark.functions.colour import CHANNELS
 from foliospark.plans.components import components
-from foliospark.plans.shared import written
+from foliospark.plans.grouped import labels, lists, split
+from foliospark.plans.shared import ensure_importable, written
 from .regions import merged
+from .tiles import cells_of, marked_runs, tiled
 
 THRESHOLD, REACH, NEIGHBOURS, LEAST, TILE = 60.0, 2, 3, 8, 64
 #: Width of the stretches of a row in which runs of neighbouring rows meet.
 STRETCH = 64
 
 
-def _pixel() -> Column:
-    return F.struct(*CHANNELS)
-
-
-def _white() -> Column:
-    return F.struct(*[F.lit(255).alias(c) for c in CHANNELS])
-
-
-def extents(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides are padded to one extent."""
-    return cells.groupBy(*keys).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-
-
 def changed_tiles(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     """(keys, tx, ty): tiles whose sides differ, and their neighbours. A tile's signature is two sums without carry of its cells' hashes, in any order; cells that
     are there but white make it differ, which costs work and changes nothing."""
@@ -42,50 +33,10 @@ def changed_tiles(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFr
     return differ.select(*keys, F.inline(around)).distinct()
 
 
-def _axis(c: str, size: str, d: str) -> Column:
-    """The places of the old frame, up to REACH beyond its rims, that the new cell at `c` has a share in, and the shares."""
-    low = F.when(F.col(c) == 0, F.lit(-REACH)).otherwise(F.greatest(F.floor(F.col(c) - F.col(d) - 1).cast("int"), F.lit(-REACH)))
-    last = F.col(size) - 1 + REACH
-    high = F.when(F.col(c) == F.col(size) - 1, last).otherwise(F.least(F.ceil(F.col(c) - F.col(d) + 1).cast("int"), last))
-    held = lambda p: F.least(F.greatest(p + F.col(d), F.lit(0.0)), F.col(size) - 1.0)
-    each = F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda p: F.struct(p.alias("at"), (1 - F.abs(held(p) - F.col(c))).alias("share")))
-    return F.filter(each, lambda s: s.share > 0)
-
-
-def resampled(new: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x, y, near): the new side (keys, x, y, width, height and channels) as seen from the old frame, bilinear by channel in whole numbers; places beyond the rim are
-    those at the rim. Every new cell hands its shares to at most four places (more at a rim), so that one aggregate does it; white has no row."""
-    moved = new.join(offsets, keys, "left").withColumns({d: F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in ("dx", "dy")})
-    spread = moved.select(*keys, "x", "y", "dy", "height", *CHANNELS, F.inline(_axis("x", "width", "dx")))
-    spread = spread.select(*keys, *CHANNELS, F.col("at").alias("ax"), F.col("share").alias("sx"), F.inline(_axis("y", "height", "dy")))
-    mixed = spread.groupBy(*keys, F.col("ax").alias("x"), F.col("at").alias("y")).agg(*[F.round(255 + F.sum(F.col("sx") * F.col("share") * (F.col(c) - 255)), 0).cast("int").alias(c) for c in CHANNELS])
-    return mixed.select(*keys, "x", "y", _pixel().alias("near"))
-
-
 def mask(cells: DataFrame, keys: list[str], offsets: DataFrame, threshold: float = THRESHOLD, reach: int = REACH, neighbours: int = NEIGHBOURS, tile: int = TILE) -> DataFrame:
     """(keys, x, y): old cells that differ by more than the threshold from the new side at their place and from all places within `reach` of it, and have
-    `neighbours` of the kind about them. Old cells whose place lies outside the new side are skipped.
-
-    Pages that haven't moved are first cut to the tiles that differ.
-    """
-    size = extents(cells, keys)
-    still = F.coalesce((F.col("dx") == 0) & (F.col("dy") == 0), F.lit(True))
-    placed = cells.join(offsets, keys, "left").withColumn("_still", still).drop("dx", "dy")
-    tiles = changed_tiles(cells, keys, tile).withColumn("_t", F.lit(True))
-    tiled = placed.withColumns({f"t{c}": F.floor(F.col(c) / tile).cast("int") for c in "xy"}).join(tiles, [*keys, "tx", "ty"], "left").filter("_t OR NOT _still").drop("tx", "ty", "_t", "_still")
-    kept = written(tiled.join(size, keys), "tiled")
-    near = written(resampled(kept.filter("side = 'new'"), offsets, keys), "resampled")
-    old = kept.filter("side = 'old'").select(*keys, "x", "y", _pixel().alias("old"))
-    both = old.join(near, [*keys, "x", "y"], "full").select(*keys, "x", "y", F.coalesce("old", _white()).alias("old"), F.coalesce("near", _white()).alias("near"))
-    inside = lambda c, d, most: (F.col(c) >= 0) & (F.col(c) < F.col(most)) & (F.col(c) + F.coalesce(d, F.lit(0.0)) >= 0) & (F.col(c) + F.coalesce(d, F.lit(0.0)) < F.col(most))
-    centre = both.filter(difference(F.col("old"), F.col("near")) > threshold).join(size, keys).join(offsets, keys, "left").filter(inside("x", "dx", "width") & inside("y", "dy", "height"))
-    steps = range(-reach, reach + 1)
-    places = F.array(*[F.struct((F.col("x") + i).alias("ax"), (F.col("y") + j).alias("ay")) for i in steps for j in steps])
-    looked = centre.select(*keys, "x", "y", "old", F.inline(places)).join(near.withColumnsRenamed({"x": "ax", "y": "ay"}), [*keys, "ax", "ay"], "left")
-    differing = looked.groupBy(*keys, "x", "y").agg(F.bool_or(difference(F.col("old"), F.coalesce("near", _white())) <= threshold).alias("like")).filter("NOT like").drop("like")
-    ring = F.array(*[F.struct((F.col("x") + i).alias("x2"), (F.col("y") + j).alias("y2")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    support = differing.select(*keys, F.inline(ring)).groupBy(*keys, F.col("x2").alias("x"), F.col("y2").alias("y")).agg(F.count("*").alias("n"))
-    return differing.join(support.filter(F.col("n") >= neighbours), [*keys, "x", "y"], "left_semi")
+    `neighbours` of the kind about them. Old cells whose place lies outside the new side are skipped. The new side is seen from the old frame, bilinear by channel."""
+    return cells_of(marked_runs(tiled(cells, keys, offsets, reach + 1, tile=tile), keys, threshold, reach, neighbours, tile), keys)
 
 
 def runs(marked: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,25 +45,79 @@ def runs(marked: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("_k", F.col("x") - F.row_number().over(row)).groupBy(*keys, "y", "_k").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_k").withColumn("node", F.xxhash64(*keys, "y", "x0"))
 
 
-def regions(marked: DataFrame, keys: list[str], least: int = LEAST, scale: float = 1.0) -> DataFrame:
-    """(keys, region_id, left, top, right, bottom, n_cells): 4-connected regions with at least `least` cells. The nodes are runs of a row, linked where those of the next row
-    overlap; runs meet in stretches of a row and are linked in the one where their overlap begins."""
-    each = written(runs(marked, keys), "runs")
+def regions(marked: DataFrame, keys: list[str], least: int = LEAST, scale: float | tuple[float, float] = 1.0) -> DataFrame:
+    """(keys, region_id, left, top, right, bottom, n_cells): 4-connected regions with at least `least` cells."""
+    return regions_of_runs(runs(marked, keys).drop("node"), keys, least, scale)
+
+
+def regions_of_runs(parts: DataFrame, keys: list[str], least: int = LEAST, scale: float | tuple[float, float] = 1.0) -> DataFrame:
+    """The same from runs (keys, y, x0, x1) of a row, which may follow each other without a gap. Runs are linked where those of the next row overlap: those of a page as one row, or,
+    of a page with very many, over the table."""
+    each = written(parts.withColumn("node", F.xxhash64(*keys, "y", "x0")), "runs")
+    ensure_importable(parts.sparkSession)
+    small, large = split(each, keys)
+    pages = small.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1", "node")).alias("r"))
+    kinds = {f.name: f.dataType.simpleString() for f in each.schema.fields}
+    out = pages.mapInArrow(_linked(keys), ", ".join([*[f"{k} {kinds[k]}" for k in keys], "region_id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, n_cells bigint"]))
+    found = out if large is None else out.unionByName(_regions_by_table(large, keys))
+    w, h = scale if isinstance(scale, tuple) else (scale, scale)
+    boxes = found.select(*keys, "region_id", (F.col("x0") * w).alias("left"), (F.col("y0") * h).alias("top"), ((F.col("x1") + 1) * w).alias("right"), ((F.col("y1") + 1) * h).alias("bottom"), "n_cells")
+    return boxes.filter(F.col("n_cells") >= least)
+
+
+def _linked(keys: list[str]):
+    def link(batches):
+        for batch in batches:
+            sizes, r = lists(batch.column("r"))
+            page = np.repeat(np.arange(len(sizes)), sizes)
+            if not len(page):
+                continue
+            order = np.lexsort((r["x0"], r["y"], page))
+            page, (y, x0, x1, node) = page[order], (r[c][order].astype(np.int64) for c in ("y", "x0", "x1", "node"))
+            rank = lambda v: np.unique(v, return_inverse=True)[1]
+            high, low = rank(np.concatenate([y, y + 1])), rank(np.concatenate([x0, x1]))
+            n, rows, width = len(y), int(high.max()) + 1, int(low.max()) + 1
+            # one number that orders page, row and place, so that the runs of the next row are found by search
+            at = lambda row, x: (page * rows + row) * width + x
+            starts, ends = at(high[:n], low[:n]), at(high[:n], low[n:])
+            first = np.searchsorted(ends, at(high[n:], low[:n]))
+            count = np.maximum(np.searchsorted(starts, at(high[n:], low[n:]), "right") - first, 0)
+            upper = np.repeat(np.arange(n), count)
+            lower = np.repeat(first, count) + np.arange(len(upper)) - np.repeat(np.cumsum(count) - count, count)
+            beside = np.flatnonzero((page[1:] == page[:-1]) & (y[1:] == y[:-1]) & (x0[1:] == x1[:-1] + 1))
+            roots, place = np.unique(labels(n, np.concatenate([upper, beside]), np.concatenate([lower, beside + 1])), return_inverse=True)
+            least, most = lambda v: np.minimum.reduceat(v[by], cuts), lambda v: np.maximum.reduceat(v[by], cuts)
+            by = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[by], np.arange(len(roots)))
+            total = np.add.reduceat((x1 - x0 + 1)[by], cuts)
+            values = [least(node), least(x0), least(y), most(x1), most(y), total]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(page[roots])) for k in keys], *map(pa.array, values)], names=[*keys, "region_id", "x0", "y0", "x1", "y1", "n_cells"])
+
+    return link
+
+
+def _regions_by_table(each: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for pages of any number of runs: runs meet in stretches of a row and are linked in the one where their overlap begins."""
     put = each.select("*", F.explode(F.sequence(F.floor(F.col("x0") / STRETCH).cast("int"), F.floor(F.col("x1") / STRETCH).cast("int"))).alias("s"))
     upper = put.select(*keys, (F.col("y") + 1).alias("y"), "s", F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("a"))
     start = F.greatest("x0", "u0")
     edges = upper.join(put, [*keys, "y", "s"]).filter((start <= F.least("x1", "u1")) & (F.floor(start / STRETCH) == F.col("s"))).select("a", F.col("node").alias("b"))
-    labels = components(edges, "grid").withColumnRenamed("node", "_n")
-    named = each.join(labels, F.col("node") == F.col("_n"), "left").withColumn("region_id", F.coalesce("component", "node"))
-    n = F.sum(F.col("x1") - F.col("x0") + 1)
-    boxes = named.groupBy(*keys, "region_id").agg((F.min("x0") * scale).alias("left"), (F.min("y") * scale).alias("top"), ((F.max("x1") + 1) * scale).alias("right"), ((F.max("y") + 1) * scale).alias("bottom"), n.alias("n_cells"))
-    return boxes.filter(F.col("n_cells") >= least)
+    beside = each.select(*keys, "y", (F.col("x1") + 1).alias("x0"), F.col("node").alias("a")).join(each.select(*keys, "y", "x0", F.col("node").alias("b")), [*keys, "y", "x0"]).select("a", "b")
+    linked = components(edges.unionByName(beside), "grid").withColumnRenamed("node", "_n")
+    named = each.join(linked, F.col("node") == F.col("_n"), "left").withColumn("region_id", F.coalesce("component", "node"))
+    span = [F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n_cells")]
+    return named.groupBy(*keys, "region_id").agg(*span).withColumns({c: F.col(c).cast("long") for c in ("x0", "y0", "x1", "y1", "n_cells")})
 
 
-def visual_regions(cells: DataFrame, offsets: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(pair_id, page_index, region_id, left, top, right, bottom): what a comparison takes as the changed regions of a detector."""
+def tile_regions(tiles: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(pair_id, page_index, region_id, left, top, right, bottom): what a comparison takes as the changed regions of a detector, from the tiles of page pairs."""
     keys = ["pair_id", "page_index"]
-    return regions(written(mask(cells, keys, offsets), "mask"), keys, scale=scale).drop("n_cells")
+    return regions_of_runs(marked_runs(tiles, keys, THRESHOLD, REACH, NEIGHBOURS), keys, scale=scale).drop("n_cells")
+
+
+def visual_regions(cells: DataFrame, offsets: DataFrame, scale: float = 1.0) -> DataFrame:
+    """The same from cells."""
+    return tile_regions(tiled(cells, ["pair_id", "page_index"], offsets, REACH + 1), scale)
 
 
 def visual_changes(cells: DataFrame, offsets: DataFrame, scale: float = 1.0) -> DataFrame:

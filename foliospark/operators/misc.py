@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.colour import CHANNELS, difference, luminance
 from foliospark.functions.text import alignment_key, match_count, normalised, snippet
-from foliospark.plans.components import components
+from . import tiles
+from .detect import regions
 from .outline import climbed, titled
 
 
@@ -70,48 +72,16 @@ def page_cells(pages: DataFrame) -> DataFrame:
     return side("old").unionByName(side("new"))
 
 
-def _pixel() -> Column:
-    return F.struct(*CHANNELS)
-
-
-def _white() -> Column:
-    return F.struct(*[F.lit(255).alias(c) for c in CHANNELS])
-
-
-def _extent(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides are padded to one extent: missing cells are white."""
-    return cells.groupBy(*keys).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-
-
 def grid_mask(cells: DataFrame, keys: list[str], threshold: float = 60.0, reach: int = 2, neighbours: int = 3) -> DataFrame:
     """(keys, x, y): old cells that differ in colour by more than the threshold from every new cell within `reach` (places beyond the rim count
     as those at the rim), and have as many differing ones among their eight neighbours."""
-    side = lambda s: cells.filter(F.col("side") == s).select(*keys, "x", "y", _pixel().alias(s))
-    new = side("new")
-    both = side("old").join(new, [*keys, "x", "y"], "full").select(*keys, "x", "y", F.coalesce("old", _white()).alias("old"), F.coalesce("new", _white()).alias("new"))
-    centre = both.filter(difference(F.col("old"), F.col("new")) > threshold).join(_extent(cells, keys), keys)
-    steps = [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)]
-    inside = lambda v, most: F.greatest(F.lit(0), F.least(v, F.col(most) - 1))
-    around = F.array_distinct(F.array(*[F.struct(inside(F.col("x") + dx, "width").alias("ax"), inside(F.col("y") + dy, "height").alias("ay")) for dx, dy in steps]))
-    near = new.select(*keys, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("new").alias("near"))
-    looked = centre.select(*keys, "x", "y", "old", F.inline(around)).join(near, [*keys, "ax", "ay"], "left")
-    like = looked.groupBy(*keys, "x", "y").agg(F.bool_or(difference(F.col("old"), F.coalesce("near", _white())) <= threshold).alias("like"))
-    differing = like.filter("NOT like").drop("like")
-    ring = F.array(*[F.struct((F.col("x") + dx).alias("x2"), (F.col("y") + dy).alias("y2")) for dx, dy in [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]])
-    support = differing.select(*keys, F.inline(ring)).groupBy(*keys, F.col("x2").alias("x"), F.col("y2").alias("y")).agg(F.count("*").alias("n"))
-    return differing.join(support.filter(F.col("n") >= neighbours), [*keys, "x", "y"], "left_semi")
+    return tiles.cells_of(tiles.marked_runs(tiles.tiled(cells, keys, halo=reach + 1), keys, threshold, reach, neighbours), keys)
 
 
 def grid_regions(mask: DataFrame, keys: list[str], least: int = 8, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(keys, left, top, right, bottom, n_cells): 4-connected regions of the mask with at least `least` cells, right and bottom exclusive, in cells
     times the scale."""
-    numbered = mask.withColumn("node", F.xxhash64(*keys, "x", "y"))
-    step = lambda dx, dy: numbered.select(*keys, (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("node").alias("a")).join(numbered.select(*keys, "x", "y", F.col("node").alias("b")), [*keys, "x", "y"]).select("a", "b")
-    labels = components(step(1, 0).union(step(0, 1)), "grid").withColumnRenamed("node", "_n")
-    named = numbered.join(labels, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node"))
-    w, h = scale
-    boxes = named.groupBy(*keys, "component").agg((F.min("x") * w).alias("left"), (F.min("y") * h).alias("top"), ((F.max("x") + 1) * w).alias("right"), ((F.max("y") + 1) * h).alias("bottom"), F.count("*").alias("n_cells"))
-    return boxes.filter(F.col("n_cells") >= least).drop("component")
+    return regions(mask, keys, least, scale).drop("region_id")
 
 
 def grid_offset(cells: DataFrame, keys: list[str], reach: float = 2.0, step: float = 0.25, every: int = 8) -> DataFrame:
@@ -120,26 +90,7 @@ def grid_offset(cells: DataFrame, keys: list[str], reach: float = 2.0, step: flo
     Shifts go by `step` up to `reach`; between cells a value is bilinear, channel by channel, in whole numbers; what comes to lie outside
     doesn't count. No shift wins over equals, then the first by dy and dx.
     """
-    n = int(reach / step)
-    steps = [k * step for k in range(-n, n + 1)]
-    extent = _extent(cells, keys)
-    spots = extent.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1, F.lit(every))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(every))).alias("y"))
-    side = lambda s: cells.filter(F.col("side") == s).select(*keys, "x", "y", _pixel().alias(s))
-    sampled = spots.join(side("old"), [*keys, "x", "y"], "left").select(*keys, "width", "height", "x", "y", luminance(F.coalesce("old", _white())).alias("old"))
-    moved = sampled.select("*", F.explode(F.array(*map(F.lit, steps))).alias("dx")).select("*", F.explode(F.array(*map(F.lit, steps))).alias("dy"))
-    at = moved.withColumn("nx", F.col("x") + F.col("dx")).withColumn("ny", F.col("y") + F.col("dy")).filter("nx >= 0 AND ny >= 0 AND nx < width AND ny < height")
-    at = at.withColumn("nx", F.least("nx", F.col("width") - 1)).withColumn("ny", F.least("ny", F.col("height") - 1))
-    low = at.withColumns({"x0": F.floor("nx").cast("int"), "y0": F.floor("ny").cast("int")}).withColumns({"fx": F.col("nx") - F.col("x0"), "fy": F.col("ny") - F.col("y0")})
-    corner = lambda i, j: F.struct(
-        F.least(F.col("x0") + i, F.col("width") - 1).alias("cx"), F.least(F.col("y0") + j, F.col("height") - 1).alias("cy"), ((F.col("fx") if i else 1 - F.col("fx")) * (F.col("fy") if j else 1 - F.col("fy"))).alias("weight"),
-    )
-    spread = low.select(*keys, "x", "y", "dx", "dy", "old", F.inline(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).filter("weight > 0")
-    met = spread.join(side("new").withColumnsRenamed({"x": "cx", "y": "cy"}), [*keys, "cx", "cy"], "left").withColumn("new", F.coalesce("new", _white()))
-    mixed = met.groupBy(*keys, "dx", "dy", "x", "y").agg(F.first("old").alias("old"), *[F.round(F.sum(F.col("weight") * F.col(f"new.{c}"))).alias(c) for c in CHANNELS])
-    scored = mixed.groupBy(*keys, "dx", "dy").agg(F.avg(F.abs(F.col("old") - luminance(_pixel()))).alias("score"))
-    # sums come in no certain order: equal to nine places is equal
-    best = scored.groupBy(*keys).agg(F.min(F.struct(F.round("score", 9).alias("score"), ((F.col("dx") != 0) | (F.col("dy") != 0)).alias("moved"), "dy", "dx")).alias("b"))
-    return best.select(*keys, "b.dx", "b.dy", F.round("b.score", 4).alias("score"))
+    return tiles.best_shifts(tiles.tiled(cells, keys, halo=math.ceil(reach) + 2, blank=True), keys, reach, step, every)
 
 
 def page_offset(by_text: DataFrame, by_grid: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
