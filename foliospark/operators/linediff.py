@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.plans.shared import ensure_importable, written
+from foliospark.plans.shared import ensure_importable
 from .revisions import keys
 
 KEPT = "array<struct<o:int,n:int>>"
@@ -189,23 +189,21 @@ def by_table(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _by_search(batches):
-    for batch in batches:
-        k = batch.schema.get_field_index("kept")
-        found = [[{"o": o, "n": n} for o, n in common_lines(a, b)] for a, b in zip(batch.column("ok").to_pylist(), batch.column("nk").to_pylist(), strict=True)]
-        yield batch.set_column(k, batch.schema.field(k), pa.array(found, batch.schema.field(k).type))
+def _searched(old: pa.Array, new: pa.Array) -> pa.Array:
+    """The kept lines of pages by their keys; null where they aren't given."""
+    found = [None if a is None else [{"o": o, "n": n} for o, n in common_lines(a, b)] for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True)]
+    return pa.array(found, pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32())])))
 
 
 def kept_lines(pages: DataFrame) -> DataFrame:
-    """Common pages with path and kept: the index pairs of the lines that stay. The routed pages are written, as three branches read them."""
+    """Common pages with path and kept: the index pairs of the lines that stay. All pages pass once; only the keys of path c reach Python."""
     ensure_importable(pages.sparkSession)
-    routed = written(paths(pages), "routed")
     place = lambda o, n: F.struct(o.cast("int").alias("o"), n.cast("int").alias("n"))
     equal = F.transform("ok", lambda k, i: place(i, i))
     moved = F.filter(F.transform("ok", lambda k, i: place(i, F.array_position("nk", k) - 1)), lambda p: p.n >= 0)
-    direct = routed.filter("path <> 'c'").withColumn("kept", F.when(F.col("path") == "a", equal).otherwise(moved).cast(KEPT))
-    rest = routed.filter("path = 'c'").withColumn("kept", F.lit(None).cast(KEPT))
-    return direct.unionByName(rest.mapInArrow(_by_search, rest.schema))
+    asked = lambda c: F.when(F.col("path") == "c", F.col(c))
+    searched = paths(pages).withColumn("found", F.arrow_udf(_searched, KEPT)(asked("ok"), asked("nk")))
+    return searched.withColumn("kept", F.when(F.col("path") == "c", F.col("found")).when(F.col("path") == "a", equal).otherwise(moved).cast(KEPT)).drop("found")
 
 
 def _gap(low_o: Column, high_o: Column, low_n: Column, high_n: Column) -> Column:
@@ -222,8 +220,8 @@ def _gap(low_o: Column, high_o: Column, low_n: Column, high_n: Column) -> Column
     )
 
 
-def entries(pages: DataFrame) -> DataFrame:
-    """(pair_id, page_index, path, entry_seq, kind, old_line, new_line, old_text, new_text) of all common pages, lines from 0."""
+def entries(pages: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(pair_id, page_index, path, entry_seq, kind, old_line, new_line, old_text, new_text) of all common pages, lines from 0, with columns of the page that are `carried` along."""
     kept = kept_lines(pages)
     bounds = F.concat(F.array(F.struct(F.lit(-1).alias("o"), F.lit(-1).alias("n"))), F.col("kept"), F.array(F.struct(F.size("ok").alias("o"), F.size("nk").alias("n"))))
     step = F.transform(
@@ -235,8 +233,8 @@ def entries(pages: DataFrame) -> DataFrame:
     )
     # texts go into the entries first, so that no row of the result carries a page
     whole = F.transform(F.flatten(step), lambda e: F.struct(e.kind.alias("kind"), e.o.alias("old_line"), e.n.alias("new_line"), F.get("old_lines", e.o).alias("old_text"), F.get("new_lines", e.n).alias("new_text")))
-    made = kept.withColumn("b", bounds).select("pair_id", "page_index", "path", F.posexplode(whole).alias("entry_seq", "e"))
-    return made.select("pair_id", "page_index", "path", "entry_seq", "e.*")
+    made = kept.withColumn("b", bounds).select("pair_id", "page_index", *carried, "path", F.posexplode(whole).alias("entry_seq", "e"))
+    return made.select("pair_id", "page_index", *carried, "path", "entry_seq", "e.*")
 
 
 def edit_lengths(pages: DataFrame) -> DataFrame:

@@ -105,10 +105,12 @@ def paired(pairs: DataFrame, old_pages: DataFrame, new_pages: DataFrame | None =
     """(pair_id, page_index, old_lines, new_lines): page i of one document against page i of the other, a full outer join.
 
     pairs (pair_id, old_doc_id, new_doc_id), page tables (doc_id, page_index, lines); one table may hold both sides. A page that only one
-    side has stays, with null on the other; a document without pages gives none.
+    side has stays, with null on the other; a document without pages gives none. Further columns of pairs go along with its pages.
     """
-    side = lambda name, pages: pairs.select("pair_id", F.col(f"{name}_doc_id").alias("doc_id")).join(pages, "doc_id").select("pair_id", "page_index", F.col("lines").alias(f"{name}_lines"))
-    return side("old", old_pages).join(side("new", old_pages if new_pages is None else new_pages), ["pair_id", "page_index"], "full")
+    more = [c for c in pairs.columns if c not in ("pair_id", "old_doc_id", "new_doc_id")]
+    side = lambda name, pages: pairs.select("pair_id", *[F.col(c).alias(f"_{name}_{c}") for c in more], F.col(f"{name}_doc_id").alias("doc_id")).join(pages, "doc_id").select("pair_id", "page_index", *[f"_{name}_{c}" for c in more], F.col("lines").alias(f"{name}_lines"))
+    both = side("old", old_pages).join(side("new", old_pages if new_pages is None else new_pages), ["pair_id", "page_index"], "full")
+    return both.select("pair_id", "page_index", *[F.coalesce(f"_old_{c}", f"_new_{c}").alias(c) for c in more], "old_lines", "new_lines")
 
 
 def pairs(pages: DataFrame) -> DataFrame:

@@ -86,3 +86,17 @@ def test_no_cell_becomes_a_row(spark):
     pages = spark.createDataFrame(page_rows(), "pair_id long, page_index int, old_lines array<string>, new_lines array<string>")
     plan = tiles.marked_runs(tiles.page_tiles(pages), PAGE)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_lines_are_written_once_whatever_the_modes(spark, monkeypatch):
+    from foliospark.operators import compare, linediff
+
+    kept = []
+    monkeypatch.setattr(compare, "written", lambda df, name: kept.append((name, df.columns)) or df)
+    pages = spark.createDataFrame([(d, 0, [f"line {d % 3}", "same", f"x{d}"]) for d in range(4)], "doc_id long, page_index int, lines array<string>")
+    pairs = spark.createDataFrame([(k, k, k + 1, m) for k in range(3) for m in compare.MODES], "pair_id long, old_doc_id long, new_doc_id long, mode string")
+    report = compare.compare(pairs, pages)
+    assert [name for name, columns in kept if "old_text" in columns or "old_lines" in columns] == ["paired", "entries"]
+    assert not hasattr(linediff, "written")
+    assert report.stats.count() == 9 and report.pages.filter("status = 'modified'").count() == 9
+    assert {(r.mode, r.origin) for r in report.entries.collect()} == {("text", "text"), ("hybrid", "text"), ("visual", "visual"), ("hybrid", "visual")}
