@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import alignment_key, match_count, normalised, snippet
+from foliospark.functions.text import alignment_key, match_count, snippet
 from . import tiles
 from .detect import regions
 from .outline import climbed, titled

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import detect, drawings, misc, regions, tiles
 from foliospark.plans import grouped
-from foliospark.plans.components import components
 
 PAGE = ["pair_id", "page_index"]
 BOX = "pair_id long, page_index int, region_id int, left double, top double, right double, bottom double"
