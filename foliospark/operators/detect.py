@@ -112,7 +112,12 @@ def _regions_by_table(each: DataFrame, keys: list[str]) -> DataFrame:
 def tile_regions(tiles: DataFrame, scale: float = 1.0) -> DataFrame:
     """(pair_id, page_index, region_id, left, top, right, bottom): what a comparison takes as the changed regions of a detector, from the tiles of page pairs."""
     keys = ["pair_id", "page_index"]
-    return regions_of_runs(marked_runs(tiles, keys, THRESHOLD, REACH, NEIGHBOURS), keys, scale=scale).drop("n_cells")
+    return run_regions(marked_runs(tiles, keys, THRESHOLD, REACH, NEIGHBOURS), scale)
+
+
+def run_regions(marked: DataFrame, scale: float = 1.0) -> DataFrame:
+    """The same from the runs of marked cells."""
+    return regions_of_runs(marked, ["pair_id", "page_index"], scale=scale).drop("n_cells")
 
 
 def visual_regions(cells: DataFrame, offsets: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from foliospark.plans.grouped import lists
 from foliospark.plans.shared import ensure_importable, written
 
 TILE = 64
+#: Cells of tiles, and bytes of lines, that are looked at together.
+HELD, TEXT_HELD = 1 << 20, 1 << 22
+RUN = "y int, x0 int, x1 int"
 CELLS = "array<struct<x:int,y:int,r:int,g:int,b:int,a:int>>"
 
 
@@ -112,39 +116,127 @@ def _difference(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.sqrt(np.maximum(one, 0.0) + np.maximum(two, 0.0))
 
 
-def _marked(sides, w: int, h: int, tx: int, ty: int, dx: float, dy: float, threshold: float, reach: int, neighbours: int, tile: int = TILE):
-    """y, x0, x1 (inclusive) of the runs of marked cells of a tile."""
-    none = (np.zeros(0, np.int64),) * 3
+class Canvases:
+    """The channels of rectangles [x0, x1) x [y0, y1) of one side, one a tile, one after the other; as in `Canvas`, cells that aren't there are white."""
+
+    def __init__(self, sizes: np.ndarray, cells: dict[str, np.ndarray], x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray):
+        self.x0, self.y0, self.width, self.area = x0, y0, x1 - x0, (x1 - x0) * (y1 - y0)
+        self.first, self.channels = np.cumsum(self.area) - self.area, {}
+        k, x, y = np.repeat(np.arange(len(sizes)), sizes), cells["x"], cells["y"]
+        held = (x >= x0[k]) & (x < x1[k]) & (y >= y0[k]) & (y < y1[k])
+        place = self._place(k[held], y[held], x[held])
+        for c in CHANNELS:
+            self.channels[c] = np.full(int(self.area.sum()), 255, np.int32)
+            self.channels[c][place] = cells[c][held]
+
+    def _place(self, k: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return self.first[k] + (y - self.y0[k]) * self.width[k] + x - self.x0[k]
+
+    def at(self, k: np.ndarray, y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        place = self._place(k, y, x)
+        return {c: v[place] for c, v in self.channels.items()}
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tile, y and x of cells by their number."""
+        k = np.repeat(np.arange(len(self.area)), self.area)[at]
+        at = at - self.first[k]
+        return k, self.y0[k] + at // self.width[k], self.x0[k] + at % self.width[k]
+
+
+def _seen(new, k: np.ndarray, y: np.ndarray, x: np.ndarray, w: np.ndarray, h: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> dict[str, np.ndarray]:
+    """The channels of the new side where the old cells (x, y) stand on it, as `Canvas.seen` gives them."""
+    x, y = np.clip(x + dx[k], 0, w[k] - 1), np.clip(y + dy[k], 0, h[k] - 1)
+    xi, yi = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    found, fx, fy = new.at(k, yi, xi), x - xi, y - yi
+    between = np.flatnonzero((fx != 0) | (fy != 0))
+    if len(between):
+        k, xi, yi, fx, fy = (v[between] for v in (k, xi, yi, fx, fy))
+        right, down = np.minimum(xi + 1, w[k] - 1), np.minimum(yi + 1, h[k] - 1)
+        parts = [(new.at(k, a, b), f) for a, b, f in ((yi, xi, (1 - fx) * (1 - fy)), (yi, right, fx * (1 - fy)), (down, xi, (1 - fx) * fy), (down, right, fx * fy))]
+        for c in CHANNELS:
+            found[c][between] = np.floor(255 + sum(f * (v[c] - 255) for v, f in parts) + 0.5).astype(np.int32)
+    return found
+
+
+def _crowded(old: dict[str, np.ndarray], seen, k: np.ndarray, y: np.ndarray, x: np.ndarray, threshold: float, reach: int, neighbours: int) -> tuple[np.ndarray, ...]:
+    """k, y and x, in order, of those places, each given once, whose old cell differs from all that `seen` gives within `reach`, with `neighbours` of the kind about them."""
+    a = [*_axes(old), old["a"]]
+    steps = range(-reach, reach + 1)
+    for j, i in sorted(((j, i) for j in steps for i in steps), key=lambda s: abs(s[0]) + abs(s[1])):
+        there = seen(k, y + j, x + i)
+        apart = _difference(a, [*_axes(there), there["a"]]) > threshold
+        k, y, x, a = k[apart], y[apart], x[apart], [v[apart] for v in a]
+    if not len(k):
+        return k, y, x
+    wide, high = int(x.max()) + 3, int(y.max()) + 3
+    code = (k * high + y + 1) * wide + x + 1
+    order = np.argsort(code)
+    code, k, y, x = (v[order] for v in (code, k, y, x))
+    has = lambda c: code[np.minimum(np.searchsorted(code, c), len(code) - 1)] == c
+    n = sum(has(code + j * wide + i).astype(np.int8) for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j)
+    return tuple(v[n >= neighbours] for v in (k, y, x))
+
+
+def _joined(k: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """k, y, x0 and x1 (inclusive) of the runs of places that are in order."""
+    first = np.ones(len(k), bool)
+    first[1:] = (k[1:] != k[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    starts = np.flatnonzero(first)
+    return k[starts], y[starts], x[starts], x[np.append(starts[1:], len(k))[: len(starts)] - 1]
+
+
+def _marked(batch: pa.RecordBatch, threshold: float, reach: int, neighbours: int, tile: int) -> tuple[np.ndarray, ...]:
+    """Row of the batch, y, x0, x1 (inclusive) of the runs of marked cells of its tiles."""
+    moves = [np.nan_to_num(batch.column(d).to_numpy(zero_copy_only=False).astype(float)) if d in batch.schema.names else np.zeros(batch.num_rows) for d in ("dx", "dy")]
+    moved = (moves[0] != 0) | (moves[1] != 0)
+    found = []
+    for rows in (np.flatnonzero(~moved), np.flatnonzero(moved)):
+        if len(rows):
+            k, *runs = _marked_alike(batch.take(pa.array(rows)), *[m[rows] for m in moves], threshold, reach, neighbours, tile)
+            found.append((rows[k], *runs))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _marked_alike(batch: pa.RecordBatch, dx: np.ndarray, dy: np.ndarray, threshold: float, reach: int, neighbours: int, tile: int) -> tuple[np.ndarray, ...]:
+    """The same of tiles that have all moved, or none of which has: these meet cell by cell."""
+    w, h, tx, ty = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("width", "height", "tx", "ty"))
     x0, y0 = tx * tile, ty * tile
-    x1, y1 = min(x0 + tile, w), min(y0 + tile, h)
-    ax0, ax1, ay0, ay1 = max(x0 - 1, 0), min(x1 + 1, w), max(y0 - 1, 0), min(y1 + 1, h)  # with those about them
-    across, down = np.arange(ax0 - reach, ax1 + reach) + dx, np.arange(ay0 - reach, ay1 + reach) + dy
-    rim = lambda v, most: (int(np.floor(np.clip(v[0], 0, most - 1))), min(int(np.floor(np.clip(v[-1], 0, most - 1))) + 2, most))
-    old, new = Canvas(*sides[0], ax0, ax1, ay0, ay1), Canvas(*sides[1], *rim(across, w), *rim(down, h))
-    near = new.seen(across, down, w, h)
-    middle = (slice(reach, -reach or None),) * 2
-    if all((old.channels[c] == near[c][middle]).all() for c in CHANNELS):
-        return none
-    a, b = [*_axes(old.channels), old.channels["a"]], [*_axes(near), near["a"]]
-    differ = _difference(a, [v[middle] for v in b]) > threshold
-    differ &= ((across[reach : len(across) - reach] >= 0) & (across[reach : len(across) - reach] < w))[None, :]
-    differ &= ((down[reach : len(down) - reach] >= 0) & (down[reach : len(down) - reach] < h))[:, None]
-    ys, xs = np.nonzero(differ)
-    for j in range(2 * reach + 1):
-        for i in range(2 * reach + 1):
-            if len(ys):
-                apart = _difference([v[ys, xs] for v in a], [v[ys + j, xs + i] for v in b]) > threshold
-                ys, xs = ys[apart], xs[apart]
-    if not len(ys):
-        return none
-    kept = np.zeros((ay1 - ay0 + 2, ax1 - ax0 + 2), np.int8)
-    kept[ys + 1, xs + 1] = 1
-    n = sum(kept[1 + j : kept.shape[0] - 1 + j, 1 + i : kept.shape[1] - 1 + i] for j in (-1, 0, 1) for i in (-1, 0, 1) if i or j)
-    found = (kept[1:-1, 1:-1] > 0) & (n >= neighbours)
-    found = found[y0 - ay0 : y1 - ay0, x0 - ax0 : x1 - ax0]
-    edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    (y, first), last = np.nonzero(edge == 1), np.nonzero(edge == -1)[1] - 1
-    return y + y0, first + x0, last + x0
+    x1, y1 = np.minimum(x0 + tile, w), np.minimum(y0 + tile, h)
+    ax0, ax1, ay0, ay1 = np.maximum(x0 - 1, 0), np.minimum(x1 + 1, w), np.maximum(y0 - 1, 0), np.minimum(y1 + 1, h)  # with those about them
+    low = lambda v, most: np.floor(np.clip(v, 0, most - 1)).astype(np.int64)
+    high = lambda v, most: np.minimum(low(v, most) + 2, most)
+    around = low(ax0 - reach + dx, w), high(ax1 - 1 + reach + dx, w), low(ay0 - reach + dy, h), high(ay1 - 1 + reach + dy, h)
+    new = Canvases(*lists(batch.column("new")), *around)
+    still = not (dx.any() or dy.any())
+    old = Canvases(*lists(batch.column("old")), *(around if still else (ax0, ax1, ay0, ay1)))
+    seen = lambda k, y, x: _seen(new, k, y, x, w, h, dx, dy)
+    if still:
+        at = np.flatnonzero(np.any([old.channels[c] != new.channels[c] for c in CHANNELS], axis=0))
+        k, y, x = old.places(at)
+        held = (x >= ax0[k]) & (x < ax1[k]) & (y >= ay0[k]) & (y < ay1[k])
+    else:
+        at = np.arange(int(old.area.sum()))
+        k, y, x = old.places(at)
+        there = seen(k, y, x)
+        held = np.any([old.channels[c] != there[c] for c in CHANNELS], axis=0)
+        held &= (x + dx[k] >= 0) & (x + dx[k] < w[k]) & (y + dy[k] >= 0) & (y + dy[k] < h[k])
+    k, y, x = _crowded({c: v[at[held]] for c, v in old.channels.items()}, seen, k[held], y[held], x[held], threshold, reach, neighbours)
+    own = (x >= x0[k]) & (x < x1[k]) & (y >= y0[k]) & (y < y1[k])
+    return _joined(k[own], y[own], x[own])
+
+
+def _pieces(batch: pa.RecordBatch, costs: np.ndarray, most: int):
+    """The batch in pieces of consecutive rows that cost at most so much together, or of one row."""
+    total, done = np.cumsum(costs.astype(np.int64)), 0
+    while done < batch.num_rows:
+        end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + most, "right")))
+        yield batch.slice(done, end - done)
+        done = end
+
+
+def _run_batch(batch: pa.RecordBatch, keys: list[str], runs: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    at = pa.array(runs[0])
+    return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keys], *[pa.array(v.astype(np.int32)) for v in runs[1:]]], names=[*keys, "y", "x0", "x1"])
 
 
 def _parts(batch: pa.RecordBatch):
@@ -168,22 +260,95 @@ def marked_runs(tiles: DataFrame, keys: list[str], threshold: float = 60.0, reac
     """(keys, y, x0, x1): runs of old cells that differ in colour by more than the threshold from every place of the new side within `reach` (places beyond the rim count as those
     at the rim), and have `neighbours` of the kind about them. A run ends at its tile. Old cells whose place lies outside the new side are skipped. The tiles' rim is `reach` + 1 at least."""
     ensure_importable(tiles.sparkSession)
-    has_offsets = "dx" in tiles.columns
+    return tiles.mapInArrow(marker(keys, threshold, reach, neighbours, tile), ", ".join([*_kinds(tiles, keys), RUN]))
 
+
+def marker(keys: list[str], threshold: float, reach: int, neighbours: int, tile: int = TILE):
+    """Batches of tiles to batches of runs; what a tile looks at is flat arrays for many tiles at once."""
     def mark(batches):
         for batch in batches:
-            moves = [np.nan_to_num(batch.column(d).to_numpy(zero_copy_only=False).astype(float)) for d in ("dx", "dy")] if has_offsets else [np.zeros(batch.num_rows)] * 2
-            found, row = [], []
-            for k, sides, w, h, tx, ty in _parts(batch):
-                runs = _marked(sides, w, h, tx, ty, moves[0][k], moves[1][k], threshold, reach, neighbours, tile)
+            for piece in _pieces(batch, np.full(batch.num_rows, (tile + 2 * reach + 2) ** 2), HELD):
+                runs = _marked(piece, threshold, reach, neighbours, tile)
                 if len(runs[0]):
-                    found.append(runs)
-                    row.append(np.full(len(runs[0]), k))
-            if found:
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keys], *[pa.array(np.concatenate(v).astype(np.int32)) for v in zip(*found, strict=True)]], names=[*keys, "y", "x0", "x1"])
+                    yield _run_batch(piece, keys, runs)
+
+    return mark
+
+
+class Words:
+    """The colours of the words of pages (a list of lines each) as in `misc.page_cells`, read off the bytes of all lines at once; places without a word are white."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten().cast(pa.large_string())
+        offsets = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        text = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        self.lines = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        self.first = np.cumsum(self.lines) - self.lines
+        spaces = np.flatnonzero(text == 32)
+        self.words = np.diff(np.searchsorted(spaces, offsets)) + 1
+        self.start = np.cumsum(self.words) - self.words
+        starts, ends = np.sort(np.append(offsets[:-1], spaces + 1)), np.sort(np.append(spaces, offsets[1:]))
+        within = lambda held: np.diff(np.append(0, np.cumsum(held))[np.stack([starts, ends])], axis=0)[0]
+        n, letters = within((text & 0xC0) != 0x80), within(((text | 0x20) - np.uint8(97)) < 26)
+        # the last one is white
+        self.colours = [np.append(np.maximum(255 - 20 * v, 0), 255).astype(np.int32) for v in (n, letters, n - letters)]
+        self.page = np.repeat(np.arange(len(self.lines)), self.lines)
+
+    def at(self, k: np.ndarray, y: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        place = self.place(k, y, x)
+        return {**{c: v[place] for c, v in zip("rgb", self.colours, strict=True)}, "a": np.full(len(k), 255, np.int32)}
+
+    def place(self, k: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The numbers of the words at these places; -1 where there is none."""
+        there = y < self.lines[k]
+        line = np.where(there, self.first[k] + y, 0)
+        if not len(self.words):
+            return np.full(len(k), -1)
+        return np.where(there & (x < self.words[line]), self.start[line] + x, -1)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Page, y and x of every word."""
+        line = np.repeat(np.arange(len(self.words)), self.words)
+        k = self.page[line]
+        return k, line - self.first[k], np.arange(len(line)) - self.start[line]
+
+    def widest(self) -> np.ndarray:
+        most = np.zeros(len(self.lines), np.int64)
+        np.maximum.at(most, self.page, self.words)
+        return most
+
+
+def text_runs(pages: DataFrame, threshold: float = 60.0, reach: int = 2, neighbours: int = 3) -> DataFrame:
+    """(pair_id, page_index, y, x0, x1): `marked_runs` of common pages (pair_id, page_index, old_lines, new_lines), a cell a word.
+
+    Only lines leave the JVM: cells are read off their bytes, and only those whose colour isn't the other side's are looked at further. No page is cut, as
+    what a page takes is linear in its words.
+    """
+    keys = ["pair_id", "page_index"]
+    ensure_importable(pages.sparkSession)
+
+    def mark(batches):
+        for batch in batches:
+            sides = [batch.column(c) for c in ("old_lines", "new_lines")]
+            costs = sum(np.diff(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(s.flatten()), 0).to_numpy(zero_copy_only=False)))[s.offsets.to_numpy() - s.offsets[0].as_py()]) for s in sides)
+            for piece in _pieces(batch, costs, TEXT_HELD):
+                runs = _marked_words(Words(piece.column("old_lines")), Words(piece.column("new_lines")), threshold, reach, neighbours)
+                if len(runs[0]):
+                    yield _run_batch(piece, keys, runs)
+
+    return pages.select(*keys, "old_lines", "new_lines").mapInArrow(mark, ", ".join([*_kinds(pages, keys), RUN]))
+
 
-    return tiles.mapInArrow(mark, ", ".join([*_kinds(tiles, keys), "y int, x0 int, x1 int"]))
+def _marked_words(old: Words, new: Words, threshold: float, reach: int, neighbours: int) -> tuple[np.ndarray, ...]:
+    w, h = np.maximum(old.widest(), new.widest()), np.maximum(old.lines, new.lines)
+    # of the words of the new side those that no old one stands at
+    more = [v[old.place(*new.places()) < 0] for v in new.places()]
+    k, y, x = (np.append(a, b) for a, b in zip(old.places(), more, strict=True))
+    a, b = old.at(k, y, x), new.at(k, y, x)
+    differ = np.any([a[c] != b[c] for c in "rgb"], axis=0)
+    seen = lambda k, y, x: new.at(k, np.clip(y, 0, h[k] - 1), np.clip(x, 0, w[k] - 1))
+    return _joined(*_crowded({c: v[differ] for c, v in a.items()}, seen, k[differ], y[differ], x[differ], threshold, reach, neighbours))
 
 
 def cells_of(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -113,3 +113,22 @@ def test_words_are_placed_within_their_page(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan and "Sort" not in plan
+
+
+def test_runs_of_drawings_are_those_of_their_tiles_in_one_pass(spark):
+    ids = spark.range(40).select(F.col("id").alias("pair_id"))
+    made = drawings.drawn_runs(ids, detect.THRESHOLD, detect.REACH, detect.NEIGHBOURS)
+    assert rows(made) == rows(tiles.marked_runs(drawings.drawn_tiles(ids), PAGE, detect.THRESHOLD, detect.REACH, detect.NEIGHBOURS)) != []
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_words_of_lines_give_what_their_cells_give(spark, monkeypatch):
+    odd = [("\u00fcber \U0001f600\U0001f600 x", "", " a  b "), ("1234567 abcdefgh", "a"), ("-" * 13,) * 5]
+    more = [(200 + k, k, list(a), list(b)) for k, a in enumerate(odd) for b in odd]
+    pages = spark.createDataFrame([*page_rows(), *more, (100, 0, [], ["x y"]), (101, 0, [], [])], "pair_id long, page_index int, old_lines array<string>, new_lines array<string>")
+    want = rows(misc.grid_mask(misc.page_cells(pages), PAGE), "pair_id", "x", "y")
+    for most in (tiles.TEXT_HELD, 100):
+        monkeypatch.setattr(tiles, "TEXT_HELD", most)
+        made = tiles.text_runs(pages.coalesce(1))
+        assert rows(tiles.cells_of(made, PAGE), "pair_id", "x", "y") == want
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
