@@ -27,13 +27,15 @@ SEARCHED = 1_000_000
 ROWS_HELD = 64
 
 
-def paths(pages: DataFrame) -> DataFrame:
-    """Common pages with their key arrays and path."""
-    keyed = pages.filter("old_lines IS NOT NULL AND new_lines IS NOT NULL").withColumn("ok", keys(F.col("old_lines"))).withColumn("nk", keys(F.col("new_lines")))
+def paths(pages: DataFrame, every: bool = False) -> DataFrame:
+    """Common pages with their key arrays and path; with `every`, the others too, with null for it."""
+    common = F.col("old_lines").isNotNull() & F.col("new_lines").isNotNull()
+    keyed = (pages if every else pages.filter(common)).withColumn("ok", keys(F.col("old_lines"))).withColumn("nk", keys(F.col("new_lines")))
     unique = (F.size(F.array_distinct("ok")) == F.size("ok")) & (F.size(F.array_distinct("nk")) == F.size("nk"))
     where = F.filter(F.transform("ok", lambda k: F.array_position("nk", k)), lambda p: p > 0)
     long = F.size("ok").cast("long") * F.size("nk") > SEARCHED  # array_position looks at every line
-    return keyed.withColumn("path", F.when(F.col("ok") == F.col("nk"), "a").when(long, "c").when(unique & (where == F.array_sort(where)), "b").otherwise("c"))
+    path = F.when(F.col("ok") == F.col("nk"), "a").when(long, "c").when(unique & (where == F.array_sort(where)), "b").otherwise("c")
+    return keyed.withColumn("path", F.when(common, path) if every else path)
 
 
 #: Cells of the table of common lengths up to which it is used at once, and how many of them cost as much as a place of a frontier.
@@ -195,14 +197,14 @@ def _searched(old: pa.Array, new: pa.Array) -> pa.Array:
     return pa.array(found, pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32())])))
 
 
-def kept_lines(pages: DataFrame) -> DataFrame:
+def kept_lines(pages: DataFrame, every: bool = False) -> DataFrame:
     """Common pages with path and kept: the index pairs of the lines that stay. All pages pass once; only the keys of path c reach Python."""
     ensure_importable(pages.sparkSession)
     place = lambda o, n: F.struct(o.cast("int").alias("o"), n.cast("int").alias("n"))
     equal = F.transform("ok", lambda k, i: place(i, i))
     moved = F.filter(F.transform("ok", lambda k, i: place(i, F.array_position("nk", k) - 1)), lambda p: p.n >= 0)
     asked = lambda c: F.when(F.col("path") == "c", F.col(c))
-    searched = paths(pages).withColumn("found", F.arrow_udf(_searched, KEPT)(asked("ok"), asked("nk")))
+    searched = paths(pages, every).withColumn("found", F.arrow_udf(_searched, KEPT)(asked("ok"), asked("nk")))
     return searched.withColumn("kept", F.when(F.col("path") == "c", F.col("found")).when(F.col("path") == "a", equal).otherwise(moved).cast(KEPT)).drop("found")
 
 
@@ -222,21 +224,40 @@ def _gap(low_o: Column, high_o: Column, low_n: Column, high_n: Column) -> Column
 
 def entries(pages: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(pair_id, page_index, path, entry_seq, kind, old_line, new_line, old_text, new_text) of all common pages, lines from 0, with columns of the page that are `carried` along."""
-    kept = kept_lines(pages)
+    # texts go into the entries first, so that no row of the result carries a page
+    whole = F.transform(F.flatten(_steps()), lambda e: F.struct(e.kind.alias("kind"), e.o.alias("old_line"), e.n.alias("new_line"), F.get("old_lines", e.o).alias("old_text"), F.get("new_lines", e.n).alias("new_text")))
+    made = _bounded(kept_lines(pages)).select("pair_id", "page_index", *carried, "path", F.posexplode(whole).alias("entry_seq", "e"))
+    return made.select("pair_id", "page_index", *carried, "path", "entry_seq", "e.*")
+
+
+def changed_lines(pages: DataFrame, texts: bool) -> DataFrame:
+    """All pages, with `c`: the entries of a common page but the unchanged ones (entry_seq, kind, old_line, new_line, old_size and new_size: the lengths of the lines, and old_text and new_text
+    if asked for); null on other pages. A row a page: no exchange."""
+    numbered = F.transform(F.flatten(_steps()), lambda e, i: F.struct(i.alias("entry_seq"), e.kind.alias("kind"), e.o.alias("old_line"), e.n.alias("new_line")))
+    line = lambda e, side: F.get(f"{side}_lines", e[f"{side}_line"])
+    more = lambda e: [F.length(line(e, s)).alias(f"{s}_size") for s in ("old", "new")] + [line(e, s).alias(f"{s}_text") for s in ("old", "new") if texts]
+    found = F.transform(F.filter(numbered, lambda e: e.kind != "unchanged"), lambda e: F.struct(*[e[c].alias(c) for c in ("entry_seq", "kind", "old_line", "new_line")], *more(e)))
+    # of equal pages nothing is looked at
+    changed = F.when(F.col("path").isNotNull(), F.when(F.col("path") == "a", F.array()).otherwise(found))
+    kind = "array<struct<entry_seq:int,kind:string,old_line:int,new_line:int,old_size:int,new_size:int" + (",old_text:string,new_text:string>>" if texts else ">>")
+    return _bounded(kept_lines(pages, every=True)).select(*pages.columns, changed.cast(kind).alias("c"))
+
+
+def _bounded(kept: DataFrame) -> DataFrame:
+    """With b: the kept lines between the bounds of the page."""
     bounds = F.concat(F.array(F.struct(F.lit(-1).alias("o"), F.lit(-1).alias("n"))), F.col("kept"), F.array(F.struct(F.size("ok").alias("o"), F.size("nk").alias("n"))))
-    step = F.transform(
+    return kept.withColumn("b", bounds)
+
+
+def _steps() -> Column:
+    """The entries up to each kept line of b, and after the last one."""
+    return F.transform(
         F.sequence(F.lit(1), F.size("b") - 1),
         lambda i: F.concat(
             _gap(F.get("b", i - 1).o + 1, F.get("b", i).o, F.get("b", i - 1).n + 1, F.get("b", i).n),
             F.when(i < F.size("b") - 1, F.array(F.struct(F.lit("unchanged").alias("kind"), F.get("b", i).o.alias("o"), F.get("b", i).n.alias("n")))).otherwise(F.array().cast("array<struct<kind:string,o:int,n:int>>")),
         ),
     )
-    # texts go into the entries first, so that no row of the result carries a page
-    whole = F.transform(F.flatten(step), lambda e: F.struct(e.kind.alias("kind"), e.o.alias("old_line"), e.n.alias("new_line"), F.get("old_lines", e.o).alias("old_text"), F.get("new_lines", e.n).alias("new_text")))
-    made = kept.withColumn("b", bounds).select("pair_id", "page_index", *carried, "path", F.posexplode(whole).alias("entry_seq", "e"))
-    return made.select("pair_id", "page_index", *carried, "path", "entry_seq", "e.*")
-
-
 def edit_lengths(pages: DataFrame) -> DataFrame:
     """(pair_id, page_index, n_old, n_new, n_kept, n_edits): how long the edit script of a common page is."""
     size = lambda c: F.size(c).cast("long")

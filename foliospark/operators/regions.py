@@ -99,3 +99,58 @@ def _merged_by_grid(numbered: DataFrame, gap: float) -> DataFrame:
     return named.groupBy("pair_id", "page_index", "component").agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.count("*").alias("n_boxes")
     ).drop("component")
+
+
+PAGE_BOXES = "array<struct<left:double,top:double,right:double,bottom:double,n_boxes:bigint,bare:boolean>>"
+
+
+def merged_lists(pages: int, page: np.ndarray, c: dict[str, np.ndarray], other_page: np.ndarray, o: dict[str, np.ndarray], gap: float = GAP) -> pa.Array:
+    """For each page the merged ones of its boxes c, which are well-formed, and whether they are `bare`: overlap none of the boxes o of their page.
+
+    Equal boxes are looked at once, and boxes in the order of their tops meet those that begin before they end, so a page may have any number.
+    """
+    order = np.lexsort((c["bottom"], c["right"], c["left"], c["top"], page))
+    page, c = page[order], {n: c[n][order] for n in BOX}
+    fresh = np.ones(len(page), bool)
+    fresh[1:] = (page[1:] != page[:-1]) | np.any([v[1:] != v[:-1] for v in c.values()], axis=0)
+    copies = np.diff(np.append(np.flatnonzero(fresh), len(page)))
+    page, c = page[fresh], {n: v[fresh] for n, v in c.items()}
+    ends = np.concatenate([c["top"], c["bottom"], o["top"], o["bottom"], [0.0]])
+    high = max(0.0, float((o["bottom"] - o["top"]).max(initial=0.0)))
+    apart = float(ends.max() - ends.min()) + high + gap + 8  # pages below each other, so that one search serves all; what it finds too much by rounding is tested again
+    edges = [(a[near], b[near]) for a, b in _expanded(np.arange(1, len(page) + 1), np.searchsorted(c["top"] + page * apart, c["bottom"] + page * apart + gap + 1, "right")) for near in [(page[a] == page[b]) & _within(c, a, b, gap)]]
+    label = labels(len(page), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*edges, strict=True))) if edges else np.arange(len(page))
+    roots, place = np.unique(label, return_inverse=True)
+    box = {}
+    for name in BOX:
+        least = name in ("left", "top")
+        box[name] = np.full(len(roots), np.inf if least else -np.inf)
+        (np.minimum if least else np.maximum).at(box[name], place, c[name])
+    total = np.zeros(len(roots), np.int64)
+    np.add.at(total, place, copies)
+    page = page[roots]
+    order = np.lexsort((o["top"], other_page))
+    other_page, o = other_page[order], {n: o[n][order] for n in BOX}
+    starts, bare = o["top"] + other_page * apart, np.ones(len(roots), bool)
+    for a, b in _expanded(np.searchsorted(starts, box["top"] + page * apart - high - 1), np.searchsorted(starts, box["bottom"] + page * apart + 1, "right")):
+        met = (page[a] == other_page[b]) & (box["left"][a] < o["right"][b]) & (o["left"][b] < box["right"][a]) & (box["top"][a] < o["bottom"][b]) & (o["top"][b] < box["bottom"][a])
+        bare[a[met]] = False
+    offsets = np.append(0, np.cumsum(np.bincount(page, minlength=pages))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([*[pa.array(box[n]) for n in BOX], pa.array(total), pa.array(bare)], [*BOX, "n_boxes", "bare"]))
+
+
+def _within(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, gap: float) -> np.ndarray:
+    far = lambda low, high: np.maximum(c[low][a] - c[high][b], c[low][b] - c[high][a]) > gap
+    return ~far("left", "right") & ~far("top", "bottom")
+
+
+def _expanded(first: np.ndarray, last: np.ndarray):
+    """The pairs (place, other) of each place with the others from first to before last, `HELD` or those of one place at a time."""
+    count, done = np.maximum(last - first, 0), 0
+    total = np.cumsum(count)
+    while done < len(count):
+        end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + HELD, "right")))
+        n = count[done:end]
+        a = np.repeat(np.arange(done, end), n)
+        yield a, np.repeat(first[done:end], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        done = end

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import compare_key
 from foliospark.plans.order import with_next
+from foliospark.plans.shared import written
 from foliospark.sources.tables import PAGE_LINES, pages_of
 
 
@@ -51,12 +52,12 @@ def _edited(rule: Column) -> Column:
     )
 
 
-def truth(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def truth(docs: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """What the edit rules did, whatever a detector finds: pages and regions.
 
     pages (case_id, page_index, status, text_status, visual_status, hybrid_status): the overrides are null where a mode has no say of
     its own; white space at the ends of lines shows on the page only. regions (case_id, page_index, region_id, old_line, new_line, old_text,
-    new_text). Every 29th case holds a region that was never made (region_id -1), as annotators err.
+    new_text). Every 29th case holds a region that was never made (region_id -1), as annotators err. `once`: what the rules did is written, so that documents are read once.
     """
     numbered = pages_of(docs).withColumnRenamed("doc_id", "case_id").withColumn("rule", F.col("case_id") % 10)
     size, rule = F.size("lines"), F.col("rule")
@@ -83,6 +84,9 @@ def truth(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(F.array().cast("array<struct<old_line:int,new_line:int,old_text:string,new_text:string>>"))
     )
     edited = numbered.withColumn("_h", hashes).select("case_id", "page_index", "n_pages", "rule", made.alias("made"))
+    if once:
+        edited = written(edited, "edits")
+        rule = F.col("rule")
     gone = (rule == 2) & (F.col("n_pages") > 1) & (F.col("page_index") == F.col("n_pages") - 1)
     status = F.when(gone, "removed").when(F.size("made") > 0, "modified").otherwise("match")
     kept = edited.select("case_id", "page_index", status.alias("status"), F.lit(None).cast("string").alias("text_status"), F.when(rule == 3, "modified").alias("visual_status"))

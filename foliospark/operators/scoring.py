@@ -92,11 +92,12 @@ def false_positives(expected: DataFrame, stats: DataFrame, by: list[str] | None
     return stats.select(*by, "has_differences").join(clean, by, "left").select(*by, (F.col("has_differences") & F.coalesce("clean", F.lit(True))).alias("doc_false_positive"))
 
 
-def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame, cases: list | None = None, share: float = 0.5, only: list[str] | None = None) -> DataFrame:
+def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame, cases: list | None = None, share: float = 0.5, only: list[str] | None = None, parts: tuple[str, ...] = ("text", "region")) -> DataFrame:
     """(case_id, mode, pages_total, pages_correct, page_accuracy, doc_false_positive, text_tp ... region_fn): a report against truth of its own.
 
     Texts are scored in the modes text and hybrid, boxes in the mode visual where a case has a true box. `cases` keeps some
     cases only; if there are none of these it is an error. `only` keeps some modes; an unknown one is an error. All cases and modes are one plan.
+    Of texts and boxes only the `parts` named are scored; the others' columns are left out.
     """
     asked = F.col("mode").isin(*parsed_modes(only))
     report = replace(report, entries=report.entries.filter(asked), pages=report.pages.filter(asked), stats=report.stats.filter(asked))
@@ -106,17 +107,25 @@ def case_scores(report: Report, truth_pages: DataFrame, truth_regions: DataFrame
     if cases:
         keep = F.col("case_id").isin(*cases)
         truth_pages, truth_regions, found, pages, stats = (df.filter(keep) for df in (truth_pages, truth_regions, found, pages, stats))
+        report = replace(report, lines=None if report.lines is None else report.lines.filter(F.col("pair_id").isin(*cases)))
         if truth_pages.isEmpty():
             raise ValueError(f"no case of that name: {', '.join(map(str, cases))}")
     modes = stats.select(*by)
     expected = truth_pages.join(modes, "case_id").withColumn("status", status_for(F.col("mode")))
     base = page_classes(expected, pages, by).join(false_positives(expected, stats, by), by, "left")
     as_text = F.col("mode").isin("text", "hybrid")
-    text = text_counts(truth_regions.join(modes.filter(as_text), "case_id"), found.filter(as_text & (F.col("origin") == "text")), by)
-    boxes = true_boxes(truth_regions)
-    region = region_counts(boxes, found.filter("mode = 'visual'"), share).join(boxes.select("case_id").distinct(), "case_id", "left_semi").withColumn("mode", F.lit("visual"))
     named = lambda df, n: df.select(*by, *[F.col(k).alias(f"{n}_{k}") for k in ("tp", "fp", "fn")])
-    return base.join(named(text, "text"), by, "left").join(named(region, "region"), by, "left")
+    if "text" in parts:
+        if report.lines is None:
+            text = text_counts(truth_regions.join(modes.filter(as_text), "case_id"), found.filter(as_text & (F.col("origin") == "text")), by)
+        else:  # the modes' texts are the same: they are scored once
+            text = text_counts(truth_regions, name(report.lines), ["case_id"]).join(modes.filter(as_text), "case_id")
+        base = base.join(named(text, "text"), by, "left")
+    if "region" in parts:
+        boxes = true_boxes(truth_regions)
+        region = region_counts(boxes, found.filter("mode = 'visual'"), share).join(boxes.select("case_id").distinct(), "case_id", "left_semi").withColumn("mode", F.lit("visual"))
+        base = base.join(named(region, "region"), by, "left")
+    return base
 
 
 def true_boxes(truth_regions: DataFrame) -> DataFrame:
