@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8 or more): the one with the smallest doc_id."""
+    """One document of each group of near copies (five words, similarity 0.8 or more), found by SimHash and by whole shingle sets: the one with the smallest doc_id."""
     return similar.first_of_each(docs)
 
 

@@ -1,7 +1,11 @@
-"""Near copies by the share of common word shingles: the segment-popcount embedding of whole shingle sets.
+"""Near copies by the share of common word shingles: SimHash fingerprints, then the segment-popcount embedding of whole shingle sets.
 
-64 majority bits tell copies of similarity 0.8 apart from others only at a radius where no choice of bands is selective. Here a
-text's fingerprint is the whole set of its hashed shingles, read as one bit vector: the Hamming distance of two such vectors is the
+Each set has a SimHash, the majority bits of its hashes. Fingerprints within `RADIUS` bits are joined by the popcounts of their segments
+(`simhash_dedup.links`); the texts they stand for are candidates, verified by intersecting their sets.
+
+64 majority bits tell copies of similarity 0.8 apart from others only at a radius where no choice of bands is selective, so these
+candidates hold the closest copies only. The others are found by the same embedding of
+the whole set of hashed shingles, read as one bit vector: the Hamming distance of two such vectors is the
 number of shingles that one side lacks, at most (1 - t) / (1 + t) of both sizes for a Jaccard similarity of t. The bits are dealt
 into segments, and a text maps to its segments' counts (and sums). The Manhattan distance of two count vectors is a lower
 bound of the Hamming distance, and a pair within it leaves segments unchanged: texts that share a segment's cell are
@@ -11,13 +15,13 @@ Sizes are dealt into classes of ratio 1 / t; a class meets itself and the next o
 of the two asks for: `SPARE` plus a quarter of it, which leaves a pair at the very threshold without a common cell in about
 0.2 % of cases, and hardly ever above it.
 
-Links: in each cell all texts are verified against one of them, the first by a hash. Those that aren't linked to it by any path
+Links: in each cell all texts are verified against one of them, the first by a hash, along with the candidates of the fingerprints. Those that aren't linked to it by any path
 then meet the first among themselves, for `ROUNDS` rounds and in other orders; each text stands in dozens of cells with other company. What a cell still holds in several
 components is then compared across these, so that no two texts of a cell stay apart unverified. There the lower bound decides first: the
 parities of the counts of `PARITIES` finer segments differ at most as often as the sets do, so a pair with too many differing bits is no link, and
 never becomes a row; the others are verified.
 
-Scale: texts are tokenised in a narrow map; some 90 cells a text of 450 words (16 bytes each) cross one exchange and are read in
+Scale: texts are tokenised in a narrow map and written as fingerprint and cells; some 90 cells a text of 450 words (16 bytes each) cross one exchange and are read in
 order, a cell at a time, without being held, so a cell may be of any size; copies that equal each other word by word are one class, whose
 cells leave a task once. Only texts with company have their sets fetched for verification. Edges grow with the rows of
 cells; pairs are made only across components of a cell that the rounds left apart, never within a group of near copies.
@@ -40,9 +44,14 @@ from pyspark.sql import functions as F
 
 from foliospark.plans.components import components
 
+from . import simhash_dedup
 from .common import ascii_lower, for_long_rows, words, written
 
 SHINGLE, SIMILARITY, ROUNDS = 5, 0.8, 3
+#: Differing bits of two fingerprints that make their texts candidates.
+RADIUS = 3
+#: Hashes whose bits are counted at once.
+VOTES = 65536
 SPARE, PART = 12, 4
 PARITIES = 1024
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -63,6 +72,15 @@ def shingle_set(hashes: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set: the bits that over half of its hashes have, as a signed long."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), VOTES):
+        part = np.ascontiguousarray(shingles[at : at + VOTES])
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def segments(largest: int, similarity: float = SIMILARITY) -> int:
     """How many segments serve pairs of sets with at most `largest` elements each."""
     return int(2 * largest * (1 - similarity) / (1 + similarity)) // PART + SPARE
@@ -101,21 +119,34 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.withColumn("__fs_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("__fs_class", F.xxhash64("__fs_words"))
 
 
-def _cell_rows(hashed: DataFrame, n: int, similarity: float) -> DataFrame:
+def _profiles(hashed: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(c, fp, keys): a class with words, its fingerprint and its cells; a task gives a class once."""
     def emit(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys, names, sizes = [], [], []
+            names, prints, keys = [], [], []
             for name, own in zip(batch.column("__fs_class").to_pylist(), _lists(batch.column("__fs_words")), strict=True):
                 if name not in seen and len(own):
                     seen.add(name)
-                    keys.append(cells(shingle_set(own, n), similarity))
+                    shingled = shingle_set(own, n)
                     names.append(name)
-                    sizes.append(len(keys[-1]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], ["key", "c"])
+                    prints.append(fingerprint(shingled))
+                    keys.append(cells(shingled, similarity).view(np.int64))
+            if names:
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(prints, pa.int64()), lists], ["c", "fp", "keys"])
+
+    return hashed.select("__fs_class", "__fs_words").mapInArrow(emit, "c bigint, fp bigint, keys array<bigint>")
+
 
-    return hashed.select("__fs_class", "__fs_words").mapInArrow(emit, "key bigint, c bigint")
+def fingerprint_candidates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) from rows (c, fp): texts whose fingerprints connect them within the radius, one text a fingerprint for all that share it."""
+    heads = written(prints.groupBy("fp").agg(F.min("c").alias("head")), "heads")
+    shared = prints.join(heads, "fp").filter("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
+    of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head"))
+    near = simhash_dedup.links(heads.select("fp"), radius).join(of("a"), "a").join(of("b"), "b")
+    return shared.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))).distinct()
 
 
 def _with_first(rows: DataFrame) -> DataFrame:
@@ -158,8 +189,10 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashed = _hashed(docs.select(id_col, text_col), id_col, text_col)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__fs_id")).alias("first")
     classes = written(hashed.groupBy(F.col("__fs_class").alias("c")).agg(first), "classes")
-    company = written(_with_first(_cell_rows(hashed, n, similarity)), "company")
-    names = company.select("c").union(company.select("first")).distinct().join(classes, "c").select(F.col("c").alias("__fs_class"), F.col("first.__fs_id").alias("__fs_id"))
+    profiles = written(_profiles(hashed, n, similarity), "profiles")
+    candidates = written(fingerprint_candidates(profiles.select("c", "fp")), "candidates")
+    company = written(_with_first(profiles.select(F.explode("keys").alias("key"), "c")), "company")
+    names = company.select("c").union(company.select("first")).union(candidates.select("a")).union(candidates.select("b")).distinct().join(classes, "c").select(F.col("c").alias("__fs_class"), F.col("first.__fs_id").alias("__fs_id"))
     asked = docs.select(id_col, text_col)
     own = _hashed(asked, id_col, text_col).drop("__fs_words").join(names, ["__fs_class", "__fs_id"])
 
@@ -171,7 +204,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     held = own.select(F.col("__fs_class").alias("c"), F.transform(words(ascii_lower(F.col(text_col))), lambda w: F.xxhash64(w)).alias("h"))
     sets = written(held.mapInArrow(collect, "c bigint, set array<bigint>, bits array<bigint>").dropDuplicates(["c"]), "sets")
-    links = written(_verified(company.select(F.col("c").alias("a"), F.col("first").alias("b")).distinct(), sets, similarity), "links")
+    links = written(_verified(company.select(F.col("c").alias("a"), F.col("first").alias("b")).unionByName(candidates).distinct(), sets, similarity), "links")
     cell = company.select("key", "c").unionByName(company.select("key", F.col("first").alias("c")).distinct())
     for turn in range(1, rounds):
         labels = written(components(links, "parts"), "labels")

@@ -112,3 +112,33 @@ def test_repeated_and_missing_ids(spark):
     got = similar.first_of_each(spark.createDataFrame(rows, DOC)).collect()
     assert sorted((r.doc_id or 0, (r.text or "").lower().strip()[:7]) for r in got) == [(0, "a text "), (3, "one two"), (3, "other w"), (7, "")]
     assert similar.first_of_each(spark.createDataFrame(rows, DOC).limit(0)).count() == 0
+
+
+def test_fingerprints_give_candidates(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, (40, 300), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([b[: 300 - k], rng.integers(0, 1 << 64, k, dtype=np.uint64)])) for b in base for k in (0, 1, 3, 9)] + [base[0], np.array([5], np.uint64)]
+    prints = [similar.fingerprint(s) for s in sets]
+    for s, p in zip(sets, prints, strict=True):
+        assert p & (1 << 64) - 1 == sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in s.tolist()) > len(s))
+
+    def parts(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= similar.RADIUS]
+    got = similar.fingerprint_candidates(spark.createDataFrame(list(enumerate(prints)), "c long, fp long")).collect()
+    assert len(near) > 40 and parts((r.a, r.b) for r in got) == parts(near)
+
+
+def test_candidates_of_fingerprints_are_verified(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(9000)}" for _ in range(400)) for _ in range(20)]
+    texts += [t + " more" for t in texts] + ["one two three"]
+    classes, links = similar.similar_links(documents(spark, texts), rounds=1, exact=False)
+    name = {r.c: r.first.id for r in classes.collect()}
+    pairs = {tuple(sorted((name[r.a], name[r.b]))) for r in links.collect()}
+    assert all(len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b])) for a, b in pairs) and len(pairs) == 20
