@@ -18,15 +18,13 @@ from foliospark.sources.tables import PAGE_LINES, pages_of
 
 def revised_pages(docs: DataFrame) -> DataFrame:
     """(pair_id, page_index, old_lines, new_lines: array<string>, null where the side has no such page)."""
-    numbered = pages_of(docs).withColumnRenamed("lines", "old_lines")
     rule = F.col("doc_id") % 10
-    kept = numbered.select(F.col("doc_id").alias("pair_id"), "page_index", "old_lines", F.when((rule == 2) & (F.col("n_pages") > 1) & (F.col("page_index") == F.col("n_pages") - 1), None).otherwise(_edited(rule)).alias("new_lines"))
-    last = numbered.filter((rule == 1) & (F.col("page_index") == F.col("n_pages") - 1))
-    extra = last.select(
-        F.col("doc_id").alias("pair_id"), F.col("n_pages").alias("page_index"), F.lit(None).cast("array<string>").alias("old_lines"),
-        F.array(F.concat(F.lit("appended page of "), F.col("doc_id"))).alias("new_lines"),
-    )
-    return kept.unionByName(extra)
+    # the page more is a row of the same pass
+    numbered = pages_of(docs, more=F.when(rule == 1, 1).otherwise(0)).withColumnRenamed("lines", "old_lines")
+    gone = (rule == 2) & (F.col("n_pages") > 1) & (F.col("page_index") == F.col("n_pages") - 1)
+    extra = F.array(F.concat(F.lit("appended page of "), F.col("doc_id")))
+    new = F.when(F.col("page_index") == F.col("n_pages"), extra).when(gone, None).otherwise(_edited(rule))
+    return numbered.select(F.col("doc_id").alias("pair_id"), "page_index", "old_lines", new.alias("new_lines"))
 
 
 def _edited(rule: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import base_name, normalised, not_blank
@@ -34,13 +34,14 @@ def page_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return each.select(id_col, "line_no", F.floor(F.col("line_no") / per_page).cast("int").alias("page_index"), (F.col("line_no") % per_page).alias("line_index"), "text")
 
 
-def pages_of(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:
-    """(doc_id, n_pages, page_index, lines: array<string>): the same lines, a row a page. Pages are cut inside their row: no exchange."""
+def pages_of(docs: DataFrame, per_page: int = PAGE_LINES, more: Column | int = 0) -> DataFrame:
+    """(doc_id, n_pages, page_index, lines: array<string>): the same lines, a row a page, and `more` rows beyond the last one, without lines. Pages are cut inside their row: no exchange."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normalised), lambda t: t != "")
-    whole = docs.select("doc_id", lines.alias("_l")).filter(F.size("_l") > 0)
+    whole = docs.select("doc_id", lines.alias("_l"))
     n = F.ceil(F.size("_l") / per_page).cast("int")
-    paged = whole.select("doc_id", n.alias("n_pages"), "_l", F.explode(F.sequence(F.lit(0), n - 1)).alias("page_index"))
-    return paged.select("doc_id", "n_pages", "page_index", F.slice("_l", F.col("page_index") * per_page + 1, F.lit(per_page)).alias("lines"))
+    # outer, and filtered behind it: from a filter on the number of lines, or one that Spark infers, each text would be cut into lines twice
+    paged = whole.select("doc_id", n.alias("n_pages"), "_l", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n + more - 1))).alias("page_index")).filter("page_index IS NOT NULL")
+    return paged.select("doc_id", "n_pages", "page_index", F.when(F.col("page_index") < F.col("n_pages"), F.slice("_l", F.col("page_index") * per_page + 1, F.lit(per_page))).alias("lines"))
 
 
 def document_summary(docs: DataFrame, per_page: int = PAGE_LINES) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from foliospark.operators import compare, regions, scoring
+from foliospark.operators.revisions import revised_pages
 
 LINES = "pair_id long, page_index int, old_lines array<string>, new_lines array<string>"
 
@@ -60,3 +61,16 @@ def test_texts_of_all_modes_are_scored_once(spark):
     want = scoring.case_scores(compare.Report(report.pages, report.entries, report.stats), truth, lines)
     assert shown(got, want.columns) == shown(want, want.columns) != []
     assert scoring.case_scores(report, truth, lines, parts=()).columns == want.columns[:6]
+
+
+def test_a_text_is_cut_into_lines_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = revised_pages(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("split(") == 1
+    texts = [(10, "a\nb"), (11, "a"), (21, "\n".join(map(str, range(21)))), (31, " \n"), (41, None), (None, "x")]
+    got = sorted((r.pair_id or 0, r.page_index, len(r.old_lines or []), r.old_lines is None, r.new_lines) for r in revised_pages(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    numbers = [str(k) for k in range(21)]
+    assert got == [
+        (0, 0, 1, False, ["x"]), (10, 0, 2, False, ["a", "b"]), (11, 0, 1, False, ["a"]), (11, 1, 0, True, ["appended page of 11"]),
+        (21, 0, 20, False, numbers[:20]), (21, 1, 1, False, ["20"]), (21, 2, 0, True, ["appended page of 21"]),
+    ]
