@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import alignment_key, match_count, snippet
+from foliospark.plans.shared import written
 from . import tiles
 from .detect import regions
 from .outline import climbed, titled
@@ -27,15 +28,17 @@ def search(pages: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.filter(F.trim("query") != "").withColumn("q", F.lower(F.trim("query"))).withColumn("w", F.element_at(F.array_sort(F.split("q", r"\s+"), lambda a, b: F.length(a) - F.length(b)), -1))
     texts = pages.withColumn("low", F.lower("text"))
     words = texts.select("doc_id", "page_index", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("word"))
-    wanted = asked.select("w", F.substring("w", 1, GRAM).alias("gram")).distinct()
+    wanted = written(asked.select("w", F.substring("w", 1, GRAM).alias("gram")).distinct(), "wanted")
+    sizes = sorted(r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect())  # GRAM of them at most
     # letters first, so that the work is linear in a word's length
     letters = words.select("word").distinct().filter("word <> ''").withColumn("l", F.split("word", ""))
     group = lambda n: F.transform(F.sequence(F.lit(0), F.size("l") - n), lambda i: F.concat(*[F.get("l", i + k) for k in range(n)]))
-    groups = F.concat(*[F.when(F.size("l") >= n, group(n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
+    groups = F.concat(*[F.when(F.size("l") >= n, group(n)).otherwise(F.array().cast("array<string>")) for n in sizes or [GRAM]])
     known = letters.select("word", F.explode(F.array_distinct(groups)).alias("gram"))
-    hits = known.join(wanted, "gram").filter(F.contains("word", "w")).select("word", "w").distinct()
-    places = words.join(hits, "word").select("doc_id", "page_index", "w").distinct()
-    found = places.join(asked, "w").join(texts, ["doc_id", "page_index"]).filter(F.contains("low", "q"))
+    # written, so that Spark knows how few they are: then neither the words nor the texts are shuffled
+    hits = written(known.join(wanted, "gram").filter(F.contains("word", "w")).select("word", "w").distinct(), "hits")
+    places = written(words.join(hits, "word").select("doc_id", "page_index", "w").distinct(), "places")
+    found = texts.join(places, ["doc_id", "page_index"]).join(asked, "w").filter(F.contains("low", "q"))
     return found.select("query_id", "doc_id", "page_index", match_count(F.col("text"), F.col("q")).alias("match_count"), snippet(F.col("text"), F.col("q")).alias("snippet"))
 
 

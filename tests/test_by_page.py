@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from foliospark import catalog
 from foliospark.operators import compare, regions, scoring
 from foliospark.operators.revisions import revised_pages
 
@@ -74,3 +75,14 @@ def test_a_text_is_cut_into_lines_once(spark, sf):
         (0, 0, 1, False, ["x"]), (10, 0, 2, False, ["a", "b"]), (11, 0, 1, False, ["a"]), (11, 1, 0, True, ["appended page of 11"]),
         (21, 0, 20, False, numbers[:20]), (21, 1, 1, False, ["20"]), (21, 2, 0, True, ["appended page of 21"]),
     ]
+
+
+def test_search_shuffles_no_texts(spark, sf):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "100000")  # less than the documents
+        plan = catalog.search_hits(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
