@@ -11,6 +11,7 @@ from foliospark.functions.text import alignment_key, match_count, snippet
 from foliospark.plans.shared import written
 from . import tiles
 from .detect import regions
+from .layout import line_shifts
 from .outline import climbed, titled
 
 
@@ -58,9 +59,13 @@ def text_offset(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """keys with dx and dy: exact medians of the shifts between lines of equal text, in 1/300 inch; (0, 0) if both are under one."""
     a = old.select(*keys, alignment_key(F.col("text")).alias("k"), F.col("left").alias("ol"), F.col("top").alias("ot")).filter("k <> ''")
     b = new.select(*keys, alignment_key(F.col("text")).alias("k"), F.col("left").alias("nl"), F.col("top").alias("nt")).filter("k <> ''")
-    shift = a.join(b, [*keys, "k"]).groupBy(*keys).agg((F.median(F.col("nl") - F.col("ol")) * 300 / 72).alias("x"), (-F.median(F.col("nt") - F.col("ot")) * 300 / 72).alias("y"))
+    return _in_dots(a.join(b, [*keys, "k"]).groupBy(*keys).agg(F.median(F.col("nl") - F.col("ol")).alias("x"), F.median(F.col("nt") - F.col("ot")).alias("y")), keys)
+
+
+def _in_dots(shift: DataFrame, keys: list[str]) -> DataFrame:
+    dots = shift.select(*keys, (F.col("x") * 300 / 72).alias("x"), (-F.col("y") * 300 / 72).alias("y"))
     small = (F.abs("x") < 1) & (F.abs("y") < 1)
-    return shift.select(*keys, F.round(F.when(small, 0.0).otherwise(F.col("x")), 3).alias("dx"), F.round(F.when(small, 0.0).otherwise(F.col("y")), 3).alias("dy"))
+    return dots.select(*keys, F.round(F.when(small, 0.0).otherwise(F.col("x")), 3).alias("dx"), F.round(F.when(small, 0.0).otherwise(F.col("y")), 3).alias("dy"))
 
 
 def page_cells(pages: DataFrame) -> DataFrame:
@@ -100,6 +105,18 @@ def page_offset(by_text: DataFrame, by_grid: DataFrame, keys: list[str], width:
     """keys with dx and dy: the offset of the text where there is one, else that of the grid; (0, 0) where it is under one on
     both axes or beyond an eighth of the page."""
     t, g = (x.select(*keys, F.col("dx").alias(f"{n}x"), F.col("dy").alias(f"{n}y")) for x, n in ((by_text, "t"), (by_grid, "g")))
-    both = t.join(g, keys, "full").select(*keys, F.coalesce("tx", "gx").cast("double").alias("dx"), F.coalesce("ty", "gy").cast("double").alias("dy"))
+    return _within(t.join(g, keys, "full").select(*keys, F.coalesce("tx", "gx").cast("double").alias("dx"), F.coalesce("ty", "gy").cast("double").alias("dy")), keys, width, height)
+
+
+def offsets_by_page(pages: DataFrame, keys: list[str], id_col: str, width: float, height: float) -> DataFrame:
+    """`page_offset` of common pages (keys pair_id and page_index, old_lines, new_lines), each of which is one row, by `text_offset` of their ordered lines, or else by their grids. What is
+    written are the offsets, and the lines of the pages that have none by their text."""
+    found = written(line_shifts(pages, keys, id_col), "line_shifts")
+    known = _in_dots(found.filter("x IS NOT NULL"), keys)
+    rest = tiles.best_shifts(tiles.page_tiles(found.filter("old_lines IS NOT NULL"), 4), keys)
+    return _within(known.unionByName(rest.select(*keys, "dx", "dy")), keys, width, height)
+
+
+def _within(both: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
     none = ((F.abs("dx") < 1) & (F.abs("dy") < 1)) | (F.abs("dx") > width / 8) | (F.abs("dy") > height / 8)
     return both.select(*keys, F.when(none, 0.0).otherwise(F.col("dx")).alias("dx"), F.when(none, 0.0).otherwise(F.col("dy")).alias("dy"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Rows of a group up to which it is one row.
 MOST = 1 << 14
 
@@ -33,6 +35,14 @@ def split(rows: DataFrame, keys: list[str], plain: Column | None = None, most: i
     return met("left_anti"), met("left_semi")
 
 
+def single(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key no other has, or is null, and the others (None if there are none). The keys that several rows have are written, so that Spark knows how few they are."""
+    twice = written(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), "twice")
+    if twice.isEmpty():
+        return rows, None
+    return rows.join(twice, key, "left_anti"), rows.join(twice, key, "left_semi")
+
+
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that the edges (a, b) reach from it."""
     label = np.arange(n)

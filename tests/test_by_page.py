@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from foliospark import catalog
-from foliospark.operators import compare, regions, scoring
+from foliospark.operators import compare, layout, misc, regions, scoring, tiles
 from foliospark.operators.revisions import revised_pages
 
 LINES = "pair_id long, page_index int, old_lines array<string>, new_lines array<string>"
@@ -86,3 +86,43 @@ def test_search_shuffles_no_texts(spark, sf):
     finally:
         spark.conf.set(key, before)
     assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+
+
+def offsets_of_tables(pages):
+    """Page offsets by joins over tables of lines."""
+    known = catalog._text_offset(pages)
+    rest = tiles.best_shifts(catalog._tiles(pages.join(known.select(*catalog.PAGE), catalog.PAGE, "left_anti"), 4), catalog.PAGE)
+    return misc.page_offset(known, rest, catalog.PAGE, 612 * 300 / 72, 842 * 300 / 72)
+
+
+def test_line_shifts_of_odd_pages(spark):
+    rng = random.Random(3)
+    words = ["a", "Bb", "ÉtÉ", "İx", "ΟΣ", "", "", "c\td", " ", "\x1c", "\U0001f600", "a"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7)))
+    rows = []
+    for k in range(160):
+        old = [line() for _ in range(rng.randrange(1, 9))]
+        new = [rng.choice([t, t.lower(), f"  {t} ", line()]) for t in old[rng.randrange(2):]] + [line() for _ in range(rng.randrange(3))]
+        rows += [(rng.choice([k, -k, k - 3]) if k % 40 else None, k, old, old if k % 8 == 7 else new)]
+    pages = spark.createDataFrame([*rows, (500, 0, ["x"], None), (501, 0, [" "], [" "]), (502, 0, ["x y"], ["z " * 30] * 30)], LINES).repartition(3)
+    found = layout.line_shifts(pages, catalog.PAGE, "pair_id")
+    got, want = misc._in_dots(found.filter("x IS NOT NULL"), catalog.PAGE), catalog._text_offset(pages)
+    assert shown(got, want.columns) == shown(want, want.columns) != []
+    assert got.filter("dx <> 0 OR dy <> 0").count() > 9
+    size = 612 * 300 / 72, 842 * 300 / 72
+    got, want = misc.offsets_by_page(pages, catalog.PAGE, "pair_id", *size), offsets_of_tables(pages)
+    assert shown(got, want.columns) == shown(want, want.columns) and got.count() > found.filter("x IS NOT NULL").count()
+
+
+def test_page_offset_keeps_lines_in_their_rows(spark, sf, monkeypatch, tmp_path):
+    plans = []
+    for module in (catalog, misc, tiles):
+        real = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, real=real: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    made = catalog.page_offset(spark, sf)
+    assert plans and not any("Exchange" in p for p in plans) and made.count() > 0
+    texts = [(k % 50 - 5 if k % 17 else None, f"Line {k}\nline {k % 3}\n{'a b ' * (k % 5)}\nlast") for k in range(70)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.page_offset(spark, str(tmp_path))
+    want = offsets_of_tables(revised_pages(spark.createDataFrame(texts, "doc_id long, text string")).localCheckpoint())
+    assert shown(got, want.columns) == shown(want, want.columns) != []
