@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark import catalog
 from foliospark.operators import compare, layout, misc, regions, scoring, tiles
 from foliospark.operators.revisions import revised_pages
-from foliospark.plans import grouped, order, shared
+from foliospark.plans import order, shared
 from foliospark.sources.tables import document_summary, pages_of
 
 LINES = "pair_id long, page_index int, old_lines array<string>, new_lines array<string>"
@@ -166,7 +166,7 @@ def test_reports_of_whole_documents(spark, monkeypatch):
 
 def test_json_report_writes_no_texts(spark, sf, monkeypatch):
     kept = []
-    for module in (compare, order, grouped):
+    for module in (compare, order):
         real = module.written
         monkeypatch.setattr(module, "written", lambda df, name, real=real: kept.append(df.schema.simpleString()) or real(df, name))
     plan = catalog.json_report(spark, sf)._jdf.queryExecution().executedPlan().toString()
